@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NODE_DDL = (
-    "struct<id:int,parent:int,last:int,depth:int,idx:int,prev:int,tag:string,"
+    "struct<id:int,parent:int,last:int,depth:int,idx:int,prev:int,kids:int,tag:string,"
     "classes:array<string>,attrs:map<string,string>,t0:int,t1:int,h0:int,h1:int>"
 )
 TREE_COLUMNS = ("texts", "markup", "nodes")
@@ -130,7 +130,7 @@ class PageTree:
         self.tag: list[str] = [""]
         self.attrs: list[dict[str, str]] = [{}]
         self.t0, self.t1, self.h0, self.h1 = [0], [0], [0], [0]
-        self.newest_child = [-1]
+        self.newest_child, self.kids = [-1], [0]
         self.open = [0]
         self.active: list[tuple[str, dict[str, str], int] | None] = []
         self.head = self.body = -1
@@ -146,6 +146,8 @@ class PageTree:
         node, parent = len(self.tag), self.open[-1]
         sibling = self.newest_child[parent]
         self.newest_child[parent] = node
+        self.kids[parent] += 1
+        self.kids.append(0)
         self.parent.append(parent)
         self.last.append(node)
         self.depth.append(self.depth[parent] + 1)
@@ -531,7 +533,7 @@ def _ints(values: list[int]) -> pa.Array:
 
 def _trees_to_arrow(trees: list[PageTree], keep_attrs: frozenset[str] | None) -> list[pa.Array]:
     columns: dict[str, list] = {
-        name: [] for name in "parent last depth idx prev tag t0 t1 h0 h1".split()
+        name: [] for name in "parent last depth idx prev kids tag t0 t1 h0 h1".split()
     }
     ids: list[int] = []
     class_counts: list[int] = []
@@ -558,7 +560,7 @@ def _trees_to_arrow(trees: list[PageTree], keep_attrs: frozenset[str] | None) ->
         attr_offsets.append(attr_offsets[-1] + n)
     members = {
         "id": _ints(ids),
-        **{name: _ints(columns[name]) for name in ("parent", "last", "depth", "idx", "prev")},
+        **{name: _ints(columns[name]) for name in ("parent", "last", "depth", "idx", "prev", "kids")},
         "tag": pa.array(columns["tag"], pa.string()),
         "classes": _list_array(class_counts, pa.array(classes, pa.string())),
         "attrs": pa.MapArray.from_arrays(

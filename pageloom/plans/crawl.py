@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.functions import urls
 from pageloom.functions.names import agent_token
 from pageloom.operators import robots as rb
-from pageloom.operators.schedule import interval_ms, send_schedule
 from pageloom.operators.scan import HOT_ROWS
+from pageloom.operators.schedule import interval_ms, send_schedule
 from pageloom.operators.snapshots import is_fresh
+from pageloom.session import checkpoint
 from pageloom.spec import Politeness
 
 CACHED, BLOCKED, SEND = "cached", "blocked", "send"
@@ -43,11 +45,9 @@ def crawl_plan(
     if politeness.respect_robots:
         per_url = rb.admit(per_url, rb.rulesets(rb.parse_robots(robots), token))
     else:
-        from pageloom.functions.urls import origin
-
         per_url = per_url.select(
             "*",
-            origin(F.col("url")).alias("origin"),
+            urls.origin(F.col("url")).alias("origin"),
             F.lit(True).alias("allowed"),
             F.lit(None).cast("double").alias("crawl_delay"),
         )
@@ -59,6 +59,8 @@ def crawl_plan(
         .otherwise(F.lit(SEND)),
     ).withColumn("interval_ms", interval_ms(politeness.requests_per_second, F.col("crawl_delay")))
 
+    # read three times below (group sizes, sends, the rest): decide once
+    decided = checkpoint(decided)
     columns = [*wanted.columns, "origin", "action", "send_ms"]
     sends = decided.where(F.col("action") == SEND)
     scheduled = send_schedule(sends, hot_rows=hot_rows).select(*columns)
