@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,10 +49,12 @@ def write_snapshots(snapshots: DataFrame, path: str) -> None:
     bucketed.write.mode("append").partitionBy("bucket").parquet(path)
 
 
-def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """The newest copy of every URL."""
-    stored = spark.read.schema(SNAPSHOT_DDL + ", bucket int").parquet(path).drop("bucket")
-    return sn.latest(stored)
+def read_snapshots(
+    spark: SparkSession, path: str, columns: Sequence[str] = ("url", "final_url", "body", "stored_at")
+) -> DataFrame:
+    """The newest copy of every URL; leave out ``body`` where only ages matter."""
+    stored = spark.read.schema(SNAPSHOT_DDL + ", bucket int").parquet(path)
+    return sn.latest(stored.select(*columns))
 
 
 def compact_snapshots(spark: SparkSession, source: str, target: str) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -23,10 +23,15 @@ def stream_pages(spark: SparkSession, path: str, ddl: str, files_per_trigger: in
 
 
 def start_extraction(
-    site: Site, resource: str, path: str, checkpoint: str, **trigger: Any
+    site: Site,
+    resource: str,
+    path: str,
+    checkpoint: str,
+    keep: Iterable[str] = ("url",),
+    **trigger: Any,
 ) -> StreamingQuery:
     """Extract a resource from every arriving page; the plan is the batch plan."""
-    rows = site.over_pages(resource)
+    rows = site.over_pages(resource, keep)
     writer = rows.writeStream.outputMode("append").format("parquet")
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start(path)
 
