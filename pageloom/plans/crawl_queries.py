@@ -1,0 +1,358 @@
+"""Crawl planning over the pages and events tables.
+
+The sample tables hold no robots files, snapshots or attempt log; they are derived
+from page URLs and events by the same SQL expressions on both sides.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pageloom.operators import attempts as at
+from pageloom.operators import robots as rb
+from pageloom.operators import snapshots as sn
+from pageloom.operators.hits import request_hits as mark_hits
+from pageloom.operators.schedule import send_schedule as schedule
+from pageloom.plans.crawl import crawl_plan as plan
+from pageloom.plans.registry import query
+from pageloom.plans.tables import longs, table
+from pageloom.session import scratch_path
+from pageloom.sources.cache import read_snapshots
+from pageloom.spec import Politeness
+from pageloom.streaming.jobs import start_snapshots, stream_hits as hits_of_stream, stream_pages
+
+NOW_MS = 1_704_067_200_000
+TTL_MS = 600_000
+AGENT = "LoomBot/1.0 (+https://example.com)"
+POLITENESS = Politeness(requests_per_second=4, cache_ttl_ms=TTL_MS, user_agent=AGENT)
+
+# A robots file per origin, in SQL that both engines read.
+ROBOTS_BODY = """
+    concat('# robots of ', origin, chr(10), 'Disallow: /first', chr(13), chr(10), chr(10), 'User-agent: *', chr(10),
+      'Disallow: /fr/', chr(10), 'Allow: /fr/1*', chr(10), 'Crawl-delay: ', length(origin) % 4, chr(10), chr(10),
+      'no colon here', chr(10), 'User-agent: loom', chr(10), 'User-Agent: Other-Bot # two agents', chr(10),
+      case when length(origin) % 2 = 0 then 'Disallow: /*.html$' else 'Disallow:' end, chr(10),
+      'Disallow: /de/', chr(10), 'Allow : /de/', chr(10), 'crawl-delay: x', chr(10),
+      'Crawl-delay: 2', chr(10), 'Disallow: /en/9', chr(10),
+      case when length(origin) % 5 = 0
+           then concat('User-agent: loombot', chr(10), 'Disallow: /es', chr(10), 'Crawl-delay:', chr(10), 'Allow: /es/*5') else '' end)
+"""
+# Origins whose length is a multiple of 7 have no robots file.
+ROBOTS_SQL = f"""
+robots as (
+  select origin, {ROBOTS_BODY} as body from
+    (select distinct regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) as origin from pages) where length(origin) % 7 <> 0),
+lines as (
+  select origin, unnest(range(len(string_split(body, chr(10))))) as line_no,
+         trim(regexp_replace(replace(unnest(string_split(body, chr(10))), chr(13), ''), '#.*', '')) as line
+  from robots),
+parsed as (
+  select origin, line_no, lower(trim(split_part(line, ':', 1))) as field,
+         trim(substr(line, strpos(line, ':') + 1)) as raw
+  from lines where strpos(line, ':') > 0),
+marked as (
+  select *, case when field = 'user-agent' and coalesce(lag(field) over w, '') <> 'user-agent' then 1 else 0 end as opens
+  from parsed window w as (partition by origin order by line_no)),
+directives as (
+  select origin, line_no, sum(opens) over (partition by origin order by line_no)::bigint as group_id, field,
+         case when field = 'user-agent' then lower(raw) else raw end as value
+  from marked),
+agents as (
+  select origin, group_id, value as agent from directives where field = 'user-agent'
+  union select origin, 0, '*' from directives where group_id = 0),
+chosen as (
+  select origin, group_id from agents where agent = '*' or starts_with('loombot', agent)
+  qualify row_number() over (partition by origin order by agent = '*', -length(agent), group_id) = 1),
+delay as (
+  select origin, arg_max(case when value = '' then 0.0::double else value::double end, line_no) as crawl_delay
+  from directives join chosen using (origin, group_id)
+  where field = 'crawl-delay' and value <> 'x' group by origin),
+rule as (
+  select origin, field as kind, value as pattern,
+         '^' || replace(replace(value, '.', '[.]'), '*', '.*') as rx
+  from directives join chosen using (origin, group_id) where field in ('allow', 'disallow') and value <> '')
+"""
+ADMIT_SQL = """
+located as (
+  select page_id, url, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) as origin,
+         regexp_replace(regexp_replace(url, '^[a-z]+://[^/?#]+', ''), '#.*$', '') as path from pages),
+admitted as (
+  select page_id, url, l.origin, crawl_delay,
+         coalesce(max(case when kind = 'disallow' and regexp_matches(path, rx) then length(pattern) end), -1) as d,
+         coalesce(max(case when kind = 'allow' and regexp_matches(path, rx) then length(pattern) end), -1) as a
+  from located l left join rule r on l.origin = r.origin left join delay on l.origin = delay.origin
+  group by page_id, url, l.origin, crawl_delay)
+"""
+
+
+def robots_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    origins = table(spark, sf_dir, "pages").select(
+        F.regexp_extract("url", "^([a-z]+://[^/?#]+)", 1).alias("origin")
+    ).distinct()
+    return origins.where("length(origin) % 7 <> 0").selectExpr("origin", f"{ROBOTS_BODY} as body")
+
+
+def page_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth page has a copy, older the later its number."""
+    return table(spark, sf_dir, "pages").where("page_id % 4 = 0").select(
+        "url",
+        F.col("url").alias("final_url"),
+        F.col("html").alias("body"),
+        F.timestamp_millis(F.lit(NOW_MS) - F.col("page_id") * 10_000).alias("stored_at"),
+    )
+
+
+COPIES_SQL = f"(select url, page_id, {NOW_MS} - page_id * 10000 as stored_ms from pages where page_id % 4 = 0)"
+
+
+def wanted_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for pages, one per event of the user with the page's number."""
+    known = table(spark, sf_dir, "pages").select(F.col("page_id").alias("user_id"), "url")
+    log = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("request_id"), "user_id", (F.unix_millis("ts") % 7_200_000).alias("arrive_ms")
+    )
+    return log.join(known, "user_id").select("request_id", "url", "arrive_ms")
+
+
+WANTED_SQL = """
+wanted as (select event_id as request_id, url, (epoch_us(ts) // 1000) % 7200000 as arrive_ms from events join pages on user_id = page_id)
+"""
+
+# ---- snapshots ------------------------------------------------------------------
+
+
+@query(
+    f"select event_id, {NOW_MS} + 86400000 - (epoch_us(ts) // 1000) < 43200000 as fresh, false as never from events"
+)
+def cache_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = F.unix_millis("ts")
+    now = NOW_MS + 86_400_000
+    return table(spark, sf_dir, "events").select(
+        "event_id",
+        sn.is_fresh(now, stored, 43_200_000).alias("fresh"),
+        sn.is_fresh(now, F.lit(now), 0).alias("never"),
+    )
+
+
+@query(
+    f"""
+    with {WANTED_SQL}
+    select request_id, w.url, coalesce({NOW_MS} - stored_ms < {TTL_MS}, false) as served
+    from wanted w left join {COPIES_SQL} c on w.url = c.url
+    """
+)
+def ttl_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    served, missing = sn.split_wanted(
+        wanted_urls(spark, sf_dir), page_copies(spark, sf_dir), NOW_MS, TTL_MS
+    )
+    return served.withColumn("served", F.lit(True)).unionByName(missing.withColumn("served", F.lit(False))).select(
+        "request_id", "url", "served"
+    )
+
+
+@query(
+    f"""
+    with {WANTED_SQL}
+    select request_id, w.url, md5(html) as body, stored_ms, true as from_cache
+    from wanted w join {COPIES_SQL} c on w.url = c.url join pages p on p.url = w.url
+    where {NOW_MS} - stored_ms < {TTL_MS}
+    """
+)
+def served_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sn.serve(wanted_urls(spark, sf_dir), page_copies(spark, sf_dir), NOW_MS, TTL_MS)
+    return found.select(
+        "request_id", "url", F.md5("html").alias("body"), F.unix_millis("fetched_at").alias("stored_ms"), "from_cache"
+    )
+
+
+@query(
+    """
+    select 'u' || user_id as url, arg_max(event_type, ts) as body, (epoch_us(max(ts)) // 1000) as stored_ms from events group by user_id
+    """
+)
+def snapshot_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    copies = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("u"), F.col("user_id")).alias("url"),
+        F.col("event_type").alias("body"),
+        F.col("ts").alias("stored_at"),
+        "event_id",
+    )
+    base = sn.latest(copies.where("event_id % 3 <> 0").drop("event_id"))
+    merged = sn.upsert(base, copies.where("event_id % 3 = 0").drop("event_id"))
+    return merged.select("url", "body", F.unix_millis("stored_at").alias("stored_ms"))
+
+
+@query("select url, md5(html) as body, page_id as age from pages")
+def stream_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page copies absorbed from a stream into a snapshot table."""
+    arriving = stream_pages(spark, f"{sf_dir}/pages*.parquet", "page_id bigint, url string, html string")
+    copies = arriving.select(
+        "url",
+        F.col("url").alias("final_url"),
+        F.col("html").alias("body"),
+        F.timestamp_seconds("page_id").alias("stored_at"),
+    )
+    path = scratch_path(spark, "snapshots")
+    start_snapshots(copies, path, path + "-log", availableNow=True).awaitTermination()
+    stored = read_snapshots(spark, path)
+    return stored.select("url", F.md5("body").alias("body"), F.unix_seconds("stored_at").alias("age"))
+
+
+# ---- robots -----------------------------------------------------------------------
+
+
+@query(f"with {ROBOTS_SQL} select origin, line_no, group_id, field, value from directives")
+def robots_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return longs(rb.parse_robots(robots_table(spark, sf_dir)))
+
+
+@query(
+    f"with {ROBOTS_SQL} select origin, group_id, agent, (select count(*) from directives d where d.origin = a.origin"
+    " and d.group_id = a.group_id and field in ('allow', 'disallow')) as n_rules from agents a"
+)
+def robots_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    directives = rb.parse_robots(robots_table(spark, sf_dir))
+    counts = rb.rules(directives).groupBy("origin", "group_id").agg(F.count("*").alias("n_rules"))
+    joined = rb.agents(directives).join(counts, ["origin", "group_id"], "left")
+    return longs(joined.fillna({"n_rules": 0}))
+
+
+@query(
+    f"""
+    with {ROBOTS_SQL}
+    select origin, group_id, crawl_delay, count(*) filter (kind = 'allow') as n_allow, count(*) filter (kind = 'disallow') as n_disallow
+    from chosen left join delay using (origin) left join rule using (origin) group by origin, group_id, crawl_delay
+    """
+)
+def robots_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group, rules and delay that apply to one agent, per origin."""
+    chosen = rb.rulesets(rb.parse_robots(robots_table(spark, sf_dir)), "loombot")
+    return longs(
+        chosen.select(
+            "origin", "group_id", "crawl_delay", F.size("allow").alias("n_allow"), F.size("disallow").alias("n_disallow")
+        )
+    )
+
+
+@query(
+    f"""
+    with {ROBOTS_SQL}
+    select origin, group_id, arg_max(case when value = '' then 0.0::double else value::double end, line_no) as crawl_delay
+    from directives where field = 'crawl-delay' and value <> 'x' group by origin, group_id
+    """
+)
+def robots_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return longs(rb.delays(rb.parse_robots(robots_table(spark, sf_dir))))
+
+
+@query(f"with {ROBOTS_SQL}, {ADMIT_SQL} select page_id, origin, crawl_delay, d < 0 or a >= d as allowed from admitted")
+def robots_admit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = rb.rulesets(rb.parse_robots(robots_table(spark, sf_dir)), "loombot")
+    wanted = table(spark, sf_dir, "pages").select("page_id", "url")
+    return rb.admit(wanted, rules).select("page_id", "origin", "crawl_delay", "allowed")
+
+
+# ---- schedules and logs --------------------------------------------------------------
+
+
+@query(
+    """
+    select event_id, origin, rn * i + max(arrive_ms - rn * i) over (partition by origin order by arrive_ms, event_id) as send_ms
+    from (select event_id, 'o' || user_id % 40 as origin, (epoch_us(ts) // 1000) as arrive_ms, 250.0::double * (1 + user_id % 40) as i,
+                 row_number() over (partition by user_id % 40 order by (epoch_us(ts) // 1000), event_id) as rn from events)
+    """
+)
+def send_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    group = F.col("user_id") % 40
+    requests = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("request_id"),
+        F.concat(F.lit("o"), group).alias("origin"),
+        F.unix_millis("ts").alias("arrive_ms"),
+        (250.0 * (1 + group)).alias("interval_ms"),
+    )
+    return schedule(requests).select(F.col("request_id").alias("event_id"), "origin", "send_ms")
+
+
+@query(
+    f"""
+    with {ROBOTS_SQL}, {ADMIT_SQL}, {WANTED_SQL},
+    decided as (
+      select request_id, w.url, arrive_ms, origin, greatest(250.0::double, coalesce(crawl_delay, 0) * 1000) as i,
+             case when coalesce({NOW_MS} - stored_ms < {TTL_MS}, false) then 'cached'
+                  when not (d < 0 or a >= d) then 'blocked'
+                  when row_number() over (partition by w.url order by arrive_ms, request_id) > 1 then 'cached'
+                  else 'send' end as action
+      from wanted w join admitted on w.url = admitted.url left join {COPIES_SQL} c on c.url = w.url),
+    slots as (
+      select request_id, i, row_number() over o as rn, arrive_ms, origin from decided where action = 'send'
+      window o as (partition by origin order by arrive_ms, request_id)),
+    sends as (
+      select request_id, rn * i + max(arrive_ms - rn * i) over (partition by origin order by arrive_ms, request_id) as send_ms
+      from slots)
+    select request_id, url, arrive_ms, origin, action, send_ms from decided left join sends using (request_id)
+    """
+)
+def crawl_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan(
+        wanted_urls(spark, sf_dir), page_copies(spark, sf_dir), robots_table(spark, sf_dir), POLITENESS, NOW_MS
+    )
+
+
+ATTEMPT_SQL = "[503, 200, 404, 502, null, 301, 500][(event_id * 5 + attempt * 3) % 7 + 1]"
+
+
+@query(
+    f"""
+    with log as (
+      select event_id, attempt, {ATTEMPT_SQL} as status from events cross join range(4) t(attempt) where attempt <= 2),
+    final as (select event_id, min(attempt) as attempt from log where status < 500 group by event_id),
+    last as (select event_id, coalesce(final.attempt, 2) as attempt from events left join final using (event_id))
+    select event_id, status::bigint as status, attempt + 1 as attempts,
+           case when status is null then 'timeout' when status = 200 then 'ok' else 'http-error' end as outcome,
+           (250 * (2 ** attempt - 1))::bigint as wait_ms, case when status = 200 then 200 else 502 end::bigint as http_status
+    from last join log using (event_id, attempt)
+    """
+)
+def attempt_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    statuses = F.array(*[F.lit(s).cast("int") for s in (503, 200, 404, 502, None, 301, 500)])
+    log = table(spark, sf_dir, "events").select("event_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("attempt"))
+    log = log.select(
+        "event_id",
+        "attempt",
+        F.get(statuses, ((F.col("event_id") * 5 + F.col("attempt") * 3) % 7).cast("int")).alias("status"),
+        F.lit("timeout").alias("error"),
+    )
+    return longs(at.resolve_attempts(log, max_retries=2, keys=["event_id"]))
+
+
+HITS_SQL = """
+    with recursive log as (
+      select event_id, user_id, (epoch_us(ts) // 1000) as t, row_number() over (partition by user_id order by ts, event_id) as rn from events),
+    fold as (
+      select user_id, rn, event_id, false as hit, t as last_fetch from log where rn = 1
+      union all
+      select l.user_id, l.rn, l.event_id, l.t - f.last_fetch < 3600000, case when l.t - f.last_fetch < 3600000 then f.last_fetch else l.t end
+      from fold f join log l on l.user_id = f.user_id and l.rn = f.rn + 1)
+    select event_id, user_id, hit from fold
+"""
+
+
+@query(HITS_SQL)
+def request_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_millis("ts").alias("ts"))
+    marked = mark_hits(log, 3_600_000, key="user_id", at="ts", tie="event_id")
+    return marked.select("event_id", "user_id", "hit")
+
+
+@query(HITS_SQL)
+def stream_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cache hits of a request stream, with state per URL."""
+    log = stream_pages(spark, f"{sf_dir}/events*.parquet", "event_id bigint, user_id bigint, ts timestamp")
+    requests = log.select(F.col("user_id").cast("string").alias("url"), F.col("event_id").alias("request_id"), "ts")
+    out = scratch_path(spark, "hits")
+    marked = hits_of_stream(requests, 3_600_000).writeStream.format("parquet")
+    marked.option("checkpointLocation", out + "-log").trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.parquet(out).select(
+        F.col("request_id").alias("event_id"), F.col("url").cast("bigint").alias("user_id"), "hit"
+    )

@@ -1,0 +1,115 @@
+"""Structure inference over every page of the pages table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pageloom.operators import infer
+from pageloom.plans.registry import query
+from pageloom.plans.tables import collapsed, decoded, longs, pages
+
+# The two kinds of repeating siblings these pages have: menu entries and paragraphs.
+# A paragraph holds the formatting elements left open before it (three at most).
+GROUPS_SQL = f"""
+items as (
+  select page_id, 'li' as signature, unnest(regexp_extract_all(html, '<li>(.*?)</li>', 1)) as inner_html,
+         unnest(range(len(regexp_extract_all(html, '<li>.*?</li>')))) as i
+  from pages),
+paragraphs as (
+  select page_id, 'p' as signature, unnest(string_split(article, '<p>')[2:]) as inner_html,
+         unnest(range(len(string_split(article, '<p>')) - 1)) as i
+  from (select page_id, regexp_extract(html, '<article>(.*?)</article>', 1) as article from pages)),
+measured as (
+  select page_id, signature, i, inner_html,
+         case when signature = 'li' then 1 else
+           least(3, sum((inner_html like '<b>%')::int) over (partition by page_id, signature order by i)) end
+           + (inner_html like '%<br>%')::int as n_inside,
+         least(length({collapsed(decoded("regexp_replace(inner_html, '<[^>]*>', '', 'g')"))}), 200) as n_text
+  from (select * from items union all select * from paragraphs)),
+scored as (
+  select page_id, signature, count(*) as n,
+         avg(n_text + 3 * n_inside + case when signature = 'li' then 10 else 0 end) filter (i < 5) * (1 + log2(count(*))) as score
+  from measured group by page_id, signature having count(*) >= 3)
+"""
+
+
+@query(f"with {GROUPS_SQL} select page_id, signature, n, round(score, 6) as score from scored")
+def sibling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = infer.sibling_groups(infer.infer_trees(pages(spark, sf_dir), ["page_id"]), ["page_id"])
+    return longs(found.select("page_id", "signature", "n", F.round("score", 6).alias("score")))
+
+
+BEST_SQL = f"""
+{GROUPS_SQL},
+best as (select * from scored qualify row_number() over (partition by page_id order by score desc, signature) = 1)
+"""
+
+
+@query(f"with {BEST_SQL} select page_id, signature, n from best")
+def best_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = infer.best_groups(infer.infer_trees(pages(spark, sf_dir), ["page_id"]), ["page_id"])
+    return longs(found.select("page_id", "signature", "n"))
+
+
+@query(
+    f"""
+    with {BEST_SQL}
+    select page_id, signature as selector,
+           case when signature = 'li' then 'title:a:-,url:a:href' else 'text:-:-' end as fields
+    from best
+    """
+)
+def inferred_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trees = infer.infer_trees(pages(spark, sf_dir), ["page_id"])
+    found = infer.inferred_fields(trees, ["page_id"])
+    described = F.transform(
+        "fields",
+        lambda f: F.concat_ws(
+            ":", f.field, F.coalesce(f.selector, F.lit("-")), F.coalesce(f.attr, F.lit("-"))
+        ),
+    )
+    return found.select("page_id", "selector", F.array_join(described, ",").alias("fields"))
+
+
+@query("select page_id, 'title:h1,h2,title' as fields from pages")
+def page_level_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trees = infer.infer_trees(pages(spark, sf_dir), ["page_id"])
+    described = F.transform(infer.page_fields(), lambda f: F.concat_ws(":", f.field, f.selector))
+    return trees.select("page_id", F.array_join(described, ",").alias("fields"))
+
+
+@query("select page_id, cast(null as varchar) as selector from pages")
+def inferred_pagination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No menu entry of these pages leads to a next page in a way a selector can name."""
+    trees = infer.infer_trees(pages(spark, sf_dir), ["page_id"])
+    return infer.inferred_pagination(trees, ["page_id"])
+
+
+@query(
+    f"""
+    with {BEST_SQL}
+    select page_id, split_part(regexp_replace(regexp_extract(url, '//([^/?#:]+)', 1), '^www\\.', ''), '.', 1) as name,
+           regexp_extract(url, '^[a-z]+://[^/?#]+') as base_url,
+           regexp_replace(regexp_replace(url, '^[a-z]+://[^/?#]+', ''), '#.*$', '') as path,
+           'items' as resource, signature as row_selector,
+           case when signature = 'li' then 'a' end as title_selector
+    from best join pages using (page_id)
+    """
+)
+def draft_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draft site descriptions, taken apart for comparison."""
+    drafts = infer.infer_drafts(pages(spark, sf_dir), ["page_id"])
+
+    def part(path: str) -> object:
+        return F.get_json_object("draft", path)
+
+    return drafts.select(
+        "page_id",
+        part("$.name").alias("name"),
+        part("$.baseUrl").alias("base_url"),
+        part("$.resources[0].fetch.path").alias("path"),
+        part("$.resources[0].name").alias("resource"),
+        part("$.resources[0].list.selector").alias("row_selector"),
+        part("$.resources[0].list.fields.title.selector").alias("title_selector"),
+    )

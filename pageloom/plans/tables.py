@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pageloom.sources.pages import read_pages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A sample table; its zone-less timestamps are read as instants in UTC."""
+    path = f"{sf_dir}/{name}.parquet"
+    found = spark.read.parquet(path).schema
+    zoned = [
+        T.StructField(f.name, T.TimestampType() if isinstance(f.dataType, T.TimestampNTZType) else f.dataType)
+        for f in found
+    ]
+    return spark.read.schema(T.StructType(zoned)).parquet(path)
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import glob
-import math
 import os
 import sys
 import time
@@ -17,12 +16,6 @@ def _key(row):
     return tuple((v is None, str(v)) for v in row)
 
 
-def _same(a, b):
-    if isinstance(a, float) and isinstance(b, float):
-        return a == b or math.isclose(a, b, rel_tol=1e-12)
-    return a == b
-
-
 def oracle_rows(sql: str, sf_dir: str):
     con = duckdb.connect()
     for path in glob.glob(f"{sf_dir}/*.parquet"):
@@ -46,7 +39,7 @@ def difference(df, sql: str, sf_dir: str) -> str | None:
         extra = [r for r in left if r not in right][:2], [r for r in right if r not in left][:2]
         return f"{len(left)} rows vs {len(right)}: {extra}"
     for a, b in zip(left, right):
-        if not all(map(_same, a, b)):
+        if a != b:
             return f"{names}\n  spark  {a}\n  oracle {b}"
     return None
 
