@@ -1,4 +1,8 @@
-"""Small helpers for building column expressions."""
+"""Small helpers for building column expressions.
+
+Large expressions are written as SQL text where that is easier to read; one parse
+on the JVM side is also far quicker than building them call by call from Python.
+"""
 
 from __future__ import annotations
 
@@ -21,6 +25,25 @@ def fields(**named: Column) -> Column:
     return F.struct(*[col.alias(name) for name, col in named.items()])
 
 
+def sql_text(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_let(name: str, value: str, body: str) -> str:
+    """:func:`let` in SQL text: ``body`` may use ``name``."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def sql_fields(**named: str) -> str:
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in named.items()) + ")"
+
+
+def sql_call(body: str, **args: Column) -> Column:
+    """SQL text over columns: ``body`` names its arguments as ``_a.<name>``."""
+    return F.get(F.call_function("transform", F.array(fields(**args)), F.expr(f"_a -> {body}")), F.lit(0))
+
+
 def join_span(parts: Column, lo: Column, hi: Column) -> Column:
     """Concatenate ``parts[lo:hi]``, touching only those elements."""
     picked = F.transform(F.sequence(lo, hi - 1), lambda i: F.get(parts, i))

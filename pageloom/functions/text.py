@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The whitespace characters of the ECMAScript \s class.  Java's
 # own \s covers the ASCII ones only.
 WHITESPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+ALL_SPACES = "".join(re.findall(WHITESPACE, "".join(map(chr, range(0x10000))), re.ASCII))
+# Whatever is not already a single plain space between two words.
+UNEVEN = f"{WHITESPACE}{{2,}}|(?! ){WHITESPACE}"
 
 # The built-in transform names and what each one returns.
 BUILT_IN = {
@@ -26,11 +31,11 @@ TRUE_WORDS = ("true", "yes", "1", "on")
 
 def collapse(text: Column) -> Column:
     """Whitespace runs become one space; ends are trimmed."""
-    return F.trim(F.regexp_replace(text, WHITESPACE + "+", " "))
+    return F.trim(F.regexp_replace(text, UNEVEN, " "))
 
 
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WHITESPACE}+|{WHITESPACE}+$", "")
+    return F.trim(text, F.lit(ALL_SPACES))
 
 
 def first_number(text: Column) -> Column:

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pageloom.functions.cols import fields, let
+from pageloom.functions.cols import sql_call, sql_fields, sql_let
 
 # Schemes with an authority, and the port each one implies.
 DEFAULT_PORTS = {"http": "80", "https": "443", "ftp": "21", "ws": "80", "wss": "443"}
@@ -30,153 +30,116 @@ PLAIN_PATH = (
 DOT_SEGMENT = r"(?i)(^|/)(\.|%2e){1,2}(/|$)"
 
 
-def percent_encode(text: Column, unsafe: str) -> Column:
+def _percent_encode(text: str, unsafe: str) -> str:
     """Escape every character matching ``unsafe`` as its UTF-8 bytes."""
+    octets = "regexp_replace(hex(encode(_c, 'UTF-8')), '(..)', '%$1')"
+    escaped = f"array_join(transform(split(_t, ''), _c -> if(_c rlike r'{unsafe}', {octets}, _c)), '')"
+    return sql_let("_t", text, f"if(_t rlike r'{unsafe}', {escaped}, _t)")
 
-    def escape(char: Column) -> Column:
-        octets = F.regexp_replace(F.hex(F.encode(char, "UTF-8")), "(..)", "%$1")
-        return F.when(char.rlike(unsafe), octets).otherwise(char)
 
-    escaped = F.array_join(F.transform(F.split(text, ""), escape), "")
-    return F.when(text.rlike(unsafe), escaped).otherwise(text)
-
-
-def encode_component(text: Column) -> Column:
-    """encodeURIComponent: only letters, digits and ``-_.!~*'()`` stay literal."""
-    encoded = F.url_encode(text)
-    for found, literal in (
-        ("+", "%20"),
-        ("%21", "!"),
-        ("%27", "'"),
-        ("%28", "("),
-        ("%29", ")"),
-        ("%7E", "~"),
-    ):
-        encoded = F.replace(encoded, F.lit(found), F.lit(literal))
-    return encoded
-
-
-def remove_dot_segments(path: Column) -> Column:
-    """Fold '.' and '..' segments of an absolute path."""
-    empty = F.array().cast("array<string>")
-
-    def fold(segments: Column) -> Column:
-        numbered = F.transform(segments, lambda s, i: fields(seg=s, end=i == F.size(segments) - 1))
-
-        def step(kept: Column, item: Column) -> Column:
-            seg = F.replace(F.lower(item.seg), F.lit("%2e"), F.lit("."))
-            tail = F.when(item.end, F.array(F.lit(""))).otherwise(empty)
-            parent = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
-            return (
-                F.when(seg == ".", F.concat(kept, tail))
-                .when(seg == "..", F.concat(parent, tail))
-                .otherwise(F.concat(kept, F.array(item.seg)))
-            )
-
-        return F.concat(F.lit("/"), F.array_join(F.aggregate(numbered, empty, step), "/"))
-
-    folded = let(F.split(F.substring(path, 2, 2**31 - 1), "/"), fold)
-    return F.when(path.rlike(DOT_SEGMENT), folded).otherwise(path)
-
-
-def _split(url: Column) -> Column:
-    return fields(
-        scheme=F.lower(F.regexp_extract(url, URL_PARTS, 1)),
-        authority=F.regexp_extract(url, URL_PARTS, 2),
-        path=F.regexp_extract(url, URL_PARTS, 3),
-        query=F.regexp_extract(url, URL_PARTS, 4),
-        fragment=F.regexp_extract(url, URL_PARTS, 5),
+def _without_dots(path: str) -> str:
+    """Fold '.' and '..' segments of an absolute path; most paths have none."""
+    numbered = (
+        "transform(_g, (_s, _i) -> named_struct('seg', _s, 'low', replace(lower(_s), '%2e', '.'),"
+        " 'tail', if(_i = size(_g) - 1, array(''), cast(array() as array<string>))))"
     )
+    fold = f"""aggregate({numbered}, cast(array() as array<string>), (_k, _x) -> case
+        when _x.low = '.' then concat(_k, _x.tail)
+        when _x.low = '..' then concat(slice(_k, 1, greatest(size(_k) - 1, 0)), _x.tail)
+        else concat(_k, array(_x.seg)) end)"""
+    folded = sql_let("_g", "split(substring(_p, 2), '/')", f"concat('/', array_join({fold}, '/'))")
+    return sql_let("_p", path, f"if(_p rlike r'{DOT_SEGMENT}', {folded}, _p)")
 
 
-def _clean(url: Column) -> Column:
-    ends = F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
-    return F.regexp_replace(ends, r"[\t\n\r]", "")
+def _clean(url: str) -> str:
+    ends = rf"regexp_replace({url}, r'^[\x00-\x20]+|[\x00-\x20]+$', '')"
+    return rf"regexp_replace({ends}, r'[\t\n\r]', '')"
 
 
-def _slashes(ref: Column, base_scheme: Column) -> Column:
+def _slashes(url: str, base_scheme: str) -> str:
     """Bring the slash variants browsers accept into the plain ``scheme://host`` form."""
-
-    def plain(p: Column) -> Column:
-        same_scheme = (p.scheme == base_scheme) & ~p.rest.startswith("//")
-        with_host = F.concat(p.scheme, F.lit("://"), F.regexp_replace(p.rest, r"^[/\\]*", ""))
-        relative = F.when(p.special & same_scheme, p.rest).otherwise(ref)
-        return (
-            F.when(p.special & ~same_scheme, with_host)
-            .when(relative.rlike(r"^[/\\]{2}"), F.regexp_replace(relative, r"^[/\\]+", "//"))
-            .otherwise(relative)
-        )
-
-    parts = fields(
-        scheme=F.lower(F.regexp_extract(ref, "^([A-Za-z]+):", 1)),
-        rest=F.regexp_replace(ref, "^[A-Za-z]+:", ""),
-        special=ref.rlike(SPECIAL),
+    parts = sql_fields(
+        scheme="lower(regexp_extract(_r, '^([A-Za-z]+):', 1))",
+        rest="regexp_replace(_r, '^[A-Za-z]+:', '')",
+        special=f"_r rlike r'{SPECIAL}'",
     )
-    odd = ref.rlike(r"^([A-Za-z]+:|[/\\]{2})") & ~ref.rlike(r"^(?i)https?://[^/\\]")
-    return F.when(odd, let(parts, plain)).otherwise(ref)
+    relative = "if(_q.special, _q.rest, _r)"
+    plain = rf"""case
+        when _q.special and not (_q.scheme = {base_scheme} and not startswith(_q.rest, '//'))
+          then concat(_q.scheme, '://', regexp_replace(_q.rest, r'^[/\\]*', ''))
+        when {relative} rlike r'^[/\\]{{2}}' then regexp_replace({relative}, r'^[/\\]+', '//')
+        else {relative} end"""
+    odd = r"_r rlike r'^([A-Za-z]+:|[/\\]{2})' and not _r rlike r'^(?i)https?://[^/\\]'"
+    return sql_let("_r", url, f"if({odd}, {sql_let('_q', parts, plain)}, _r)")
 
 
-def _host_port(scheme: Column, authority: Column) -> Column:
-    """``//user@HOST:port`` in its normal form; null when it is not a valid host."""
-    user = F.regexp_extract(authority, AUTHORITY, 1)
-    host = F.lower(F.regexp_extract(authority, AUTHORITY, 2))
-    port = F.regexp_extract(authority, AUTHORITY, 3)
-    number = port.try_cast("int")
-    ports = F.create_map(*[F.lit(part) for pair in DEFAULT_PORTS.items() for part in pair])
-    implied = F.element_at(ports, scheme)
-    valid_host = (host != "") & (~host.rlike(FORBIDDEN_HOST) | host.rlike(r"^\[[0-9a-f:.]+\]$"))
-    valid_port = (port == "") | (port.rlike("^[0-9]+$") & (number <= 65535))
-    shown_port = F.when((port == "") | (number.cast("string") == implied), F.lit("")).otherwise(
-        F.concat(F.lit(":"), number.cast("string"))
-    )
-    shown_user = F.when(user == "", F.lit("")).otherwise(F.concat(user, F.lit("@")))
-    return F.when(
-        valid_host & valid_port, F.concat(F.lit("//"), shown_user, host, shown_port)
-    )
+def _split(url: str) -> str:
+    names = ("scheme", "authority", "path", "query", "fragment")
+    parts = {name: f"regexp_extract({url}, r'{URL_PARTS}', {i})" for i, name in enumerate(names, 1)}
+    parts["scheme"] = f"lower({parts['scheme']})"
+    return sql_fields(**parts)
 
 
-def _merge(ref: Column, base: Column) -> Column:
-    """Combine split reference and split base; null when there is no valid URL."""
-    own_scheme = ref.scheme != ""
-    opaque = own_scheme & ~F.concat(ref.scheme, F.lit(":")).rlike(SPECIAL)
-    opaque_url = F.concat(
-        ref.scheme,
-        F.lit(":"),
-        ref.authority,
-        percent_encode(ref.path, UNSAFE_OPAQUE),
-        percent_encode(ref.query, UNSAFE_QUERY),
-        percent_encode(ref.fragment, UNSAFE_FRAGMENT),
+def _host_port(scheme: str, authority: str) -> str:
+    """``//user@HOST:port`` in its normal form; null when it is not a valid host."""
+    parts = sql_fields(
+        user=f"regexp_extract({authority}, r'{AUTHORITY}', 1)",
+        host=f"lower(regexp_extract({authority}, r'{AUTHORITY}', 2))",
+        port=f"regexp_extract({authority}, r'{AUTHORITY}', 3)",
     )
-
-    own_authority = own_scheme | (ref.authority != "")
-    scheme = F.when(own_scheme, ref.scheme).otherwise(base.scheme)
-    authority = F.when(own_authority, ref.authority).otherwise(base.authority)
-    folder = F.regexp_extract(F.replace(base.path, F.lit("\\"), F.lit("/")), "(?s)^(.*/)", 1)
-    path = (
-        F.when(own_authority | ref.path.rlike(r"^[/\\]"), ref.path)
-        .when(ref.path == "", base.path)
-        .otherwise(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), ref.path))
+    ports = ", ".join(f"'{name}', '{port}'" for name, port in DEFAULT_PORTS.items())
+    number = "try_cast(_h.port as int)"
+    checked = rf"""case when _h.host <> ''
+          and (not _h.host rlike r'{FORBIDDEN_HOST}' or _h.host rlike r'^\[[0-9a-f:.]+\]$')
+          and (_h.port = '' or (_h.port rlike '^[0-9]+$' and {number} <= 65535))
+        then concat('//', if(_h.user = '', '', concat(_h.user, '@')), _h.host,
+          if(_h.port = '' or cast({number} as string) = element_at(map({ports}), {scheme}),
+             '', concat(':', cast({number} as string)))) end"""
+    return sql_let("_h", parts, checked)
+
+
+def _merge(r: str, b: str) -> str:
+    """Combine split reference and split base; null when there is no valid URL."""
+    opaque = f"""concat({r}.scheme, ':', {r}.authority, {_percent_encode(f"{r}.path", UNSAFE_OPAQUE)},
+        {_percent_encode(f"{r}.query", UNSAFE_QUERY)}, {_percent_encode(f"{r}.fragment", UNSAFE_FRAGMENT)})"""
+    own = f"({r}.scheme <> '' or {r}.authority <> '')"
+    folder = rf"regexp_extract(replace({b}.path, r'\', '/'), '(?s)^(.*/)', 1)"
+    parts = sql_fields(
+        scheme=f"if({r}.scheme <> '', {r}.scheme, {b}.scheme)",
+        authority=f"if({own}, {r}.authority, {b}.authority)",
+        path=rf"""case when {own} or {r}.path rlike r'^[/\\]' then {r}.path
+            when {r}.path = '' then {b}.path
+            else concat({sql_let('_f', folder, "if(_f = '', '/', _f)")}, {r}.path) end""",
+        query=f"if(not {own} and {r}.path = '' and {r}.query = '', {b}.query, {r}.query)",
+        fragment=f"{r}.fragment",
     )
-    keeps_query = ~own_authority & (ref.path == "") & (ref.query == "")
-    query = F.when(keeps_query, base.query).otherwise(ref.query)
-
-    def finish(p: Column) -> Column:
-        slashed = F.replace(p.path, F.lit("\\"), F.lit("/"))
-        rooted = F.when(slashed.startswith("/"), slashed).otherwise(F.concat(F.lit("/"), slashed))
-        resolved = F.concat(
-            p.scheme,
-            F.lit(":"),
-            _host_port(p.scheme, p.authority),
-            percent_encode(remove_dot_segments(rooted), UNSAFE_PATH),
-            percent_encode(p.query, UNSAFE_QUERY),
-            percent_encode(p.fragment, UNSAFE_FRAGMENT),
-        )
-        return F.when(F.concat(p.scheme, F.lit(":")).rlike(SPECIAL), resolved)
-
-    parts = fields(
-        scheme=scheme, authority=authority, path=path, query=query, fragment=ref.fragment
+    slashed = r"replace(_m.path, r'\', '/')"
+    rooted = f"concat(if(startswith({slashed}, '/'), '', '/'), {slashed})"
+    whole = f"""case when concat(_m.scheme, ':') rlike r'{SPECIAL}' then concat(_m.scheme, ':',
+        {_host_port("_m.scheme", "_m.authority")},
+        {_percent_encode(_without_dots(rooted), UNSAFE_PATH)},
+        {_percent_encode("_m.query", UNSAFE_QUERY)},
+        {_percent_encode("_m.fragment", UNSAFE_FRAGMENT)}) end"""
+    is_opaque = f"{r}.scheme <> '' and not concat({r}.scheme, ':') rlike r'{SPECIAL}'"
+    return f"if({is_opaque}, {opaque}, {sql_let('_m', parts, whole)})"
+
+
+def _resolve_sql() -> str:
+    in_full = sql_let(
+        "_b",
+        sql_let("_u", _slashes(_clean("_a.base"), "''"), _split("_u")),
+        sql_let(
+            "_w",
+            sql_let("_v", _slashes(_clean("_a.ref"), "_b.scheme"), _split("_v")),
+            _merge("_w", "_b"),
+        ),
     )
-    return F.when(opaque, opaque_url).otherwise(let(parts, finish))
+    site = f"regexp_extract(_a.base, r'{PLAIN_SITE}', 1)"
+    easy = f"_a.ref rlike r'{PLAIN_PATH}' and _a.base rlike r'{PLAIN_SITE}'"
+    return f"if({easy}, concat({site}, _a.ref), {in_full})"
+
+
+RESOLVE = _resolve_sql()
 
 
 def resolve(ref: Column, base: Column) -> Column:
@@ -185,17 +148,7 @@ def resolve(ref: Column, base: Column) -> Column:
     Hosts are lower-cased but not converted to punycode.  The usual case, a plain
     rooted path on a plain host, is answered without taking the URLs apart.
     """
-
-    def with_base(pair: Column, b: Column) -> Column:
-        return let(_slashes(pair.ref, b.scheme), lambda r: let(_split(r), lambda p: _merge(p, b)))
-
-    def in_full(pair: Column) -> Column:
-        return let(_slashes(pair.base, F.lit("")), lambda b: let(_split(b), lambda s: with_base(pair, s)))
-
-    site = F.regexp_extract(base, PLAIN_SITE, 1)
-    easy = ref.rlike(PLAIN_PATH) & (site != "")
-    full = let(fields(ref=_clean(ref), base=_clean(base)), in_full)
-    return F.when(easy, F.concat(site, ref)).otherwise(full)
+    return sql_call(RESOLVE, ref=ref, base=base)
 
 
 def absolute(ref: Column, base: Column) -> Column:
@@ -203,6 +156,21 @@ def absolute(ref: Column, base: Column) -> Column:
     return F.coalesce(resolve(ref, base), ref)
 
 
+def encode_component(text: Column) -> Column:
+    """encodeURIComponent: only letters, digits and ``-_.!~*'()`` stay literal."""
+    encoded = F.url_encode(text)
+    for found, literal in (
+        ("+", "%20"),
+        ("%21", "!"),
+        ("%27", "'"),
+        ("%28", "("),
+        ("%29", ")"),
+        ("%7E", "~"),
+    ):
+        encoded = F.replace(encoded, F.lit(found), F.lit(literal))
+    return encoded
+
+
 def origin(url: Column) -> Column:
     """``scheme://host[:port]`` in lower case, without an implied port."""
     found = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/\\?#]*)", 1))
@@ -220,47 +188,33 @@ def path_query(url: Column) -> Column:
     return F.when(found.startswith("/"), found).otherwise(F.concat(F.lit("/"), found))
 
 
-def _form_decode(text: Column) -> Column:
-    return F.coalesce(F.try_url_decode(text), text)
+def _form_decode(text: str) -> str:
+    return f"coalesce(try_url_decode({text}), {text})"
 
 
-def _query_pairs(url: Column) -> Column:
-    query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
-    raw = F.filter(F.split(query, "&"), lambda pair: pair != "")
-    return F.transform(
-        raw,
-        lambda pair: fields(
-            key=_form_decode(F.regexp_extract(pair, "(?s)^([^=]*)", 1)),
-            value=_form_decode(F.regexp_extract(pair, "(?s)^[^=]*=(.*)$", 1)),
-        ),
-    )
+_PAIRS = f"""transform(
+    filter(split(regexp_extract(_a.url, r'^[^?#]*\\?([^#]*)', 1), '&'), _q -> _q <> ''),
+    _q -> named_struct('key', {_form_decode("regexp_extract(_q, '(?s)^([^=]*)', 1)")},
+                       'val', {_form_decode("regexp_extract(_q, '(?s)^[^=]*=(.*)$', 1)")}))"""
+_CHANGED = """if(array_position(transform(_p, _q -> _q.key), _a.name) > 0,
+    transform(
+      filter(_p, (_q, _i) -> _q.key <> _a.name or _i + 1 = array_position(transform(_p, _o -> _o.key), _a.name)),
+      _q -> if(_q.key = _a.name, named_struct('key', _a.name, 'val', _a.val), _q)),
+    concat(_p, array(named_struct('key', _a.name, 'val', _a.val))))"""
+_WRITTEN = f"array_join(transform({_CHANGED}, _q -> concat(url_encode(_q.key), '=', url_encode(_q.val))), '&')"
+_WITH_PARAM = f"""concat(regexp_extract(_a.url, '^([^?#]*)', 1), '?', {sql_let('_p', _PAIRS, _WRITTEN)},
+    regexp_extract(_a.url, '(?s)(#.*)$', 1))"""
 
 
 def query_param(url: Column, name: str) -> Column:
     """First value of a query parameter, null when the URL has none."""
-    return F.get(F.filter(_query_pairs(url), lambda pair: pair.key == name), F.lit(0)).value
+    found = f"get(filter({_PAIRS}, _q -> _q.key = _a.name), 0).val"
+    return sql_call(found, url=url, name=F.lit(name))
 
 
 def with_query_param(url: Column, name: str, value: Column) -> Column:
     """Set a parameter: first occurrence replaced, later ones dropped, else appended."""
-
-    def rebuild(pairs: Column) -> Column:
-        first = F.array_position(F.transform(pairs, lambda p: p.key), F.lit(name))
-        kept = F.filter(pairs, lambda p, i: (p.key != name) | (i + 1 == first))
-        pair = fields(key=F.lit(name), value=value)
-        replaced = F.transform(kept, lambda p: F.when(p.key == name, pair).otherwise(p))
-        full = F.when(first > 0, replaced).otherwise(F.concat(kept, F.array(pair)))
-        return F.array_join(
-            F.transform(full, lambda p: F.concat(F.url_encode(p.key), F.lit("="), F.url_encode(p.value))),
-            "&",
-        )
-
-    return F.concat(
-        F.regexp_extract(url, "^([^?#]*)", 1),
-        F.lit("?"),
-        let(_query_pairs(url), rebuild),
-        F.regexp_extract(url, "(?s)(#.*)$", 1),
-    )
+    return sql_call(_WITH_PARAM, url=url, name=F.lit(name), val=value)
 
 
 def fill_template(template: str, params: dict[str, Column]) -> Column:

@@ -96,7 +96,7 @@ def _read_field(f: Field, row: Column | None) -> Column:
         own = F.get(nodes, F.lit(0)) if row is None else row
         value = read_node(f, own)
         return F.array(value) if f.many else value
-    ids = select_ids(nodes, compile_selector(f.selector), row)
+    ids = select_ids(compile_selector(f.selector), row)
     if f.many:
         return F.transform(ids, lambda i: read_node(f, F.get(nodes, i)))
     return let(
@@ -115,7 +115,7 @@ def raw_rows(resource: Resource) -> Column:
     if not resource.is_list:
         return F.array(read(None))
     nodes = F.col("nodes")
-    rows = select_ids(nodes, compile_selector(resource.row_selector))
+    rows = select_ids(compile_selector(resource.row_selector))
     return F.transform(rows, lambda i: let(F.get(nodes, i), read))
 
 

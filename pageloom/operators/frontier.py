@@ -45,7 +45,7 @@ def next_page(pagination: Pagination | None, columns: list[str]) -> Column:
         return fields(url=_query_step(here, pagination), stop=F.lit(None).cast("string"))
     if pagination.type == "link" and pagination.selector:
         nodes = F.col("nodes")
-        first = F.get(select_ids(nodes, compile_selector(pagination.selector)), F.lit(0))
+        first = F.get(select_ids(compile_selector(pagination.selector)), F.lit(0))
         href = let(
             first,
             lambda i: F.coalesce(

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pageloom.functions import names, text, urls
 from pageloom.functions.cols import fields, indexes, join_span, let
 from pageloom.operators.extract import base_url
-from pageloom.operators.selectors import compile_selector, select_ids
+from pageloom.operators.selectors import any_match, compile_selector, select_ids
 from pageloom.operators.shred import shred
 
 # Attributes the heuristics look at.
@@ -53,12 +53,11 @@ def _has_text(node: Column) -> Column:
 
 
 def _within(selector: str, row: Column) -> Column:
-    return select_ids(F.col("nodes"), compile_selector(selector), row)
+    return select_ids(compile_selector(selector), row)
 
 
 def _any_within(selector: str, row: Column) -> Column:
-    nodes, matches = F.col("nodes"), compile_selector(selector)
-    return F.exists(indexes(row.id + 1, row["last"] + 1), lambda i: matches(nodes, F.get(nodes, i)))
+    return any_match(compile_selector(selector), row)
 
 
 # ---- groups ------------------------------------------------------------------------
@@ -207,7 +206,7 @@ def row_fields(row: Column) -> Column:
 def page_fields() -> Column:
     """Fields of a page without a list."""
     nodes = F.col("nodes")
-    first = F.get(select_ids(nodes, compile_selector(DESCRIPTION_SELECTOR)), F.lit(0))
+    first = F.get(select_ids(compile_selector(DESCRIPTION_SELECTOR)), F.lit(0))
     content = let(first, lambda i: F.try_element_at(F.get(nodes, i).attrs, F.lit("content")))
     return F.concat(
         F.array(_field("title", PAGE_TITLE_SELECTOR)).cast(FIELD_DDL),
@@ -247,8 +246,8 @@ def pagination_selector() -> Column:
 
         return let(F.get(nodes, i), of)
 
-    marked = F.size(select_ids(nodes, compile_selector(NEXT_SELECTOR))) > 0
-    links = select_ids(nodes, compile_selector("a"))
+    marked = F.size(select_ids(compile_selector(NEXT_SELECTOR))) > 0
+    links = select_ids(compile_selector("a"))
     usable = F.filter(F.transform(links, candidate), lambda s: s.isNotNull())
     return F.when(marked, F.lit(NEXT_SELECTOR)).otherwise(F.get(usable, F.lit(0)))
 

@@ -19,9 +19,13 @@ def parse_robots(robots: DataFrame) -> DataFrame:
 
     Consecutive user-agent lines open one group together; any other field ends the
     run.  Group 0 holds what stands before the first user-agent line and speaks for
-    every agent.  One origin's lines come from one text cell, which bounds the window.
+    every agent.  Of several copies of one origin's file the newest counts (by
+    ``fetched_at``, else the greatest text), so an origin's lines come from one text
+    cell, which bounds the window; its shuffle by origin is the aggregate's.
     """
-    lines = robots.select(
+    newest = F.max_by("body", "fetched_at") if "fetched_at" in robots.columns else F.max("body")
+    single = robots.groupBy("origin").agg(newest.alias("body"))
+    lines = single.select(
         "origin", F.posexplode(F.split("body", "\r?\n")).alias("line_no", "_line")
     ).select("origin", "line_no", trim(F.regexp_replace("_line", "(?s)#.*$", "")).alias("_line"))
     colon = F.instr("_line", ":")

@@ -1,9 +1,9 @@
 """CSS selectors as predicates on a page-tree node.
 
-A selector becomes a function ``(nodes, n) -> boolean column``.  Ancestors are
-tested by walking ``parent`` links from the node, so a test costs its depth and
-needs neither a join nor a list of candidate ancestors.  Names in a selector may
-match elements outside the row it is applied to, as in CSS.
+A selector becomes SQL text over a node expression and the page's ``nodes`` array.
+Ancestors are tested by walking ``parent`` links from the node, so a test costs its
+depth and needs neither a join nor a list of candidate ancestors.  Names in a
+selector may match elements outside the row it is applied to, as in CSS.
 """
 
 from __future__ import annotations
@@ -11,14 +11,14 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pageloom.functions.cols import fields, indexes
+from pageloom.functions.cols import indexes, sql_text
 
-Predicate = Callable[[Column, Column], Column]
+# SQL of a node -> SQL of a boolean
+Predicate = Callable[[str], str]
 
 NAME = r"-?(?:[A-Za-z_]|[^\x00-\x7f]|\\.)(?:[\w-]|[^\x00-\x7f]|\\.)*"
 TOKEN = re.compile(
@@ -129,97 +129,91 @@ def attributes_used(selector: str) -> set[str]:
     }
 
 
-def _test(test: tuple, nodes: Column, n: Column) -> Column:
+def _test(test: tuple, n: str) -> str:
     kind = test[0]
     if kind == "any":
-        return n.id > 0
+        return f"{n}.id > 0"
     if kind == "type":
-        return n.tag == test[1]
+        return f"{n}.tag = {sql_text(test[1])}"
     if kind == "class":
-        return F.array_contains(n.classes, test[1])
+        return f"array_contains({n}.classes, {sql_text(test[1])})"
     if kind == "nth":
-        return (n.idx == int(test[1]) - 1) & (n.id > 0)
+        return f"({n}.idx = {int(test[1]) - 1} and {n}.id > 0)"
     if kind == "first-child":
-        return (n.idx == 0) & (n.id > 0)
+        return f"({n}.idx = 0 and {n}.id > 0)"
     if kind == "last-child":
         # ids are in document order, so the last child's subtree ends with its parent's
-        return (n.id > 0) & (n["last"] == F.get(nodes, n.parent)["last"])
+        return f"({n}.id > 0 and {n}.last = get(nodes, {n}.parent).last)"
     if kind == "not":
-        return ~_test(test[1], nodes, n)
+        return f"not {_test(test[1], n)}"
     _, name, op, value = test
+    has = f"map_contains_key({n}.attrs, {sql_text(name)})"
+    found = f"coalesce(try_element_at({n}.attrs, {sql_text(name)}), '')"
+    wanted = sql_text(value)
     if op == "":
-        return F.map_contains_key(n.attrs, name)
-    found = F.coalesce(F.try_element_at(n.attrs, F.lit(name)), F.lit(""))
-    present = F.map_contains_key(n.attrs, name)
+        return has
     if op == "=":
-        return present & (found == value)
+        return f"({has} and {found} = {wanted})"
     if value == "" or (op == "~=" and re.search(r"\s", value)):
-        return F.lit(False)
-    if op == "*=":
-        return found.contains(value)
-    if op == "^=":
-        return found.startswith(value)
-    if op == "$=":
-        return found.endswith(value)
-    return F.array_contains(F.split(found, r"\s+"), value)
-
-
-def _compound(step: Step, nodes: Column, n: Column) -> Column:
-    return reduce(lambda a, b: a & b, [_test(t, nodes, n) for t in step.tests])
-
-
-def _walk(
-    nodes: Column, first: Column, count: Column, link: str, accept: Callable[[Column], Column]
-) -> Column:
-    """Follow ``link`` from node ``first`` for ``count`` nodes; does any satisfy ``accept``?"""
-    start = fields(at=first, hit=F.lit(False))
-    step = lambda acc, _: fields(
-        at=F.get(nodes, acc.at)[link],
-        hit=acc.hit | F.coalesce(accept(F.get(nodes, acc.at)), F.lit(False)),
-    )
-    walked = F.aggregate(indexes(F.lit(0), count), start, step, lambda acc: acc.hit)
-    return (count > 0) & walked
-
-
-def _complex(steps: tuple[Step, ...], nodes: Column, n: Column) -> Column:
-    own = _compound(steps[-1], nodes, n)
+        return "false"
+    if op == "~=":
+        return rf"array_contains(split({found}, r'\s+'), {wanted})"
+    match = {"*=": "contains", "^=": "startswith", "$=": "endswith"}[op]
+    return f"{match}({found}, {wanted})"
+
+
+def _walk(n: str, link: str, count: str, accept: Predicate, level: int) -> str:
+    """Follow ``link`` from node ``n`` for ``count`` nodes; does any satisfy ``accept``?"""
+    acc, step = f"_acc{level}", f"_step{level}"
+    here = f"get(nodes, {acc}.at)"
+    start = f"named_struct('at', {n}.{link}, 'hit', false)"
+    onward = f"named_struct('at', {here}.{link}, 'hit', {acc}.hit or coalesce({accept(here)}, false))"
+    walked = f"aggregate(sequence(1, {count}), {start}, ({acc}, {step}) -> {onward}, {acc} -> {acc}.hit)"
+    return f"if({count} > 0, {walked}, false)"
+
+
+def _complex(steps: tuple[Step, ...], n: str, level: int = 0) -> str:
+    own = " and ".join(_test(t, n) for t in steps[-1].tests)
     if len(steps) == 1:
-        return own
+        return f"({own})"
     relation, rest = steps[-1].relation, steps[:-1]
-    accept = lambda node: _complex(rest, nodes, node)
+
+    def accept(node: str) -> str:
+        return _complex(rest, node, level + 1)
+
     if relation == ">":
-        left = (n.depth > 1) & accept(F.get(nodes, n.parent))
+        left = f"{n}.depth > 1 and {accept(f'get(nodes, {n}.parent)')}"
     elif relation == "+":
-        left = (n.prev >= 0) & accept(F.get(nodes, n.prev))
+        left = f"{n}.prev >= 0 and {accept(f'get(nodes, {n}.prev)')}"
     elif relation == "~":
-        left = _walk(nodes, n.prev, n.idx, "prev", accept)
+        left = _walk(n, "prev", f"{n}.idx", accept, level)
     else:
-        left = _walk(nodes, n.parent, n.depth - 1, "parent", accept)
-    return own & F.coalesce(left, F.lit(False))
+        left = _walk(n, "parent", f"({n}.depth - 1)", accept, level)
+    return f"({own} and coalesce({left}, false))"
 
 
 def compile_selector(selector: str) -> Predicate:
     """The predicate for ``selector``; unsupported forms raise here, at plan time."""
     groups = parse_selector(selector)
-
-    def matches(nodes: Column, n: Column) -> Column:
-        tests = [_complex(steps, nodes, n) for steps in groups]
-        return reduce(lambda a, b: a | b, tests)
-
-    return matches
+    return lambda n: "(" + " or ".join(_complex(steps, n) for steps in groups) + ")"
 
 
-def select_all(nodes: Column, matches: Predicate) -> Column:
-    """Matching nodes of the whole page, in document order."""
-    return F.filter(nodes, lambda n: (n.id > 0) & matches(nodes, n))
+def _span(within: Column | None) -> Column:
+    """Ids to visit: the page, or the strict subtree of one node."""
+    if within is None:
+        return F.expr("if(size(nodes) > 1, sequence(1, size(nodes) - 1), cast(array() as array<int>))")
+    return indexes(within.id + 1, within["last"] + 1)
 
 
-def select_ids(nodes: Column, matches: Predicate, within: Column | None = None) -> Column:
-    """Ids of matching nodes, of the page or of the strict subtree of node ``within``.
+def select_ids(matches: Predicate, within: Column | None = None) -> Column:
+    """Ids of matching nodes in document order, of the page or of the subtree of ``within``.
 
     Only the subtree itself is visited, so a page's rows together cost one pass
     over the page per field.
     """
-    first = F.lit(1) if within is None else within.id + 1
-    stop = F.size(nodes) if within is None else within["last"] + 1
-    return F.filter(indexes(first, stop), lambda i: matches(nodes, F.get(nodes, i)))
+    return F.call_function("filter", _span(within), F.expr(f"_i -> {matches('get(nodes, _i)')}"))
+
+
+def any_match(matches: Predicate, within: Column) -> Column:
+    """Does anything in the subtree of ``within`` match?"""
+    return F.call_function("exists", _span(within), F.expr(f"_i -> {matches('get(nodes, _i)')}"))

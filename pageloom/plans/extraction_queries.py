@@ -13,6 +13,7 @@ from pageloom.plans.registry import query
 from pageloom.plans.tables import collapsed, decoded, longs, pages, table
 from pageloom.session import scratch_path
 from pageloom.site import Site, run_meta
+from pageloom.sources.pages import spread
 from pageloom.spec import Resource, parse_spec, spec_from_dict
 from pageloom.streaming.jobs import start_extraction, stream_pages
 
@@ -305,7 +306,8 @@ def query_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = F.concat(
         F.lit("https://shop.example.com/list?q="), F.replace("p_name", F.lit(" "), F.lit("+")), F.lit("&page=3&x=1")
     )
-    starts = table(spark, sf_dir, "part").select("p_partkey", source.alias("_source"))
+    parts = spread(table(spark, sf_dir, "part"), "p_partkey")
+    starts = parts.select("p_partkey", source.alias("_source"))
     numbered = frontier.query_pages(starts, "page", start=1, step=2, max_pages=4)
     return longs(numbered.select("p_partkey", F.col("_page_no").alias("page_no"), "url"))
 

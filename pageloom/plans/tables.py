@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pageloom.sources.pages import read_pages
+from pageloom.sources.pages import read_pages, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_pages(spark, f"{sf_dir}/pages.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, spread over the cores where one small file would feed one task."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def longs(df: DataFrame) -> DataFrame:
     """Integer columns as bigint, so that types match SQL's."""
     return df.select(

@@ -10,7 +10,7 @@ from pageloom.operators.extract import extract
 from pageloom.operators.shred import shred
 from pageloom.plans.extraction_queries import NAV_SQL, one_resource
 from pageloom.plans.registry import query
-from pageloom.plans.tables import longs, pages, table
+from pageloom.plans.tables import documents, longs, pages, table
 
 # The same character class as text.WHITESPACE, in the oracle's notation.
 SQL_SPACE = (
@@ -37,7 +37,7 @@ def padded() -> Column:
     """
 )
 def transform_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return docs.select(
         "doc_id",
         F.md5(text.collapse(padded())).alias("collapsed"),
@@ -88,7 +88,7 @@ def transform_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"select doc_id, {number_sql('text')} as first from documents")
 def first_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first number of every whole document."""
-    return table(spark, sf_dir, "documents").select("doc_id", text.first_number(F.col("text")).alias("first"))
+    return documents(spark, sf_dir).select("doc_id", text.first_number(F.col("text")).alias("first"))
 
 
 @query(
@@ -205,7 +205,7 @@ def query_param(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def encode_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """encodeURIComponent over whole documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return docs.select("doc_id", F.md5(urls.encode_component(F.col("text"))).alias("encoded"))
 
 
