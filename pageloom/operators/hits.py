@@ -72,7 +72,11 @@ def _fold(requests: DataFrame, ttl: int, key: str, at: str, tie: str) -> DataFra
                 hits[start:stop], last = fold_hits(times[start:stop], last, ttl)
             yield batch.assign(hit=hits)
 
-    sorted_rows = requests.repartition(F.col(key)).sortWithinPartitions(key, at, tie)
+    # By a hash of the key, not the key: a plain repartition is dropped where the plan
+    # below is already partitioned by the key, and the adaptive planner may then read
+    # that shuffle locally, since a Python operator does not ask for a distribution.
+    own_shuffle = requests.repartition(F.xxhash64(key))
+    sorted_rows = own_shuffle.sortWithinPartitions(key, at, tie)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema)
     return sorted_rows.mapInPandas(run, f"{fields}, hit boolean")
 
@@ -83,11 +87,13 @@ def _next_at_or_after(points: DataFrame, ttl: int, chunks: int | None) -> DataFr
     asks = points.select("k", (F.col("t") + ttl).alias("at"), F.lit(0).alias("kind"), "t")
     chunked = ordered_chunks(data.unionByName(asks), ["k"], ["at", "kind"], chunks)
     found = F.when(F.col("kind") == 1, F.col("at"))
-    ahead = W.partitionBy("k", "_chunk").orderBy("at", "kind").rowsBetween(0, W.unboundedFollowing)
-    later = W.partitionBy("k").orderBy("_chunk").rowsBetween(1, W.unboundedFollowing)
+    # backwards with growing frames: frames that shrink are recomputed for every row
+    backwards = W.partitionBy("k", "_chunk").orderBy(F.desc("at"), F.desc("kind"))
+    ahead = backwards.rowsBetween(W.unboundedPreceding, 0)
+    later = W.partitionBy("k").orderBy(F.desc("_chunk")).rowsBetween(W.unboundedPreceding, -1)
     firsts = chunked.groupBy("k", "_chunk").agg(F.min(found).alias("_first"))
     beyond = firsts.select("k", "_chunk", F.min("_first").over(later).alias("_beyond"))
-    local = chunked.withColumn("_near", F.first(found, ignorenulls=True).over(ahead))
+    local = chunked.withColumn("_near", F.last(found, ignorenulls=True).over(ahead))
     return (
         local.where("kind = 0")
         .join(beyond, ["k", "_chunk"])

@@ -112,6 +112,17 @@ def test_request_hits(spark, hot_rows):
     assert got == hits_by_hand(rows, 10)
 
 
+def test_request_hits_keeps_urls_together(spark):
+    """Ordinary URLs stay whole after the join that takes the hot ones out."""
+    rows = spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("u"), F.col("id") % 4000)).alias("url"),
+        F.abs(F.xxhash64("id") % 100_000).alias("ts"),
+        F.col("id").alias("request_id"),
+    )
+    got = {r.request_id: r.hit for r in request_hits(rows, 2_000, hot_rows=5_000, chunks=8).collect()}
+    assert got == hits_by_hand([tuple(r) for r in rows.collect()], 2_000)
+
+
 def test_request_hits_example(spark):
     df = spark.createDataFrame([("u", t, i) for i, t in enumerate([0, 5, 10, 12, 25])], "url string, ts bigint, request_id bigint")
     assert [r.hit for r in request_hits(df, 10).orderBy("request_id").collect()] == [False, True, False, True, False]
