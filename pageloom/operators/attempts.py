@@ -7,17 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Outcomes, and the wait before the first retry.
 OK, HTTP_ERROR, ROBOTS = "ok", "http-error", "robots-disallowed"
+TIMEOUT, NETWORK_ERROR = "timeout", "network-error"
 BACKOFF_MS = 250
-
-
-def attempt_outcome(status: Column, error: Column) -> Column:
-    """``ok``, ``http-error``, or the error of a request that got no response."""
-    return (
-        F.when(status.isNull(), F.coalesce(error, F.lit("network-error")))
-        .when((status >= 200) & (status < 300), F.lit(OK))
-        .otherwise(F.lit(HTTP_ERROR))
-    )
+# Room for a response code next to an attempt number.
+SLOTS = 10_000
 
 
 def is_retryable(status: Column) -> Column:
@@ -36,27 +31,30 @@ def resolve_attempts(
     """``keys, outcome, status, attempts, wait_ms, http_status``, one row per key.
 
     The first final response decides; without one, the last attempt allowed does.
-    One map-side-combined aggregate, no window.
+    Attempt and response travel as one number, so this is a single hash aggregate
+    with partial results on the map side, and no window.
     """
     allowed = attempts.where(F.col("attempt") <= max_retries)
-    seen = F.struct(
-        F.col("attempt").alias("attempt"),
-        F.col("status").alias("status"),
-        attempt_outcome(F.col("status"), F.col("error")).alias("outcome"),
-    )
-    final = ~is_retryable(F.col("status"))
+    status = F.col("status")
+    response = F.when(status.isNotNull(), status).when(F.col("error") == TIMEOUT, F.lit(1)).otherwise(F.lit(2))
+    packed = F.col("attempt").cast("bigint") * SLOTS + response
     decided = allowed.groupBy(*keys).agg(
-        F.coalesce(
-            F.min_by(seen, F.when(final, F.col("attempt"))), F.max_by(seen, F.col("attempt"))
-        ).alias("_last")
+        F.coalesce(F.min(F.when(~is_retryable(status), packed)), F.max(packed)).alias("_last")
+    )
+    used = (F.col("_last") / SLOTS).cast("int")
+    code = (F.col("_last") % SLOTS).cast("int")
+    outcome = (
+        F.when(code == 1, F.lit(TIMEOUT))
+        .when(code == 2, F.lit(NETWORK_ERROR))
+        .when(code.between(200, 299), F.lit(OK))
+        .otherwise(F.lit(HTTP_ERROR))
     )
-    used = F.col("_last.attempt")
     return decided.select(
         *keys,
-        F.col("_last.outcome").alias("outcome"),
-        F.col("_last.status").alias("status"),
+        outcome.alias("outcome"),
+        F.when(code > 2, code).alias("status"),
         (used + 1).alias("attempts"),
         # 250 + 500 + 1000 ... before each attempt after the first
         (BACKOFF_MS * (F.pow(F.lit(2.0), used) - 1)).cast("bigint").alias("wait_ms"),
-        http_status(F.col("_last.outcome")).alias("http_status"),
+        http_status(outcome).alias("http_status"),
     )

@@ -24,19 +24,19 @@ def upsert(
 ) -> DataFrame:
     """``base`` with ``incoming`` applied: the newest copy per URL wins, incoming wins ties.
 
-    Copies whose URL is not touched go through an anti join and are not moved when
-    the batch is small enough to be broadcast; only touched URLs are compared.
+    ``base`` has one row per URL.  Which side wins is settled on URL and age alone;
+    page bodies of ``base`` are read once and, when the batch is small enough to be
+    broadcast, not moved at all.
     """
-    touched = incoming.select(key).distinct()
-    untouched = base.join(touched, key, "left_anti")
-    rivals = base.join(touched, key, "left_semi").withColumn("_turn", F.lit(0))
-    both = rivals.unionByName(incoming.withColumn("_turn", F.lit(1)))
-    others = [c for c in base.columns if c != key]
-    winners = both.groupBy(key).agg(
-        F.max_by(F.struct(*others), F.struct(F.col(at), F.col("_turn"))).alias("_row")
+    newest = latest(incoming, key, at)
+    rivals = base.select(key, at).join(newest.select(key), key, "left_semi")
+    seen = rivals.groupBy(key).agg(F.max(at).alias("_seen"))
+    won = (
+        newest.join(seen, key, "left")
+        .where(F.col("_seen").isNull() | (F.col(at) >= F.col("_seen")))
+        .select(*base.columns)
     )
-    won = winners.select(key, *[F.col(f"_row.{c}").alias(c) for c in others])
-    return untouched.unionByName(won)
+    return base.join(won.select(key), key, "left_anti").unionByName(won)
 
 
 def split_wanted(

@@ -60,7 +60,7 @@ def crawl_plan(
     ).withColumn("interval_ms", interval_ms(politeness.requests_per_second, F.col("crawl_delay")))
 
     # read three times below (group sizes, sends, the rest): decide once
-    decided = checkpoint(decided)
+    decided = checkpoint(decided.select(*wanted.columns, "origin", "action", "interval_ms"))
     columns = [*wanted.columns, "origin", "action", "send_ms"]
     sends = decided.where(F.col("action") == SEND)
     scheduled = send_schedule(sends, hot_rows=hot_rows).select(*columns)

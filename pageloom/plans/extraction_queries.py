@@ -14,6 +14,7 @@ from pageloom.plans.tables import collapsed, decoded, longs, pages, table
 from pageloom.session import scratch_path
 from pageloom.site import Site, run_meta
 from pageloom.sources.pages import spread
+from pageloom.sources.sql import register_functions
 from pageloom.spec import Resource, parse_spec, spec_from_dict
 from pageloom.streaming.jobs import start_extraction, stream_pages
 
@@ -72,6 +73,19 @@ def node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
+@query(f"with {NAV_SQL} select page_id, label, href from nav")
+def sql_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL form of page trees: a lateral table function."""
+    register_functions(spark)
+    pages(spark, sf_dir).createOrReplaceTempView("sample_pages")
+    return spark.sql(
+        """
+        select page_id, trim(regexp_replace(a.text, '\\\\s+', ' ')) as label, a.attrs['href'] as href
+        from sample_pages p, lateral page_nodes(p.html) a where a.tag = 'a'
+        """
+    )
+
+
 @query(
     f"with {NAV_SQL} select label, count(*) as n, count(distinct page_id) as n_pages from nav group by label"
 )

@@ -1,0 +1,40 @@
+"""SQL entry points: page trees as a table function."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+from pyspark.sql import SparkSession
+from pyspark.sql.functions import udtf
+
+from pageloom.operators.shred import PageTree
+
+NODE_ROW = (
+    "id int, parent int, last int, depth int, idx int, tag string, classes array<string>, "
+    "attrs map<string,string>, text string"
+)
+
+
+class PageNodes:
+    """Elements of one page, in document order."""
+
+    def eval(self, html: str) -> Iterator[tuple]:
+        tree = PageTree(html or "", False)
+        for n in range(1, len(tree.tag)):
+            attrs = tree.attrs[n]
+            yield (
+                n,
+                tree.parent[n],
+                tree.last[n],
+                tree.depth[n],
+                tree.idx[n],
+                tree.tag[n],
+                attrs["class"].split() if "class" in attrs else [],
+                attrs,
+                "".join(tree.texts[tree.t0[n] : tree.t1[n]]),
+            )
+
+
+def register_functions(spark: SparkSession) -> None:
+    """``page_nodes(html)`` for use as ``FROM pages p, LATERAL page_nodes(p.html)``."""
+    spark.udtf.register("page_nodes", udtf(PageNodes, returnType=NODE_ROW))
