@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterable, Iterator
 from html import unescape
 from html.entities import html5
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,6 +91,7 @@ TAG = re.compile(
 ATTRIBUTE = re.compile(
     r"""([^\s/=][^\s/=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"']\S*+)?))?"""
 )
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE) for tag in RAW_TEXT | RCDATA}
 COMMENT_END = re.compile(r"--!?>")
 ATTR_ENTITY = re.compile(r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]*+;?)(=?)")
 
@@ -118,19 +120,23 @@ def _escape(text: str, quoted: bool = False) -> str:
     return text.replace("<", "&lt;").replace(">", "&gt;")
 
 
+# Positions in a node's row of numbers; NEWEST is the latest child, used while building.
+PARENT, LAST, DEPTH, IDX, PREV, KIDS, T0, T1, H0, H1, NEWEST = range(11)
+NUMBERS = ("parent", "last", "depth", "idx", "prev", "kids", "t0", "t1", "h0", "h1")
+
+
 class PageTree:
-    """The flat tree of one page, built in a single pass without recursion."""
+    """The flat tree of one page, built in a single pass without recursion.
+
+    Per node: a row of numbers, a tag and an attribute dict, at index = node id.
+    """
 
     def __init__(self, source: str, want_markup: bool) -> None:
         self.texts: list[str] = []
         self.markup: list[str] | None = [] if want_markup else None
-        # parallel per-node lists; index = node id
-        self.parent, self.last, self.depth = [-1], [0], [0]
-        self.idx, self.prev = [0], [-1]
+        self.rows: list[list[int]] = [[-1, 0, 0, 0, -1, 0, 0, 0, 0, 0, -1]]
         self.tag: list[str] = [""]
         self.attrs: list[dict[str, str]] = [{}]
-        self.t0, self.t1, self.h0, self.h1 = [0], [0], [0], [0]
-        self.newest_child, self.kids = [-1], [0]
         self.open = [0]
         self.active: list[tuple[str, dict[str, str], int] | None] = []
         self.head = self.body = -1
@@ -143,27 +149,21 @@ class PageTree:
 
     # -- writing ------------------------------------------------------------
     def _open(self, tag: str, attrs: dict[str, str], void: bool = False) -> int:
-        node, parent = len(self.tag), self.open[-1]
-        sibling = self.newest_child[parent]
-        self.newest_child[parent] = node
-        self.kids[parent] += 1
-        self.kids.append(0)
-        self.parent.append(parent)
-        self.last.append(node)
-        self.depth.append(self.depth[parent] + 1)
-        self.prev.append(sibling)
-        self.idx.append(0 if sibling < 0 else self.idx[sibling] + 1)
-        self.tag.append(tag)
-        self.attrs.append(attrs)
-        self.newest_child.append(-1)
+        rows = self.rows
+        node, parent = len(rows), self.open[-1]
+        above = rows[parent]
         if self.markup is not None:
             shown = "".join(f' {k}="{_escape(v, quoted=True)}"' for k, v in attrs.items())
             self.markup.append(f"<{tag}{shown}>")
-        here = len(self.markup) if self.markup is not None else 0
-        self.t0.append(len(self.texts))
-        self.t1.append(len(self.texts))
-        self.h0.append(here)
-        self.h1.append(here)
+            h = len(self.markup)
+        else:
+            h = 0
+        t = len(self.texts)
+        rows.append([parent, node, above[DEPTH] + 1, above[KIDS], above[NEWEST], 0, t, t, h, h, -1])
+        above[KIDS] += 1
+        above[NEWEST] = node
+        self.tag.append(tag)
+        self.attrs.append(attrs)
         if not void:
             self.open.append(node)
             if tag in ("svg", "math"):
@@ -172,15 +172,16 @@ class PageTree:
 
     def _close(self) -> str:
         node = self.open.pop()
-        self.last[node] = len(self.tag) - 1
-        self.t1[node] = len(self.texts)
+        row, tag = self.rows[node], self.tag[node]
+        row[LAST] = len(self.rows) - 1
+        row[T1] = len(self.texts)
         if self.markup is not None:
-            self.h1[node] = len(self.markup)
+            row[H1] = len(self.markup)
             if node:
-                self.markup.append(f"</{self.tag[node]}>")
-        if self.tag[node] in ("svg", "math"):
+                self.markup.append(f"</{tag}>")
+        if self.foreign and tag in ("svg", "math"):
             self.foreign -= 1
-        return self.tag[node]
+        return tag
 
     def _text(self, text: str, raw: bool = False) -> None:
         if text:
@@ -213,7 +214,7 @@ class PageTree:
 
     def _reopen_formatting(self) -> None:
         """Open again the formatting elements whose block was closed around them."""
-        if not self.active or self.active[-1] is None:
+        if not self.active or self.active[-1] is None or self.active[-1][2] in self.open:
             return
         on_stack = set(self.open)
         first = len(self.active)
@@ -499,7 +500,7 @@ class PageTree:
             self.markup.append(f"<!--{body}-->")
 
     def _raw_text(self, tag: str, source: str, at: int) -> int:
-        end = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(source, at)
+        end = RAW_END[tag].search(source, at)
         stop = end.start() if end else len(source)
         text = source[at:stop]
         if tag == "textarea" and text.startswith("\n"):
@@ -527,25 +528,21 @@ def _list_array(lengths: list[int], values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
 
-def _ints(values: list[int]) -> pa.Array:
-    return pa.array(values, pa.int32())
-
-
 def _trees_to_arrow(trees: list[PageTree], keep_attrs: frozenset[str] | None) -> list[pa.Array]:
-    columns: dict[str, list] = {
-        name: [] for name in "parent last depth idx prev kids tag t0 t1 h0 h1".split()
-    }
-    ids: list[int] = []
+    numbers = np.array([row for tree in trees for row in tree.rows], dtype=np.int32)
+    tags = [tag for tree in trees for tag in tree.tag]
+    ids = np.concatenate([np.arange(len(tree.tag), dtype=np.int32) for tree in trees])
     class_counts: list[int] = []
     classes: list[str] = []
     attr_counts: list[int] = []
     attr_names: list[str] = []
     attr_values: list[str] = []
     for tree in trees:
-        ids.extend(range(len(tree.tag)))
-        for name, values in columns.items():
-            values.extend(getattr(tree, name))
         for attrs in tree.attrs:
+            if not attrs:
+                class_counts.append(0)
+                attr_counts.append(0)
+                continue
             names = attrs["class"].split() if "class" in attrs else ()
             class_counts.append(len(names))
             classes.extend(names)
@@ -558,17 +555,18 @@ def _trees_to_arrow(trees: list[PageTree], keep_attrs: frozenset[str] | None) ->
     attr_offsets = [0]
     for n in attr_counts:
         attr_offsets.append(attr_offsets[-1] + n)
+    by_name = {name: pa.array(np.ascontiguousarray(numbers[:, i])) for i, name in enumerate(NUMBERS)}
     members = {
-        "id": _ints(ids),
-        **{name: _ints(columns[name]) for name in ("parent", "last", "depth", "idx", "prev", "kids")},
-        "tag": pa.array(columns["tag"], pa.string()),
+        "id": pa.array(ids),
+        **{name: by_name[name] for name in NUMBERS[:6]},
+        "tag": pa.array(tags, pa.string()),
         "classes": _list_array(class_counts, pa.array(classes, pa.string())),
         "attrs": pa.MapArray.from_arrays(
             pa.array(attr_offsets, pa.int32()),
             pa.array(attr_names, pa.string()),
             pa.array(attr_values, pa.string()),
         ),
-        **{name: _ints(columns[name]) for name in ("t0", "t1", "h0", "h1")},
+        **{name: by_name[name] for name in NUMBERS[6:]},
     }
     nodes = pa.StructArray.from_arrays(list(members.values()), names=list(members))
     texts = [piece for tree in trees for piece in tree.texts]

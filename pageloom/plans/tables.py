@@ -36,11 +36,12 @@ def longs(df: DataFrame) -> DataFrame:
     )
 
 
-# SQL for one value of page HTML: decode the four entities the pages use.
+# SQL for one value of page HTML: decode the four entities the pages use.  Where a
+# title was cut, one may lack its semicolon; it still stands for its character.
 def decoded(sql: str) -> str:
-    pairs = [("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")]
+    pairs = [("&quot;?", '"'), ("&middot;?", "·"), ("&copy;?", "©"), ("&amp;?", "&")]
     for entity, char in pairs:
-        sql = f"replace({sql}, '{entity}', '{char}')"
+        sql = f"regexp_replace({sql}, '{entity}', '{char}', 'g')"
     return sql
 
 

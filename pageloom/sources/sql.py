@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
-from pageloom.operators.shred import PageTree
+from pageloom.operators.shred import DEPTH, IDX, LAST, PARENT, T0, T1, PageTree
 
 NODE_ROW = (
     "id int, parent int, last int, depth int, idx int, tag string, classes array<string>, "
@@ -21,18 +21,10 @@ class PageNodes:
     def eval(self, html: str) -> Iterator[tuple]:
         tree = PageTree(html or "", False)
         for n in range(1, len(tree.tag)):
-            attrs = tree.attrs[n]
-            yield (
-                n,
-                tree.parent[n],
-                tree.last[n],
-                tree.depth[n],
-                tree.idx[n],
-                tree.tag[n],
-                attrs["class"].split() if "class" in attrs else [],
-                attrs,
-                "".join(tree.texts[tree.t0[n] : tree.t1[n]]),
-            )
+            row, attrs = tree.rows[n], tree.attrs[n]
+            classes = attrs["class"].split() if "class" in attrs else []
+            text = "".join(tree.texts[row[T0] : row[T1]])
+            yield (n, row[PARENT], row[LAST], row[DEPTH], row[IDX], tree.tag[n], classes, attrs, text)
 
 
 def register_functions(spark: SparkSession) -> None:

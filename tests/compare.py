@@ -51,11 +51,14 @@ def main() -> None:
 
     from pageloom.session import build_session
 
-    sf_dir, wanted = sys.argv[1], sys.argv[2:]
+    # arguments: folder, then parts of query names and key=value session settings
+    sf_dir, rest = sys.argv[1], sys.argv[2:]
+    wanted = [a for a in rest if "=" not in a]
+    extra = dict(a.split("=", 1) for a in rest if "=" in a)
     spark = build_session(
         "compare",
         "local[8]",
-        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"},
+        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g", **extra},
     )
     spark.sparkContext.setLogLevel("ERROR")
     oracles = entry.oracle_sql()

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from pageloom.operators.shred import PageTree, node_table, shred
+from pageloom.operators.shred import DEPTH, KIDS, NUMBERS, PageTree, node_table, shred
 
 
 def tree(html):
@@ -64,15 +64,18 @@ def test_head_and_body_are_implied():
 
 def check_invariants(t: PageTree):
     size = len(t.tag)
+    column = {name: [row[i] for row in t.rows] for i, name in enumerate(NUMBERS)}
+    parent, last, depth = column["parent"], column["last"], column["depth"]
     for n in range(1, size):
-        p = t.parent[n]
-        assert 0 <= p < n <= t.last[n] <= t.last[p] < size
-        assert t.depth[n] == t.depth[p] + 1
-        assert t.t0[p] <= t.t0[n] <= t.t1[n] <= t.t1[p] <= len(t.texts)
-        assert t.h0[p] <= t.h0[n] <= t.h1[n] <= t.h1[p] <= len(t.markup)
-        kids = [k for k in range(n + 1, t.last[n] + 1) if t.parent[k] == n]
-        assert len(kids) == t.kids[n] and [t.idx[k] for k in kids] == list(range(len(kids)))
-        assert [t.prev[k] for k in kids] == [-1, *kids][: len(kids)]
+        p = parent[n]
+        assert 0 <= p < n <= last[n] <= last[p] < size
+        assert depth[n] == depth[p] + 1
+        assert column["t0"][p] <= column["t0"][n] <= column["t1"][n] <= column["t1"][p] <= len(t.texts)
+        assert column["h0"][p] <= column["h0"][n] <= column["h1"][n] <= column["h1"][p] <= len(t.markup)
+        kids = [k for k in range(n + 1, last[n] + 1) if parent[k] == n]
+        assert len(kids) == column["kids"][n]
+        assert [column["idx"][k] for k in kids] == list(range(len(kids)))
+        assert [column["prev"][k] for k in kids] == [-1, *kids][: len(kids)]
 
 
 def test_random_markup_never_fails():
@@ -100,9 +103,9 @@ def test_reparsing_the_serialised_tree_is_stable():
 
 def test_deep_and_long_pages():
     deep = PageTree("<div>" * 20_000 + "x", True)
-    assert max(deep.depth) > 500 and deep.texts == ["x"]
+    assert max(row[DEPTH] for row in deep.rows) > 500 and deep.texts == ["x"]
     wide = PageTree("<ul>" + "<li>a" * 50_000, False)
-    assert wide.kids[4] == 50_000
+    assert wide.rows[4][KIDS] == 50_000
     PageTree("<" * 100_000, True)
     PageTree("<a " + "x" * 200_000, True)
     PageTree("<p a='" * 20_000, True)
