@@ -80,7 +80,7 @@ def delays(directives: DataFrame) -> DataFrame:
 
 
 def rulesets(directives: DataFrame, token: str) -> DataFrame:
-    """One row per origin: the group chosen for ``token`` with its rules and delay.
+    """One row per origin: the group chosen for ``token`` with its compiled rules and delay.
 
     The longest agent that starts the token wins, then the first ``*`` group; equal
     agents are not merged.  Origins without a matching group have no row.  Everything
@@ -95,12 +95,12 @@ def rulesets(directives: DataFrame, token: str) -> DataFrame:
     # group 0 has no agent line of its own, so a named agent can never point at it
     chosen = F.min(rank).over(W.partitionBy("origin"))["group"]
     in_group = directives.withColumn("_chosen", chosen).where("_chosen = group_id")
-    pattern = F.when(F.col("value") != "", F.col("value"))
+    rule = compile_rule(F.col("value"))
     seconds = _delay(F.col("value"))
     return in_group.groupBy("origin").agg(
         F.min("group_id").alias("group_id"),
-        F.collect_list(F.when(F.col("field") == ALLOW, pattern)).alias("allow"),
-        F.collect_list(F.when(F.col("field") == DISALLOW, pattern)).alias("disallow"),
+        F.collect_list(F.when(F.col("field") == ALLOW, rule)).alias("allow"),
+        F.collect_list(F.when(F.col("field") == DISALLOW, rule)).alias("disallow"),
         F.max_by(
             F.when(F.col("field") == DELAY, seconds),
             F.when((F.col("field") == DELAY) & seconds.isNotNull(), F.col("line_no")),
@@ -115,16 +115,24 @@ def rule_regex(pattern: Column) -> Column:
     return F.concat(F.lit("^"), F.replace(starred, F.lit("$"), F.lit("\\z")))
 
 
-def rule_score(pattern: Column, path: Column) -> Column:
-    """Length of the pattern when it matches the start of ``path``, else -1."""
-    matched = F.when(pattern.rlike("[*$]"), F.rlike(path, rule_regex(pattern))).otherwise(
-        path.startswith(pattern)
-    )
-    return F.when((pattern != "") & matched, F.length(pattern)).otherwise(F.lit(-1))
+def compile_rule(pattern: Column) -> Column:
+    """``struct<prefix, regex, size>``; plain patterns have no regex, empty ones are null."""
+    wild = F.when(pattern.rlike("[*$]"), rule_regex(pattern))
+    prefix = F.regexp_extract(pattern, "^[^*$]*", 0)
+    return F.when(pattern != "", fields(prefix=prefix, regex=wild, size=F.length(pattern)))
+
+
+def rule_score(rule: Column, path: Column) -> Column:
+    """Length of the pattern when it matches the start of ``path``, else -1.
+
+    The literal start decides nearly always, so few patterns get as far as a regex.
+    """
+    matched = path.startswith(rule.prefix) & (rule.regex.isNull() | F.rlike(path, rule.regex))
+    return F.when(matched, rule["size"]).otherwise(F.lit(-1))
 
 
-def _best(patterns: Column, path: Column) -> Column:
-    scores = F.transform(patterns, lambda p: rule_score(p, path))
+def _best(rules: Column, path: Column) -> Column:
+    scores = F.transform(rules, lambda rule: rule_score(rule, path))
     return F.coalesce(F.array_max(scores), F.lit(-1))
 
 

@@ -20,7 +20,7 @@ from pageloom.plans.tables import longs, table
 from pageloom.session import scratch_path
 from pageloom.sources.cache import read_snapshots
 from pageloom.spec import Politeness
-from pageloom.streaming.jobs import start_snapshots, stream_hits as hits_of_stream, stream_pages
+from pageloom.streaming.jobs import start_hits, start_snapshots, stream_hits as hits_of_stream, stream_pages
 
 NOW_MS = 1_704_067_200_000
 TTL_MS = 600_000
@@ -356,3 +356,15 @@ def stream_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).select(
         F.col("request_id").alias("event_id"), F.col("url").cast("bigint").alias("user_id"), "hit"
     )
+
+
+@query(HITS_SQL)
+def stream_hits_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same hits, batch by batch with the state in a table."""
+    log = stream_pages(spark, f"{sf_dir}/events*.parquet", "event_id bigint, user_id bigint, ts timestamp")
+    requests = log.select(F.col("user_id").cast("string").alias("url"), F.col("event_id").alias("request_id"), "ts")
+    out = scratch_path(spark, "hits")
+    start_hits(requests, 3_600_000, out, out + "-log", availableNow=True).awaitTermination()
+    return spark.read.parquet(out + "/hits").select(
+        F.col("request_id").alias("event_id"), F.col("url").cast("bigint").alias("user_id"), "hit"
+    )

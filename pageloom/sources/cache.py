@@ -13,7 +13,6 @@ from pageloom.operators import snapshots as sn
 # The keys of a cache file.
 CACHE_DDL = "body string, finalUrl string, storedAt bigint"
 SNAPSHOT_DDL = "url string, final_url string, body string, stored_at timestamp"
-BUCKETS = 256
 
 
 def read_cache_folder(spark: SparkSession, path: str, known_urls: DataFrame) -> DataFrame:
@@ -43,17 +42,14 @@ def write_snapshots(snapshots: DataFrame, path: str) -> None:
     Nothing is rewritten: the newest copy per URL is picked when reading, so a
     repeated or interrupted write does no harm.
     """
-    bucketed = snapshots.select(
-        "url", "final_url", "body", "stored_at", F.pmod(F.xxhash64("url"), F.lit(BUCKETS)).alias("bucket")
-    )
-    bucketed.write.mode("append").partitionBy("bucket").parquet(path)
+    snapshots.select("url", "final_url", "body", "stored_at").write.mode("append").parquet(path)
 
 
 def read_snapshots(
     spark: SparkSession, path: str, columns: Sequence[str] = ("url", "final_url", "body", "stored_at")
 ) -> DataFrame:
     """The newest copy of every URL; leave out ``body`` where only ages matter."""
-    stored = spark.read.schema(SNAPSHOT_DDL + ", bucket int").parquet(path)
+    stored = spark.read.schema(SNAPSHOT_DDL).parquet(path)
     return sn.latest(stored.select(*columns))
 
 

@@ -12,10 +12,14 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pageloom.operators import snapshots as sn
-from pageloom.operators.hits import fold_hits
+from pageloom.operators.hits import fold_hits, request_hits
+from pageloom.operators.scan import HOT_ROWS
+from pageloom.session import checkpoint
 from pageloom.site import Site
 from pageloom.sources.cache import write_snapshots
 
+STATE_DDL = "url string, last_fetch bigint"
+
 
 def stream_pages(spark: SparkSession, path: str, ddl: str, files_per_trigger: int = 1000) -> DataFrame:
     """New page files as they appear."""
@@ -26,23 +30,23 @@ def start_extraction(
     site: Site,
     resource: str,
     path: str,
-    checkpoint: str,
+    checkpoint_path: str,
     keep: Iterable[str] = ("url",),
     **trigger: Any,
 ) -> StreamingQuery:
     """Extract a resource from every arriving page; the plan is the batch plan."""
     rows = site.over_pages(resource, keep)
     writer = rows.writeStream.outputMode("append").format("parquet")
-    return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start(path)
+    return writer.option("checkpointLocation", checkpoint_path).trigger(**trigger).start(path)
 
 
-def start_snapshots(copies: DataFrame, path: str, checkpoint: str, **trigger: Any) -> StreamingQuery:
+def start_snapshots(copies: DataFrame, path: str, checkpoint_path: str, **trigger: Any) -> StreamingQuery:
     """Keep a snapshot table up to date: newest copy per URL within each batch, then append."""
 
     def absorb(batch: DataFrame, _: int) -> None:
         write_snapshots(sn.latest(batch), path)
 
-    writer = copies.writeStream.foreachBatch(absorb).option("checkpointLocation", checkpoint)
+    writer = copies.writeStream.foreachBatch(absorb).option("checkpointLocation", checkpoint_path)
     return writer.trigger(**trigger).start()
 
 
@@ -50,7 +54,8 @@ def stream_hits(requests: DataFrame, ttl_ms: int, delay: str = "1 hour") -> Data
     """``url, request_id, ts, hit`` for a stream of ``request_id, url, ts`` requests.
 
     State is one number per URL, the time of its last fetch, dropped once the
-    watermark is past the moment it could still make a hit.
+    watermark is past the moment it could still make a hit.  One URL's requests of a
+    micro-batch meet in one task; where a URL may be very hot use :func:`start_hits`.
     """
 
     def run(
@@ -87,3 +92,53 @@ def stream_hits(requests: DataFrame, ttl_ms: int, delay: str = "1 hour") -> Data
             GroupStateTimeout.EventTimeTimeout,
         )
     )
+
+
+def start_hits(
+    requests: DataFrame,
+    ttl_ms: int,
+    path: str,
+    checkpoint_path: str,
+    keep_ms: int = 86_400_000,
+    hot_rows: int = HOT_ROWS,
+    **trigger: Any,
+) -> StreamingQuery:
+    """Like :func:`stream_hits`, batch by batch, with hot URLs spread over the cluster.
+
+    Writes ``path/hits/batch=<n>`` and, per batch, the last fetch of every URL to
+    ``path/state/<n>``.  A request inside the period of a known fetch is a hit; the
+    others start afresh and go through the batch operator.  A repeated batch reads
+    the same earlier state and overwrites its own output.  Fetches more than
+    ``keep_ms`` older than the newest and past their period are forgotten.
+    """
+
+    def absorb(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = checkpoint(batch.select("url", "request_id", "ts", F.unix_millis("ts").alias("ms")))
+        if number > 0:
+            state = spark.read.schema(STATE_DDL).parquet(f"{path}/state/{number - 1}")
+        else:
+            state = spark.createDataFrame([], STATE_DDL)
+        known = rows.join(state, "url", "left")
+        covered = F.coalesce(F.col("ms") < F.col("last_fetch") + ttl_ms, F.lit(False))
+        early = known.where(covered).drop("last_fetch").withColumn("hit", F.lit(True))
+        fresh = known.where(~covered).drop("last_fetch")
+        marked = request_hits(fresh, ttl_ms, at="ms", hot_rows=hot_rows)
+        columns = ["url", "request_id", "ts", "hit"]
+        written = f"{path}/hits/batch={number}"
+        early.select(*columns).unionByName(marked.select(*columns)).write.mode("overwrite").parquet(written)
+
+        # the batch's own misses, read back from what was just written
+        fetched = spark.read.parquet(written).where(~F.col("hit"))
+        latest_fetch = (
+            state.unionByName(fetched.select("url", F.unix_millis("ts").alias("last_fetch")))
+            .groupBy("url")
+            .agg(F.max("last_fetch").alias("last_fetch"))
+        )
+        newest = latest_fetch.agg(F.max("last_fetch")).first()[0]
+        if newest is not None:
+            latest_fetch = latest_fetch.where(F.col("last_fetch") + ttl_ms > newest - keep_ms)
+        latest_fetch.write.mode("overwrite").parquet(f"{path}/state/{number}")
+
+    writer = requests.writeStream.foreachBatch(absorb).option("checkpointLocation", checkpoint_path)
+    return writer.trigger(**trigger).start()

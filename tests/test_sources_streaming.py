@@ -1,6 +1,7 @@
 import hashlib
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from fixtures import QUOTES_1, QUOTES_2, QUOTES_SPEC
@@ -86,7 +87,8 @@ def test_stream_snapshots(spark, tmp_path):
     assert {r.url: r.body for r in cache.read_snapshots(spark, out).collect()} == {"a": "a3", "b": "b2"}
 
 
-def test_stream_hits_equal_batch(spark, tmp_path):
+@pytest.mark.parametrize("form", ["state", "batches", "hot batches"])
+def test_stream_hits_equal_batch(spark, tmp_path, form):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     rows = [(i, f"u{i % 3}", 1_700_000_000_000 + i * 700) for i in range(60)]
     table = spark.createDataFrame(rows, "request_id bigint, url string, ms bigint").select(
@@ -94,12 +96,17 @@ def test_stream_hits_equal_batch(spark, tmp_path):
     )
     for part in range(3):
         table.where(f"request_id between {part * 20} and {part * 20 + 19}").coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(source)
-    query = (
-        jobs.stream_hits(stream, 5000)
-        .writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck"))
-        .trigger(availableNow=True).start(out)
-    )
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    if form == "state":
+        marked = jobs.stream_hits(stream, 5000)
+        query = (
+            marked.writeStream.format("parquet")
+            .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(out)
+        )
+    else:
+        hot_rows = 4 if form == "hot batches" else 1000
+        query = jobs.start_hits(stream, 5000, out, str(tmp_path / "ck"), hot_rows=hot_rows, availableNow=True)
+        out += "/hits"
     query.awaitTermination()
     numeric = table.select("request_id", "url", F.unix_millis("ts").alias("ts"))
     expected = {r.request_id: r.hit for r in request_hits(numeric, 5000).collect()}
