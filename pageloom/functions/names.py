@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ def agent_token(user_agent: Column) -> Column:
     return F.lower(F.regexp_extract(user_agent, f"^((?!{WHITESPACE})[^/(])*", 0))
 
 
+def token_of(user_agent: str) -> str:
+    """:func:`agent_token` for a setting known on the driver."""
+    return re.split(r"[\s/(]", user_agent, maxsplit=1)[0].lower()
+
+
 def site_name(host: Column) -> Column:
     return F.split_part(F.regexp_replace(host, r"^www\.", ""), F.lit("."), F.lit(1))
 

@@ -85,7 +85,7 @@ def walk(
         "_source",
         F.col("_source").alias("_at"),
         F.array("_source").alias("_path"),
-        F.lit(None).cast("string").alias("_stop"),
+        F.when(F.col("_source").isNull(), F.lit(BAD_URL)).alias("_stop"),
     )
     for hop in range(1, max_pages + 1):
         last = hop == max_pages

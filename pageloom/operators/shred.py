@@ -22,9 +22,11 @@ from html.entities import html5
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.functions.cols import join_span
+
 NODE_DDL = (
     "struct<id:int,parent:int,last:int,depth:int,idx:int,prev:int,kids:int,tag:string,"
     "classes:array<string>,attrs:map<string,string>,t0:int,t1:int,h0:int,h1:int>"
@@ -624,16 +626,21 @@ def shred(
     return kept.mapInArrow(_shredder(keep, markup, wanted, chunk_chars), ddl)
 
 
-def node_table(trees: DataFrame, keep: Iterable[str]) -> DataFrame:
-    """The exploded form: one row per element, with its own text."""
-    from pageloom.functions.cols import join_span
+NODE_COLUMNS = ("id", "parent", "last", "depth", "idx", "tag", "classes", "attrs", "text")
+
 
+def node_table(
+    trees: DataFrame, keep: Iterable[str], columns: Iterable[str] = NODE_COLUMNS
+) -> DataFrame:
+    """The exploded form: one row per element.  Name the columns needed; text is costly."""
     texts = F.col("texts")
-    node = F.transform(
+
+    def member(n: Column, name: str) -> Column:
+        return join_span(texts, n.t0, n.t1) if name == "text" else n[name]
+
+    wanted = list(columns)
+    rows = F.transform(
         F.filter("nodes", lambda n: n.id > 0),
-        lambda n: F.struct(
-            *[n[name].alias(name) for name in "id parent last depth idx tag classes attrs".split()],
-            join_span(texts, n.t0, n.t1).alias("text"),
-        ),
+        lambda n: F.struct(*[member(n, name).alias(name) for name in wanted]),
     )
-    return trees.select(*keep, F.inline(node))
+    return trees.select(*keep, F.inline(rows))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions import urls
-from pageloom.functions.names import agent_token
+from pageloom.functions.names import token_of
 from pageloom.operators import robots as rb
 from pageloom.operators.scan import HOT_ROWS
 from pageloom.operators.schedule import interval_ms, send_schedule
@@ -31,9 +31,7 @@ def crawl_plan(
     request of this batch fetches the same URL.  ``blocked``: robots rules forbid it.
     ``send``: fetch at ``send_ms``.  Only real fetches take a slot of their origin.
     """
-    spark = wanted.sparkSession
-    token = spark.range(1).select(agent_token(F.lit(politeness.user_agent))).first()[0]
-
+    token = token_of(politeness.user_agent)
     fresh = snapshots.where(
         is_fresh(now_ms, F.unix_millis("stored_at"), politeness.cache_ttl_ms)
     ).select("url").distinct().withColumn("_fresh", F.lit(True))

@@ -69,7 +69,7 @@ def pages_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     trees = shred(pages(spark, sf_dir), ["page_id"], markup=False, attrs=())
-    nodes = node_table(trees, ["page_id"]).where(F.col("tag") != "b")
+    nodes = node_table(trees, ["page_id"], ["tag"]).where(F.col("tag") != "b")
     return nodes.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 

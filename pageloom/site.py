@@ -5,16 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import cached_property
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.hooks import Hooks, PostContext
+from pageloom.hooks import Hooks, PostContext, load_hooks
 from pageloom.operators import frontier
 from pageloom.operators.extract import base_url, extract, finish_rows, raw_rows, tree_needs
 from pageloom.operators.shred import shred
 from pageloom.session import checkpoint
-from pageloom.spec import Resource, SiteSpec
+from pageloom.spec import Resource, SiteSpec, load_spec
 
 PAGE_COLUMNS = ("url", "final_url", "from_cache", "fetched_at")
 
@@ -42,6 +43,15 @@ class Site:
         self.pages = pages
         self._stored: DataFrame | None = None
 
+    @classmethod
+    def from_file(cls, path: str | Path, pages: DataFrame) -> Site:
+        """The site described in a file, with the hooks module it names next to it."""
+        spec = load_spec(path)
+        hooks = None
+        if spec.hooks:
+            hooks = load_hooks(Path(path).parent / spec.hooks, pages.sparkSession)
+        return cls(spec, pages, hooks)
+
     # -- one pass over the pages -------------------------------------------------
     def page_rows(self, names: Iterable[str] | None = None) -> DataFrame:
         """Raw rows and next link of the named resources, for every page, in one parse.

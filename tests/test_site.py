@@ -121,6 +121,39 @@ def test_hooks_from_a_file(quotes, tmp_path, spark):
     assert site.resource("quotes").data.first().author == "AUTHOR ONE!"
 
 
+def test_site_from_files(quotes, tmp_path):
+    (tmp_path / "loud_hooks.py").write_text(
+        "from pageloom.hooks import hook_transform, keep_first\n"
+        "def _loud(text):\n    return None if text is None else text.upper() + '!'\n"
+        "@hook_transform(kind='series')\ndef shout(v, base):\n    return v.map(_loud)\n"
+        "transforms = {'shout': shout}\npost_process = {'first': keep_first(2)}\n"
+    )
+    (tmp_path / "site.yaml").write_text(SHOUT_SPEC.replace("resources:", "hooks: ./loud_hooks.py\nresources:"))
+    site = Site.from_file(tmp_path / "site.yaml", quotes)
+    assert [r.author for r in site.resource("quotes").data.collect()] == ["AUTHOR ONE!", "AUTHOR TWO!"]
+
+
+def test_start_url_that_is_none(spark, quotes):
+    spec = parse_spec(QUOTES_SPEC.replace("path: /\n", "path: '//{host}/'\n"))
+    params = spark.createDataFrame([("quotes.example.com",), ("a b",)], "host string")
+    meta = {m.source: (m.pages, m.stop_reason) for m in Site(spec, quotes).resource("quotes", params).meta.collect()}
+    assert meta == {"https://quotes.example.com/": (2, "no_next"), None: (0, "bad_url")}
+
+
+def test_query_pagination_over_pages(spark):
+    """Numbered pages follow each page's final URL."""
+    spec = parse_spec(
+        QUOTES_SPEC.replace("{type: link, selector: li.next a, maxPages: 3}", "{type: query, param: page, maxPages: 3}")
+    )
+    pages = spark.createDataFrame(
+        [("https://quotes.example.com/", "https://quotes.example.com/?page=5", QUOTES_1), ("https://quotes.example.com/?page=6", None, QUOTES_2)],
+        "url string, final_url string, html string",
+    )
+    result = Site(spec, pages).resource("quotes")
+    meta = result.meta.first()
+    assert (meta.pages, meta.stop_reason, result.data.count()) == (2, "missing_page", 5)
+
+
 def test_params_many_runs(spark):
     pages = spark.createDataFrame(
         [("https://quotes.example.com/t/a%20b", QUOTES_1), ("https://quotes.example.com/t/c", QUOTES_2)],
