@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pageloom.functions import text
 from pageloom.functions.cols import fields, join_span, let
 from pageloom.hooks import Hooks
-from pageloom.operators.selectors import attributes_used, compile_selector, select_ids
+from pageloom.operators.selectors import attributes_used, compile_selector, members_used, select_ids
+from pageloom.operators.shred import shred
 from pageloom.spec import Field, Resource, SpecError
 
 WARNING_DDL = "struct<field:string,message:string>"
@@ -28,25 +29,39 @@ class TreeNeeds:
     """What a set of resources reads from the page tree."""
 
     attrs: frozenset[str]
+    members: frozenset[str]
     markup: bool
 
 
 def tree_needs(resources: Iterable[Resource]) -> TreeNeeds:
     attrs: set[str] = set()
+    members = {"last"}
     markup = False
     for resource in resources:
         selectors = [resource.row_selector, *[f.selector for f in resource.fields]]
         if resource.pagination and resource.pagination.type == "link":
             selectors.append(resource.pagination.selector)
             attrs.add("href")
+            members.add("attrs")
         for selector in filter(None, selectors):
             attrs |= attributes_used(selector)
+            members |= members_used(selector)
         for f in resource.fields:
             if f.attr:
                 attrs.add(f.attr.lower())
+                members.add("attrs")
             elif f.html:
                 markup = True
-    return TreeNeeds(frozenset(attrs), markup)
+                members |= {"h0", "h1"}
+            else:
+                members |= {"t0", "t1"}
+    return TreeNeeds(frozenset(attrs), frozenset(members), markup)
+
+
+def trees_for(pages: DataFrame, resources: Iterable[Resource], keep: Iterable[str]) -> DataFrame:
+    """Page trees with just what the resources read."""
+    needs = tree_needs(resources)
+    return shred(pages, keep, needs.markup, needs.attrs, needs.members)
 
 
 # ---- types -------------------------------------------------------------------

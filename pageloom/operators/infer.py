@@ -19,8 +19,9 @@ from pageloom.operators.extract import base_url
 from pageloom.operators.selectors import any_match, compile_selector, select_ids
 from pageloom.operators.shred import shred
 
-# Attributes the heuristics look at.
+# What the heuristics look at.
 ATTRS = ("class", "rel", "href", "src", "name", "content")
+MEMBERS = ("parent", "last", "depth", "kids", "tag", "classes", "attrs", "t0", "t1")
 
 # ---- fixed values: the scoring rule -------------------------------------------
 MIN_CHILDREN, MAX_CHILDREN, MIN_GROUP = 3, 600, 3
@@ -304,7 +305,7 @@ def _draft(url: Column, group: Column) -> Column:
 def infer_trees(pages: DataFrame, keep: Iterable[str] = ("url",)) -> DataFrame:
     """Page trees with just what the heuristics read."""
     carried = dict.fromkeys([*keep, *[c for c in ("url", "final_url") if c in pages.columns]])
-    return shred(pages, carried, markup=False, attrs=ATTRS)
+    return shred(pages, carried, markup=False, attrs=ATTRS, members=MEMBERS)
 
 
 def inferred_fields(trees: DataFrame, keep: Iterable[str]) -> DataFrame:

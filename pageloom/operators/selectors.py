@@ -129,6 +129,11 @@ def attributes_used(selector: str) -> set[str]:
     }
 
 
+def members_used(selector: str) -> set[str]:
+    """Parts of a node the compiled selector reads."""
+    return set(re.findall(r"\.(parent|last|depth|idx|prev|kids|tag|classes|attrs)\b", compile_selector(selector)("n")))
+
+
 def _test(test: tuple, n: str) -> str:
     kind = test[0]
     if kind == "any":

@@ -27,10 +27,13 @@ from pyspark.sql import functions as F
 
 from pageloom.functions.cols import join_span
 
-NODE_DDL = (
-    "struct<id:int,parent:int,last:int,depth:int,idx:int,prev:int,kids:int,tag:string,"
-    "classes:array<string>,attrs:map<string,string>,t0:int,t1:int,h0:int,h1:int>"
-)
+NODE_MEMBERS = {
+    **dict.fromkeys(("id", "parent", "last", "depth", "idx", "prev", "kids"), "int"),
+    "tag": "string",
+    "classes": "array<string>",
+    "attrs": "map<string,string>",
+    **dict.fromkeys(("t0", "t1", "h0", "h1"), "int"),
+}
 TREE_COLUMNS = ("texts", "markup", "nodes")
 
 # ---- fixed values: element classes of the HTML standard ------------------
@@ -530,58 +533,68 @@ def _list_array(lengths: list[int], values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
 
-def _trees_to_arrow(trees: list[PageTree], keep_attrs: frozenset[str] | None) -> list[pa.Array]:
-    numbers = np.array([row for tree in trees for row in tree.rows], dtype=np.int32)
-    tags = [tag for tree in trees for tag in tree.tag]
-    ids = np.concatenate([np.arange(len(tree.tag), dtype=np.int32) for tree in trees])
-    class_counts: list[int] = []
+def _pieces(lists: list[list[str]]) -> pa.Array:
+    return _list_array([len(x) for x in lists], pa.array([p for x in lists for p in x], pa.string()))
+
+
+def _class_array(trees: list[PageTree]) -> pa.Array:
+    counts: list[int] = []
     classes: list[str] = []
-    attr_counts: list[int] = []
-    attr_names: list[str] = []
-    attr_values: list[str] = []
     for tree in trees:
         for attrs in tree.attrs:
-            if not attrs:
-                class_counts.append(0)
-                attr_counts.append(0)
-                continue
             names = attrs["class"].split() if "class" in attrs else ()
-            class_counts.append(len(names))
+            counts.append(len(names))
             classes.extend(names)
-            before = len(attr_names)
+    return _list_array(counts, pa.array(classes, pa.string()))
+
+
+def _attr_array(trees: list[PageTree], keep: frozenset[str] | None) -> pa.Array:
+    offsets = [0]
+    names: list[str] = []
+    values: list[str] = []
+    for tree in trees:
+        for attrs in tree.attrs:
             for name, value in attrs.items():
-                if keep_attrs is None or name in keep_attrs:
-                    attr_names.append(name)
-                    attr_values.append(value)
-            attr_counts.append(len(attr_names) - before)
-    attr_offsets = [0]
-    for n in attr_counts:
-        attr_offsets.append(attr_offsets[-1] + n)
-    by_name = {name: pa.array(np.ascontiguousarray(numbers[:, i])) for i, name in enumerate(NUMBERS)}
-    members = {
-        "id": pa.array(ids),
-        **{name: by_name[name] for name in NUMBERS[:6]},
-        "tag": pa.array(tags, pa.string()),
-        "classes": _list_array(class_counts, pa.array(classes, pa.string())),
-        "attrs": pa.MapArray.from_arrays(
-            pa.array(attr_offsets, pa.int32()),
-            pa.array(attr_names, pa.string()),
-            pa.array(attr_values, pa.string()),
-        ),
-        **{name: by_name[name] for name in NUMBERS[6:]},
-    }
-    nodes = pa.StructArray.from_arrays(list(members.values()), names=list(members))
-    texts = [piece for tree in trees for piece in tree.texts]
-    markup = [piece for tree in trees for piece in tree.markup or ()]
-    return [
-        _list_array([len(t.texts) for t in trees], pa.array(texts, pa.string())),
-        _list_array([len(t.markup or ()) for t in trees], pa.array(markup, pa.string())),
-        _list_array([len(t.tag) for t in trees], nodes),
-    ]
+                if keep is None or name in keep:
+                    names.append(name)
+                    values.append(value)
+            offsets.append(len(names))
+    return pa.MapArray.from_arrays(
+        pa.array(offsets, pa.int32()), pa.array(names, pa.string()), pa.array(values, pa.string())
+    )
+
+
+def _trees_to_arrow(
+    trees: list[PageTree], keep_attrs: frozenset[str] | None, members: list[str]
+) -> list[pa.Array]:
+    numbers = np.array([row for tree in trees for row in tree.rows], dtype=np.int32)
+    arrays: list[pa.Array] = []
+    for name in members:
+        if name == "id":
+            ids = [np.arange(len(tree.tag), dtype=np.int32) for tree in trees]
+            arrays.append(pa.array(np.concatenate(ids)))
+        elif name == "tag":
+            arrays.append(pa.array([tag for tree in trees for tag in tree.tag], pa.string()))
+        elif name == "classes":
+            arrays.append(_class_array(trees))
+        elif name == "attrs":
+            arrays.append(_attr_array(trees, keep_attrs))
+        else:
+            column = numbers[:, NUMBERS.index(name)]
+            arrays.append(pa.array(np.ascontiguousarray(column)))
+    nodes = pa.StructArray.from_arrays(arrays, names=members)
+    empty: list[str] = []
+    texts = [tree.texts if "t0" in members else empty for tree in trees]
+    markup = [tree.markup or empty for tree in trees]
+    return [_pieces(texts), _pieces(markup), _list_array([len(t.tag) for t in trees], nodes)]
 
 
 def _shredder(
-    keep: list[str], want_markup: bool, keep_attrs: frozenset[str] | None, chunk_chars: int
+    keep: list[str],
+    want_markup: bool,
+    keep_attrs: frozenset[str] | None,
+    members: list[str],
+    chunk_chars: int,
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -596,7 +609,7 @@ def _shredder(
                 if chars >= chunk_chars or row == batch.num_rows - 1:
                     part = carried.slice(start, len(trees))
                     yield pa.RecordBatch.from_arrays(
-                        [*part.columns, *_trees_to_arrow(trees, keep_attrs)],
+                        [*part.columns, *_trees_to_arrow(trees, keep_attrs, members)],
                         names=[*keep, *TREE_COLUMNS],
                     )
                     start, chars, trees = row + 1, 0, []
@@ -609,21 +622,25 @@ def shred(
     keep: Iterable[str] | None = None,
     markup: bool = True,
     attrs: Iterable[str] | None = None,
+    members: Iterable[str] | None = None,
     chunk_chars: int = 16_000_000,
 ) -> DataFrame:
     """Page trees for a table with an ``html`` column.
 
     Catalyst cannot look into a Python operator, so what later steps need is said
     here: ``keep`` names the columns to carry along, ``markup=False`` drops the
-    serialised form, and ``attrs`` limits the attributes shipped to the JVM.
-    Filters on URLs belong before this call, where they reach the scan.
+    serialised form, ``attrs`` limits the attributes and ``members`` the parts of a
+    node shipped to the JVM (without ``t0`` no texts are).  Filters on URLs belong
+    before this call, where they reach the scan.
     """
     keep = [c for c in (keep or pages.columns) if c != "html"]
     kept = pages.select(*keep, "html")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[: len(keep)])
-    ddl = f"{fields}, texts array<string>, markup array<string>, nodes array<{NODE_DDL}>"
+    shipped = [m for m in NODE_MEMBERS if members is None or m == "id" or m in set(members)]
+    node = ",".join(f"{m}:{NODE_MEMBERS[m]}" for m in shipped)
+    ddl = f"{fields}, texts array<string>, markup array<string>, nodes array<struct<{node}>>"
     wanted = None if attrs is None else frozenset(attrs)
-    return kept.mapInArrow(_shredder(keep, markup, wanted, chunk_chars), ddl)
+    return kept.mapInArrow(_shredder(keep, markup, wanted, shipped, chunk_chars), ddl)
 
 
 NODE_COLUMNS = ("id", "parent", "last", "depth", "idx", "tag", "classes", "attrs", "text")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pageloom.hooks import Hooks, PostContext, dedupe_by, hook_transform, keep_first, rating_word, sort_by_number
 from pageloom.operators import frontier
-from pageloom.operators.extract import extract, tree_needs, warnings_of
+from pageloom.operators.extract import extract, trees_for, warnings_of
 from pageloom.operators.shred import node_table, shred
 from pageloom.plans.registry import query
 from pageloom.plans.tables import collapsed, decoded, longs, pages, table
@@ -32,8 +32,7 @@ def one_resource(fields: dict, row_selector: str | None = None, **extra) -> Reso
 
 
 def extracted(spark, sf_dir, resource: Resource, hooks: Hooks | None = None) -> DataFrame:
-    needs = tree_needs([resource])
-    trees = shred(pages(spark, sf_dir), ["page_id", "url", "final_url"], needs.markup, needs.attrs)
+    trees = trees_for(pages(spark, sf_dir), [resource], ["page_id", "url", "final_url"])
     return longs(extract(trees, resource, ["page_id"], hooks))
 
 
@@ -68,7 +67,7 @@ def pages_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trees = shred(pages(spark, sf_dir), ["page_id"], markup=False, attrs=())
+    trees = shred(pages(spark, sf_dir), ["page_id"], markup=False, members=["tag"])
     nodes = node_table(trees, ["page_id"], ["tag"]).where(F.col("tag") != "b")
     return nodes.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
@@ -274,7 +273,7 @@ def run_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 def next_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page's next link, taken from its last menu entry."""
     resource = one_resource({"a": "a"}, "nav", fetch={"path": "/", "pagination": {"type": "link", "selector": "nav li:last-child a"}})
-    trees = shred(pages(spark, sf_dir), ["page_id", "url", "final_url"], False, ["href"])
+    trees = trees_for(pages(spark, sf_dir), [resource], ["page_id", "url", "final_url"])
     step = frontier.next_page(resource.pagination, trees.columns)
     return trees.select("page_id", F.inline(F.array(step))).withColumnRenamed("url", "next_url")
 

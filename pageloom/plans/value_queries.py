@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.functions import names, text, urls
-from pageloom.operators.extract import extract
-from pageloom.operators.shred import shred
+from pageloom.operators.extract import extract, trees_for
 from pageloom.plans.extraction_queries import NAV_SQL, one_resource
 from pageloom.plans.registry import query
 from pageloom.plans.tables import documents, longs, pages, table
@@ -139,7 +138,7 @@ def transform_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def link_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     resource = one_resource({"link": {"selector": "a", "attr": "href", "transform": "url"}}, "nav li")
-    trees = shred(pages(spark, sf_dir), ["page_id", "url", "final_url"], False, ["href"])
+    trees = trees_for(pages(spark, sf_dir), [resource], ["page_id", "url", "final_url"])
     rows = extract(trees, resource, ["page_id", "url"])
     base = F.col("url")
     return longs(

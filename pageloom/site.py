@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 
 from pageloom.hooks import Hooks, PostContext, load_hooks
 from pageloom.operators import frontier
-from pageloom.operators.extract import base_url, extract, finish_rows, raw_rows, tree_needs
-from pageloom.operators.shred import shred
+from pageloom.operators.extract import base_url, extract, finish_rows, raw_rows, trees_for
 from pageloom.session import checkpoint
 from pageloom.spec import Resource, SiteSpec, load_spec
 
@@ -61,8 +60,7 @@ class Site:
         chosen = set(names) if names is not None else {r.name for r in self.spec.resources}
         wanted = [(i, r) for i, r in enumerate(self.spec.resources) if r.name in chosen]
         keep = [c for c in PAGE_COLUMNS if c in self.pages.columns]
-        needs = tree_needs(r for _, r in wanted)
-        trees = shred(self.pages, keep, needs.markup, needs.attrs)
+        trees = trees_for(self.pages, [r for _, r in wanted], keep)
         columns = []
         for i, r in wanted:
             columns.append(raw_rows(r).alias(f"rows_{i}"))
@@ -97,10 +95,7 @@ class Site:
         resource = self.spec.resource(name)
         keep = list(keep)
         carried = list(dict.fromkeys([*keep, *[c for c in ("url", "final_url") if c in self.pages.columns]]))
-        needs = tree_needs([resource])
-        return extract(
-            shred(self.pages, carried, needs.markup, needs.attrs), resource, keep, self.hooks
-        )
+        return extract(trees_for(self.pages, [resource], carried), resource, keep, self.hooks)
 
     def resource(
         self,

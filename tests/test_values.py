@@ -3,9 +3,8 @@ from pyspark.sql import functions as F
 
 from pageloom import SpecError, parse_spec
 from pageloom.functions import text, urls
-from pageloom.operators.extract import column_type, extract, tree_needs, value_type
+from pageloom.operators.extract import column_type, extract, trees_for, value_type
 from pageloom.operators.selectors import SelectorError, attributes_used, parse_selector
-from pageloom.operators.shred import shred
 from pageloom.hooks import Hooks
 from pageloom.spec import Field, parse_duration
 
@@ -81,8 +80,7 @@ PAGE = """<!doctype html><body><div id=top class="a b"><p class=x>1</p><p class=
 def matches(spark, selector):
     spec = parse_spec(f"name: s\nbaseUrl: https://h\nresources: [{{name: r, fetch: {{path: /}}, item: {{fields: {{f: {{selector: '{selector}', many: true}}}}}}}}]")
     pages = spark.createDataFrame([("https://h/", PAGE)], "url string, html string")
-    needs = tree_needs(spec.resources)
-    return extract(shred(pages, ["url"], needs.markup, needs.attrs), spec.resources[0], []).first().f
+    return extract(trees_for(pages, spec.resources, ["url"]), spec.resources[0], []).first().f
 
 
 @pytest.mark.parametrize(
@@ -119,7 +117,7 @@ def test_attributes_used():
 def rows(spark, html, fields, **kind):
     spec = parse_spec(f"{{name: s, baseUrl: 'https://h', resources: [{{name: r, fetch: {{path: /}}, item: {{fields: {fields}}}}}]}}")
     pages = spark.createDataFrame([("https://h/a?b#c", html)], "url string, html string")
-    return extract(shred(pages, ["url"]), spec.resources[0], []).first()
+    return extract(trees_for(pages, spec.resources, ["url"]), spec.resources[0], []).first()
 
 
 def test_missing_policy(spark):
