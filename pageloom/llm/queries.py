@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pageloom.llm import quality, shards
-from pageloom.llm.common import table
+from pageloom.llm import bpe, langid, quality, shards, toxicity
+from pageloom.llm.common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -88,3 +89,34 @@ def _best_sql(n: int) -> str:
 def op4_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 equal shards by their id, and where a 25th shard would leave them."""
     return shards.assign_shards(table(spark, sf_dir, "documents"), [1.0] * 24, [1.0] * 25)
+
+
+def byte_bpe(spark: SparkSession) -> bpe.ByteBPE:
+    import public_tokenizers
+
+    return bpe.ByteBPE(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query()
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and the bytes they decode to, as digests."""
+    codec = byte_bpe(spark)
+    encoded = codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    decoded = codec.decode(encoded).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+    return bpe.id_digests(decoded).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query()
+def op7_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those outside the held-out quarter."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (crc_mod("doc_id", 4) == 2).alias("held_out"))
+    model = langid.fit(docs.where(~F.col("held_out")))
+    return langid.predict(docs, model, carry=("held_out",))
+
+
+@query()
+def op3_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned from labels outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod("doc_id", 5) == 0).alias("held_out"))
+    scorer = toxicity.fit(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
+    return toxicity.score(docs, scorer, carry=("doc_id", "held_out"))
