@@ -66,13 +66,16 @@ class ByteWords:
     length.  Powers are relative to the buffer and cancelled by the inverse power at the word start.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, letters_only: bool = False) -> None:
+        """``letters_only`` also parts words at ASCII characters that are no letter or digit."""
         values = np.random.default_rng(SEED).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         lower = np.arange(256)
         lower[65:91] += 32
         self.exact, self.folded = values, values[lower]
         self.space = np.zeros(256, bool)
         self.space[[32, *range(9, 14)]] = True
+        if letters_only:
+            self.space[:128] = [not chr(b).isalnum() for b in range(128)]
         self.power = self.inverse = np.ones(1, np.uint64)
 
     def _powers(self, n: int) -> None:

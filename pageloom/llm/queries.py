@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import bpe, langid, quality, shards, toxicity
+from pageloom.llm import bpe, decontam, langid, quality, shards, toxicity, warc
 from pageloom.llm.common import crc_mod, table
+from pageloom.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -120,3 +121,33 @@ def op3_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod("doc_id", 5) == 0).alias("held_out"))
     scorer = toxicity.fit(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
     return toxicity.score(docs, scorer, carry=("doc_id", "held_out"))
+
+
+@query()
+def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item and how much of it."""
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((part{k} >> {35 - 5 * j}) & 31)::int, 1)" for k in range(4) for j in range(8)
+)
+_PARTS = ", ".join(f"('0x' || substr(digest, {1 + 10 * k}, 10))::bigint as part{k}" for k in range(4))
+
+
+@query(
+    f"""with paid as (select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes,
+        sha1(coalesce(html, '')) as digest, max(page_id) over (partition by coalesce(html, '')) as last from pages)
+    select page_id, payload_bytes, {_BASE32} as payload_digest,
+      case when page_id < last then 'revisit' else 'response' end as record_type,
+      case when page_id < last then last end as refers_to
+    from (select *, {_PARTS} from paid)"""
+)
+def op1_legacy_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as legacy archives, converted to WARC files and read back."""
+    records = warc.arc_records(warc.arc_archives(table(spark, sf_dir, "pages")))
+    path = scratch_path(spark, "warc")
+    warc.convert(records, path)
+    rows = warc.read_archives(spark, path).drop("payload")
+    responses = rows.where("record_type <> 'revisit'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to")).distinct()
+    return rows.join(responses, "refers_to_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
