@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pageloom.llm.common import text_bytes
+from pageloom.llm.common import slices, text_bytes
 
 # pieces of text that a task remembers with their ids
-REMEMBERED = 300_000
+REMEMBERED = 150_000
+# rows that are turned into Python values at a time
+SLICE = 256
 _MADE: dict = {}
 
 
@@ -77,7 +79,6 @@ class Codec:
         from sentencepiece import SentencePieceProcessor
 
         self.pieces = SentencePieceProcessor(model_proto=model)
-        self.tokens = tokens
         self.whole = {token: i for i, token in enumerate(tokens)}
         self.find = regex.compile(pattern).findall
         self.letters = dict(enumerate(byte_letters()))
@@ -108,8 +109,6 @@ class Codec:
         head = self.bare[parts[0]] if parts[0] else b""
         return head + b"".join(map(self.spaced.__getitem__, parts[1:]))
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
 class _Remembered(dict):
@@ -150,9 +149,7 @@ class ByteBPE:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codec = _codec(shared)
-            for batch in batches:
-                if batch.num_rows == 0:
-                    continue
+            for batch in slices(batches, SLICE):
                 packed = [codec.encode(x.decode()) for x in batch.column("_text").to_pylist()]
                 ends = np.cumsum([0, *map(len, packed)]) // 4
                 ids = pa.ListArray.from_arrays(
@@ -169,13 +166,9 @@ class ByteBPE:
         keep = [c for c in encoded.columns if c != "decoded"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            codec = _codec(shared)
-            for batch in batches:
-                if batch.num_rows == 0:
-                    continue
-                ids = batch.column("ids")
-                flat, ends = np.asarray(ids.flatten()), np.asarray(ids.offsets) - ids.offsets[0].as_py()
-                decoded = [codec.decode(flat[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+            tokens = shared.value[2]
+            for batch in slices(batches, SLICE):
+                decoded = [joined(tokens, own) for own in id_arrays(batch.column("ids"))]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(c) for c in keep] + [pa.array(decoded, pa.binary())], names=[*keep, "decoded"]
                 )
@@ -183,25 +176,32 @@ class ByteBPE:
         schema = T.StructType([encoded.schema[c] for c in keep] + [T.StructField("decoded", T.BinaryType())])
         return encoded.select(*keep).mapInArrow(run, schema)
 
+    def digests(self, encoded: DataFrame) -> DataFrame:
+        """``encoded`` with n_tokens and the SHA-256 of its packed ids and of what they decode to, for its ids."""
+        shared = self.shared
+        names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+        keep = [c for c in encoded.columns if c not in ("ids", *names)]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tokens = shared.value[2]
+            for batch in slices(batches, SLICE):
+                own = id_arrays(batch.column("ids"))
+                packed = [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in own]
+                plain = [hashlib.sha256(joined(tokens, x)).hexdigest() for x in own]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(c) for c in keep] + [pa.array([len(x) for x in own], pa.int64()), pa.array(packed), pa.array(plain)],
+                    names=[*keep, *names],
+                )
+
+        kinds = (T.LongType(), T.StringType(), T.StringType())
+        schema = T.StructType([encoded.schema[c] for c in keep] + [T.StructField(n, k) for n, k in zip(names, kinds)])
+        return encoded.select(*keep, "ids").mapInArrow(run, schema)
+
+
+def id_arrays(ids: pa.ListArray) -> list[np.ndarray]:
+    flat, ends = np.asarray(ids.flatten()), np.asarray(ids.offsets) - ids.offsets[0].as_py()
+    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
 
-def id_digests(encoded: DataFrame) -> DataFrame:
-    """``encoded`` with ``n_tokens`` and ``ids_sha256`` in place of its ids."""
-    keep = [c for c in encoded.columns if c not in ("ids", "n_tokens", "ids_sha256")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            ids = batch.column("ids")
-            flat, ends = np.asarray(ids.flatten()).astype("<u4"), np.asarray(ids.offsets) - ids.offsets[0].as_py()
-            sums = [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in keep] + [pa.array(np.diff(ends).astype(np.int64)), pa.array(sums, pa.string())],
-                names=[*keep, "n_tokens", "ids_sha256"],
-            )
-
-    schema = T.StructType(
-        [encoded.schema[c] for c in keep]
-        + [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType())]
-    )
-    return encoded.mapInArrow(run, schema)
+def joined(tokens: list[bytes], ids: np.ndarray) -> bytes:
+    return b"".join(map(tokens.__getitem__, ids.tolist()))

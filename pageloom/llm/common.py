@@ -127,6 +127,13 @@ def steps(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         at = to
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows, without empty ones."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def rows_of(lists: list[np.ndarray], kind) -> pa.Array:
     """A list column from one array per row."""
     ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
