@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import bpe, decontam, langid, quality, shards, toxicity, warc
+from pageloom.llm import bpe, decontam, langid, maintext, quality, shards, toxicity, warc
 from pageloom.llm.common import crc_mod, table
 from pageloom.session import scratch_path
 
@@ -149,3 +149,10 @@ def op1_legacy_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = warc.read_archives(spark, path).drop("payload")
     responses = rows.where("record_type <> 'revisit'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to")).distinct()
     return rows.join(responses, "refers_to_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    return maintext.extract(pages, maintext.fit(pages))
