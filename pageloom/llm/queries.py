@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import bpe, decontam, langid, maintext, quality, shards, toxicity, warc
+from pageloom.llm import bpe, decontam, groupjoin, langid, maintext, quality, shards, toxicity, warc
 from pageloom.llm.common import crc_mod, table
 from pageloom.session import scratch_path
 
@@ -156,3 +156,9 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     pages = table(spark, sf_dir, "pages")
     return maintext.extract(pages, maintext.fit(pages))
+
+
+@query()
+def op8_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle count and component of every document under Jaccard links of 0.8."""
+    return groupjoin.components(table(spark, sf_dir, "documents"))
