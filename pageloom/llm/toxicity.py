@@ -11,7 +11,7 @@
 4. A logistic regression on the hits of each lexicon entry is trained on the posterior labels (that of
    a labelled row is its label, with ``LABEL_WEIGHT``); it alone scores texts.
 
-Bounds: ``max_labelled`` rows (expected number, chosen by a hash of the id) to find lexicons, at most
+Bounds: ``max_labelled`` labels (expected number, chosen by a hash of the id), at most
 ``max_entries`` entries, ``max_fit`` texts for the regression.  Vote combinations are counted over all
 texts and there are at most 3 ** (number of voters) of them.
 
@@ -115,11 +115,9 @@ class Lexicon:
         return "".join(out)
 
 
-def find_lexicon(labelled: DataFrame, text: str, max_labelled: int, max_entries: int) -> Lexicon:
+def find_lexicon(labelled: DataFrame, text: str, max_entries: int) -> Lexicon:
     """Entries by how surely labelled rows tie them to toxic texts, dealt to voter groups in turn."""
-    rows = labelled.where(F.col("toxic").isNotNull())
-    share = min(1.0, max_labelled / max(1, rows.count()))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).select(text_bytes(text).alias("body"), "toxic")
+    sample = labelled.where(F.col("toxic").isNotNull()).select(text_bytes(text).alias("body"), "toxic")
     sizes = sample.groupBy("toxic").count().collect()
     n_toxic = sum(r["count"] for r in sizes if r["toxic"])
     n_clean = sum(r["count"] for r in sizes if not r["toxic"])
@@ -251,8 +249,12 @@ def fit(
     ``labels`` has doc_id and toxic; of several labels of one id the largest counts.
     """
     marks = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
-    joined = docs.select("doc_id", text).join(marks.where(learn), "doc_id", "left")
-    lexicon = find_lexicon(joined, text, max_labelled, max_entries)
+    marks = marks.where(learn)
+    part = min(1.0, max_labelled / max(1, marks.count()))
+    # no more labels than the bound, so they go to the texts and no text moves
+    marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < part * (1 << 20))
+    joined = docs.select("doc_id", text).join(F.broadcast(marks), "doc_id", "left")
+    lexicon = find_lexicon(joined, text, max_entries)
     shared = share(docs.sparkSession, lexicon)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
