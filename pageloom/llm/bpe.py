@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pageloom.llm.common import slices, text_bytes
+from pageloom.llm.common import free_name, slices, text_bytes
 
 # pieces of text that a task remembers with their ids
 REMEMBERED = 150_000
@@ -146,11 +146,12 @@ class ByteBPE:
         """``docs`` with ``ids`` (array of int) in place of its text."""
         shared = self.shared
         keep = [c for c in docs.columns if c not in (text, "ids")]
+        body = free_name(keep, "_text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codec = _codec(shared)
             for batch in slices(batches, SLICE):
-                packed = [codec.encode(x.decode()) for x in batch.column("_text").to_pylist()]
+                packed = [codec.encode(x.decode()) for x in batch.column(body).to_pylist()]
                 ends = np.cumsum([0, *map(len, packed)]) // 4
                 ids = pa.ListArray.from_arrays(
                     pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(packed), np.int32))
@@ -158,7 +159,7 @@ class ByteBPE:
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [ids], names=[*keep, "ids"])
 
         schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("ids", T.ArrayType(T.IntegerType()))])
-        return docs.select(*keep, text_bytes(text).alias("_text")).mapInArrow(run, schema)
+        return docs.select(*keep, text_bytes(text).alias(body)).mapInArrow(run, schema)
 
     def decode(self, encoded: DataFrame) -> DataFrame:
         """``encoded`` with ``decoded``, the bytes its ids stand for."""
@@ -176,11 +177,14 @@ class ByteBPE:
         schema = T.StructType([encoded.schema[c] for c in keep] + [T.StructField("decoded", T.BinaryType())])
         return encoded.select(*keep).mapInArrow(run, schema)
 
-    def digests(self, encoded: DataFrame) -> DataFrame:
-        """``encoded`` with n_tokens and the SHA-256 of its packed ids and of what they decode to, for its ids."""
+    def digests(self, encoded: DataFrame, keep_ids: bool = False) -> DataFrame:
+        """``encoded`` with n_tokens and the SHA-256 of its packed ids and of what they decode to.
+
+        The ids themselves stay only with ``keep_ids``.
+        """
         shared = self.shared
         names = ["n_tokens", "ids_sha256", "decoded_sha256"]
-        keep = [c for c in encoded.columns if c not in ("ids", *names)]
+        keep = [c for c in encoded.columns if c not in ("ids", *names)] + ["ids"] * keep_ids
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens = shared.value[2]
@@ -195,7 +199,7 @@ class ByteBPE:
 
         kinds = (T.LongType(), T.StringType(), T.StringType())
         schema = T.StructType([encoded.schema[c] for c in keep] + [T.StructField(n, k) for n, k in zip(names, kinds)])
-        return encoded.select(*keep, "ids").mapInArrow(run, schema)
+        return encoded.select(*keep, *[] if keep_ids else ["ids"]).mapInArrow(run, schema)
 
 
 def id_arrays(ids: pa.ListArray) -> list[np.ndarray]:

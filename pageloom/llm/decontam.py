@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import ByteWords, share, steps, text_bytes
+from pageloom.llm.common import ByteWords, free_name, share, steps, text_bytes
 
 SEGMENT = 64
 BLOCK = 8
@@ -264,7 +264,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", least: float = LEAST) -> DataFrame:
     """The documents without a test item, with the columns of ``docs``."""
-    columns = docs.columns
+    columns, body = docs.columns, free_name(docs.columns, "_body")
     for index in indexes(benchmark, least=least):
         shared = share(docs.sparkSession, index)
 
@@ -274,10 +274,10 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", least:
                 if batch.num_rows == 0:
                     continue
                 clean = np.ones(batch.num_rows, bool)
-                for at, _, data, offsets in steps(batch.column("_body")):
+                for at, _, data, offsets in steps(batch.column(body)):
                     for row in leaks_of(index, find, data, offsets):
                         clean[at + row[0]] = False
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns], names=columns).filter(pa.array(clean))
 
-        docs = docs.select(*columns, text_bytes(text).alias("_body")).mapInArrow(run, docs.schema)
+        docs = docs.select(*columns, text_bytes(text).alias(body)).mapInArrow(run, docs.schema)
     return docs

@@ -30,10 +30,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import ByteWords, rows_of, share, steps, stored, text_bytes
+from pageloom.llm.common import ByteWords, free_name, rows_of, share, steps, stored, text_bytes
 
 SHINGLE = 5
 PERCENT = 80
@@ -351,3 +351,30 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return signed.select(key, F.col("n").alias("n_shingles"), "sig").join(final, "sig", "left").select(
         key, "n_shingles", F.when(F.col("sig").isNull(), F.col(key)).otherwise(F.col("component_id")).alias("component_id")
     )
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each component, with the columns of ``docs``: the one with the smallest id.
+
+    Of rows with the same id one stays, that with the smallest text.  Rows without an id stay only where
+    no member of their component has one, one of them for each component.
+    """
+    name = free_name(docs.columns, "_key")
+    # without an id: a number beyond real ids, from the text
+    own = F.coalesce(F.col(key).cast("bigint"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(text), 3))
+    named = docs.withColumn(name, own)
+    found = stored(components(named.select(name, text), name, text), "components")
+    gone = found.where(F.col(name) != F.col("component_id")).select(name).distinct()
+    again = found.groupBy(name).count().where("count > 1").select(name)
+    gone, again = (_sent(x) for x in (gone, again))
+    kept = named.join(gone, name, "left_anti")
+    order = Window.partitionBy(name).orderBy(F.col(text))
+    rank = free_name(named.columns, "_rank")
+    repeats = kept.join(again, name, "left_semi").withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1)
+    return kept.join(again, name, "left_anti").unionByName(repeats.drop(rank)).select(*docs.columns)
+
+
+def _sent(ids: DataFrame) -> DataFrame:
+    """A list of ids: sent to all tasks where its size allows, else joined by a shuffle."""
+    ids = stored(ids, "ids")
+    return F.broadcast(ids) if ids.count() <= LISTED else ids

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import share, text_bytes
+from pageloom.llm.common import free_name, share, text_bytes
 
 # fixed values: plain insults every lexicon starts from
 SEEDS = "clown disgusting dumbass filthy idiot imbecile loser moron pathetic scum scumbag stupid trash vermin worthless"
@@ -317,14 +317,14 @@ def fit(
 
 
 def _scored(docs: DataFrame, scorer: Scorer, text: str, columns: list[str], least: float | None, schema) -> DataFrame:
-    shared = share(docs.sparkSession, scorer)
+    shared, body = share(docs.sparkSession, scorer), free_name(columns, "_body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared().function()
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            scores = np.array([of(x) for x in batch.column("_body").to_pylist()])
+            scores = np.array([of(x) for x in batch.column(body).to_pylist()])
             kept = pa.RecordBatch.from_arrays([batch.column(c) for c in columns], names=columns)
             if least is not None:
                 yield kept.filter(pa.array(scores < least))
@@ -334,7 +334,7 @@ def _scored(docs: DataFrame, scorer: Scorer, text: str, columns: list[str], leas
                     names=[*columns, "score", "predicted"],
                 )
 
-    return docs.select(*columns, text_bytes(text).alias("_body")).mapInArrow(run, schema)
+    return docs.select(*columns, text_bytes(text).alias(body)).mapInArrow(run, schema)
 
 
 def score(docs: DataFrame, scorer: Scorer, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
