@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import bpe, decontam, groupjoin, langid, maintext, quality, shards, toxicity, warc
+from pageloom.llm import bpe, decontam, groupjoin, katz, langid, maintext, quality, shards, toxicity, warc
 from pageloom.llm.common import crc_mod, table
 from pageloom.session import scratch_path
 
@@ -162,3 +162,11 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle count and component of every document under Jaccard links of 0.8."""
     return groupjoin.components(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Katz and add-a-tenth scores of every document, learned from those outside the held-out tenth."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod("doc_id", 10) == 0).alias("held_out"))
+    trained = katz.fit(docs.where(~F.col("held_out")))
+    return katz.score(docs, trained, carry=("held_out",))
