@@ -140,10 +140,3 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
-
-
-def rows_of(lists: list[np.ndarray], kind) -> pa.Array:
-    """A list column from one array per row."""
-    ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-    flat = np.concatenate(lists) if lists else np.zeros(0)
-    return pa.LargeListArray.from_arrays(pa.array(ends), pa.array(flat.astype(kind)))

@@ -4,15 +4,18 @@ A document's set holds its distinct shingles.  Documents with equal sets form a
 what is joined: two link when ``100 * |A and B| >= 80 * |A or B|``.
 
 1. Every set is put in one global order, rare shingles first.  Of two linked sets of sizes a and b, the
-   overlap is at least ``0.8 / 1.8 * (a + b)``, and only the first fifth of each set (its prefix) is
-   needed to find it: what two prefixes share, plus the longer of the two rests, bounds the overlap.
-2. Classes with the same first shingle form a group, in parts of at most ``PART`` members.  The members
-   of a part are compared in one task until the part's links are known; the smallest member of each
-   linked set stands for it in the next turn, so that a group of any size is settled in a few turns.
-3. The matrix has a row (shingle, group) for each prefix shingle of a group's union.  Counting a query's
-   rows bounds its overlap with every member; only groups that reach what the sizes demand are opened,
-   only where group and query are not linked yet, and compared member by member.
-4. Links join to components by alternating star contraction.
+   overlap is at least ``0.8 / 1.8 * (a + b)``; what their prefixes (the first ``PREFIX`` percent) share,
+   plus the longer of the two rests, bounds it from above.
+2. A class is out once it shares too few prefix shingles with all others together, which is counted
+   again until hardly any class goes.
+3. Classes with the same minimum under one of ``KEYS`` orders form a group, in parts of at most ``PART``
+   members.  A part is compared in one task until its links are known; the smallest member of what is
+   linked stands for it in the next turn, so that a group of any size is settled in a few turns.
+4. Groups of linked classes, in parts again, give the matrix: a row (shingle, group) for each prefix
+   shingle of a group's union.  Counting a query's rows bounds its overlap with every member; only groups
+   that reach what the sizes demand are opened, only where group and query are not linked yet, and
+   compared first with the whole union, then member by member.
+5. Links join to components by alternating star contraction.
 
 The frequent shingles that go last in the order are counted over all texts; which of them are listed
 changes the work, never the result.
@@ -30,13 +33,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import ByteWords, free_name, rows_of, share, steps, stored, text_bytes
+from pageloom.llm.common import ByteWords, free_name, mixed, share, steps, stored, text_bytes
 
 SHINGLE = 5
 PERCENT = 80
+PREFIX = 30
+KEYS = 5
 PART = 64
 FREQUENT = 1 << 16
 # classes whose sets are wanted: as many are sent to the tasks as a list, beyond that they are joined
@@ -70,9 +75,24 @@ def shingle_sets(find: ByteWords, data: np.ndarray, offsets: np.ndarray) -> list
     return out
 
 
-def prefix_size(n):
-    """Members that can't all be missing from a linked set."""
-    return n - -(-PERCENT * n // 100) + 1
+def prefix_size(n: int) -> int:
+    """At least as many members as can't all be missing from a linked set."""
+    return max(n - -(-PERCENT * n // 100) + 1, -(-PREFIX * n // 100))
+
+
+def _rest(n: Column) -> Column:
+    """Members beyond the prefix."""
+    return n - F.greatest(n - F.ceil(n * PERCENT / 100) + 1, F.ceil(n * PREFIX / 100))
+
+
+def _demanded(n: Column, m: Column) -> Column:
+    """Prefix shingles that linked sets of these sizes share at least."""
+    return F.ceil((n + m) * PERCENT / (100 + PERCENT) - 1e-6) - F.greatest(_rest(n), _rest(m)) - 1
+
+
+def _minima(own: np.ndarray) -> list[int]:
+    """The smallest member under each of the orders."""
+    return [int(mixed(own ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)).min().view(np.int64)) for k in range(KEYS)]
 
 
 def sign(own: np.ndarray) -> bytes:
@@ -101,41 +121,66 @@ def _frequent(docs: DataFrame, text: str) -> np.ndarray:
     return np.sort(top["token"].to_numpy().view(np.uint64))
 
 
-def _signed(docs: DataFrame, key: str, text: str, frequent: np.ndarray) -> DataFrame:
-    """(key, n, sig, tokens): tokens is the prefix, given once per task for equal sets."""
-    shared = share(docs.sparkSession, frequent)
+def _signed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, n, sig, minima): minima are the group keys, given once per task for equal sets."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, frequent, seen = ByteWords(), shared(), set()
+        find, seen = ByteWords(), set()
         for batch in batches:
             for at, to, data, offsets in steps(batch.column("_body")):
-                n, sig, prefix, fresh = [], [], [], []
+                n, sig, keys = [], [], []
                 for own in shingle_sets(find, data, offsets):
                     n.append(len(own))
-                    name = sign(own) if len(own) else None
-                    sig.append(name)
-                    fresh.append(name is not None and name not in seen)
-                    prefix.append(own[:0])
-                    if fresh[-1]:
-                        seen.add(name)
-                        size = prefix_size(len(own))
-                        if len(frequent):
-                            place = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
-                            common = frequent[place] == own
-                            rare = own[~common][:size]
-                            prefix[-1] = rare if len(rare) == size else np.concatenate([rare, own[common][: size - len(rare)]])
-                        else:
-                            prefix[-1] = own[:size]
+                    sig.append(sign(own) if len(own) else None)
+                    fresh = sig[-1] is not None and sig[-1] not in seen
+                    keys.append(_minima(own) if fresh else None)
+                    if fresh:
+                        seen.add(sig[-1])
                 if len(seen) > 1_000_000:
                     seen.clear()
-                tokens = rows_of([p.view(np.int64) for p in prefix], np.int64).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(key).slice(at, to - at), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), tokens],
-                    names=[key, "n", "sig", "tokens"],
+                    [batch.column(key).slice(at, to - at), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    names=[key, "n", "sig", "minima"],
                 )
 
-    return docs.select(key, text_bytes(text).alias("_body")).mapInArrow(run, f"`{key}` {kind}, n long, sig binary, tokens array<bigint>")
+    return docs.select(key, text_bytes(text).alias("_body")).mapInArrow(run, f"`{key}` {kind}, n long, sig binary, minima array<bigint>")
+
+
+def _prefixes(docs: DataFrame, text: str, frequent: np.ndarray) -> DataFrame:
+    """(token, h): prefix shingles, h a hash of the set's signature; equal sets once per task."""
+    shared = share(docs.sparkSession, frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, frequent, seen = ByteWords(), shared(), set()
+        for batch in batches:
+            for _, _, data, offsets in steps(batch.column("body")):
+                held, names = [], []
+                for own in shingle_sets(find, data, offsets):
+                    if not len(own) or (name := sign(own)) in seen:
+                        continue
+                    seen.add(name)
+                    size = prefix_size(len(own))
+                    prefix = own[:size]
+                    if len(frequent):
+                        common = frequent[np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)] == own
+                        prefix = own[~common][:size]
+                        if len(prefix) < size:
+                            prefix = np.concatenate([prefix, own[common][: size - len(prefix)]])
+                    held.append(prefix)
+                    names.append(int.from_bytes(name[:8], "big", signed=True))
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                if held:
+                    h = np.repeat(np.array(names, np.int64), [len(x) for x in held])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64)), pa.array(h)], names=["token", "h"])
+
+    return docs.select(text_bytes(text).alias("body")).mapInArrow(run, "token long, h long")
+
+
+def _short_hash(sig: str) -> Column:
+    """The first eight bytes of a signature, as in ``_prefixes``."""
+    return F.conv(F.hex(F.substring(F.col(sig), 1, 8)), 16, -10).cast("bigint")
 
 
 def _full_sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
@@ -265,89 +310,91 @@ def contract(edges: DataFrame) -> DataFrame:
 
 
 def _settle_groups(classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """(cls, label) after the links inside groups of equal first shingle, for classes that have one."""
-    spark = classes.sparkSession
-    active = stored(classes.select("cls", "gkey").join(sets.select("cls"), "cls", "left_semi"), "active")
-    labels = None
-    n = active.count()
-    while n:
-        sizes = active.groupBy("gkey").agg(F.count("*").alias("n")).where("n > 1")
-        parts = active.join(sizes, "gkey").withColumn("part", F.pmod(F.xxhash64("cls", F.lit(n)), F.ceil(F.col("n") / PART)))
-        more = not sizes.where(F.col("n") > PART).isEmpty()
-        found = parts.join(sets, "cls").groupBy("gkey", "part").applyInArrow(_within, "cls long, label long")
-        found = stored(found, "linked")
-        if labels is None:
-            labels = found
-        else:
+    """(cls, label) after the links inside groups of equal minima, for classes that have one."""
+    active = stored(classes.select("cls", "minima"), "active")
+    labels = stored(active.where("false").select("cls", F.col("cls").alias("label")), "labels")
+    for k in range(KEYS):
+        n = active.count()
+        while n:
+            own = active.select("cls", F.col("minima")[k].alias("key"))
+            sizes = own.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+            parts = own.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("cls", F.lit(n)), F.ceil(F.col("n") / PART)))
+            found = stored(parts.join(sets, "cls").groupBy("key", "part").applyInArrow(_within, "cls long, label long"), "linked")
             # what stood for others takes them along
             step = found.select(F.col("cls").alias("label"), F.col("label").alias("to"))
             moved = labels.join(step, "label", "left").select("cls", F.coalesce("to", "label").alias("label"))
             labels = stored(moved.unionByName(found), "labels")
-        if not more:
-            break
-        active = stored(active.join(found.select("cls"), "cls", "left_anti"), "active")
-        left = active.count()
-        if left > 0.9 * n:
+            active = stored(active.join(found.select("cls"), "cls", "left_anti"), "active")
+            left = active.count()
+            if left > 0.9 * n or sizes.where(F.col("n") > PART).isEmpty():
+                break
+            n = left
+    return labels
+
+
+def _candidates(rows: DataFrame) -> DataFrame:
+    """Of (token, cls, n): without classes that share too few shingles with all others together."""
+    n = F.col("n")
+    need = F.least(_demanded(n, F.ceil(n * PERCENT / 100)), _demanded(n, F.floor(n * 100 / PERCENT)))
+    before = rows.count()
+    while before:
+        kept = rows.groupBy("cls", "n").agg(F.count("*").alias("c")).where(F.col("c") >= need).select("cls")
+        rows = rows.join(stored(kept, "kept"), "cls", "left_semi")
+        several = rows.groupBy("token").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("token")
+        rows = stored(rows.join(several, "token", "left_semi"), "rows")
+        after = rows.count()
+        if after > 0.95 * before:
             break
-        n = left
-    return labels if labels is not None else spark.createDataFrame([], "cls long, label long")
+        before = after
+    return rows
 
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) of every row."""
-    spark = docs.sparkSession
-    signed = stored(_signed(docs, key, text, _frequent(docs, text)), "signed")
-    first = signed.where("size(tokens) > 0").select("sig", "n", "tokens").dropDuplicates(["sig"])
-    classes = stored(first.select(F.monotonically_increasing_id().alias("cls"), "sig", "n", "tokens", F.col("tokens")[0].alias("gkey")), "classes")
-
-    # groups of more than one class, settled inside
-    crowded = classes.groupBy("gkey").agg(F.count("*").alias("k")).where("k > 1").select("gkey")
-    inner = stored(classes.join(crowded, "gkey", "left_semi").select("cls", "sig"), "inner")
-    sets = stored(_full_sets(docs, text, inner), "sets")
-    labels = stored(
-        classes.select("cls", "sig", "n", "gkey").join(_settle_groups(classes, sets), "cls", "left").select("cls", "sig", "n", "gkey", F.coalesce("label", "cls").alias("label")),
-        "labels",
-    )
-
-    # the matrix, for shingles of more than one class, then of more than one label
-    rows = classes.select(F.explode("tokens").alias("token"), "cls")
-    several = rows.groupBy("token").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("token")
-    group = F.xxhash64("gkey", "label")
-    shared = stored(rows.join(several, "token").join(labels, "cls").select("token", "cls", "n", "label", group.alias("gid")), "shared")
-    differ = shared.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("token")
-    asked = stored(shared.join(differ, "token", "left_semi"), "asked")
-    matrix = asked.groupBy("token", "gid", "label").agg(F.min("n").alias("_")).select("token", "gid", F.col("label").alias("other"))
-    spans = labels.select(group.alias("gid"), "n").groupBy("gid").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    counted = asked.join(matrix.withColumnRenamed("gid", "open"), "token").where("label <> other").groupBy("cls", "n", "label", "open").agg(F.count("*").alias("c"))
+    signed = stored(_signed(docs, key, text), "signed")
+    grouped = signed.where("sig is not null").groupBy("sig").agg(F.min(key).alias("id"), F.max("n").alias("n"), F.max("minima").alias("minima"))
+    classes = stored(grouped.select(F.monotonically_increasing_id().alias("cls"), "sig", "id", "n", "minima"), "classes")
+
+    # prefix shingles of more than one class, then of classes that may have a link at all
+    rows = _prefixes(docs, text, _frequent(docs, text))
+    several = rows.groupBy("token").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("token")
+    named = classes.select(_short_hash("sig").alias("h"), "cls", "n")
+    shared = _candidates(stored(rows.join(several, "token").join(named, "h").select("token", "cls", "n").distinct(), "rows"))
+
+    likely = stored(classes.join(shared.select("cls").distinct(), "cls", "left_semi"), "likely")
+    sets = stored(_full_sets(docs, text, likely.select("cls", "sig")), "sets")
+    found = _settle_groups(likely, sets)
+    labelled = likely.join(found, "cls", "left").select("cls", "n", F.coalesce("label", "cls").alias("label"))
+    sizes = labelled.groupBy("label").agg(F.ceil(F.count("*") / PART).alias("parts"))
+    labels = stored(labelled.join(sizes, "label").select("cls", "n", "label", F.xxhash64("label", F.pmod(F.xxhash64("cls"), F.col("parts"))).alias("gid")), "labels")
+
+    # the matrix, for shingles of more than one label
+    rows = shared.select("token", "cls").join(labels, "cls")
+    differ = rows.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("token")
+    asked = stored(rows.join(differ, "token", "left_semi"), "asked")
+    matrix = asked.select("token", F.col("gid").alias("open"), F.col("label").alias("other")).distinct()
+    spans = labels.groupBy(F.col("gid").alias("open")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    counted = asked.join(matrix, "token").where("label <> other").groupBy("cls", "n", "label", "open").agg(F.count("*").alias("c"))
     n = F.col("n")
     lo, hi = F.greatest("lo", F.ceil(n * PERCENT / 100)), F.least("hi", F.floor(n * 100 / PERCENT))
+    reached = (lo <= hi) & (F.col("c") >= F.least(_demanded(n, lo), _demanded(n, hi)))
+    pairs = stored(counted.join(spans, "open").where(reached).select("cls", "label", F.col("open").alias("gid")), "pairs")
 
-    def demanded(m):
-        rest = F.greatest(F.floor(n * PERCENT / 100), F.floor(m * PERCENT / 100))
-        return F.ceil((n + m) * PERCENT / (100 + PERCENT) - 1e-6) - rest - 1
-
-    reached = (lo <= hi) & (F.col("c") >= F.least(demanded(lo), demanded(hi)))
-    pairs = stored(
-        counted.join(spans.withColumnRenamed("gid", "open"), "open").where(reached).select("cls", "label", F.col("open").alias("gid")), "pairs"
-    )
-
-    # sets of the queries and of the members of groups to open
-    opened = stored(labels.select("cls", "sig", "label", group.alias("gid")).join(pairs.select("gid").distinct(), "gid", "left_semi"), "opened")
-    wanted = opened.select("cls").unionByName(pairs.select("cls")).distinct().join(sets.select("cls"), "cls", "left_anti")
-    more = stored(_full_sets(docs, text, stored(labels.join(wanted, "cls", "left_semi").select("cls", "sig"), "wanted")), "sets")
-    every = sets.unionByName(more)
+    # groups to open, with the sets of their members and of those that ask
     turns = pairs.groupBy("gid").agg(F.ceil(F.count("*") / QUERIES).alias("turns"))
-    ask = pairs.join(turns, "gid").select("gid", "cls", "label", F.pmod(F.xxhash64("cls"), F.col("turns")).alias("turn")).join(every, "cls")
-    ask = ask.select(F.col("gid").alias("q_gid"), F.col("turn").alias("q_turn"), F.col("label").alias("q_label"), F.col("members").alias("query"))
-    answer = opened.join(turns, "gid").select("gid", "cls", "label", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("turns") - 1)).alias("turn")).join(every, "cls")
+    ask = pairs.join(turns, "gid").join(sets, "cls").select(
+        F.col("gid").alias("q_gid"), F.pmod(F.xxhash64("cls"), F.col("turns")).alias("q_turn"), F.col("label").alias("q_label"), F.col("members").alias("query")
+    )
+    turn = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("turns") - 1)).alias("turn")
+    answer = labels.join(turns, "gid").select("gid", "cls", "label", turn).join(sets, "cls")
     links = answer.groupBy("gid", "turn").cogroup(ask.groupBy("q_gid", "q_turn")).applyInArrow(_opened, "a long, b long")
     roots = contract(links)
 
-    joined = labels.join(roots.withColumnRenamed("node", "label"), "label", "left").select("sig", F.coalesce("root", "label").alias("root"))
-    ids = signed.where("sig is not null").groupBy("sig").agg(F.min(key).alias("id"))
-    named = stored(joined.join(ids, "sig"), "named")
+    joined = labels.select("cls", "label").join(roots.withColumnRenamed("node", "label"), "label", "left").select("cls", F.coalesce("root", "label").alias("root"))
+    named = stored(joined.join(classes.select("cls", "sig", "id"), "cls"), "named")
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    final = stored(named.join(least, "root").select("sig", "component_id"), "final")
+    linked_ids = named.join(least, "root").select("cls", "component_id")
+    final = stored(classes.join(linked_ids, "cls", "left").select("sig", F.coalesce("component_id", "id").alias("component_id")), "final")
     return signed.select(key, F.col("n").alias("n_shingles"), "sig").join(final, "sig", "left").select(
         key, "n_shingles", F.when(F.col("sig").isNull(), F.col(key)).otherwise(F.col("component_id")).alias("component_id")
     )
@@ -356,25 +403,23 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component, with the columns of ``docs``: the one with the smallest id.
 
-    Of rows with the same id one stays, that with the smallest text.  Rows without an id stay only where
-    no member of their component has one, one of them for each component.
+    Of equal ids the one with the smaller hash of its text; a null id counts as larger than any other.
+    Of rows with equal id and text one stays.
     """
-    name = free_name(docs.columns, "_key")
-    # without an id: a number beyond real ids, from the text
-    own = F.coalesce(F.col(key).cast("bigint"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(text), 3))
+    name, rank = free_name(docs.columns, "_key"), free_name(docs.columns, "_rank")
+    own = F.struct(F.col(key).isNull().alias("none"), F.col(key).cast("bigint").alias("id"), F.xxhash64(text).alias("h"))
     named = docs.withColumn(name, own)
     found = stored(components(named.select(name, text), name, text), "components")
-    gone = found.where(F.col(name) != F.col("component_id")).select(name).distinct()
+    gone = found.where(~F.col(name).eqNullSafe(F.col("component_id"))).select(name).distinct()
     again = found.groupBy(name).count().where("count > 1").select(name)
-    gone, again = (_sent(x) for x in (gone, again))
-    kept = named.join(gone, name, "left_anti")
+    gone, again = _sent(gone, name), _sent(again, name)
+    kept = named.join(gone, named[name].eqNullSafe(gone["_gone"]), "left_anti")
     order = Window.partitionBy(name).orderBy(F.col(text))
-    rank = free_name(named.columns, "_rank")
-    repeats = kept.join(again, name, "left_semi").withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1)
-    return kept.join(again, name, "left_anti").unionByName(repeats.drop(rank)).select(*docs.columns)
+    repeats = kept.join(again, kept[name].eqNullSafe(again["_gone"]), "left_semi").withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1)
+    return kept.join(again, kept[name].eqNullSafe(again["_gone"]), "left_anti").unionByName(repeats.drop(rank)).select(*docs.columns)
 
 
-def _sent(ids: DataFrame) -> DataFrame:
+def _sent(ids: DataFrame, name: str) -> DataFrame:
     """A list of ids: sent to all tasks where its size allows, else joined by a shuffle."""
-    ids = stored(ids, "ids")
+    ids = stored(ids.select(F.col(name).alias("_gone")), "ids")
     return F.broadcast(ids) if ids.count() <= LISTED else ids
