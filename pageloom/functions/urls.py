@@ -180,6 +180,12 @@ def encode_component(text: Column) -> Column:
     return encoded
 
 
+def normal(url: Column) -> Column:
+    """The normalised form of an absolute web URL; null for anything else."""
+    href = resolve(url, url)
+    return F.when(url.rlike(r"^[\x00-\x20]*[A-Za-z][A-Za-z0-9+.-]*:") & href.rlike("^https?://[^/]"), href)
+
+
 def origin(url: Column) -> Column:
     """``scheme://host[:port]`` in lower case, without an implied port."""
     found = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/\\?#]*)", 1))

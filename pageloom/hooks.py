@@ -16,13 +16,22 @@ from pyspark.sql import functions as F
 from pageloom.spec import Resource, SiteSpec
 
 
+def _where_known(fn: Callable, values: pd.Series, bases: pd.Series) -> pd.Series:
+    """``fn`` of the values that are there; Spark hands over missing ones as well."""
+    out = pd.Series([None] * len(values), dtype=object)
+    known = values.notna().to_numpy()
+    if known.any():
+        out[known] = list(fn(values[known].reset_index(drop=True), bases[known].reset_index(drop=True)))
+    return out
+
+
 @dataclass(frozen=True)
 class ValueHook:
     """A custom value transform.
 
     ``kind='column'`` functions build a column expression and stay in the JVM;
-    ``kind='series'`` functions get pandas Series batches.  Both receive the value
-    and the page's base URL.
+    ``kind='series'`` functions get pandas Series batches without missing values.
+    Both receive the value and the page's base URL.
     """
 
     fn: Callable[[Any, Any], Any]
@@ -35,7 +44,7 @@ class ValueHook:
         fn = self.fn
 
         def one(values: pd.Series, bases: pd.Series) -> pd.Series:
-            return fn(values, bases)
+            return _where_known(fn, values, bases)
 
         return F.pandas_udf(one, self.returns)(value, base)
 
@@ -47,7 +56,7 @@ class ValueHook:
         def each(arrays: pd.Series, bases: pd.Series) -> pd.Series:
             sizes = arrays.map(len)
             flat = pd.Series([v for items in arrays for v in items], dtype=object)
-            out = list(fn(flat, bases.repeat(sizes).reset_index(drop=True)))
+            out = list(_where_known(fn, flat, bases.repeat(sizes).reset_index(drop=True)))
             stops = sizes.cumsum()
             return pd.Series([out[stop - n : stop] for n, stop in zip(sizes, stops)], dtype=object)
 

@@ -69,7 +69,8 @@ def walk(
 ) -> DataFrame:
     """Follow next links from every ``_source`` for at most ``max_pages`` pages.
 
-    ``edges`` has one row per known page: ``url``, ``next_url``, ``stop``.  Result:
+    ``edges`` has the known pages: ``url``, ``next_url``, ``stop``; of several rows of one
+    URL that with the greatest next URL counts.  Result:
     ``_source, _page_no, url, _stop``, one row per page visited; a page that is not
     in ``edges`` is listed with the reason on it.  Revisits count again, as the cap
     alone bounds a cycle.
@@ -78,8 +79,9 @@ def walk(
     so earlier hops are not recomputed, and finished walks get a key of their own
     instead of all meeting at null.
     """
-    links = edges.select(
-        F.col("url").alias("_url"), F.col("next_url").alias("_next"), F.col("stop").alias("_why")
+    single = edges.groupBy("url").agg(F.max(F.struct("next_url", "stop")).alias("_edge"))
+    links = single.select(
+        F.col("url").alias("_url"), F.col("_edge.next_url").alias("_next"), F.col("_edge.stop").alias("_why")
     )
     state = starts.select("_source").distinct().select(
         "_source",

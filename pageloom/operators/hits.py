@@ -42,12 +42,15 @@ def request_hits(
     hot_rows: int = HOT_ROWS,
     chunks: int | None = None,
 ) -> DataFrame:
-    """Add ``hit``; ``at`` is a number in the unit of ``ttl``, ``tie`` orders equal times.
+    """Add ``hit``; ``at`` is a whole number in the unit of ``ttl``, ``tie`` orders equal times.
 
     Ordinary URLs are folded in one pass over sorted partitions, holding only the
     last fetch between Arrow batches.  URLs with more than ``hot_rows`` requests are
     resolved in parallel by following "next possible miss" pointers with doubling.
     """
+    kind = dict(requests.dtypes)[at]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{at} must be a whole number, not {kind}")
     if ttl <= 0:
         return requests.withColumn("hit", F.lit(False))
     cold, hot = split_hot(requests, [key], hot_rows)

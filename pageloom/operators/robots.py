@@ -19,11 +19,15 @@ def parse_robots(robots: DataFrame) -> DataFrame:
 
     Consecutive user-agent lines open one group together; any other field ends the
     run.  Group 0 holds what stands before the first user-agent line and speaks for
-    every agent.  Of several copies of one origin's file the newest counts (by
-    ``fetched_at``, else the greatest text), so an origin's lines come from one text
-    cell, which bounds the window; its shuffle by origin is the aggregate's.
+    every agent.  An origin has one file; several copies need a ``fetched_at`` column,
+    and the newest counts.  So an origin's lines come from one text cell, which bounds
+    the window; its shuffle by origin is the aggregate's.
     """
-    newest = F.max_by("body", "fetched_at") if "fetched_at" in robots.columns else F.max("body")
+    if "fetched_at" in robots.columns:
+        newest = F.max_by("body", "fetched_at")
+    else:
+        several = F.raise_error(F.concat(F.lit("several robots files without fetched_at: "), F.first("origin")))
+        newest = F.when(F.count_distinct("body") > 1, several.cast("string")).otherwise(F.max("body"))
     single = robots.groupBy("origin").agg(newest.alias("body"))
     lines = single.select(
         "origin", F.posexplode(F.split("body", "\r?\n")).alias("line_no", "_line")
@@ -145,13 +149,18 @@ def is_allowed(allow: Column, disallow: Column, path: Column) -> Column:
 def admit(wanted: DataFrame, rulesets: DataFrame) -> DataFrame:
     """Add ``origin``, ``allowed`` and ``crawl_delay`` to a table with ``url``.
 
-    One row per URL meets one row per origin; a busy origin is split by the skew
-    join, or the rule side is broadcast when its measured size is small.  Origins
-    without a robots file allow everything.
+    Rules are held against the normalised URL.  A URL that has no such form gets no
+    origin and is not allowed.  Origins without a robots file allow everything.
+
+    Both sides go through an exchange of their own, by origin, so that the skew join
+    can split a busy origin; the rule side alone would come without one.
     """
-    located = wanted.withColumn("origin", urls.origin(F.col("url")))
+    located = wanted.withColumn("_href", urls.normal(F.col("url"))).withColumn("origin", urls.origin(F.col("_href")))
+    parts = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rules = rulesets.select("origin", "allow", "disallow", "crawl_delay").repartition(parts, F.xxhash64("origin"))
+    judged = is_allowed(F.col("allow"), F.col("disallow"), urls.path_query(F.col("_href")))
     return (
-        located.join(rulesets.select("origin", "allow", "disallow", "crawl_delay"), "origin", "left")
-        .withColumn("allowed", is_allowed(F.col("allow"), F.col("disallow"), urls.path_query(F.col("url"))))
-        .drop("allow", "disallow")
+        located.join(rules, "origin", "left")
+        .withColumn("allowed", F.col("origin").isNotNull() & judged)
+        .drop("allow", "disallow", "_href")
     )

@@ -143,6 +143,9 @@ class PageTree:
         self.tag: list[str] = [""]
         self.attrs: list[dict[str, str]] = [{}]
         self.open = [0]
+        # what is open, by id and by tag: most questions end here, however deep the page
+        self.is_open = {0}
+        self.n_open: dict[str, int] = {}
         self.active: list[tuple[str, dict[str, str], int] | None] = []
         self.head = self.body = -1
         self.after_head: list[str] = []
@@ -171,6 +174,8 @@ class PageTree:
         self.attrs.append(attrs)
         if not void:
             self.open.append(node)
+            self.is_open.add(node)
+            self.n_open[tag] = self.n_open.get(tag, 0) + 1
             if tag in ("svg", "math"):
                 self.foreign += 1
         return node
@@ -178,6 +183,8 @@ class PageTree:
     def _close(self) -> str:
         node = self.open.pop()
         row, tag = self.rows[node], self.tag[node]
+        self.is_open.discard(node)
+        self.n_open[tag] = self.n_open.get(tag, 0) - 1
         row[LAST] = len(self.rows) - 1
         row[T1] = len(self.texts)
         if self.markup is not None:
@@ -196,6 +203,8 @@ class PageTree:
 
     # -- open elements --------------------------------------------------------
     def _in_scope(self, tags: Iterable[str], walls: frozenset[str]) -> bool:
+        if not any(self.n_open.get(tag) for tag in tags):
+            return False
         for node in reversed(self.open):
             tag = self.tag[node]
             if tag in tags:
@@ -219,9 +228,9 @@ class PageTree:
 
     def _reopen_formatting(self) -> None:
         """Open again the formatting elements whose block was closed around them."""
-        if not self.active or self.active[-1] is None or self.active[-1][2] in self.open:
+        if not self.active or self.active[-1] is None or self.active[-1][2] in self.is_open:
             return
-        on_stack = set(self.open)
+        on_stack = self.is_open
         first = len(self.active)
         while first and self.active[first - 1] is not None and self.active[first - 1][2] not in on_stack:
             first -= 1
@@ -258,7 +267,7 @@ class PageTree:
             return
         del self.active[at]
         node = entry[2]
-        if node in self.open:
+        if node in self.is_open:
             above = self.open[self.open.index(node) + 1 :]
             if not any(self.tag[n] in SPECIAL_ELEMENTS for n in above):
                 while self.open[-1] != node:
@@ -266,6 +275,8 @@ class PageTree:
                 self._close()
 
     def _close_other(self, tag: str) -> None:
+        if not self.n_open.get(tag):
+            return
         for node in reversed(self.open):
             if self.tag[node] == tag:
                 self._close_through((tag,))
@@ -354,7 +365,7 @@ class PageTree:
     def _auto_close(self, tag: str) -> None:
         if tag in ("li", "dd", "dt"):
             peers = ("li",) if tag == "li" else ("dd", "dt")
-            for node in reversed(self.open):
+            for node in reversed(self.open) if any(self.n_open.get(p) for p in peers) else ():
                 name = self.tag[node]
                 if name in peers:
                     self._close_through((name,))

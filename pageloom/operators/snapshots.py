@@ -13,12 +13,22 @@ def is_fresh(now_ms: int | Column, stored_ms: Column, ttl_ms: int) -> Column:
 
 
 def latest(snapshots: DataFrame, key: str = "url", at: str = "stored_at") -> DataFrame:
-    """The newest copy of every URL."""
+    """The newest copy of every URL; one without a time is older than any other.
+
+    Of equally old copies the one with the greatest columns counts.
+    """
     others = [c for c in snapshots.columns if c != key]
-    newest = snapshots.groupBy(key).agg(F.max_by(F.struct(*others), F.col(at)).alias("_row"))
+    newest = snapshots.groupBy(key).agg(F.max_by(F.struct(*others), _age_order(snapshots, others, at)).alias("_row"))
     return newest.select(key, *[F.col(f"_row.{c}").alias(c) for c in others]).select(*snapshots.columns)
 
 
+def _age_order(snapshots: DataFrame, others: list[str], at: str) -> Column:
+    """Time first (none is before all), then a digest of the row, which settles ties alike everywhere."""
+    return F.struct(
+        F.coalesce(F.unix_micros(at), F.lit(-(1 << 62))).alias("at"), F.xxhash64(*[c for c in others if c != at]).alias("row")
+    )
+
+
 def upsert(
     base: DataFrame, incoming: DataFrame, key: str = "url", at: str = "stored_at"
 ) -> DataFrame:
@@ -33,7 +43,7 @@ def upsert(
     seen = rivals.groupBy(key).agg(F.max(at).alias("_seen"))
     won = (
         newest.join(seen, key, "left")
-        .where(F.col("_seen").isNull() | (F.col(at) >= F.col("_seen")))
+        .where(F.col("_seen").isNull() | F.coalesce(F.col(at) >= F.col("_seen"), F.lit(False)))
         .select(*base.columns)
     )
     return base.join(won.select(key), key, "left_anti").unionByName(won)

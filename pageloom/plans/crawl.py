@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from pageloom.functions import urls
 from pageloom.functions.names import token_of
 from pageloom.operators import robots as rb
+from pageloom.operators.hits import request_hits
 from pageloom.operators.scan import HOT_ROWS
 from pageloom.operators.schedule import interval_ms, send_schedule
-from pageloom.operators.snapshots import is_fresh
 from pageloom.session import checkpoint
 from pageloom.spec import Politeness
 
-CACHED, BLOCKED, SEND = "cached", "blocked", "send"
+CACHED, BLOCKED, INVALID, SEND = "cached", "blocked", "invalid", "send"
+# orders the stored copy of a URL before all its requests
+STORED_ID = -(1 << 63)
 
 
 def crawl_plan(
@@ -27,40 +29,55 @@ def crawl_plan(
 ) -> DataFrame:
     """``request_id, url, arrive_ms, origin, action, send_ms`` for every wanted URL.
 
-    ``cached``: a fresh copy exists (robots rules are not asked), or an earlier
-    request of this batch fetches the same URL.  ``blocked``: robots rules forbid it.
-    ``send``: fetch at ``send_ms``.  Only real fetches take a slot of their origin.
+    One clock: a request arrives ``arrive_ms`` (0 or more, whole) after ``now_ms``.  In
+    order of arrival, each request of a URL is ``cached`` while the last fetch, first
+    the stored copy, is younger than the time to live.  Else it is ``invalid`` when the
+    URL has no web form, ``blocked`` when robots rules forbid it, and otherwise sent, at
+    ``send_ms``, which starts a new period.  Only real fetches take a slot of their
+    origin.  A null URL is invalid.
     """
     token = token_of(politeness.user_agent)
-    fresh = snapshots.where(
-        is_fresh(now_ms, F.unix_millis("stored_at"), politeness.cache_ttl_ms)
-    ).select("url").distinct().withColumn("_fresh", F.lit(True))
-    # partial minima travel, not the requests, so a URL asked for very often is cheap
-    firsts = wanted.groupBy("url").agg(
-        F.min(F.struct("arrive_ms", "request_id")).alias("_first")
-    ).select("url", F.col("_first.request_id").alias("_first_id"))
-    per_url = firsts.join(fresh, "url", "left")
+    ttl = politeness.cache_ttl_ms
+    stored = snapshots.groupBy("url").agg((F.max(F.unix_millis("stored_at")) - now_ms).alias("_stored"))
+    # partial results travel, not the requests, so a URL asked for very often is cheap
+    per_url = wanted.where("url is not null").groupBy("url").agg(F.lit(True).alias("_known")).join(stored, "url", "left")
     if politeness.respect_robots:
         per_url = rb.admit(per_url, rb.rulesets(rb.parse_robots(robots), token))
     else:
         per_url = per_url.select(
             "*",
-            urls.origin(F.col("url")).alias("origin"),
-            F.lit(True).alias("allowed"),
+            urls.origin(urls.normal(F.col("url"))).alias("origin"),
+            urls.normal(F.col("url")).isNotNull().alias("allowed"),
             F.lit(None).cast("double").alias("crawl_delay"),
         )
-    decided = wanted.join(per_url, "url").withColumn(
+    # an exchange of its own lets the skew join split a URL asked for very often
+    parts = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    facts = per_url.repartition(parts, F.xxhash64("url"))
+    known = checkpoint(
+        wanted.join(facts, "url", "left").select(
+            *wanted.columns, "origin", "_stored", F.coalesce("allowed", F.lit(False)).alias("_allowed"),
+            interval_ms(politeness.requests_per_second, F.col("crawl_delay")).alias("interval_ms"),
+        )
+    )
+    # fetches happen only where they are allowed: there, fold over copies and requests
+    allowed = known.where("_allowed")
+    copies = allowed.where("_stored is not null").groupBy("url").agg(F.least(F.min("_stored"), F.lit(0)).alias("arrive_ms"))
+    log = allowed.select("url", "request_id", "arrive_ms").unionByName(
+        copies.select("url", F.lit(STORED_ID).alias("request_id"), "arrive_ms")
+    )
+    marked = request_hits(log, ttl, at="arrive_ms", hot_rows=hot_rows).where(F.col("request_id") != STORED_ID)
+    fetched = allowed.join(marked.select("request_id", "hit"), "request_id").withColumn(
+        "action", F.when(F.col("hit"), F.lit(CACHED)).otherwise(F.lit(SEND))
+    )
+    served = F.coalesce(F.col("arrive_ms") - F.col("_stored") < ttl, F.lit(False))
+    barred = known.where("not _allowed").withColumn(
         "action",
-        F.when(F.col("_fresh"), F.lit(CACHED))
-        .when(~F.col("allowed"), F.lit(BLOCKED))
-        .when(F.col("request_id") != F.col("_first_id"), F.lit(CACHED))
-        .otherwise(F.lit(SEND)),
-    ).withColumn("interval_ms", interval_ms(politeness.requests_per_second, F.col("crawl_delay")))
-
+        F.when(served, F.lit(CACHED)).when(F.col("origin").isNull(), F.lit(INVALID)).otherwise(F.lit(BLOCKED)),
+    )
+    columns = [*wanted.columns, "origin", "action", "interval_ms"]
     # read three times below (group sizes, sends, the rest): decide once
-    decided = checkpoint(decided.select(*wanted.columns, "origin", "action", "interval_ms"))
+    decided = checkpoint(fetched.select(*columns).unionByName(barred.select(*columns)))
     columns = [*wanted.columns, "origin", "action", "send_ms"]
-    sends = decided.where(F.col("action") == SEND)
-    scheduled = send_schedule(sends, hot_rows=hot_rows).select(*columns)
+    scheduled = send_schedule(decided.where(F.col("action") == SEND), hot_rows=hot_rows).select(*columns)
     others = decided.where(F.col("action") != SEND).withColumn("send_ms", F.lit(None).cast("double"))
     return scheduled.unionByName(others.select(*columns))

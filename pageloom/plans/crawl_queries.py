@@ -20,7 +20,7 @@ from pageloom.plans.tables import longs, table
 from pageloom.session import scratch_path
 from pageloom.sources.cache import read_snapshots
 from pageloom.spec import Politeness
-from pageloom.streaming.jobs import start_hits, start_snapshots, stream_hits as hits_of_stream, stream_pages
+from pageloom.streaming.jobs import start_hits, start_snapshots, stream_pages
 
 NOW_MS = 1_704_067_200_000
 TTL_MS = 600_000
@@ -253,6 +253,19 @@ def robots_admit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rb.admit(wanted, rules).select("page_id", "origin", "crawl_delay", "allowed")
 
 
+@query(f"with {ROBOTS_SQL}, {ADMIT_SQL} select page_id, origin, crawl_delay, d < 0 or a >= d as allowed from admitted")
+def robots_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same verdicts for the same URLs written with dot segments and an upper-case host."""
+    rules = rb.rulesets(rb.parse_robots(robots_table(spark, sf_dir)), "loombot")
+    host = F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1)
+    rest = F.regexp_extract("url", "^[a-z]+://[^/?#]+(.*)$", 1)
+    rest = F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))
+    scheme = F.regexp_extract("url", "^([a-z]+):", 1)
+    detour = F.when(F.col("page_id") % 2 == 0, F.lit("/x/..")).otherwise(F.lit("/a/%2e/b/%2E%2e/.."))
+    written = table(spark, sf_dir, "pages").select("page_id", F.concat(scheme, F.lit("://"), F.upper(host), detour, rest).alias("url"))
+    return rb.admit(written, rules).select("page_id", "origin", "crawl_delay", "allowed")
+
+
 # ---- schedules and logs --------------------------------------------------------------
 
 
@@ -274,16 +287,26 @@ def send_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule(requests).select(F.col("request_id").alias("event_id"), "origin", "send_ms")
 
 
-@query(
-    f"""
-    with {ROBOTS_SQL}, {ADMIT_SQL}, {WANTED_SQL},
+PLAN_SQL = f"""
+    with recursive {ROBOTS_SQL}, {ADMIT_SQL}, {WANTED_SQL},
+    asked as (
+      select request_id, arrive_ms, case when request_id % 89 = 0 then null when request_id % 97 = 0 then 'no url' else url end as url from wanted),
+    log as (
+      select request_id, a.url, arrive_ms, origin, stored_ms - {NOW_MS} as stored, greatest(250.0::double, coalesce(crawl_delay, 0) * 1000) as i,
+             case when origin is null then 'invalid' when not (d < 0 or a >= d) then 'blocked' else 'send' end as else_do,
+             row_number() over (partition by a.url order by arrive_ms, request_id) as rn
+      from asked a left join admitted on a.url = admitted.url left join {COPIES_SQL} c on c.url = a.url),
+    fold as (
+      select request_id, url, rn, coalesce(arrive_ms - stored < {TTL_MS}, false) as hit,
+             case when else_do = 'send' and not coalesce(arrive_ms - stored < {TTL_MS}, false) then arrive_ms else stored end as last_fetch
+      from log where rn = 1 and url is not null
+      union all
+      select l.request_id, l.url, l.rn, coalesce(l.arrive_ms - f.last_fetch < {TTL_MS}, false),
+             case when l.else_do = 'send' and not coalesce(l.arrive_ms - f.last_fetch < {TTL_MS}, false) then l.arrive_ms else f.last_fetch end
+      from fold f join log l on l.url = f.url and l.rn = f.rn + 1),
     decided as (
-      select request_id, w.url, arrive_ms, origin, greatest(250.0::double, coalesce(crawl_delay, 0) * 1000) as i,
-             case when coalesce({NOW_MS} - stored_ms < {TTL_MS}, false) then 'cached'
-                  when not (d < 0 or a >= d) then 'blocked'
-                  when row_number() over (partition by w.url order by arrive_ms, request_id) > 1 then 'cached'
-                  else 'send' end as action
-      from wanted w join admitted on w.url = admitted.url left join {COPIES_SQL} c on c.url = w.url),
+      select l.request_id, l.url, arrive_ms, origin, i, case when coalesce(hit, false) then 'cached' else else_do end as action
+      from log l left join fold f using (request_id)),
     slots as (
       select request_id, i, row_number() over o as rn, arrive_ms, origin from decided where action = 'send'
       window o as (partition by origin order by arrive_ms, request_id)),
@@ -291,11 +314,28 @@ def send_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
       select request_id, rn * i + max(arrive_ms - rn * i) over (partition by origin order by arrive_ms, request_id) as send_ms
       from slots)
     select request_id, url, arrive_ms, origin, action, send_ms from decided left join sends using (request_id)
-    """
-)
+"""
+
+
+def asked_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wanted URLs, some of them missing or not web URLs."""
+    wanted = wanted_urls(spark, sf_dir)
+    odd = F.when(F.col("request_id") % 89 == 0, F.lit(None)).when(F.col("request_id") % 97 == 0, F.lit("no url"))
+    return wanted.withColumn("url", F.when((F.col("request_id") % 89 == 0) | (F.col("request_id") % 97 == 0), odd).otherwise(F.col("url")))
+
+
+@query(PLAN_SQL)
 def crawl_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan(
-        wanted_urls(spark, sf_dir), page_copies(spark, sf_dir), robots_table(spark, sf_dir), POLITENESS, NOW_MS
+        asked_urls(spark, sf_dir), page_copies(spark, sf_dir), robots_table(spark, sf_dir), POLITENESS, NOW_MS
+    )
+
+
+@query(PLAN_SQL)
+def crawl_plan_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same plan with every larger origin and URL cut into chunks."""
+    return plan(
+        asked_urls(spark, sf_dir), page_copies(spark, sf_dir), robots_table(spark, sf_dir), POLITENESS, NOW_MS, hot_rows=12
     )
 
 
@@ -346,25 +386,38 @@ def request_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(HITS_SQL)
-def stream_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cache hits of a request stream, with state per URL."""
-    log = stream_pages(spark, f"{sf_dir}/events*.parquet", "event_id bigint, user_id bigint, ts timestamp")
-    requests = log.select(F.col("user_id").cast("string").alias("url"), F.col("event_id").alias("request_id"), "ts")
-    out = scratch_path(spark, "hits")
-    marked = hits_of_stream(requests, 3_600_000).writeStream.format("parquet")
-    marked.option("checkpointLocation", out + "-log").trigger(availableNow=True).start(out).awaitTermination()
-    return spark.read.parquet(out).select(
+def request_hits_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same hits with the users of many requests resolved in chunks."""
+    log = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_millis("ts").alias("ts"))
+    marked = mark_hits(log, 3_600_000, key="user_id", at="ts", tie="event_id", hot_rows=12)
+    return marked.select("event_id", "user_id", "hit")
+
+
+def _hits_of(spark: SparkSession, sf_dir: str, batches: int) -> DataFrame:
+    """Hits of the events as a stream of so many files in order of time."""
+    events = table(spark, sf_dir, "events")
+    requests = events.select(F.col("user_id").cast("string").alias("url"), F.col("event_id").alias("request_id"), "ts")
+    source, out = scratch_path(spark, "requests"), scratch_path(spark, "hits")
+    cuts = events.select(F.percentile_approx(F.unix_micros("ts"), [k / batches for k in range(1, batches)]).alias("c")).first()["c"]
+    edges = [None, *(cuts or []), None]
+    at = F.unix_micros("ts")
+    for low, high in zip(edges, edges[1:]):
+        part = requests.where((F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high))
+        part.coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    start_hits(stream, 3_600_000, out, out + "-log", availableNow=True).awaitTermination()
+    return spark.read.parquet(out + "/hits").select(
         F.col("request_id").alias("event_id"), F.col("url").cast("bigint").alias("user_id"), "hit"
     )
 
 
+@query(HITS_SQL)
+def stream_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cache hits of a request stream in one batch."""
+    return _hits_of(spark, sf_dir, 1)
+
+
 @query(HITS_SQL)
 def stream_hits_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same hits, batch by batch with the state in a table."""
-    log = stream_pages(spark, f"{sf_dir}/events*.parquet", "event_id bigint, user_id bigint, ts timestamp")
-    requests = log.select(F.col("user_id").cast("string").alias("url"), F.col("event_id").alias("request_id"), "ts")
-    out = scratch_path(spark, "hits")
-    start_hits(requests, 3_600_000, out, out + "-log", availableNow=True).awaitTermination()
-    return spark.read.parquet(out + "/hits").select(
-        F.col("request_id").alias("event_id"), F.col("url").cast("bigint").alias("user_id"), "hit"
-    )
+    """The same hits over four batches, with the state between them in a table."""
+    return _hits_of(spark, sf_dir, 4)

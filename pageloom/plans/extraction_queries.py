@@ -14,7 +14,6 @@ from pageloom.plans.tables import collapsed, decoded, longs, pages, table
 from pageloom.session import scratch_path
 from pageloom.site import Site, run_meta
 from pageloom.sources.pages import spread
-from pageloom.sources.sql import register_functions
 from pageloom.spec import Resource, parse_spec, spec_from_dict
 from pageloom.streaming.jobs import start_extraction, stream_pages
 
@@ -74,14 +73,11 @@ def node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {NAV_SQL} select page_id, label, href from nav")
 def sql_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The SQL form of page trees: a lateral table function."""
-    register_functions(spark)
-    pages(spark, sf_dir).createOrReplaceTempView("sample_pages")
+    """Page trees in SQL: a view with a row per element."""
+    trees = shred(pages(spark, sf_dir), ["page_id"], markup=False, attrs=["href"])
+    node_table(trees, ["page_id"], ["tag", "attrs", "text"]).createOrReplaceTempView("page_nodes")
     return spark.sql(
-        """
-        select page_id, trim(regexp_replace(a.text, '\\\\s+', ' ')) as label, a.attrs['href'] as href
-        from sample_pages p, lateral page_nodes(p.html) a where a.tag = 'a'
-        """
+        r"select page_id, trim(regexp_replace(text, '\\s+', ' ')) as label, attrs['href'] as href from page_nodes where tag = 'a'"
     )
 
 

@@ -31,15 +31,16 @@ class Result:
 class Site:
     """Resources of one site as DataFrames over a shared pages table.
 
-    ``pages`` has one row per URL: ``url``, ``html`` and, when known, ``final_url``,
-    ``from_cache`` and ``fetched_at``.  Filter it to the site's own pages first; that
+    ``pages`` has ``url``, ``html`` and, when known, ``final_url``, ``from_cache`` and
+    ``fetched_at``.  With ``fetched_at`` a URL may have several captures, of which the
+    newest counts; without it there is one row per URL.  Filter it to the site's own pages first; that
     filter reaches the scan.
     """
 
     def __init__(self, spec: SiteSpec, pages: DataFrame, hooks: Hooks | None = None) -> None:
         self.spec = spec
         self.hooks = hooks or Hooks()
-        self.pages = pages
+        self.pages = newest_captures(pages)
         self._stored: DataFrame | None = None
 
     @classmethod
@@ -186,6 +187,22 @@ class Site:
         return views
 
 
+def newest_captures(pages: DataFrame) -> DataFrame:
+    """The newest capture of each URL, where the table says when they were made.
+
+    Which ones go is settled on URL, time and a digest; pages move only where the list
+    of those that go is too long to be broadcast, and not at all in a stream.
+    """
+    if "fetched_at" not in pages.columns or pages.isStreaming:
+        return pages
+    order = [F.coalesce(F.unix_micros("fetched_at"), F.lit(-(1 << 62))).alias("_at"), F.xxhash64("html").alias("_digest")]
+    narrow = pages.select("url", *order)
+    best = narrow.groupBy("url").agg(F.max(F.struct("_at", "_digest")).alias("_best"), F.count("*").alias("_n")).where("_n > 1")
+    best = best.select(F.col("url").alias("_url"), "_best")
+    kept = pages.withColumn("_own", F.struct(*order)).join(best, F.col("url") == F.col("_url"), "left")
+    return kept.where(F.col("_best").isNull() | (F.col("_own") == F.col("_best"))).select(*pages.columns)
+
+
 def run_meta(name: str, visits: DataFrame, pages: DataFrame) -> DataFrame:
     """Per run: pages read, whether any came from the cache, when, and why it ended."""
     known = pages.select(

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pageloom.operators import snapshots as sn
-from pageloom.operators.hits import fold_hits, request_hits
+from pageloom.operators.hits import request_hits
 from pageloom.operators.scan import HOT_ROWS
 from pageloom.session import checkpoint
 from pageloom.site import Site
@@ -50,50 +48,6 @@ def start_snapshots(copies: DataFrame, path: str, checkpoint_path: str, **trigge
     return writer.trigger(**trigger).start()
 
 
-def stream_hits(requests: DataFrame, ttl_ms: int, delay: str = "1 hour") -> DataFrame:
-    """``url, request_id, ts, hit`` for a stream of ``request_id, url, ts`` requests.
-
-    State is one number per URL, the time of its last fetch, dropped once the
-    watermark is past the moment it could still make a hit.  One URL's requests of a
-    micro-batch meet in one task; where a URL may be very hot use :func:`start_hits`.
-    """
-
-    def run(
-        key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["ms", "request_id"], kind="stable")
-        last = state.get[0] if state.exists else None
-        hits, last = fold_hits(rows["ms"].to_numpy(), last, ttl_ms)
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last + ttl_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(
-            {
-                "url": key[0],
-                "request_id": rows["request_id"].to_numpy(),
-                "ts": rows["ts"].to_numpy(),
-                "hit": hits,
-            }
-        )
-
-    if ttl_ms <= 0:
-        return requests.select("url", "request_id", "ts", F.lit(False).alias("hit"))
-    timed = requests.select("url", "request_id", "ts", F.unix_millis("ts").alias("ms"))
-    return (
-        timed.withWatermark("ts", delay)
-        .groupBy("url")
-        .applyInPandasWithState(
-            run,
-            "url string, request_id bigint, ts timestamp, hit boolean",
-            "last_fetch bigint",
-            "append",
-            GroupStateTimeout.EventTimeTimeout,
-        )
-    )
-
-
 def start_hits(
     requests: DataFrame,
     ttl_ms: int,
@@ -103,13 +57,15 @@ def start_hits(
     hot_rows: int = HOT_ROWS,
     **trigger: Any,
 ) -> StreamingQuery:
-    """Like :func:`stream_hits`, batch by batch, with hot URLs spread over the cluster.
+    """Cache hits of a request stream, batch by batch, with hot URLs spread over the cluster.
 
-    Writes ``path/hits/batch=<n>`` and, per batch, the last fetch of every URL to
+    Every request is in the output, however late: one that comes after its batch's time
+    is judged against the last fetch known by then.  Writes ``path/hits/batch=<n>`` and, per batch, the last fetch of every URL to
     ``path/state/<n>``.  A request inside the period of a known fetch is a hit; the
     others start afresh and go through the batch operator.  A repeated batch reads
     the same earlier state and overwrites its own output.  Fetches more than
-    ``keep_ms`` older than the newest and past their period are forgotten.
+    ``keep_ms`` older than the newest and past their period are forgotten, so a request
+    that comes later than that counts as a miss.
     """
 
     def absorb(batch: DataFrame, number: int) -> None:
