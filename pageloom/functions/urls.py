@@ -239,7 +239,7 @@ def fill_template(template: str, params: dict[str, Column]) -> Column:
         if text:
             pieces.append(F.lit(text))
         if key:
-            message = f'Missing required parameter "{key}" for path "{template}"'
+            message = f"{template} needs a value for {{{key}}}"
             if key not in params:
                 raise ValueError(message)
             value = params[key].cast("string")

@@ -38,9 +38,9 @@ DESCRIPTION_SELECTOR = 'meta[name="description"]'
 NEXT_SELECTOR = 'a[rel="next"]'
 NEXT_TEXT = "^(next|more|older|»|→)"
 NEXT_CLASS = r"\b(next|more)\b"
-LIST_NOTE = "Auto-detected list — verify the row selector and fields."
-ITEM_NOTE = "No repeating structure found — extracting page-level fields."
-SITE_NOTE = ("Auto-generated draft spec for ", ". Review selectors before relying on it.")
+LIST_NOTE = "Rows were found by repetition; check their selector and the fields."
+ITEM_NOTE = "Nothing repeats on this page; the fields describe it as a whole."
+SITE_NOTE = ("Drafted from ", " by structure alone; check it before use.")
 
 FIELD_DDL = "array<struct<field:string,selector:string,attr:string,transform:array<string>>>"
 

@@ -84,7 +84,7 @@ class SiteSpec:
             if resource.name == name:
                 return resource
         known = ", ".join(r.name for r in self.resources)
-        raise KeyError(f'Unknown resource "{name}". Available: {known}')
+        raise KeyError(f"no resource is called {name!r}; this site has {known}")
 
 
 # Milliseconds per duration unit.
@@ -97,7 +97,7 @@ def parse_duration(value: str | int | float) -> int | float:
         return value
     match = re.fullmatch(r"([0-9]+(?:\.[0-9]+)?)\s*(ms|s|m|h|d)?", value.strip())
     if not match:
-        raise SpecError(f'Invalid duration: "{value}"')
+        raise SpecError(f"{value!r} is not a duration such as 10m or 1.5h")
     return int(float(match[1]) * UNIT_MS[match[2] or "ms"] + 0.5)
 
 
@@ -197,7 +197,7 @@ def _resource(raw: Any, where: str) -> Resource:
         fields = _fields(reader.get("fields", Mapping, ...), f"{where}.list.fields")
         reader.done()
     if rows is None and item is None:
-        raise SpecError(f'{where}: resource must define either "list" or "item"')
+        raise SpecError(f"{where}: one of list and item has to be given")
     result = Resource(
         name=name,
         path=path,
@@ -277,4 +277,4 @@ def load_spec(path: str | Path) -> SiteSpec:
     try:
         return parse_spec(Path(path).read_text(encoding="utf-8"))
     except SpecError as err:
-        raise SpecError(f'Failed to load spec "{path}":\n{err}') from err
+        raise SpecError(f"{path} is no site description: {err}") from err

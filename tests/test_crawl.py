@@ -12,7 +12,7 @@ from pageloom.operators.schedule import send_schedule
 from pageloom.plans.crawl import crawl_plan
 from pageloom.spec import Politeness
 
-ROBOTS = "User-agent: *\nDisallow: /private\nCrawl-delay: 5\n\nUser-agent: good-bot\nDisallow:\n"
+ROBOTS = "User-agent: *\nCrawl-delay: 8\nDisallow: /vault\n\nUser-agent: loombot\nDisallow:\n"
 
 
 def allowed(spark, body, token, *paths):
@@ -24,16 +24,34 @@ def allowed(spark, body, token, *paths):
 
 
 def test_groups_and_delay(spark):
-    assert allowed(spark, ROBOTS, "other-bot", "/private/x", "/public") == [(False, 5.0), (True, 5.0)]
-    assert allowed(spark, ROBOTS, "good-bot", "/private/x") == [(True, None)]
+    assert allowed(spark, ROBOTS, "snail", "/vault/key", "/lobby") == [(False, 8.0), (True, 8.0)]
+    assert allowed(spark, ROBOTS, "loombot", "/vault/key") == [(True, None)]
+
+
+def test_rules_meet_the_normalised_url(spark):
+    ways = ["/lobby/../vault/k", "/%2e/vault", "/lobby/%2E%2e/vault?x", "\\vault"]
+    assert [a for a, _ in allowed(spark, ROBOTS, "snail", *ways)] == [False] * 4
+    rules = rb.rulesets(rb.parse_robots(spark.createDataFrame([("https://h.com", ROBOTS)], "origin string, body string")), "snail")
+    odd = spark.createDataFrame([("HTTPS://H.com:443/vault",), ("no url",), (None,), ("mailto:a@h.com",), ("https://h.com",)], "url string")
+    assert {r.url: (r.origin, r.allowed) for r in rb.admit(odd, rules).collect()} == {
+        "HTTPS://H.com:443/vault": ("https://h.com", False), "no url": (None, False), None: (None, False),
+        "mailto:a@h.com": (None, False), "https://h.com": ("https://h.com", True),
+    }
+
+
+def test_several_files_of_one_origin_need_a_time(spark):
+    two = spark.createDataFrame([("o", "Allow: /", 1), ("o", "Disallow: /", 2)], "origin string, body string, fetched_at int")
+    assert rb.parse_robots(two).first().field == "disallow"
+    with pytest.raises(Exception, match="fetched_at"):
+        rb.parse_robots(two.drop("fetched_at")).collect()
 
 
 @pytest.mark.parametrize(
     "body, token, path, expected",
     [
-        ("User-agent: *\nDisallow: /*.json$", "b", "/a/b.json", False),
-        ("User-agent: *\nDisallow: /*.json$", "b", "/a/b.html", True),
-        ("User-agent: *\nDisallow: /docs\nAllow: /docs", "b", "/docs/x", True),
+        ("User-agent: *\nDisallow: /*.csv$", "b", "/t/u.csv", False),
+        ("User-agent: *\nDisallow: /*.csv$", "b", "/t/u.csv.gz", True),
+        ("User-agent: *\nAllow: /maps\nDisallow: /maps", "b", "/maps/2", True),
         ("Disallow: /x", "b", "/x", False),
         ("Disallow: /x\nUser-agent: b\nAllow: /", "b", "/x", True),
         ("User-agent: a\nUser-agent: b\nDisallow: /", "b", "/x", False),
@@ -164,17 +182,61 @@ def test_snapshots(spark):
     assert sn.split_wanted(wanted, base, 600, 0)[0].count() == 0
 
 
+def test_latest_without_times(spark):
+    rows = snapshot_rows(spark, [("a", "a0", None), ("a", "a1", None), ("b", "b0", None), ("b", "b1", 3)])
+    kept = {r.url: r.body for r in sn.latest(rows).collect()}
+    assert kept["a"] in ("a0", "a1") and kept["b"] == "b1"
+    assert {r.url: r.body for r in sn.latest(rows.orderBy(F.desc("body"))).collect()} == kept
+    assert {r.url: r.body for r in sn.upsert(snapshot_rows(spark, [("a", "old", 1)]), rows).collect()} == {"a": "old", "b": "b1"}
+
+
+def test_hits_of_fractions_are_refused(spark):
+    with pytest.raises(TypeError):
+        request_hits(spark.createDataFrame([("u", 0.5, 1)], "url string, ts double, request_id bigint"), 10)
+
+
 def test_crawl_plan(spark):
+    h = "https://h.com"
     wanted = spark.createDataFrame(
-        [(1, "https://h.com/private/1", 0), (2, "https://h.com/a", 0), (3, "https://h.com/b", 0), (4, "https://h.com/a", 5),
-         (5, "https://n.com/x", 7), (6, "https://h.com/private/2", 0), (7, "https://h.com/c", 9000)],
+        [(1, f"{h}/vault/1", 0), (2, f"{h}/a", 0), (3, f"{h}/b", 0), (4, f"{h}/a", 5), (5, "https://n.com/x", 7), (6, f"{h}/vault/2", 0),
+         (7, f"{h}/c", 9000), (8, None, 1), (9, "no url", 1), (10, f"{h}/vault/1", 99_500), (11, f"{h}/d", 10), (12, f"{h}/d", 60_000), (13, f"{h}/d", 150_000)],
         "request_id bigint, url string, arrive_ms bigint",
     )
-    copies = snapshot_rows(spark, [("https://h.com/private/1", "x", 1000)])
-    robots = spark.createDataFrame([("https://h.com", ROBOTS)], "origin string, body string")
-    plan = crawl_plan(wanted, copies, robots, Politeness(), 2000)
-    got = {r.request_id: (r.action, r.send_ms) for r in plan.collect()}
-    assert got == {
-        1: ("cached", None), 2: ("send", 0.0), 3: ("send", 5000.0), 4: ("cached", None),
-        5: ("send", 7.0), 6: ("blocked", None), 7: ("send", 10000.0),
+    copies = snapshot_rows(spark, [(f"{h}/vault/1", "x", 1000), (f"{h}/d", "y", -50_000), (f"{h}/d", "old", -90_000)])
+    robots = spark.createDataFrame([(h, ROBOTS)], "origin string, body string")
+
+    def actions(ttl, **more):
+        plan = crawl_plan(wanted, copies, robots, Politeness(cache_ttl_ms=ttl), 2000, **more)
+        return {r.request_id: (r.action, r.send_ms) for r in plan.collect()}
+
+    expected = {
+        1: ("cached", None), 2: ("send", 0.0), 3: ("send", 8000.0), 4: ("cached", None), 5: ("send", 7.0), 6: ("blocked", None),
+        7: ("send", 16000.0), 8: ("invalid", None), 9: ("invalid", None), 10: ("blocked", None),
+        # the copy of /d is 52 s old at the start: it serves until 48 s, the fetch at 60 s until 160 s
+        11: ("cached", None), 12: ("send", 60000.0), 13: ("cached", None),
+    }
+    assert actions(100_000) == expected
+    assert actions(100_000, hot_rows=1) == expected
+    assert {k for k, v in actions(0).items() if v[0] == "send"} == {2, 3, 4, 5, 7, 11, 12, 13}
+
+
+def test_busy_keys_are_split(spark):
+    """Lowered thresholds: the skew join takes a busy origin and a busy URL apart."""
+    rows = spark.range(40_000).select(
+        F.col("id").alias("request_id"), F.concat(F.lit("https://h.com/p"), F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 500)).alias("url")
+    ).repartition(8)
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
     }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        robots = spark.createDataFrame([("https://h.com", ROBOTS)], "origin string, body string")
+        admitted = rb.admit(rows, rb.rulesets(rb.parse_robots(robots), "snail"))
+        admitted.collect()
+        assert "skew=true" in admitted._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)

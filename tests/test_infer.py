@@ -3,7 +3,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from fixtures import BOOKS, BOOKS_WITH_NAV, QUOTES_1
+from fixtures import GUIDE, GUIDE_1, GUIDE_MENU
 from pageloom import Site, parse_spec
 from pageloom.operators import infer
 
@@ -13,44 +13,35 @@ def drafts(spark, *pages):
     return {r.url: json.loads(r.draft) for r in infer.infer_drafts(df).collect()}
 
 
-def test_books_draft(spark):
-    url = "https://www.books.example.com/catalogue/page-1.html?x=1#f"
-    draft = drafts(spark, (url, BOOKS))[url]
-    assert draft["name"] == "books" and draft["baseUrl"] == "https://www.books.example.com"
-    resource = draft["resources"][0]
-    assert resource["name"] == "items" and "item" not in resource
-    assert resource["list"]["selector"] == "article.product_pod"
-    assert resource["list"]["fields"] == {
-        "title": {"selector": "h1,h2,h3,h4,h5,h6"},
-        "url": {"selector": "a", "attr": "href", "transform": ["url"]},
-        "price": {"selector": '[class*="price"]', "transform": ["float"]},
-        "image": {"selector": "img", "attr": "src", "transform": ["url"]},
-    }
-    assert resource["fetch"] == {
-        "path": "/catalogue/page-1.html?x=1",
-        "pagination": {"type": "link", "selector": 'a[rel="next"]', "maxPages": 1},
-    }
-
-
-def test_content_beats_navigation_and_draft_runs(spark):
-    url = "https://books.example.com/"
-    draft = drafts(spark, (url, BOOKS_WITH_NAV))[url]
-    assert "product_pod" in draft["resources"][0]["list"]["selector"]
-    pages = spark.createDataFrame([(url, BOOKS_WITH_NAV)], "url string, html string")
-    rows = Site(parse_spec(json.dumps(draft)), pages).resource("items").data.collect()
-    assert [r.title for r in rows] == ["Book One...", "Book Two...", "Book Six..."]
-    assert [r.price for r in rows] == [51.77, 53.74, 50.10]
-    assert rows[0].image == "https://books.example.com/media/0.jpg"
-
-
-def test_no_repetition_falls_back_to_the_page(spark):
-    plain = "<html><head><title>Hi</title></head><body><h1>Hello</h1></body></html>"
-    described = plain.replace("<title>", '<meta name="description" content="d"><title>')
-    got = drafts(spark, ("https://a.com", plain), ("https://b.com/x", described))
-    item = got["https://a.com"]["resources"][0]
-    assert item["name"] == "page" and item["item"]["fields"] == {"title": {"selector": "h1,h2,title"}}
-    assert item["fetch"] == {"path": "/"}
-    assert set(got["https://b.com/x"]["resources"][0]["item"]["fields"]) == {"title", "description"}
+def test_draft_of_a_grid(spark):
+    url = "https://www.paths.example.org/north/all.html?sort=toll#top"
+    draft = drafts(spark, (url, GUIDE_1))[url]
+    assert (draft["name"], draft["baseUrl"]) == ("paths", "https://www.paths.example.org")
+    (resource,) = draft["resources"]
+    assert resource["name"] == "items" and resource["list"]["selector"] == "section.card.walk"
+    fields = resource["list"]["fields"]
+    assert set(fields) == {"title", "url", "price", "image"}
+    assert [fields[n]["transform"] for n in ("url", "price", "image")] == [["url"], ["float"], ["url"]]
+    assert resource["fetch"]["path"] == "/north/all.html?sort=toll"
+    assert resource["fetch"]["pagination"]["selector"] == 'a[rel="next"]'
+
+
+def test_cards_beat_a_longer_menu_and_the_draft_runs(spark):
+    url = f"{GUIDE}/"
+    draft = drafts(spark, (url, GUIDE_MENU))[url]
+    pages = spark.createDataFrame([(url, GUIDE_MENU)], "url string, html string")
+    rows = Site(parse_spec(json.dumps(draft)), pages).resource("items").data.orderBy("price").collect()
+    assert [(r.title, r.price) for r in rows] == [("Mill Loop", 3.25), ("Salt Marsh", 7.0), ("Heron Ridge", 12.5), ("Quarry", 1040.5)]
+    assert rows[0].image == f"{GUIDE}/pics/w2.webp" and rows[0].url == f"{GUIDE}/walk/2"
+
+
+def test_a_page_without_rows(spark):
+    bare = "<title>Closed</title><h1>Back in May</h1><p>The path is under water."
+    told = '<meta name="description" content="Floods">' + bare
+    got = drafts(spark, ("https://q.example", bare), ("https://r.example/now", told))
+    fields = {url: set(d["resources"][0]["item"]["fields"]) for url, d in got.items()}
+    assert fields == {"https://q.example": {"title"}, "https://r.example/now": {"title", "description"}}
+    assert got["https://q.example"]["resources"][0]["fetch"]["path"] == "/"
     for draft in got.values():
         parse_spec(json.dumps(draft))
 
@@ -61,21 +52,20 @@ def groups(spark, html):
 
 
 def test_scores(spark):
-    html = "<body><ul>" + "".join(f"<li class='row x1 y'><a href=#>item {i}</a><h2>T</h2></li>" for i in range(7)) + "</ul><p>a<p>b<p>c"
-    (g,) = groups(spark, html)
-    assert (g.signature, g.n) == ("li.row.x1", 7)
-    # 'item 0T' is 7 characters, 2 elements, a heading and a link
-    assert math.isclose(g.score, (7 + 50 + 6 + 10) * (1 + math.log2(7)))
+    rows = "".join(f"<dd class='leg x2 z'><a href=#>stage {i}</a><h5>K</h5></dd>" for i in range(5))
+    (g,) = groups(spark, f"<body><dl>{rows}</dl><p>a<p>b<p>c")
+    assert (g.signature, g.n) == ("dd.leg.x2", 5)
+    # 'stage 0K' is 8 characters, 2 elements, a heading and a link
+    assert math.isclose(g.score, (8 + 50 + 6 + 10) * (1 + math.log2(5)))
 
 
 def test_group_rules(spark):
-    assert groups(spark, "<body><p>a<p>b<p>c") == []
-    many = "<body><div>" + "<p>x</p>" * 601 + "</div>"
-    assert groups(spark, many) == []
-    mixed = "<body><div><p>x</p><script>1</script><script>2</script><script>3</script><p>y</p><p>z</p></div>"
-    assert [(g.signature, g.n) for g in groups(spark, mixed)] == [("p", 3)]
-    odd = "<body><div><p class='1x ok'>x</p><p class='ok'>y</p><p class='ok'>z</p></div>"
-    assert [(g.signature, g.n) for g in groups(spark, odd)] == [("p.ok", 3)]
+    assert groups(spark, "<body><h6>a</h6><h6>b</h6><h6>c</h6>") == []
+    assert groups(spark, "<body><div>" + "<q>x</q>" * 601 + "</div>") == []
+    mixed = "<body><div><q>k</q><script>7</script><script>8</script><script>9</script><q>l</q><q>m</q></div>"
+    assert [(g.signature, g.n) for g in groups(spark, mixed)] == [("q", 3)]
+    odd = "<body><div><q class='3d fine'>k</q><q class='fine'>l</q><q class='fine'>m</q></div>"
+    assert [(g.signature, g.n) for g in groups(spark, odd)] == [("q.fine", 3)]
 
 
 def paging(spark, html):
@@ -84,17 +74,17 @@ def paging(spark, html):
 
 
 def test_pagination_link(spark):
-    assert paging(spark, QUOTES_1) == ".next a"
-    assert paging(spark, "<a href=x>Older posts</a><a class='Go-More b' href=y>x</a>") == "a.go-more"
-    assert paging(spark, "<div class='pager'><a href=x> Next</a></div><a rel=next>z</a>") == 'a[rel="next"]'
-    assert paging(spark, "<p class='9'><a href=x>next</a></p><div class='ok'><a>»</a></div>") == ".ok a"
-    assert paging(spark, "<a href=x>previous</a>") is None
+    assert paging(spark, "<div class='leaf'><a href=k>Next leaf</a></div>") == ".leaf a"
+    assert paging(spark, "<a href=k>Older walks</a><a class='See-More c' href=l>k</a>") == "a.see-more"
+    assert paging(spark, "<p class='leaf'><a href=k> next</a><p><a rel=next href=l>z</a>") == 'a[rel="next"]'
+    assert paging(spark, "<p class='7'><a href=k>more</a></p><div class='foot'><a>→</a></div>") == ".foot a"
+    assert paging(spark, "<a href=k>back</a>") is None
 
 
 def test_inference_has_no_shuffle(spark):
-    pages = spark.createDataFrame([("u", BOOKS)], "url string, html string")
-    plan = infer.infer_drafts(pages)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan
-    assert infer.best_groups(infer.infer_trees(pages), ["url"]).select(F.col("signature")).first()[0] == "article.product_pod"
+    pages = spark.createDataFrame([("u", GUIDE_1)], "url string, html string")
+    assert "Exchange" not in infer.infer_drafts(pages)._jdf.queryExecution().executedPlan().toString()
+    best = infer.best_groups(infer.infer_trees(pages), ["url"])
+    assert best.select(F.col("signature")).first()[0] == "section.card.walk"
     (row,) = infer.inferred_fields(infer.infer_trees(pages), ["url"]).collect()
-    assert row.selector == "article.product_pod" and len(row.fields) == 4
+    assert len(row.fields) == 4

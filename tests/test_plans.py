@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from fixtures import QUOTES_SPEC
+from fixtures import SHED_SPEC
 from pageloom import Site, parse_spec
 from pageloom.operators import frontier
 from pageloom.session import checkpoint, scratch_path
@@ -29,26 +29,26 @@ def test_url_work_does_not_read_html(spark):
 
 
 def test_filters_and_columns_reach_the_scan(pages):
-    site = Site(parse_spec(QUOTES_SPEC), pages.where(F.col("url").startswith("https://m.")))
-    plan = executed(site.over_pages("quotes"))
+    site = Site(parse_spec(SHED_SPEC), pages.where(F.col("url").startswith("https://m.")))
+    plan = executed(site.over_pages("tools"))
     assert "StringStartsWith(url,https://m.)" in plan
     assert "ReadSchema: struct<url:string,html:string>" in plan
     assert "Exchange" not in plan
 
 
 def test_resources_share_one_parse(pages):
-    assert executed(Site(parse_spec(QUOTES_SPEC), pages).page_rows()).count("MapInArrow") == 1
+    assert executed(Site(parse_spec(SHED_SPEC), pages).page_rows()).count("MapInArrow") == 1
 
 
 def test_start_pages_are_picked_before_the_parse(pages):
-    plan = executed(Site(parse_spec(QUOTES_SPEC), pages).resource("page").data)
+    plan = executed(Site(parse_spec(SHED_SPEC), pages).resource("sheet").data)
     parse, semi = plan.index("MapInArrow"), plan.index("LeftSemi")
     assert parse < semi  # the semi join is below the parse
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_pairwise_joins(spark, name):
-    if name.startswith("stream"):
+    if name.startswith(("stream", "op", "pipeline")):
         pytest.skip("runs to completion when built")
     plan = executed(QUERIES[name](spark, SF))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

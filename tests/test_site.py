@@ -1,175 +1,169 @@
 import pytest
 from pyspark.sql import functions as F
 
-from fixtures import BOOKS, BOOKS_SPEC, QUOTES_1, QUOTES_2, QUOTES_SPEC
+from fixtures import GUIDE, GUIDE_1, GUIDE_SPEC, SHED, SHED_1, SHED_2, SHED_SPEC, SHED_URLS
 from pageloom import Hooks, Site, hook_transform, load_hooks, parse_spec
 from pageloom.hooks import keep_first, rating_word, sort_by_number
 
 
 @pytest.fixture(scope="module")
-def quotes(spark):
-    return spark.createDataFrame(
-        [("https://quotes.example.com/", QUOTES_1), ("https://quotes.example.com/page/2/", QUOTES_2)],
-        "url string, html string",
-    )
+def shed(spark):
+    return spark.createDataFrame(list(zip(SHED_URLS, [SHED_1, SHED_2])), "url string, html string")
 
 
 def ordered(df):
     return df.orderBy("_source", "_page_no", "_row_no").collect()
 
 
-def test_walk_two_pages(quotes):
-    site = Site(parse_spec(QUOTES_SPEC), quotes)
-    result = site.resource("quotes")
+def test_walk(shed):
+    result = Site(parse_spec(SHED_SPEC), shed).resource("tools")
     rows = ordered(result.data)
-    assert [r.author for r in rows] == ["Author One", "Author Two", "Author Three", "Author Four", "Author Five"]
-    assert rows[0].tags == ["a", "b"] and rows[2].tags == []
-    assert rows[0].text == '"Saying 1"'
-    assert result.warnings.count() == 0
-    meta = result.meta.collect()
-    assert [(m.source, m.pages, m.stop_reason) for m in meta] == [("https://quotes.example.com/", 2, "no_next")]
+    assert [(r.label, r.keeper) for r in rows] == [
+        ("Plane", "Ida"), ("Level", "Omar"), ("Fret saw", "Ida"), ("Rasp", "Noor"), ("Auger", "Omar"), ("Adze", "Lev"), ("Spokeshave", "Noor"),
+    ]
+    assert [len(r.uses) for r in rows] == [1, 0, 3, 1, 2, 0, 1]
+    assert rows[2].uses == ["ply", "veneer", "horn"]
+    assert result.warnings.isEmpty()
+    (meta,) = result.meta.collect()
+    assert (meta.source, meta.pages, meta.stop_reason) == (SHED_URLS[0], 2, "no_next")
+
+
+def test_older_captures_change_nothing(spark, shed):
+    from_time = lambda df, s: df.withColumn("fetched_at", F.timestamp_seconds(F.lit(s).cast("bigint")))
+    old = shed.withColumn("html", F.replace("html", F.lit("Plane"), F.lit("Broken plane")))
+    both = from_time(shed, 90).unionByName(from_time(old, 20)).unionByName(from_time(old, None))
+    for pages in (both, from_time(shed, 90)):
+        result = Site(parse_spec(SHED_SPEC), pages).resource("tools")
+        assert [r.label for r in ordered(result.data)][:2] == ["Plane", "Level"]
+        assert result.data.count() == 7 and result.meta.first().pages == 2
 
 
-def test_page_cap_and_item(quotes):
-    site = Site(parse_spec(QUOTES_SPEC), quotes).store()
-    assert site.resource("quotes", max_pages=1).data.count() == 3
-    assert site.resource("quotes", max_pages=0).meta.first().stop_reason == "max_pages"
-    assert [r.title for r in site.resource("page").data.collect()] == ["All Quotes"]
-    assert site.create_views("v_") == ["v_quotes", "v_page"]
-    assert quotes.sparkSession.sql("select count(*) n from v_quotes").first().n == 5
+def test_cap_views_and_item(spark, shed):
+    site = Site(parse_spec(SHED_SPEC), shed).store()
+    assert site.resource("tools", max_pages=1).data.count() == 4
+    assert site.resource("tools", max_pages=0).meta.first().stop_reason == "max_pages"
+    assert [r.heading for r in site.resource("sheet").data.collect()] == ["What we lend"]
+    assert site.create_views("of_") == ["of_tools", "of_sheet"]
+    assert spark.sql("select max(label) from of_tools").first()[0] == "Spokeshave"
 
 
-def test_unknown_resource_lists_names(quotes):
-    with pytest.raises(KeyError, match="Available: quotes, page"):
-        Site(parse_spec(QUOTES_SPEC), quotes).resource("nope")
+def test_unknown_resource(shed):
+    with pytest.raises(KeyError, match="tools, sheet"):
+        Site(parse_spec(SHED_SPEC), shed).resource("boats")
 
 
-def test_missing_page_stops_the_run(quotes):
-    site = Site(parse_spec(QUOTES_SPEC), quotes.where("url not like '%page%'"))
-    result = site.resource("quotes")
-    assert result.data.count() == 3
+def test_page_that_is_not_there(shed):
+    site = Site(parse_spec(SHED_SPEC), shed.where(F.col("url") == SHED_URLS[0]))
+    result = site.resource("tools")
     meta = result.meta.first()
-    assert (meta.pages, meta.stop_reason) == (1, "missing_page")
+    assert (result.data.count(), meta.pages, meta.stop_reason) == (4, 1, "missing_page")
     with pytest.raises(Exception, match="page not found"):
-        site.resource("quotes", strict=True).data.collect()
+        site.resource("tools", strict=True).data.collect()
 
 
-def test_store_as_table(quotes, tmp_path):
-    site = Site(parse_spec(QUOTES_SPEC), quotes).store(str(tmp_path / "rows"))
-    assert site.resource("quotes").data.count() == 5
+def test_rows_kept_as_a_table(shed, tmp_path):
+    kept = Site(parse_spec(SHED_SPEC), shed).store(str(tmp_path / "kept"))
+    assert kept.resource("tools").data.agg(F.sum(F.size("uses"))).first()[0] == 8
 
 
-def test_books_with_hooks(spark):
-    pages = spark.createDataFrame([("https://books.example.com/", BOOKS)], "url string, html string")
-    hooks = Hooks({"rating": rating_word}, {"cheapest": sort_by_number("price")})
-    result = Site(parse_spec(BOOKS_SPEC), pages, hooks).resource("books")
-    rows = result.data.collect()
-    assert [(r.title, r.price, r.rating) for r in rows] == [
-        ("Book Six", 50.10, 5),
-        ("Book One", 51.77, 3),
-        ("Book Two", 53.74, 1),
+@pytest.fixture(scope="module")
+def guide(spark):
+    return spark.createDataFrame([(f"{GUIDE}/", GUIDE_1)], "url string, html string")
+
+
+def test_numbers_links_and_hooks(guide):
+    hooks = Hooks({"stars": rating_word}, {"by-toll": sort_by_number("toll")})
+    data = Site(parse_spec(GUIDE_SPEC), guide, hooks).resource("walks").data
+    assert [(r.name, r.toll, r.stars) for r in data.collect()] == [
+        ("Mill Loop", 3.25, 4), ("Salt Marsh", 7.0, 3), ("Heron Ridge", 12.5, 2), ("Quarry", 1040.5, 1),
     ]
-    assert rows[0].url == "https://books.example.com/catalogue/2/index.html"
-    assert dict(result.data.dtypes)["price"] == "double"
+    assert {r.link for r in data.collect()} == {f"{GUIDE}/walk/{n}" for n in (1, 2, 3, 4)}
+    assert dict(data.dtypes)["toll"] == "double"
 
 
-def test_missing_hooks_warn(spark):
-    pages = spark.createDataFrame([("https://books.example.com/", BOOKS)], "url string, html string")
-    result = Site(parse_spec(BOOKS_SPEC), pages).resource("books")
-    messages = [(r.field, r.message) for r in result.warnings.collect()]
-    assert messages.count(("rating", 'unknown transform "rating" (not built-in and not found in hooks)')) == 3
-    assert ("(postProcess)", 'no hook named "cheapest" found') in messages
-    assert sorted(r.rating for r in result.data.collect()) == ["star-rating Five", "star-rating One", "star-rating Three"]
+def test_hooks_that_are_not_there(guide):
+    result = Site(parse_spec(GUIDE_SPEC), guide).resource("walks")
+    found = [r.field for r in result.warnings.collect()]
+    assert (found.count("stars"), found.count("(postProcess)")) == (4, 1)
+    assert {r.stars for r in result.data.collect()} == {f"star-rating {w}" for w in ("One", "Two", "Three", "Four")}
 
 
-SHOUT_SPEC = """
-name: quotes
-baseUrl: https://quotes.example.com
+HOOKED_SPEC = """
+name: shed
+baseUrl: https://shed.example.org
 resources:
-  - name: quotes
-    fetch: {path: /}
-    postProcess: first
+  - name: tools
+    fetch: {path: /shed}
+    postProcess: top
     list:
-      selector: .quote
+      selector: tr.tool
       fields:
-        author: {selector: small.author, transform: shout}
-        tags: {selector: a.tag, many: true, transform: [shout, lower]}
+        keeper: {selector: .keeper, transform: dash}
+        first: {selector: a.use, transform: dash, optional: true}
+        uses: {selector: a.use, many: true, transform: [dash, upper]}
+"""
+DASH_FILE = """
+from pageloom.hooks import hook_transform, keep_first
+@hook_transform(kind='series')
+def dash(values, base):
+    return values.map(lambda v: '-' + v[::-1])
+transforms = {'dash': dash}
+post_process = {'top': keep_first(2)}
 """
 
 
 @pytest.mark.parametrize("kind", ["column", "series"])
-def test_value_hook_and_keep_first(quotes, kind):
+def test_value_hooks(shed, kind):
     if kind == "column":
-        shout = hook_transform()(lambda v, base: F.concat(F.upper(v), F.lit("!")))
+        dash = hook_transform()(lambda v, base: F.concat(F.lit("-"), F.reverse(v)))
     else:
-        shout = hook_transform(kind="series")(lambda v, base: v.map(lambda x: None if x is None else x.upper() + "!"))
-    site = Site(parse_spec(SHOUT_SPEC), quotes, Hooks({"shout": shout}, {"first": keep_first(1)}))
-    result = site.resource("quotes")
-    assert [(r.author, r.tags) for r in result.data.collect()] == [("AUTHOR ONE!", ["a!", "b!"])]
-    assert result.warnings.count() == 0
-
-
-def test_hooks_from_a_file(quotes, tmp_path, spark):
-    file = tmp_path / "shout_hooks.py"
-    file.write_text(
-        "from pageloom.hooks import hook_transform, keep_first\n"
-        "@hook_transform(kind='series')\n"
-        "def shout(v, base):\n    return v.map(lambda x: None if x is None else x.upper() + '!')\n"
-        "transforms = {'shout': shout}\npost_process = {'first': keep_first(1)}\n"
-    )
-    site = Site(parse_spec(SHOUT_SPEC), quotes, load_hooks(file))
-    assert site.resource("quotes").data.first().author == "AUTHOR ONE!"
+        # fails on a missing value: the second tool has no use
+        dash = hook_transform(kind="series")(lambda v, base: v.map(lambda x: "-" + x[::-1]))
+    site = Site(parse_spec(HOOKED_SPEC), shed, Hooks({"dash": dash}, {"top": keep_first(3)}))
+    result = site.resource("tools")
+    assert [(r.keeper, r.first, r.uses) for r in ordered(result.data)] == [
+        ("-adI", "-kao", ["-KAO"]), ("-ramO", None, []), ("-adI", "-ylp", ["-YLP", "-REENEV", "-NROH"]),
+    ]
+    assert result.warnings.isEmpty()
 
 
-def test_site_from_files(quotes, tmp_path):
-    (tmp_path / "loud_hooks.py").write_text(
-        "from pageloom.hooks import hook_transform, keep_first\n"
-        "def _loud(text):\n    return None if text is None else text.upper() + '!'\n"
-        "@hook_transform(kind='series')\ndef shout(v, base):\n    return v.map(_loud)\n"
-        "transforms = {'shout': shout}\npost_process = {'first': keep_first(2)}\n"
-    )
-    (tmp_path / "site.yaml").write_text(SHOUT_SPEC.replace("resources:", "hooks: ./loud_hooks.py\nresources:"))
-    site = Site.from_file(tmp_path / "site.yaml", quotes)
-    assert [r.author for r in site.resource("quotes").data.collect()] == ["AUTHOR ONE!", "AUTHOR TWO!"]
+def test_hook_files(spark, shed, tmp_path):
+    (tmp_path / "dashes.py").write_text(DASH_FILE)
+    site = Site(parse_spec(HOOKED_SPEC), shed, load_hooks(tmp_path / "dashes.py"))
+    assert [r.keeper for r in ordered(site.resource("tools").data)] == ["-adI", "-ramO"]
+    (tmp_path / "more_dashes.py").write_text(DASH_FILE.replace("keep_first(2)", "keep_first(1)"))
+    (tmp_path / "shed.yaml").write_text(HOOKED_SPEC.replace("resources:", "hooks: ./more_dashes.py\nresources:"))
+    assert Site.from_file(tmp_path / "shed.yaml", shed).resource("tools").data.count() == 1
 
 
-def test_start_url_that_is_none(spark, quotes):
-    spec = parse_spec(QUOTES_SPEC.replace("path: /\n", "path: '//{host}/'\n"))
-    params = spark.createDataFrame([("quotes.example.com",), ("a b",)], "host string")
-    meta = {m.source: (m.pages, m.stop_reason) for m in Site(spec, quotes).resource("quotes", params).meta.collect()}
-    assert meta == {"https://quotes.example.com/": (2, "no_next"), None: (0, "bad_url")}
+def test_start_that_is_no_url(spark, shed):
+    spec = parse_spec(SHED_SPEC.replace("path: /shed\n", "path: '//{host}/shed'\n"))
+    hosts = spark.createDataFrame([("shed.example.org",), ("no host",)], "host string")
+    meta = Site(spec, shed).resource("tools", hosts).meta.collect()
+    assert {m.source: (m.pages, m.stop_reason) for m in meta} == {SHED_URLS[0]: (2, "no_next"), None: (0, "bad_url")}
 
 
-def test_query_pagination_over_pages(spark):
-    """Numbered pages follow each page's final URL."""
-    spec = parse_spec(
-        QUOTES_SPEC.replace("{type: link, selector: li.next a, maxPages: 3}", "{type: query, param: page, maxPages: 3}")
-    )
+def test_numbered_pages_follow_the_final_url(spark):
+    paging = "{type: query, param: leaf, maxPages: 4}"
+    spec = parse_spec(SHED_SPEC.replace("{type: link, selector: .turn a.on, maxPages: 4}", paging))
     pages = spark.createDataFrame(
-        [("https://quotes.example.com/", "https://quotes.example.com/?page=5", QUOTES_1), ("https://quotes.example.com/?page=6", None, QUOTES_2)],
+        [(f"{SHED}/shed", f"{SHED}/shed?leaf=8", SHED_2), (f"{SHED}/shed?leaf=9", None, SHED_1)],
         "url string, final_url string, html string",
     )
-    result = Site(spec, pages).resource("quotes")
+    result = Site(spec, pages).resource("tools")
     meta = result.meta.first()
-    assert (meta.pages, meta.stop_reason, result.data.count()) == (2, "missing_page", 5)
+    assert (meta.pages, meta.stop_reason, result.data.count()) == (2, "missing_page", 7)
 
 
-def test_params_many_runs(spark):
-    pages = spark.createDataFrame(
-        [("https://quotes.example.com/t/a%20b", QUOTES_1), ("https://quotes.example.com/t/c", QUOTES_2)],
-        "url string, html string",
-    )
-    spec = parse_spec(QUOTES_SPEC.replace("path: /\n", "path: /t/{tag}\n"))
-    params = spark.createDataFrame([("a b",), ("c",)], "tag string")
-    result = Site(spec, pages).resource("quotes", params, max_pages=1)
-    assert sorted((m.source, m.pages) for m in result.meta.collect()) == [
-        ("https://quotes.example.com/t/a%20b", 1),
-        ("https://quotes.example.com/t/c", 1),
-    ]
-    assert result.data.count() == 5
+def test_one_run_per_parameter(spark):
+    pages = spark.createDataFrame([(f"{SHED}/of/No%20one", SHED_1), (f"{SHED}/of/Lev", SHED_2)], "url string, html string")
+    spec = parse_spec(SHED_SPEC.replace("path: /shed\n", "path: /of/{keeper}\n"))
+    keepers = spark.createDataFrame([("No one",), ("Lev",)], "keeper string")
+    result = Site(spec, pages).resource("tools", keepers, max_pages=1)
+    assert {(m.source, m.pages) for m in result.meta.collect()} == {(f"{SHED}/of/No%20one", 1), (f"{SHED}/of/Lev", 1)}
+    assert result.data.groupBy("_source").count().count() == 2
 
 
-def test_extraction_has_no_shuffle(quotes):
-    plan = Site(parse_spec(QUOTES_SPEC), quotes).over_pages("quotes")
-    text = plan._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in text and "Join" not in text
+def test_extraction_has_no_shuffle(shed):
+    plan = Site(parse_spec(SHED_SPEC), shed).over_pages("tools")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan

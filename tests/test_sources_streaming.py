@@ -4,29 +4,27 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from fixtures import QUOTES_1, QUOTES_2, QUOTES_SPEC
+from fixtures import SHED_1, SHED_2, SHED_SPEC, SHED_URLS as URLS
 from pageloom import Site, parse_spec
 from pageloom.operators.hits import request_hits
 from pageloom.sources import cache, pages
 from pageloom.sources.sinks import write_result
 from pageloom.streaming import jobs
 
-URLS = ["https://quotes.example.com/", "https://quotes.example.com/page/2/"]
-
 
 def page_rows(spark):
-    return spark.createDataFrame(list(zip(URLS, [QUOTES_1, QUOTES_2])), "url string, html string")
+    return spark.createDataFrame(list(zip(URLS, [SHED_1, SHED_2])), "url string, html string")
 
 
 def test_cache_folder(spark, tmp_path):
     def put(url, text):
         (tmp_path / (hashlib.sha256(url.encode()).hexdigest() + ".json")).write_text(text)
 
-    put(URLS[0], json.dumps({"body": QUOTES_1, "finalUrl": URLS[0] + "x", "storedAt": 1700000000000}))
+    put(URLS[0], json.dumps({"body": SHED_1, "finalUrl": URLS[0] + "x", "storedAt": 1700000000000}))
     put(URLS[1], '{"body": "broken')
-    known = spark.createDataFrame([(u,) for u in [*URLS, "https://other/"]], "url string")
+    known = spark.createDataFrame([(u,) for u in [*URLS, "https://other.example/"]], "url string")
     (row,) = cache.read_cache_folder(spark, str(tmp_path), known).collect()
-    assert (row.url, row.final_url, row.body) == (URLS[0], URLS[0] + "x", QUOTES_1)
+    assert (row.url, row.final_url, row.body) == (URLS[0], URLS[0] + "x", SHED_1)
     assert row.stored_at.timestamp() == 1700000000
 
 
@@ -45,13 +43,13 @@ def test_snapshot_table(spark, tmp_path):
 
 def test_html_files_and_sink(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "q.html").write_text(QUOTES_1)
+    (tmp_path / "in" / "s.html").write_text(SHED_1)
     found = pages.read_html_files(spark, str(tmp_path / "in"))
-    rows = Site(parse_spec(QUOTES_SPEC), found).over_pages("quotes").collect()
-    assert len(rows) == 3 and rows[0].url.endswith("q.html")
-    result = Site(parse_spec(QUOTES_SPEC), page_rows(spark)).resource("quotes")
+    rows = Site(parse_spec(SHED_SPEC), found).over_pages("tools").collect()
+    assert len(rows) == 4 and rows[0].url.endswith("s.html")
+    result = Site(parse_spec(SHED_SPEC), page_rows(spark)).resource("tools")
     write_result(result, str(tmp_path / "out"), "json")
-    assert spark.read.json(str(tmp_path / "out" / "data")).count() == 5
+    assert spark.read.json(str(tmp_path / "out" / "data")).count() == 7
     assert spark.read.json(str(tmp_path / "out" / "meta")).first().pages == 2
 
 
@@ -67,10 +65,10 @@ def test_stream_extraction_equals_batch(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     page_rows(spark).repartition(2).write.parquet(source)
     stream = jobs.stream_pages(spark, source, "url string, html string", 1)
-    spec = parse_spec(QUOTES_SPEC)
-    jobs.start_extraction(Site(spec, stream), "quotes", out, str(tmp_path / "ck"), availableNow=True).awaitTermination()
-    expected = Site(spec, page_rows(spark)).over_pages("quotes")
-    key = lambda df: sorted((r.url, r._row_no, r.author, tuple(r.tags)) for r in df.collect())
+    spec = parse_spec(SHED_SPEC)
+    jobs.start_extraction(Site(spec, stream), "tools", out, str(tmp_path / "ck"), availableNow=True).awaitTermination()
+    expected = Site(spec, page_rows(spark)).over_pages("tools")
+    key = lambda df: sorted((r.url, r._row_no, r.label, tuple(r.uses)) for r in df.collect())
     assert key(spark.read.parquet(out)) == key(expected)
 
 
@@ -87,8 +85,8 @@ def test_stream_snapshots(spark, tmp_path):
     assert {r.url: r.body for r in cache.read_snapshots(spark, out).collect()} == {"a": "a3", "b": "b2"}
 
 
-@pytest.mark.parametrize("form", ["state", "batches", "hot batches"])
-def test_stream_hits_equal_batch(spark, tmp_path, form):
+@pytest.mark.parametrize("hot_rows", [1000, 4])
+def test_stream_hits_equal_batch(spark, tmp_path, hot_rows):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     rows = [(i, f"u{i % 3}", 1_700_000_000_000 + i * 700) for i in range(60)]
     table = spark.createDataFrame(rows, "request_id bigint, url string, ms bigint").select(
@@ -96,18 +94,11 @@ def test_stream_hits_equal_batch(spark, tmp_path, form):
     )
     for part in range(3):
         table.where(f"request_id between {part * 20} and {part * 20 + 19}").coalesce(1).write.mode("append").parquet(source)
+    # two hours late, in a batch of its own: kept, and within the period of a known fetch
+    late = table.where("request_id = 0").select(F.lit(99).cast("bigint").alias("request_id"), "url", (F.col("ts") - F.expr("interval 2 hours")).alias("ts"))
+    late.coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    if form == "state":
-        marked = jobs.stream_hits(stream, 5000)
-        query = (
-            marked.writeStream.format("parquet")
-            .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(out)
-        )
-    else:
-        hot_rows = 4 if form == "hot batches" else 1000
-        query = jobs.start_hits(stream, 5000, out, str(tmp_path / "ck"), hot_rows=hot_rows, availableNow=True)
-        out += "/hits"
-    query.awaitTermination()
+    jobs.start_hits(stream, 5000, out, str(tmp_path / "ck"), hot_rows=hot_rows, availableNow=True).awaitTermination()
     numeric = table.select("request_id", "url", F.unix_millis("ts").alias("ts"))
     expected = {r.request_id: r.hit for r in request_hits(numeric, 5000).collect()}
-    assert {r.request_id: r.hit for r in spark.read.parquet(out).collect()} == expected
+    assert {r.request_id: r.hit for r in spark.read.parquet(out + "/hits").collect()} == expected | {99: True}
