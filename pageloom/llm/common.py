@@ -57,7 +57,16 @@ def share(spark: SparkSession, value) -> Callable:
     Only for values whose size has a bound.  Classes travel with it, as executors may lack the package.
     """
     packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
-    return lambda: pickle.loads(packed.value)
+
+    def get():
+        return pickle.loads(packed.value)
+
+    return get
+
+
+def forget(shared: Callable) -> None:
+    """Free what ``share`` sent, once no later job needs it."""
+    shared.__closure__[0].cell_contents.unpersist()
 
 
 def shuffle_parts(spark: SparkSession) -> int:

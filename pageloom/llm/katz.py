@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import ByteWords, share, steps, stored, text_bytes
+from pageloom.llm.common import ByteWords, forget, share, steps, stored, text_bytes
 
 VOCABULARY = (1 << 20) - 2
 LEAST, TOP = 2, 5
 HOT = 1 << 16
 # tokens of one block's worth of texts, and pairs of one bucket
-BLOCK_TOKENS, BUCKET_PAIRS = 2_000_000, 4_000_000
+BLOCK_TOKENS, BUCKET_PAIRS = 1_000_000, 4_000_000
 MOST_TEXTS = 60_000
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
 BITS = 40
@@ -269,7 +269,9 @@ def fit(docs: DataFrame, text: str = "text") -> Trained:
     low = plain.word_log(count)
     plain = Model(**{**plain.__dict__, "low": low})
     buckets = max(1, -(-total // BUCKET_PAIRS))
-    pairs = stored(_pair_table(train, share(spark, plain), buckets), "pairs")
+    shared = share(spark, plain)
+    pairs = stored(_pair_table(train, shared, buckets), "pairs")
+    forget(shared)
     found = pairs.select(F.posexplode("of_counts").alias("r", "k")).groupBy("r").agg(F.sum("k").alias("k")).collect()
     n_r = [0.0] * (TOP + 2)
     for r in found:
@@ -294,6 +296,7 @@ def fit(docs: DataFrame, text: str = "text") -> Trained:
                     )
 
     by_number = pairs.select("codes", "counts").mapInArrow(sums, "kind long, number long, a double, b double").groupBy("kind", "number").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
+    forget(shared)
     kind, number = by_number["kind"].to_numpy(), by_number["number"].to_numpy()
     is_history = kind == 0
     h, a, b = number[is_history], by_number["a"].to_numpy()[is_history], by_number["b"].to_numpy()[is_history]
