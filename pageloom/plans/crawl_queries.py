@@ -183,17 +183,19 @@ def snapshot_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("url", "body", F.unix_millis("stored_at").alias("stored_ms"))
 
 
-@query("select url, md5(html) as body, page_id as age from pages")
+@query("select url, md5(html || ((5 - page_id % 3) % 3)) as body, page_id + 2 as age from pages")
 def stream_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page copies absorbed from a stream into a snapshot table."""
-    arriving = stream_pages(spark, f"{sf_dir}/pages*.parquet", "page_id bigint, url string, html string")
-    copies = arriving.select(
-        "url",
-        F.col("url").alias("final_url"),
-        F.col("html").alias("body"),
-        F.timestamp_seconds("page_id").alias("stored_at"),
-    )
-    path = scratch_path(spark, "snapshots")
+    """Three copies of every page, in three batches; which is the newest differs by page."""
+    source, path = scratch_path(spark, "copies"), scratch_path(spark, "snapshots")
+    known = table(spark, sf_dir, "pages")
+    for version in (2, 0, 1):
+        known.select(
+            "url",
+            F.col("url").alias("final_url"),
+            F.concat("html", F.lit(str(version))).alias("body"),
+            F.timestamp_seconds(F.col("page_id") + (F.col("page_id") + version) % 3).alias("stored_at"),
+        ).write.mode("append").parquet(source)
+    copies = stream_pages(spark, source, "url string, final_url string, body string, stored_at timestamp", 1)
     start_snapshots(copies, path, path + "-log", availableNow=True).awaitTermination()
     stored = read_snapshots(spark, path)
     return stored.select("url", F.md5("body").alias("body"), F.unix_seconds("stored_at").alias("age"))

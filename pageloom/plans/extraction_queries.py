@@ -13,7 +13,8 @@ from pageloom.plans.registry import query
 from pageloom.plans.tables import collapsed, decoded, longs, pages, table
 from pageloom.session import scratch_path
 from pageloom.site import Site, run_meta
-from pageloom.sources.pages import spread
+from pageloom.sources.pages import read_html_files, spread
+from pageloom.sources.sinks import write_result
 from pageloom.spec import Resource, parse_spec, spec_from_dict
 from pageloom.streaming.jobs import start_extraction, stream_pages
 
@@ -411,6 +412,85 @@ def hook_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _numbered(dedupe_by("p_name")(_catalogue(spark, sf_dir), CONTEXT))
 
 
+# ---- whole runs ------------------------------------------------------------------------
+
+
+def _leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as numbered leaves of one list; every fifth is missing."""
+    numbered = pages(spark, sf_dir).where("page_id % 5 <> 0")
+    return numbered.select(F.concat(F.lit("https://example.com/list?n="), F.col("page_id")).alias("url"), "html")
+
+
+def _leaf_site(spark: SparkSession, sf_dir: str, hooks: Hooks | None = None, **extra) -> Site:
+    resource = {
+        "name": "nav",
+        "fetch": {"path": "/list?n={n}", "pagination": {"type": "query", "param": "n", "maxPages": 3}},
+        "list": {"selector": "nav li", "fields": {"label": "a", "href": {"selector": "a", "attr": "href"}, "gone": ".not-there"}},
+        **extra,
+    }
+    spec = spec_from_dict({"name": "sample", "baseUrl": "https://example.com", "resources": [resource]})
+    return Site(spec, _leaves(spark, sf_dir), hooks)
+
+
+def _leaf_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("n"))
+
+
+# per start: how many of the next three leaves are there in a row
+LEAVES_SQL = f"""
+{NAV_SQL},
+leaf as (select page_id from pages where page_id % 5 <> 0),
+runs as (select page_id as n, 'https://example.com/list?n=' || page_id as source,
+    page_id in (select page_id from leaf) as e0, page_id + 1 in (select page_id from leaf) as e1, page_id + 2 in (select page_id from leaf) as e2 from pages),
+walked as (select n, source, (case when not e0 then 0 when not e1 then 1 when not e2 then 2 else 3 end)::bigint as pages from runs),
+visited as (select source, n + k as page_id, k as page_no from walked join (values (0), (1), (2)) as v(k) on k < pages)
+"""
+
+
+@query(f"with {LEAVES_SQL} select source, pages, case when pages < 3 then 'missing_page' else 'max_pages' end as stop_reason from walked")
+def walk_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run from every page over up to three leaves, and why it ended."""
+    result = _leaf_site(spark, sf_dir).resource("nav", _leaf_runs(spark, sf_dir))
+    return longs(result.meta.select("source", "pages", "stop_reason"))
+
+
+@query(
+    f"""with {LEAVES_SQL}, rows as (select source, count(*) as k from visited join nav using (page_id) group by source)
+    select source, pages, coalesce(k, 0)::bigint as n_rows, coalesce(k, 0)::bigint as n_warnings from walked left join rows using (source)"""
+)
+def sink_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Data, warnings and meta of those runs, written and read back."""
+    path = scratch_path(spark, "result")
+    write_result(_leaf_site(spark, sf_dir).resource("nav", _leaf_runs(spark, sf_dir)), path)
+    part = lambda name: spark.read.parquet(f"{path}/{name}")
+    counted = lambda name, n: part(name).groupBy(F.col("_source").alias("source")).agg(F.count("*").alias(n))
+    joined = part("meta").select("source", "pages").join(counted("data", "n_rows"), "source", "left")
+    return longs(joined.join(counted("warnings", "n_warnings"), "source", "left").fillna(0, ["n_rows", "n_warnings"]))
+
+
+@query(
+    f"""with {LEAVES_SQL}, rows as (select source, page_no, row_no, label, href from visited join nav using (page_id)),
+    firsts as (select label, source, page_no, row_no from rows qualify row_number() over (partition by label order by source, page_no, row_no) = 1),
+    lasts as (select label, href from rows qualify row_number() over (partition by label order by source desc, page_no desc, row_no desc) = 1)
+    select label, href, source, page_no::bigint as page_no, row_no from firsts join lasts using (label)"""
+)
+def run_post_process(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those runs with a post-processing hook: one row per label."""
+    site = _leaf_site(spark, sf_dir, Hooks({}, {"single": dedupe_by("label")}), postProcess="single")
+    data = site.resource("nav", _leaf_runs(spark, sf_dir)).data
+    return longs(data.select("label", "href", F.col("_source").alias("source"), F.col("_page_no").alias("page_no"), F.col("_row_no").alias("row_no")))
+
+
+@query(f"with {NAV_SQL} select label, href, count(*) as n from nav group by label, href")
+def saved_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages saved as one file each, read and extracted."""
+    path = scratch_path(spark, "html")
+    pages(spark, sf_dir).select("html").write.option("maxRecordsPerFile", 1).text(path)
+    resource = one_resource({"label": "a", "href": {"selector": "a", "attr": "href"}}, "nav li")
+    rows = extract(trees_for(read_html_files(spark, path), [resource], ["url", "final_url"]), resource, ["url"])
+    return rows.groupBy("label", "href").agg(F.count("*").alias("n"))
+
+
 # ---- streams ---------------------------------------------------------------------------
 
 
