@@ -8,9 +8,9 @@ what is joined: two link when ``100 * |A and B| >= 80 * |A or B|``.
    plus the longer of the two rests, bounds it from above.
 2. A class is out once it shares too few prefix shingles with all others together, which is counted
    again until hardly any class goes.
-3. Classes with the same minimum under one of ``KEYS`` orders form a group, in parts of at most ``PART``
-   members.  A part is compared in one task until its links are known; the smallest member of what is
-   linked stands for it in the next turn, so that a group of any size is settled in a few turns.
+3. Classes with the same minimum under one of ``KEYS`` orders form a group, dealt by a hash to parts of
+   about ``PART`` members.  The members of a part are compared in one task, but not once they are linked.
+   Other orders deal them to other parts, so that a large group of near copies becomes one.
 4. Groups of linked classes, in parts again, give the matrix: a row (shingle, group) for each prefix
    shingle of a group's union.  Counting a query's rows bounds its overlap with every member; only groups
    that reach what the sizes demand are opened, only where group and query are not linked yet, and
@@ -42,7 +42,7 @@ SHINGLE = 5
 PERCENT = 80
 PREFIX = 30
 KEYS = 5
-PART = 64
+PART = 128
 FREQUENT = 1 << 16
 # classes whose sets are wanted: as many are sent to the tasks as a list, beyond that they are joined
 LISTED = 2_000_000
@@ -310,26 +310,21 @@ def contract(edges: DataFrame) -> DataFrame:
 
 
 def _settle_groups(classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """(cls, label) after the links inside groups of equal minima, for classes that have one."""
-    active = stored(classes.select("cls", "minima"), "active")
-    labels = stored(active.where("false").select("cls", F.col("cls").alias("label")), "labels")
+    """(cls, label) after the links inside parts of groups of equal minima, for classes that have one.
+
+    Every order deals the members of a group to other parts, so that what is linked in a large group
+    comes together although each member meets few others.
+    """
+    found = []
     for k in range(KEYS):
-        n = active.count()
-        while n:
-            own = active.select("cls", F.col("minima")[k].alias("key"))
-            sizes = own.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-            parts = own.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("cls", F.lit(n)), F.ceil(F.col("n") / PART)))
-            found = stored(parts.join(sets, "cls").groupBy("key", "part").applyInArrow(_within, "cls long, label long"), "linked")
-            # what stood for others takes them along
-            step = found.select(F.col("cls").alias("label"), F.col("label").alias("to"))
-            moved = labels.join(step, "label", "left").select("cls", F.coalesce("to", "label").alias("label"))
-            labels = stored(moved.unionByName(found), "labels")
-            active = stored(active.join(found.select("cls"), "cls", "left_anti"), "active")
-            left = active.count()
-            if left > 0.9 * n or sizes.where(F.col("n") > PART).isEmpty():
-                break
-            n = left
-    return labels
+        own = classes.select("cls", F.col("minima")[k].alias("key"))
+        sizes = own.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        parts = own.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("cls", F.lit(k)), F.ceil(F.col("n") / PART)))
+        found.append(stored(parts.join(sets, "cls").groupBy("key", "part").applyInArrow(_within, "cls long, label long"), "linked"))
+    edges = found[0]
+    for more in found[1:]:
+        edges = edges.unionByName(more)
+    return contract(edges.select(F.col("cls").alias("a"), F.col("label").alias("b"))).select(F.col("node").alias("cls"), F.col("root").alias("label"))
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
