@@ -9,7 +9,11 @@ SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+# tests/llm holds the corpus operators without SQL against brute force
+NAMES = sorted(n for n in QUERIES if n in ORACLES or not n.startswith(("op", "pipeline")))
+
+
+@pytest.mark.parametrize("name", NAMES)
 def test_query(spark, name):
     df = QUERIES[name](spark, SF)
     if name in ORACLES:
