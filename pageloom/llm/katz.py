@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ VOCABULARY = (1 << 20) - 2
 LEAST, TOP = 2, 5
 HOT = 1 << 16
 # tokens of one block's worth of texts, and pairs of one bucket
-BLOCK_TOKENS, BUCKET_PAIRS = 1_000_000, 4_000_000
+BLOCK_TOKENS, BUCKET_PAIRS = 600_000, 4_000_000
 MOST_TEXTS = 60_000
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
 BITS = 40
@@ -401,30 +402,38 @@ def score(docs: DataFrame, trained: Trained, key: str = "doc_id", text: str = "t
             place, codes = place[hot == 0], codes[hot == 0]
             order = np.argsort(codes, kind="stable")
             codes, owner = codes[order], np.searchsorted(first, place[order], side="right") - 1
-            out = []
+            # blocks of the same texts may share a number: their sums are told apart by row key
+            block, out = xxhash.xxh3_64_intdigest(rid.tobytes()) >> 1, []
             for b, a, z in _by_bucket(codes, buckets):
                 texts, at = np.unique(owner[a:z], return_inverse=True)
-                out.append((b, pack_sorted(codes[a:z]), pack(at), rid[texts].tobytes()))
+                out.append((b, block, pack_sorted(codes[a:z]), pack(at), rid[texts].tobytes()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int32(), *[pa.binary()] * 3))], names=["ask_bucket", "ask_codes", "texts", "rids"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int32(), pa.int64(), *[pa.binary()] * 3))], names=["ask_bucket", "block", "ask_codes", "texts", "rids"])
 
     def answer(key: tuple, table: pa.Table, blocks: pa.Table) -> pa.Table:
         model = shared()
-        ids, gains = [], []
+        rows = []
         if table.num_rows and blocks.num_rows:
             codes, counts = unpack_sorted(table["codes"][0].as_py()), unpack(table["counts"][0].as_py())
-            for own, texts, rids in zip(*(blocks[c].to_pylist() for c in ("ask_codes", "texts", "rids"))):
+            for block, own, texts, rids in zip(*(blocks[c].to_pylist() for c in ("block", "ask_codes", "texts", "rids"))):
                 own, texts, rids = unpack_sorted(own), unpack(texts), np.frombuffer(rids, np.int64)
                 at = np.minimum(np.searchsorted(codes, own), max(0, len(codes) - 1))
                 seen = codes[at] == own if len(codes) else np.zeros(len(own), bool)
                 gain = np.bincount(texts[seen], model.gain(own[seen], counts[at[seen]]), len(rids))
                 some = gain != 0
-                ids.append(rids[some])
-                gains.append(gain[some])
-        return pa.table({"_rid": pa.array(np.concatenate(ids) if ids else [], pa.int64()), "gain": pa.array(np.concatenate(gains) if gains else [], pa.float64())})
+                rows.append((block, rids[some].tobytes(), gain[some].tobytes()))
+        return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate((("block", pa.int64()), ("rids", pa.binary()), ("gains", pa.binary())))})
 
-    blocks = rows.select("_rid", "body").mapInArrow(ask, "ask_bucket int, ask_codes binary, texts binary, rids binary")
-    gained = trained.pairs.groupBy("bucket").cogroup(blocks.groupBy("ask_bucket")).applyInArrow(answer, "_rid long, gain double")
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        """A block's sums of all buckets, one per text; a block has a bounded number of tokens."""
+        rids = np.frombuffer(b"".join(table["rids"].to_pylist()), np.int64)
+        gains = np.frombuffer(b"".join(table["gains"].to_pylist()), np.float64)
+        names, at = np.unique(rids, return_inverse=True)
+        return pa.table({"_rid": pa.array(names), "gain": pa.array(np.bincount(at, gains, len(names)).astype(np.float64))})
+
+    asked_blocks = rows.select("_rid", "body").mapInArrow(ask, "ask_bucket int, block long, ask_codes binary, texts binary, rids binary")
+    answered = trained.pairs.groupBy("bucket").cogroup(asked_blocks.groupBy("ask_bucket")).applyInArrow(answer, "block long, rids binary, gains binary")
+    gained = answered.groupBy("block").applyInArrow(add, "_rid long, gain double")
     gained = gained.groupBy("_rid").agg(F.sum("gain").alias("gain"))
     # equal rows asked together; each gets its part
     copies = settled.groupBy("_rid").agg(F.count("*").alias("copies"))
