@@ -1,15 +1,15 @@
 """Language-model scores by Katz backoff over words.
 
-P(w | h) is the discounted share of a pair seen at least ``LEAST`` times after h, else a(h) * P(w); P(w) is
-the discounted share of a seen word, else the mass that discounting left, which all unseen words share as
-one event.  Discounts are Good-Turing's for counts up to ``TOP``; a(h) makes each P(. | h) sum to 1
-exactly.  Histories and words of pairs are those of the ``VOCABULARY`` most frequent words, down to one
-count for all; any other word backs off to its own count, whatever that is.
+P(w | h) is the discounted share of a pair seen at least ``LEAST`` times after h, else a(h) * P(w); P(w) is the discounted share of
+a seen word, else the mass that discounting left, which all unseen words share as one event.  Discounts are
+Good-Turing's for counts up to ``TOP``; a(h) makes each P(. | h) sum to 1 exactly.  Every word of
+the training texts counts, whatever its rank.
 
-Tables: word counts by word hash; pair counts in buckets of the pair's code, each a row of packed sorted
-codes and counts.  Texts ask for their pairs in packed blocks by the same buckets; the most frequent pairs
-are answered where the text is, so no bucket has a hot key.  A block carries each text's row key and gets
-back one sum per text.
+Texts are held as blocks: a sorted dictionary of word hashes and the places of the tokens in it.  Blocks ask
+by ranges of hashes and get packed answers in the order asked: training blocks the count of each of their
+pairs, which goes to one block that holds it, so that block adds it to its history; scored blocks the
+counts and backoff weights of their words and the counts of their pairs.  A block asks for a word or pair
+once, so no range has a hot key, and nothing that grows with the texts is broadcast.
 
 Cases: null or empty text - the end token alone; no training text - every word unseen; very long texts -
 whole; repeated rows - scored alike; null ids - carried; empty table - empty result; other columns -
@@ -23,21 +23,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import ByteWords, forget, share, steps, stored, text_bytes
+from pageloom.llm.common import ODD, ByteWords, mixed, steps, stored, text_bytes
 
-VOCABULARY = (1 << 20) - 2
 LEAST, TOP = 2, 5
-HOT = 1 << 16
-# tokens of one block's worth of texts, and pairs of one bucket
+# tokens of one block's worth of texts, and words or pairs of one bucket
 BLOCK_TOKENS, BUCKET_PAIRS = 600_000, 4_000_000
 MOST_TEXTS = 60_000
-END = np.uint64(0x0E0D0E0D0E0D0E0D)
-BITS = 40
-_MASK = np.uint64((1 << BITS) - 1)
+START, END = np.uint64(0x57A2757A2757A275), np.uint64(0x0E0D0E0D0E0D0E0D)
 
 
 # -- packing --------------------------------------------------------------------------------
@@ -60,27 +55,29 @@ def unpack(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64)
 
 
-def pack_sorted(values: np.ndarray) -> bytes:
-    return pack(np.diff(values, prepend=0))
+def pack_sorted(hashes: np.ndarray) -> bytes:
+    gaps = hashes.copy()
+    gaps[1:] -= hashes[:-1]
+    return pack(gaps)
 
 
 def unpack_sorted(packed: bytes) -> np.ndarray:
-    return np.cumsum(unpack(packed))
+    return np.cumsum(unpack(packed).view(np.uint64), dtype=np.uint64)
 
 
-# codes of pairs: history and word numbers side by side, spread over 40 bits by an odd factor
-_SPREAD = 0x9E3779B97F | 1
-_BACK = pow(_SPREAD, -1, 1 << BITS)
+def pack_floats(values: np.ndarray) -> bytes:
+    return pack(np.ascontiguousarray(values, np.float64).view(np.uint64))
 
 
-def code(history: np.ndarray, word: np.ndarray) -> np.ndarray:
-    plain = (history.astype(np.uint64) << np.uint64(20)) | word.astype(np.uint64)
-    return ((plain * np.uint64(_SPREAD)) & _MASK).astype(np.int64)
+def unpack_floats(packed: bytes) -> np.ndarray:
+    return unpack(packed).view(np.float64)
 
 
-def decode(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    plain = (codes.astype(np.uint64) * np.uint64(_BACK)) & _MASK
-    return (plain >> np.uint64(20)).astype(np.int64), (plain & np.uint64((1 << 20) - 1)).astype(np.int64)
+def by_bucket(hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, from, to) of the runs of sorted hashes; a bucket is a range of hashes."""
+    cuts = np.searchsorted(hashes, np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)).tolist() + [len(hashes)]
+    return ((b, a, z) for b, (a, z) in enumerate(zip(cuts[:-1], cuts[1:])) if z > a)
+
 
 
 # -- tokens ---------------------------------------------------------------------------------
@@ -127,32 +124,137 @@ def discounts(n: list[float], least: int) -> np.ndarray:
     return d
 
 
+# -- blocks ---------------------------------------------------------------------------------
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """``stored``; shuffle files of what is written go now, not when the driver next happens to collect garbage."""
+    out = stored(df, name)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
+def _blocks(docs: DataFrame, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """block, rows (the ``keep`` columns), n_tokens, words (dictionary), times, first, tokens; stored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, tokens, first in gathered(batches):
+            kept = pa.Table.from_batches([b.select(list(keep)) for b in held]) if keep else pa.table({})
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, kept.schema) as writer:
+                writer.write_table(kept)
+            words, at, times = np.unique(tokens, return_inverse=True, return_counts=True)
+            values = (sink.getvalue().to_pybytes(), len(tokens), pack_sorted(words), pack(times), pack(np.diff(first)), pack(at))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([v], t) for v, t in zip(values, (pa.binary(), pa.int64(), *[pa.binary()] * 4))],
+                names=["rows", "n_tokens", "words", "times", "lengths", "tokens"],
+            )
+
+    names = [F.col(c) for c in keep]
+    blocks = docs.select(*names, text_bytes(text).alias("body")).mapInArrow(
+        run, "rows binary, n_tokens long, words binary, times binary, lengths binary, tokens binary"
+    )
+    return _stored(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
+
+
+def _pairs(words: np.ndarray, tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each token's history in the dictionary, its length for a start; hash of each pair)."""
+    history = np.empty_like(tokens)
+    history[1:] = tokens[:-1]
+    history[first[:-1]] = len(words)
+    return history, mixed(np.r_[words, START][history] * np.uint64(ODD) + words[tokens])
+
+
+def _opened(words: bytes, lengths: bytes, tokens: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return unpack_sorted(words), np.r_[0, np.cumsum(unpack(lengths))], unpack(tokens)
+
+
+def _ask_words(blocks: DataFrame, buckets: int) -> DataFrame:
+    """ask_bucket, block, asked, times: a block's dictionary and the start, by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, words, times, lengths in zip(*(batch.column(c).to_pylist() for c in ("block", "words", "times", "lengths"))):
+                words, times = unpack_sorted(words), unpack(times)
+                place = int(np.searchsorted(words, START))
+                words, times = np.insert(words, place, START), np.insert(times, place, len(unpack(lengths)))
+                yield _asked(block, words, times, buckets)
+
+    return blocks.select("block", "words", "times", "lengths").mapInArrow(run, "ask_bucket int, block long, asked binary, times binary")
+
+
+def _ask_pairs(blocks: DataFrame, buckets: int) -> DataFrame:
+    """ask_bucket, block, asked, times: a block's distinct pairs, by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, *packed in zip(*(batch.column(c).to_pylist() for c in ("block", "words", "lengths", "tokens"))):
+                words, first, tokens = _opened(*packed)
+                yield _asked(block, *np.unique(_pairs(words, tokens, first)[1], return_counts=True), buckets)
+
+    return blocks.select("block", "words", "lengths", "tokens").mapInArrow(run, "ask_bucket int, block long, asked binary, times binary")
+
+
+def _asked(block: int, hashes: np.ndarray, times: np.ndarray, buckets: int) -> pa.RecordBatch:
+    rows = [(b, block, pack_sorted(hashes[a:z]), pack(times[a:z])) for b, a, z in by_bucket(hashes, buckets)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))],
+        names=["ask_bucket", "block", "asked", "times"],
+    )
+
+
+def _counted(asked: DataFrame, name: str, least: int, once: bool) -> tuple[DataFrame, DataFrame, list[int]]:
+    """(bucket, hashes, counts), (block, bucket, counts in the order asked), counts of counts.
+
+    The counts of counts have, at r up to TOP + 1, how many hashes have count r; then all hashes, all counts.
+    With ``once`` a hash's count goes to one block that asked, and 0 to the others.
+    """
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        parts = [unpack_sorted(x) for x in table["asked"].to_pylist()]
+        hashes, times = np.concatenate(parts), np.concatenate([unpack(x) for x in table["times"].to_pylist()])
+        cuts = np.cumsum([len(x) for x in parts])[:-1]
+        del parts
+        order = np.argsort(hashes, kind="stable")
+        hashes, times = hashes[order], times[order]
+        new = np.r_[True, hashes[1:] != hashes[:-1]]
+        heads = np.flatnonzero(new)
+        hashes, counts = hashes[heads], np.add.reduceat(times, heads)
+        real = counts[hashes != START]
+        sizes = [int((real == r).sum()) for r in range(TOP + 2)] + [len(real), int(real.sum())]
+        counts[counts < least] = 0
+        answer = np.zeros(len(order), np.int64)
+        if once:
+            answer[order[heads]] = counts
+        else:
+            answer[order] = counts[np.cumsum(new) - 1]
+        hashes, counts = hashes[counts > 0], counts[counts > 0]
+        blocks = table["block"].to_pylist()
+        rows = [(None, pack_sorted(hashes), pack(counts), sizes)] + [(b, None, pack(x), None) for b, x in zip(blocks, np.split(answer, cuts))]
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+        return pa.table({"bucket": pa.array([key[0].as_py()] * len(rows), pa.int32())} | {n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(zip(("block", "hashes", "counts", "sizes"), kinds))})
+
+    both = _stored(asked.groupBy("ask_bucket").applyInArrow(add, "bucket int, block long, hashes binary, counts binary, sizes array<bigint>"), name)
+    found = both.where("sizes is not null").select(F.posexplode("sizes").alias("r", "k")).groupBy("r").agg(F.sum("k").alias("k")).collect()
+    sizes = {r["r"]: r["k"] for r in found}
+    return (
+        both.where("block is null").select("bucket", "hashes", "counts"),
+        both.where("block is not null").select("block", "bucket", "counts"),
+        [sizes.get(r, 0) for r in range(TOP + 4)],
+    )
+
+
+# -- training -------------------------------------------------------------------------------
+
+
 @dataclass(frozen=True)
 class Model:
-    words: np.ndarray  # sorted hashes of the vocabulary
-    count: np.ndarray  # training count of each number: 0 start, 1 end, then the vocabulary
-    low: np.ndarray  # log10 P(w) by number
-    back: np.ndarray  # log10 a(h) by number
-    scale: np.ndarray  # log10 of what divides a discounted pair count, by history number
-    active: np.ndarray  # by number: it has a seen pair as history, as word
     pair_discount: np.ndarray
     word_discount: np.ndarray
     word_scale: float
     unseen: float  # log10 P of a word never seen
     total: int
     distinct: int
-    hot: np.ndarray  # sorted codes of frequent pairs
-    hot_count: np.ndarray
-
-    def numbers(self, tokens: np.ndarray) -> np.ndarray:
-        """Numbers of tokens, -1 for words outside the vocabulary."""
-        out = np.full(len(tokens), -1, np.int64)
-        if len(self.words):
-            place = np.minimum(np.searchsorted(self.words, tokens), len(self.words) - 1)
-            good = self.words[place] == tokens
-            out[good] = place[good] + 2
-        out[tokens == END] = 1
-        return out
 
     def word_log(self, count: np.ndarray) -> np.ndarray:
         """log10 P of words by their training count."""
@@ -164,292 +266,137 @@ class Model:
     def base_log(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 0.1) / (self.total + 0.1 * (self.distinct + 1)))
 
-    def gain(self, codes: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """log10 P(w | h) of seen pairs less what backing off would give."""
-        h, w = decode(codes)
-        d = np.where(count <= TOP, self.pair_discount[np.minimum(count, TOP)], 1.0)
-        return np.log10(d * count) - self.scale[h] - self.back[h] - self.low[w]
-
-
-def pairs_of(model: Model, tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(numbers of the histories, of the tokens); a history outside the vocabulary is -1."""
-    word = model.numbers(tokens)
-    history = np.empty_like(word)
-    history[1:] = word[:-1]
-    history[first[:-1]] = 0
-    return history, word
-
-
-# -- training -------------------------------------------------------------------------------
-
-
-def _word_counts(train: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, tokens, _ in gathered(batches):
-            word, n = np.unique(tokens, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
-
-    return train.select("body").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def _by_bucket(codes: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
-    """(bucket, from, to) of the runs of sorted codes; a bucket is a range of codes."""
-    cuts = np.searchsorted(codes, [(b << BITS) // buckets for b in range(buckets + 1)])
-    return ((b, a, z) for b, (a, z) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if z > a)
-
-
-def _pair_table(train: DataFrame, shared, buckets: int) -> DataFrame:
-    """(bucket, codes, counts, ones .. sixes): packed pairs seen LEAST times or more, and counts of counts."""
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared()
-        for _, tokens, first in gathered(batches):
-            history, word = pairs_of(model, tokens, first)
-            good = (history >= 0) & (word >= 0)
-            found, n = np.unique(code(history[good], word[good]), return_counts=True)
-            rows = [(b, pack_sorted(found[a:z]), pack(n[a:z])) for b, a, z in _by_bucket(found, buckets)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "codes", "counts"])
-
-    def add(key: tuple, table: pa.Table) -> pa.Table:
-        codes = np.concatenate([unpack_sorted(x) for x in table["codes"].to_pylist()])
-        counts = np.concatenate([unpack(x) for x in table["counts"].to_pylist()])
-        order = np.argsort(codes, kind="stable")
-        codes, counts = codes[order], counts[order]
-        heads = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-        codes, counts = codes[heads], np.add.reduceat(counts, heads)
-        seen = counts >= LEAST
-        return pa.table(
-            {
-                "bucket": pa.array([key[0].as_py()], pa.int32()),
-                "codes": pa.array([pack_sorted(codes[seen])], pa.binary()),
-                "counts": pa.array([pack(counts[seen])], pa.binary()),
-                "of_counts": pa.array([[int((counts == r).sum()) for r in range(TOP + 2)]], pa.list_(pa.int64())),
-            }
-        )
-
-    asked = train.select("body").mapInArrow(ask, "bucket int, codes binary, counts binary")
-    return asked.groupBy("bucket").applyInArrow(add, "bucket int, codes binary, counts binary, of_counts array<bigint>")
+    def discounted(self, count: np.ndarray) -> np.ndarray:
+        """Discounted counts of pairs."""
+        return count * np.where(count <= TOP, self.pair_discount[np.minimum(count, TOP)], 1.0)
 
 
 @dataclass(frozen=True)
 class Trained:
     model: Model
-    words: DataFrame  # word, n
-    pairs: DataFrame  # bucket, codes, counts
-    buckets: int
+    words: DataFrame  # bucket, hashes, counts, back (log10 a(h)), shrink (log10 of what pairs of h shrink by)
+    pairs: DataFrame  # bucket, hashes, counts
+    word_buckets: int
+    pair_buckets: int
+
+
+def _in_order(answers: pa.Table, kind: int, column: str) -> list[bytes]:
+    """A block's packed answers of one kind, by bucket and so in the order of hashes."""
+    rows = zip(*(answers[c].to_pylist() for c in ("kind", "bucket", column)))
+    return [x for _, x in sorted((b, x) for k, b, x in rows if k == kind)]
 
 
 def fit(docs: DataFrame, text: str = "text") -> Trained:
     """The model of all texts of ``docs``."""
-    spark = docs.sparkSession
-    train = docs.select(text_bytes(text).alias("body"))
-    words = stored(_word_counts(train), "words")
-    totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct")).first()
-    # how many words have each count: a table no longer than the root of twice the tokens
-    sizes = {r["n"]: r["count"] for r in words.groupBy("n").count().collect()}
-    least, held = max(sizes, default=1) + 1, 0
-    for n in sorted(sizes, reverse=True):
-        if held + sizes[n] > VOCABULARY or n < LEAST:
-            break
-        least, held = n, held + sizes[n]
-    top = words.where((F.col("n") >= least) & (F.col("word") != int(END.view(np.int64)))).toArrow()
-    hashes, counts = top["word"].to_numpy().view(np.uint64), top["n"].to_numpy()
-    order = np.argsort(hashes)
-    texts = words.where(F.col("word") == int(END.view(np.int64))).agg(F.sum("n").alias("n")).first()["n"] or 0
-    count = np.r_[texts, texts, counts[order]].astype(np.int64)
-    n_r = [0.0] + [float(sizes.get(r, 0)) for r in range(1, TOP + 2)]
-    word_discount = discounts(n_r, 1)
-    total, distinct = int(totals["total"]), int(totals["distinct"])
-    mass = sum(k * n * (word_discount[n] if n <= TOP else 1.0) for n, k in sizes.items()) / max(1, total)
+    blocks = _blocks(docs, text)
+    tokens = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()["n"]
+    buckets = max(1, -(-tokens // BUCKET_PAIRS))
+    words, word_answers, sizes = _counted(_ask_words(blocks, buckets), "words", 1, once=False)
+    distinct, total = sizes[TOP + 2 :]
+    word_discount = discounts([0.0] + [float(x) for x in sizes[1 : TOP + 2]], 1)
+    mass = (total - sum(r * sizes[r] * (1 - word_discount[r]) for r in range(1, TOP + 1))) / max(1, total)
     scale = min(1.0, (1 - 0.5 / (total + 1)) / mass) if mass else 1.0
-    none = np.zeros(0)
     unseen = float(np.log10(1 - mass * scale))
-    flat = np.zeros(len(count))
-    plain = Model(hashes[order], count, flat, flat, flat, np.ones((2, len(count)), bool), np.ones(TOP + 1), word_discount, scale, unseen, total, distinct, none.astype(np.int64), none.astype(np.int64))
-    low = plain.word_log(count)
-    plain = Model(**{**plain.__dict__, "low": low})
-    buckets = max(1, -(-total // BUCKET_PAIRS))
-    shared = share(spark, plain)
-    pairs = stored(_pair_table(train, shared, buckets), "pairs")
-    forget(shared)
-    found = pairs.select(F.posexplode("of_counts").alias("r", "k")).groupBy("r").agg(F.sum("k").alias("k")).collect()
-    n_r = [0.0] * (TOP + 2)
-    for r in found:
-        n_r[r["r"]] = float(r["k"])
-    pair_discount = discounts(n_r, LEAST)
-    plain = Model(**{**plain.__dict__, "pair_discount": pair_discount})
-    shared = share(spark, plain)
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per history: discounted count and lower-order mass of its seen pairs; per word: that it has one."""
-        model = shared()
-        for batch in batches:
-            for codes, counts in zip(batch.column("codes").to_pylist(), batch.column("counts").to_pylist()):
-                codes, counts = unpack_sorted(codes), unpack(counts)
-                h, w = decode(codes)
-                d = np.where(counts <= TOP, model.pair_discount[np.minimum(counts, TOP)], 1.0)
-                for kind, key, a, b in ((0, h, d * counts, 10.0 ** model.low[w]), (1, w, np.ones(len(w)), np.ones(len(w)))):
-                    name, at = np.unique(key, return_inverse=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(name), kind)), pa.array(name), pa.array(np.bincount(at, a, len(name))), pa.array(np.bincount(at, b, len(name)))],
-                        names=["kind", "number", "a", "b"],
-                    )
-
-    by_number = pairs.select("codes", "counts").mapInArrow(sums, "kind long, number long, a double, b double").groupBy("kind", "number").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
-    forget(shared)
-    kind, number = by_number["kind"].to_numpy(), by_number["number"].to_numpy()
-    is_history = kind == 0
-    h, a, b = number[is_history], by_number["a"].to_numpy()[is_history], by_number["b"].to_numpy()[is_history]
-    divide = np.log10(np.maximum(count, 1).astype(float))
-    back = np.zeros(len(count))
-    # some mass stays for unseen words even where no seen pair is discounted
-    share_of = a / count[h]
-    shrink = np.minimum(1.0, (1 - 0.5 / (count[h] + 1)) / share_of)
-    back[h] = np.log10((1 - share_of * shrink) / (1 - b))
-    divide[h] -= np.log10(shrink)
-    active = np.zeros((2, len(count)), bool)
-    active[0, h] = True
-    active[1, number[~is_history]] = True
-
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for codes, counts in zip(batch.column("codes").to_pylist(), batch.column("counts").to_pylist()):
-                codes, counts = unpack_sorted(codes), unpack(counts)
-                best = np.argsort(-counts, kind="stable")[:HOT]
-                yield pa.RecordBatch.from_arrays([pa.array(codes[best]), pa.array(counts[best])], names=["code", "n"])
-
-    hot = pairs.select("codes", "counts").mapInArrow(frequent, "code long, n long").orderBy(F.desc("n"), "code").limit(HOT).toArrow()
-    place = np.argsort(hot["code"].to_numpy())
-    model = Model(**{**plain.__dict__, "back": back, "scale": divide, "active": active, "hot": hot["code"].to_numpy()[place], "hot_count": hot["n"].to_numpy()[place]})
-    return Trained(model, words.where(F.col("n") < least), pairs.select("bucket", "codes", "counts"), buckets)
+    pairs, pair_answers, sizes = _counted(_ask_pairs(blocks, buckets), "pairs", LEAST, once=True)
+    pair_discount = discounts([0.0] + [float(x) for x in sizes[1 : TOP + 2]], LEAST)
+    model = Model(pair_discount, word_discount, scale, unseen, total, distinct)
+
+    def sums(key: tuple, block: pa.Table, answers: pa.Table) -> pa.Table:
+        """Per history: discounted count and lower-order mass of the seen pairs that this block answers for."""
+        hashes, first, own = _opened(*(block[c][0].as_py() for c in ("words", "lengths", "tokens")))
+        count = np.concatenate([unpack(x) for x in _in_order(answers, 0, "counts")])
+        count = np.delete(count, np.searchsorted(hashes, START))
+        history, code = _pairs(hashes, own, first)
+        at = np.unique(code, return_index=True)[1]
+        seen = np.concatenate([unpack(x) for x in _in_order(answers, 1, "counts")])
+        at, seen = at[seen > 0], seen[seen > 0]
+        h, w = history[at], own[at]
+        a = np.bincount(h, model.discounted(seen), len(hashes) + 1)
+        b = np.bincount(h, 10.0 ** model.word_log(count[w]), len(hashes) + 1)
+        place = np.searchsorted(hashes, START)
+        hashes, a, b = np.insert(hashes, place, START), np.insert(a[:-1], place, a[-1]), np.insert(b[:-1], place, b[-1])
+        some = a > 0
+        hashes, a, b = hashes[some], a[some], b[some]
+        rows = [(n, pack_sorted(hashes[i:j]), pack_floats(a[i:j]), pack_floats(b[i:j])) for n, i, j in by_bucket(hashes, buckets)]
+        return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate((("of_bucket", pa.int32()), ("histories", pa.binary()), ("a", pa.binary()), ("b", pa.binary())))})
+
+    def weights(key: tuple, table: pa.Table, parts: pa.Table) -> pa.Table:
+        hashes, count = unpack_sorted(table["hashes"][0].as_py()), unpack(table["counts"][0].as_py())
+        a, b = np.zeros(len(hashes)), np.zeros(len(hashes))
+        for h, x, y in zip(*(parts[c].to_pylist() for c in ("histories", "a", "b"))) if parts.num_rows else ():
+            at = np.searchsorted(hashes, unpack_sorted(h))
+            a[at] += unpack_floats(x)
+            b[at] += unpack_floats(y)
+        share_of = a / count
+        # some mass stays for unseen words even where no seen pair is discounted
+        shrink = np.minimum(1.0, (1 - 0.5 / (count + 1)) / np.where(share_of > 0, share_of, 1e-9))
+        back = np.log10((1 - share_of * shrink) / (1 - b))
+        return pa.table({"bucket": table["bucket"], "hashes": table["hashes"], "counts": table["counts"], "back": pa.array([pack_floats(back)], pa.binary()), "shrink": pa.array([pack_floats(np.log10(shrink))], pa.binary())})
+
+    answers = word_answers.withColumn("kind", F.lit(0)).unionByName(pair_answers.withColumn("kind", F.lit(1)))
+    parts = blocks.select("block", "words", "lengths", "tokens").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(sums, "of_bucket int, histories binary, a binary, b binary")
+    weighted = words.groupBy("bucket").cogroup(parts.groupBy("of_bucket")).applyInArrow(weights, "bucket int, hashes binary, counts binary, back binary, shrink binary")
+    return Trained(model, _stored(weighted, "weights"), pairs, buckets, buckets)
 
 
 # -- scoring --------------------------------------------------------------------------------
 
 
-def _asked(model: Model, tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places, codes, hot count or 0) of the tokens whose pair may have been seen."""
-    history, word = pairs_of(model, tokens, first)
-    good = np.flatnonzero((history >= 0) & (word >= 0))
-    good = good[model.active[0, history[good]] & model.active[1, word[good]]]
-    codes = code(history[good], word[good])
-    hot = np.zeros(len(good), np.int64)
-    if len(model.hot):
-        at = np.minimum(np.searchsorted(model.hot, codes), len(model.hot) - 1)
-        hot = np.where(model.hot[at] == codes, model.hot_count[at], 0)
-    return good, codes, hot
-
-
 def score(docs: DataFrame, trained: Trained, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """n_tokens, n_known, train_tokens, base_score and score of every text."""
-    spark, buckets = docs.sparkSession, trained.buckets
-    shared, total = share(spark, trained.model), trained.model.total
-    keep = [key, *carry]
+    model, keep = trained.model, (key, *carry)
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    rows = docs.select(*keep, text_bytes(text).alias("body"))
-    rows = rows.withColumn("_rid", F.xxhash64(F.col(key), "body"))
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What the vocabulary and the frequent pairs settle, and the words that are left."""
-        model = shared()
-        base, low = model.base_log(model.count), model.low
-        for batch, tokens, first in token_runs(batches):
-            history, word = pairs_of(model, tokens, first)
-            known = word >= 0
-            value = np.where(known, low[word], 0.0) + np.where(history >= 0, model.back[history], 0.0)
-            place, codes, hot = _asked(model, tokens, first)
-            seen = hot > 0
-            value[place[seen]] += model.gain(codes[seen], hot[seen])
-            begin = first[:-1]
-            rare = np.flatnonzero(~known)
-            ends = np.searchsorted(rare, first)
-            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(tokens[rare].view(np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in keep]
-                + [batch.column("_rid"), pa.array(np.diff(first)), pa.array(np.add.reduceat((known & (model.count[word] > 0)).astype(np.int64), begin))]
-                + [pa.array(np.add.reduceat(x, begin)) for x in (np.where(known, base[word], 0.0), value)]
-                + [lists],
-                names=[*keep, "_rid", "n_tokens", "_known", "_base", "_score", "_rare"],
-            )
-
-    schema = f"{fields}, _rid long, n_tokens long, _known long, _base double, _score double, _rare array<bigint>"
-    settled = stored(rows.mapInArrow(local, schema).withColumn("_row", F.monotonically_increasing_id()), "settled")
-
-    # words outside the vocabulary, by their own counts
-    asked = settled.select("_row", F.explode("_rare").alias("word")).groupBy("_row", "word").agg(F.count("*").alias("k"))
-    with_count = asked.join(trained.words, "word", "left").select("_row", "k", F.coalesce("n", F.lit(0)).alias("n"))
-
-    def rare_logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared()
-        for batch in batches:
-            n, k = batch.column("n").to_numpy(), batch.column("k").to_numpy()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_row"), pa.array(k * (n > 0)), pa.array(k * model.base_log(n)), pa.array(k * model.word_log(n))],
-                names=["_row", "known", "base", "low"],
-            )
-
-    rare = with_count.mapInArrow(rare_logs, "_row long, known long, base double, low double").groupBy("_row").agg(
-        F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("low").alias("low")
-    )
-
-    # pairs, in blocks by bucket
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared()
-        for held, tokens, first in gathered(batches):
-            rid = np.concatenate([b.column("_rid").to_numpy() for b in held])
-            place, codes, hot = _asked(model, tokens, first)
-            place, codes = place[hot == 0], codes[hot == 0]
-            order = np.argsort(codes, kind="stable")
-            codes, owner = codes[order], np.searchsorted(first, place[order], side="right") - 1
-            # blocks of the same texts may share a number: their sums are told apart by row key
-            block, out = xxhash.xxh3_64_intdigest(rid.tobytes()) >> 1, []
-            for b, a, z in _by_bucket(codes, buckets):
-                texts, at = np.unique(owner[a:z], return_inverse=True)
-                out.append((b, block, pack_sorted(codes[a:z]), pack(at), rid[texts].tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int32(), pa.int64(), *[pa.binary()] * 3))], names=["ask_bucket", "block", "ask_codes", "texts", "rids"])
-
-    def answer(key: tuple, table: pa.Table, blocks: pa.Table) -> pa.Table:
-        model = shared()
-        rows = []
-        if table.num_rows and blocks.num_rows:
-            codes, counts = unpack_sorted(table["codes"][0].as_py()), unpack(table["counts"][0].as_py())
-            for block, own, texts, rids in zip(*(blocks[c].to_pylist() for c in ("block", "ask_codes", "texts", "rids"))):
-                own, texts, rids = unpack_sorted(own), unpack(texts), np.frombuffer(rids, np.int64)
-                at = np.minimum(np.searchsorted(codes, own), max(0, len(codes) - 1))
-                seen = codes[at] == own if len(codes) else np.zeros(len(own), bool)
-                gain = np.bincount(texts[seen], model.gain(own[seen], counts[at[seen]]), len(rids))
-                some = gain != 0
-                rows.append((block, rids[some].tobytes(), gain[some].tobytes()))
-        return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate((("block", pa.int64()), ("rids", pa.binary()), ("gains", pa.binary())))})
-
-    def add(key: tuple, table: pa.Table) -> pa.Table:
-        """A block's sums of all buckets, one per text; a block has a bounded number of tokens."""
-        rids = np.frombuffer(b"".join(table["rids"].to_pylist()), np.int64)
-        gains = np.frombuffer(b"".join(table["gains"].to_pylist()), np.float64)
-        names, at = np.unique(rids, return_inverse=True)
-        return pa.table({"_rid": pa.array(names), "gain": pa.array(np.bincount(at, gains, len(names)).astype(np.float64))})
-
-    asked_blocks = rows.select("_rid", "body").mapInArrow(ask, "ask_bucket int, block long, ask_codes binary, texts binary, rids binary")
-    answered = trained.pairs.groupBy("bucket").cogroup(asked_blocks.groupBy("ask_bucket")).applyInArrow(answer, "block long, rids binary, gains binary")
-    gained = answered.groupBy("block").applyInArrow(add, "_rid long, gain double")
-    gained = gained.groupBy("_rid").agg(F.sum("gain").alias("gain"))
-    # equal rows asked together; each gets its part
-    copies = settled.groupBy("_rid").agg(F.count("*").alias("copies"))
-    gained = gained.join(copies, "_rid").select("_rid", (F.col("gain") / F.col("copies")).alias("gain"))
-
-    def plus(a: str, b: str):
-        return F.col(a) + F.coalesce(F.col(b), F.lit(0))
-
-    return (
-        settled.drop("_rare").join(rare, "_row", "left").join(gained, "_rid", "left")
-        .select(
-            *keep,
-            "n_tokens",
-            plus("_known", "known").alias("n_known"),
-            F.lit(total).cast("bigint").alias("train_tokens"),
-            plus("_base", "base").alias("base_score"),
-            (plus("_score", "low") + F.coalesce("gain", F.lit(0.0))).alias("score"),
-        )
-    )
+    blocks = _blocks(docs, text, keep)
+
+    def answer(columns: tuple[str, ...]):
+        """What a bucket has of the hashes asked for, zeros for those it lacks."""
+
+        def run(key: tuple, table: pa.Table, asked: pa.Table) -> pa.Table:
+            hashes, values = np.zeros(0, np.uint64), [np.zeros(0, np.int64)] * len(columns)
+            if table.num_rows and asked.num_rows:
+                hashes = unpack_sorted(table["hashes"][0].as_py())
+                values = [unpack(table[c][0].as_py()) for c in columns]
+            out = []
+            for x in asked["asked"].to_pylist():
+                own = unpack_sorted(x)
+                at = np.minimum(np.searchsorted(hashes, own), max(0, len(hashes) - 1))
+                seen = hashes[at] == own if len(hashes) else np.zeros(len(own), bool)
+                rows = []
+                for v in values:
+                    found = np.zeros(len(own), np.int64)
+                    found[seen] = v[at[seen]]
+                    rows.append(pack(found.view(np.uint64)))
+                out.append(rows)
+            return pa.table({"block": asked["block"], "bucket": asked["ask_bucket"]} | {c: pa.array([r[k] for r in out], pa.binary()) for k, c in enumerate(columns)})
+
+        return run
+
+    of_words = trained.words.groupBy("bucket").cogroup(_ask_words(blocks, trained.word_buckets).drop("times").groupBy("ask_bucket"))
+    of_words = of_words.applyInArrow(answer(("counts", "back", "shrink")), "block long, bucket int, counts binary, back binary, shrink binary")
+    of_pairs = trained.pairs.groupBy("bucket").cogroup(_ask_pairs(blocks, trained.pair_buckets).drop("times").groupBy("ask_bucket"))
+    of_pairs = of_pairs.applyInArrow(answer(("counts",)), "block long, bucket int, counts binary")
+
+    def settle(key: tuple, block: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = pa.ipc.open_stream(block["rows"][0].as_py()).read_all()
+        hashes, first, own = _opened(*(block[c][0].as_py() for c in ("words", "lengths", "tokens")))
+        place = np.searchsorted(hashes, START)
+        # the start goes last, where histories look for it
+        turn = np.r_[np.delete(np.arange(len(hashes) + 1), place), place]
+        count = np.concatenate([unpack(x) for x in _in_order(answers, 0, "counts")])[turn]
+        back, shrink = (np.concatenate([unpack_floats(x) for x in _in_order(answers, 0, c)])[turn] for c in ("back", "shrink"))
+        pair = np.concatenate([unpack(x) for x in _in_order(answers, 1, "counts")])
+        history, code = _pairs(hashes, own, first)
+        pair = pair[np.unique(code, return_inverse=True)[1]]
+        value = back[history] + model.word_log(count)[own]
+        seen = np.flatnonzero(pair)
+        h = history[seen]
+        value[seen] = np.log10(model.discounted(pair[seen])) + shrink[h] - np.log10(count[h])
+        begin = first[:-1]
+        known, base = (count > 0).astype(np.int64)[own], model.base_log(count)[own]
+        out = {c: rows[c] for c in keep} | {"n_tokens": pa.array(np.diff(first)), "n_known": pa.array(np.add.reduceat(known, begin))}
+        return pa.table(out | {"train_tokens": pa.array(np.full(len(begin), model.total, np.int64)), "base_score": pa.array(np.add.reduceat(base, begin)), "score": pa.array(np.add.reduceat(value, begin))})
+
+    none = F.lit(None).cast("binary")
+    answers = of_words.withColumn("kind", F.lit(0)).unionByName(of_pairs.select("block", "bucket", "counts", none.alias("back"), none.alias("shrink"), F.lit(1).alias("kind")))
+    schema = f"{fields}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return blocks.select("block", "rows", "words", "lengths", "tokens").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(settle, schema)

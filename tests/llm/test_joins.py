@@ -166,6 +166,16 @@ def test_katz_brute_force(spark, monkeypatch):
         assert abs(score - log) < 1e-6 * abs(log)
 
 
+def test_katz_no_vocabulary(spark, monkeypatch):
+    """No word is left out for its rank: a small limit, where there is one, changes no score."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(12)} v{rng.randrange(60)}" for _ in range(30))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {r.doc_id: r.score for r in katz.score(docs, katz.fit(docs)).collect()}
+    monkeypatch.setattr(katz, "VOCABULARY", 20, raising=False)
+    assert {r.doc_id: r.score for r in katz.score(docs, katz.fit(docs)).collect()} == pytest.approx(whole)
+
+
 def test_katz_edges(edge, empty):
     trained = katz.fit(edge)
     rows = katz.score(edge, trained).collect()
