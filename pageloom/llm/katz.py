@@ -1,9 +1,9 @@
 """Language-model scores by Katz backoff over words.
 
-P(w | h) is the discounted share of a pair seen at least ``LEAST`` times after h, else a(h) * P(w); P(w) is the discounted share of
+P(w | h) is the discounted share of a pair seen after h, else a(h) * P(w); P(w) is the discounted share of
 a seen word, else the mass that discounting left, which all unseen words share as one event.  Discounts are
-Good-Turing's for counts up to ``TOP``; a(h) makes each P(. | h) sum to 1 exactly.  Every word of
-the training texts counts, whatever its rank.
+Good-Turing's for counts up to ``TOP``; a(h) makes each P(. | h) sum to 1 exactly.  Every word and every
+pair of the training texts counts, those seen once too.
 
 Texts are held as blocks: a sorted dictionary of word hashes and the places of the tokens in it.  Blocks ask
 by ranges of hashes and get packed answers in the order asked: training blocks the count of each of their
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from pageloom.llm.common import ODD, ByteWords, mixed, steps, stored, text_bytes
 
-LEAST, TOP = 2, 5
+TOP = 5
 # tokens of one block's worth of texts, and words or pairs of one bucket
 BLOCK_TOKENS, BUCKET_PAIRS = 600_000, 4_000_000
 MOST_TEXTS = 60_000
@@ -127,13 +127,6 @@ def discounts(n: list[float], least: int) -> np.ndarray:
 # -- blocks ---------------------------------------------------------------------------------
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """``stored``; shuffle files of what is written go now, not when the driver next happens to collect garbage."""
-    out = stored(df, name)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
-
-
 def _blocks(docs: DataFrame, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """block, rows (the ``keep`` columns), n_tokens, words (dictionary), times, first, tokens; stored."""
 
@@ -154,7 +147,7 @@ def _blocks(docs: DataFrame, text: str, keep: tuple[str, ...] = ()) -> DataFrame
     blocks = docs.select(*names, text_bytes(text).alias("body")).mapInArrow(
         run, "rows binary, n_tokens long, words binary, times binary, lengths binary, tokens binary"
     )
-    return _stored(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
+    return stored(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
 
 
 def _pairs(words: np.ndarray, tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,7 +196,7 @@ def _asked(block: int, hashes: np.ndarray, times: np.ndarray, buckets: int) -> p
     )
 
 
-def _counted(asked: DataFrame, name: str, least: int, once: bool) -> tuple[DataFrame, DataFrame, list[int]]:
+def _counted(asked: DataFrame, name: str, once: bool) -> tuple[DataFrame, DataFrame, list[int]]:
     """(bucket, hashes, counts), (block, bucket, counts in the order asked), counts of counts.
 
     The counts of counts have, at r up to TOP + 1, how many hashes have count r; then all hashes, all counts.
@@ -220,21 +213,19 @@ def _counted(asked: DataFrame, name: str, least: int, once: bool) -> tuple[DataF
         new = np.r_[True, hashes[1:] != hashes[:-1]]
         heads = np.flatnonzero(new)
         hashes, counts = hashes[heads], np.add.reduceat(times, heads)
-        real = counts[hashes != START]
-        sizes = [int((real == r).sum()) for r in range(TOP + 2)] + [len(real), int(real.sum())]
-        counts[counts < least] = 0
         answer = np.zeros(len(order), np.int64)
         if once:
             answer[order[heads]] = counts
         else:
             answer[order] = counts[np.cumsum(new) - 1]
-        hashes, counts = hashes[counts > 0], counts[counts > 0]
+        real = counts[hashes != START]
+        sizes = [int((real == r).sum()) for r in range(TOP + 2)] + [len(real), int(real.sum())]
         blocks = table["block"].to_pylist()
         rows = [(None, pack_sorted(hashes), pack(counts), sizes)] + [(b, None, pack(x), None) for b, x in zip(blocks, np.split(answer, cuts))]
         kinds = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
         return pa.table({"bucket": pa.array([key[0].as_py()] * len(rows), pa.int32())} | {n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(zip(("block", "hashes", "counts", "sizes"), kinds))})
 
-    both = _stored(asked.groupBy("ask_bucket").applyInArrow(add, "bucket int, block long, hashes binary, counts binary, sizes array<bigint>"), name)
+    both = stored(asked.groupBy("ask_bucket").applyInArrow(add, "bucket int, block long, hashes binary, counts binary, sizes array<bigint>"), name)
     found = both.where("sizes is not null").select(F.posexplode("sizes").alias("r", "k")).groupBy("r").agg(F.sum("k").alias("k")).collect()
     sizes = {r["r"]: r["k"] for r in found}
     return (
@@ -291,14 +282,14 @@ def fit(docs: DataFrame, text: str = "text") -> Trained:
     blocks = _blocks(docs, text)
     tokens = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()["n"]
     buckets = max(1, -(-tokens // BUCKET_PAIRS))
-    words, word_answers, sizes = _counted(_ask_words(blocks, buckets), "words", 1, once=False)
+    words, word_answers, sizes = _counted(_ask_words(blocks, buckets), "words", once=False)
     distinct, total = sizes[TOP + 2 :]
     word_discount = discounts([0.0] + [float(x) for x in sizes[1 : TOP + 2]], 1)
     mass = (total - sum(r * sizes[r] * (1 - word_discount[r]) for r in range(1, TOP + 1))) / max(1, total)
     scale = min(1.0, (1 - 0.5 / (total + 1)) / mass) if mass else 1.0
     unseen = float(np.log10(1 - mass * scale))
-    pairs, pair_answers, sizes = _counted(_ask_pairs(blocks, buckets), "pairs", LEAST, once=True)
-    pair_discount = discounts([0.0] + [float(x) for x in sizes[1 : TOP + 2]], LEAST)
+    pairs, pair_answers, sizes = _counted(_ask_pairs(blocks, buckets), "pairs", once=True)
+    pair_discount = discounts([0.0] + [float(x) for x in sizes[1 : TOP + 2]], 1)
     model = Model(pair_discount, word_discount, scale, unseen, total, distinct)
 
     def sums(key: tuple, block: pa.Table, answers: pa.Table) -> pa.Table:
@@ -336,7 +327,7 @@ def fit(docs: DataFrame, text: str = "text") -> Trained:
     answers = word_answers.withColumn("kind", F.lit(0)).unionByName(pair_answers.withColumn("kind", F.lit(1)))
     parts = blocks.select("block", "words", "lengths", "tokens").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(sums, "of_bucket int, histories binary, a binary, b binary")
     weighted = words.groupBy("bucket").cogroup(parts.groupBy("of_bucket")).applyInArrow(weights, "bucket int, hashes binary, counts binary, back binary, shrink binary")
-    return Trained(model, _stored(weighted, "weights"), pairs, buckets, buckets)
+    return Trained(model, stored(weighted, "weights"), pairs, buckets, buckets)
 
 
 # -- scoring --------------------------------------------------------------------------------

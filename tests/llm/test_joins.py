@@ -166,6 +166,43 @@ def test_katz_brute_force(spark, monkeypatch):
         assert abs(score - log) < 1e-6 * abs(log)
 
 
+def katz_scores(texts, train):
+    """log10 score of each text's words and end: every word and pair of the training texts counts."""
+    docs = [words(t) + [None] for t in texts]
+    one, two = Counter(), Counter()
+    for d, used in zip(docs, train):
+        if used:
+            one.update(d)
+            two.update(zip(["<s>"] + d[:-1], d))
+    total, kinds, pair_kinds = sum(one.values()), Counter(one.values()), Counter(two.values())
+    low = katz.discounts([0.0] + [float(kinds[r]) for r in range(1, 7)], 1)
+    high = katz.discounts([0.0] + [float(pair_kinds[r]) for r in range(1, 7)], 1)
+    p = {w: (low[c] if c <= 5 else 1) * c / total for w, c in one.items()}
+    mass = sum(p.values())
+    after, back, times = defaultdict(dict), {}, dict(one) | {"<s>": sum(train)}
+    for (h, w), c in two.items():
+        after[h][w] = (high[c] if c <= 5 else 1) * c / times[h]
+    for h, seen in after.items():
+        held = sum(seen.values())
+        shrink = min(1, (1 - 0.5 / (times[h] + 1)) / held)
+        back[h] = (1 - held * shrink) / (1 - sum(p[w] for w in seen))
+        after[h] = {w: x * shrink for w, x in seen.items()}
+    return [sum(math.log10(after[h][w] if w in after.get(h, {}) else back.get(h, 1) * p.get(w, 1 - mass)) for h, w in zip(["<s>"] + d[:-1], d)) for d in docs]
+
+
+def test_katz_all_counts(spark, monkeypatch):
+    """Pairs seen once count, as do those of words seen once; small blocks and buckets, so that all meet."""
+    monkeypatch.setattr(katz, "BUCKET_PAIRS", 5000)
+    monkeypatch.setattr(katz, "BLOCK_TOKENS", 3000)
+    docs = table(spark, SF, "documents").collect()
+    train = [bool(zlib.crc32(str(d.doc_id).encode()) % 10) for d in docs]
+    expected = dict(zip((d.doc_id for d in docs), katz_scores([d.text for d in docs], train)))
+    found = {r.doc_id: r.score for r in queries.op10_katz_scores(spark, SF).collect()}
+    assert found.keys() == expected.keys()
+    for d, log in expected.items():
+        assert abs(found[d] - log) < 1e-6 * abs(log)
+
+
 def test_katz_no_vocabulary(spark, monkeypatch):
     """No word is left out for its rank: a small limit, where there is one, changes no score."""
     rng = random.Random(5)
