@@ -15,8 +15,6 @@ from pageloom.session import checkpoint
 from pageloom.spec import Politeness
 
 CACHED, BLOCKED, INVALID, SEND = "cached", "blocked", "invalid", "send"
-# orders the stored copy of a URL before all its requests
-STORED_ID = -(1 << 63)
 
 
 def crawl_plan(
@@ -57,16 +55,20 @@ def crawl_plan(
         wanted.join(facts, "url", "left").select(
             *wanted.columns, "origin", "_stored", F.coalesce("allowed", F.lit(False)).alias("_allowed"),
             interval_ms(politeness.requests_per_second, F.col("crawl_delay")).alias("interval_ms"),
+            F.monotonically_increasing_id().alias("_row"),
         )
     )
     # fetches happen only where they are allowed: there, fold over copies and requests
     allowed = known.where("_allowed")
     copies = allowed.where("_stored is not null").groupBy("url").agg(F.least(F.min("_stored"), F.lit(0)).alias("arrive_ms"))
-    log = allowed.select("url", "request_id", "arrive_ms").unionByName(
-        copies.select("url", F.lit(STORED_ID).alias("request_id"), "arrive_ms")
+    # ids may be null or repeated, so rows have a number; equal times go in order of id, copies first
+    ordinal = F.lpad(F.hex(F.col("request_id").cast("bigint").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    tie = F.concat(F.coalesce(ordinal, F.lit("")), F.lit("-"), F.lpad(F.hex("_row"), 16, "0"))
+    log = allowed.select("url", "_row", tie.alias("_tie"), "arrive_ms").unionByName(
+        copies.select("url", F.lit(None).cast("bigint").alias("_row"), F.lit("").alias("_tie"), "arrive_ms")
     )
-    marked = request_hits(log, ttl, at="arrive_ms", hot_rows=hot_rows).where(F.col("request_id") != STORED_ID)
-    fetched = allowed.join(marked.select("request_id", "hit"), "request_id").withColumn(
+    marked = request_hits(log, ttl, at="arrive_ms", tie="_tie", hot_rows=hot_rows).where("_row is not null")
+    fetched = allowed.join(marked.select("_row", "hit"), "_row").withColumn(
         "action", F.when(F.col("hit"), F.lit(CACHED)).otherwise(F.lit(SEND))
     )
     served = F.coalesce(F.col("arrive_ms") - F.col("_stored") < ttl, F.lit(False))

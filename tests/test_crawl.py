@@ -220,6 +220,23 @@ def test_crawl_plan(spark):
     assert {k for k, v in actions(0).items() if v[0] == "send"} == {2, 3, 4, 5, 7, 11, 12, 13}
 
 
+def test_crawl_plan_of_null_and_repeated_ids(spark):
+    """Every request comes back once; equal times go in order of id, a null id first."""
+    h = "https://h.com"
+    wanted = spark.createDataFrame(
+        [(None, f"{h}/a", 0), (1, f"{h}/a", 0), (2, f"{h}/b", 0), (2, f"{h}/b", 50), (-3, f"{h}/c", 9), (4, f"{h}/c", 9), (None, None, 1)],
+        "request_id bigint, url string, arrive_ms bigint",
+    )
+    copies = snapshot_rows(spark, [(f"{h}/z", "x", 1000)])
+    robots = spark.createDataFrame([(h, "")], "origin string, body string")
+    for more in ({}, {"hot_rows": 1}):
+        plan = crawl_plan(wanted, copies, robots, Politeness(cache_ttl_ms=1000), 2000, **more)
+        assert sorted(((r.url or "")[-1:], r.request_id or 0, r.arrive_ms, r.action) for r in plan.collect()) == [
+            ("", 0, 1, "invalid"), ("a", 0, 0, "send"), ("a", 1, 0, "cached"), ("b", 2, 0, "send"), ("b", 2, 50, "cached"),
+            ("c", -3, 9, "send"), ("c", 4, 9, "cached"),
+        ]
+
+
 def test_busy_keys_are_split(spark):
     """Lowered thresholds: the skew join takes a busy origin and a busy URL apart."""
     rows = spark.range(40_000).select(
