@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import bpe, decontam, groupjoin, katz, langid, maintext, quality, shards, toxicity, warc
+from pageloom.llm import (
+    bpe,
+    decontam,
+    divergence,
+    groupjoin,
+    katz,
+    langid,
+    maintext,
+    mixing,
+    quality,
+    repair,
+    shards,
+    toxicity,
+    warc,
+)
 from pageloom.llm.common import crc_mod, table
 from pageloom.session import scratch_path
 
@@ -170,3 +184,50 @@ def op10_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod("doc_id", 10) == 0).alias("held_out"))
     trained = katz.fit(docs.where(~F.col("held_out")))
     return katz.score(docs, trained, carry=("held_out",))
+
+
+@query()
+def op11_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix of all sources takes from every document."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+@query()
+def op12_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every damaged conversation."""
+    return repair.repair(repair.damage(table(spark, sf_dir, "conversations")), F.col("gone"))
+
+
+@query(
+    r"""with docs as (select coalesce(lang, '') as lang, coalesce(source, '') as source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as words, row_number() over () as d from documents),
+    said as (select lang, source, d, unnest(words) as term from docs),
+    counts as (select lang, source, term, count(*) as n from said group by all),
+    kept as (select lang, term from said group by all having count(distinct d) >= 10),
+    langs as (select lang, count(*) as v from kept group by lang),
+    groups as (select distinct lang, source from docs),
+    used as (select c.* from counts c join kept using (lang, term)),
+    totals as (select g.lang, g.source, coalesce(l.v, 0) as v, coalesce(sum(u.n), 0)::bigint as total
+      from groups g left join langs l using (lang) left join used u using (lang, source) group by all),
+    whole as (select lang, sum(n)::bigint as total from used group by lang),
+    whole_terms as (select lang, term, sum(n)::bigint as n from used group by all),
+    p as (select t.lang, t.source, k.term, coalesce(u.n, 0) as n,
+        1 + (1000000000 * (coalesce(u.n, 0) + 2)) // (t.total + 2 * t.v) as p
+      from totals t join kept k using (lang) left join used u on u.lang = t.lang and u.source = t.source and u.term = k.term),
+    q as (select w.lang, w.term, 1 + (1000000000 * (w.n + 2)) // (h.total + 2 * l.v) as q
+      from whole_terms w join whole h using (lang) join langs l using (lang)),
+    sums as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::bigint as value
+      from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+    pairs as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(s.value, 0) as value
+      from groups a join groups b on a.lang = b.lang and a.source <> b.source
+      left join sums s on s.lang = a.lang and s.source = a.source and s.item = b.source),
+    marks as (select lang, source, 'term' as part, term as item, ((p - q) * (p - q) // (p + q))::bigint as value
+      from p join q using (lang, term) where n > 0 and p > q),
+    ranked as (select *, row_number() over (partition by lang, source, part order by value desc, encode(item))::int as rank
+      from (select * from pairs union all select * from marks))
+    select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 10"""
+)
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of the sources of each language, and the terms that mark each source."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
