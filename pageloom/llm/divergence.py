@@ -19,9 +19,12 @@ one source alone - no pairs; empty table - empty result; other columns - ignored
 
 from __future__ import annotations
 
+import bisect
 import heapq
+import itertools
 import pickle
 import zlib
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -35,9 +38,11 @@ from pageloom.llm.common import shuffle_parts, slices, stored
 LEAST = 10
 SCALE = 1_000_000_000
 TOP = 10
-# postings in memory before a run is written, and postings of a block of a run
-POSTINGS = 400_000
+# (term, document) entries in memory before a run is written, terms of a block of a run, and terms that
+# wait at most, besides one block of each run, while blocks are merged
+POSTINGS = 2_000_000
 BLOCK = 4096
+WINDOW = 1 << 17
 # bytes of a text that are split into terms at once
 PIECE = 1 << 20
 # pairs of one step of the corrections
@@ -61,35 +66,59 @@ def terms(text: bytes) -> Iterator[list[bytes]]:
 
 
 class Run:
-    """Postings in memory: per (lang, source) the occurrences and the documents of each term."""
+    """Postings in memory: of each language, a number for every term, and (term, document) entries."""
 
     def __init__(self) -> None:
-        self.counts: dict = defaultdict(Counter)
-        self.docs: dict = defaultdict(Counter)
+        # one list of term numbers and one of occurrences; documents follow each other in both
+        self.terms: dict = defaultdict(lambda: defaultdict(itertools.count().__next__))
+        self.entries: dict = defaultdict(lambda: (array("i"), array("q"), array("i"), array("q")))
+        self.sources: dict = defaultdict(lambda: defaultdict(itertools.count().__next__))
         self.held = 0
 
     def add(self, lang: str, source: str, text: bytes) -> None:
-        counts, own = self.counts[lang, source], set()
-        before = len(counts)
+        found: Counter = Counter()
         for piece in terms(text):
-            counts.update(piece)
-            own.update(piece)
-        self.docs[lang, source].update(own)
-        self.held += len(counts) - before
+            found.update(piece)
+        codes, counts, sources, lengths = self.entries[lang]
+        codes.extend(map(self.terms[lang].__getitem__, found))
+        counts.extend(found.values())
+        sources.append(self.sources[lang][source])
+        lengths.append(len(found))
+        self.held += len(found)
 
     def blocks(self, shards: int) -> Iterator[tuple]:
-        """(shard, lang and term of the first entry, packed entries), each shard's entries by lang and term."""
-        parts: list[dict] = [defaultdict(list) for _ in range(shards)]
-        for (lang, source), counts in self.counts.items():
-            docs, salt = self.docs[lang, source], zlib.crc32(lang.encode())
-            for term, n in counts.items():
-                parts[zlib.crc32(term, salt) % shards][lang.encode(), term].append((source, n, docs[term]))
-        for shard, part in enumerate(parts):
-            entries = sorted(part.items())
-            for at in range(0, len(entries), BLOCK):
-                block = entries[at : at + BLOCK]
-                (lang, term), _ = block[0]
-                yield shard, lang.decode(), term.decode(), pickle.dumps(block, 5)
+        """(shard, language, first term, packed postings), each shard's postings by language and term."""
+        for lang in sorted(self.terms):
+            names, salt = list(self.terms[lang]), zlib.crc32(lang.encode())
+            shard = np.fromiter((zlib.crc32(t, salt) for t in names), np.int64, len(names)) % shards
+            order = np.array(sorted(range(len(names)), key=names.__getitem__), np.int64)
+            order = order[np.argsort(shard[order], kind="stable")]
+            rank = np.empty(len(names), np.int64)
+            rank[order] = np.arange(len(names))
+            codes, counts, sources, lengths = (np.frombuffer(x, x.typecode) for x in self.entries[lang])
+            known = list(self.sources[lang])
+            key = rank[codes] * len(known) + np.repeat(sources, lengths)
+            at = np.argsort(key)
+            key = key[at]
+            starts = np.flatnonzero(np.diff(key, prepend=-1))
+            n, docs = np.add.reduceat(counts[at], starts), np.diff(starts, append=len(key))
+            place, source = np.divmod(key[starts], len(known))
+            begins = np.searchsorted(place, np.arange(len(names) + 1))
+            bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+            for own in np.flatnonzero(np.diff(bounds)).tolist():
+                for low in range(bounds[own], bounds[own + 1], BLOCK):
+                    high = min(low + BLOCK, bounds[own + 1])
+                    cut = slice(begins[low], begins[high])
+                    used, local = np.unique(source[cut], return_inverse=True)
+                    block = (
+                        [names[i] for i in order[low:high]],
+                        np.diff(begins[low : high + 1]),
+                        [known[i] for i in used],
+                        local.astype(np.int32),
+                        n[cut],
+                        docs[cut],
+                    )
+                    yield own, lang, block[0][0].decode(), pickle.dumps(block, 5)
 
 
 def _indexer(shards: int):
@@ -111,61 +140,79 @@ def _indexer(shards: int):
     return index
 
 
-def _merger(least: int):
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        """Entries (key, postings) of all blocks in order of (shard, key)."""
-        heap: list = []
-        shard, n = None, 0
-
-        def until(key):
-            while heap and (key is None or heap[0][0] < key):
-                key_, _, entries, i = heap[0]
-                yield key_, entries[i][1]
-                if i + 1 < len(entries):
-                    heapq.heapreplace(heap, (entries[i + 1][0], heap[0][1], entries, i + 1))
-                else:
-                    heapq.heappop(heap)
+class Merge:
+    """The blocks of one shard and language, merged by a heap of what comes next in each."""
+
+    def __init__(self, least: int) -> None:
+        self.least, self.heap, self.held, self.n = least, [], 0, 0
+        self.sources: dict = defaultdict(itertools.count().__next__)
+
+    def push(self, block: tuple) -> None:
+        heapq.heappush(self.heap, (block[0][0], self.n, block, np.concatenate([[0], np.cumsum(block[1])]), 0))
+        self.n, self.held = self.n + 1, self.held + len(block[0])
+
+    def until(self, bound: bytes | None) -> pa.StructArray | None:
+        """(term, postings) of the kept ones among all terms before ``bound``."""
+        names, lengths, sources, counts, docs = [], [], [], [], []
+        while self.heap and (bound is None or self.heap[0][0] < bound):
+            _, n, block, begins, at = heapq.heappop(self.heap)
+            to = len(block[0]) if bound is None else bisect.bisect_left(block[0], bound, at)
+            if to < len(block[0]):
+                heapq.heappush(self.heap, (block[0][to], n, block, begins, to))
+            self.held -= to - at
+            cut = slice(begins[at], begins[to])
+            names += block[0][at:to]
+            lengths.append(block[1][at:to])
+            sources.append(np.fromiter(map(self.sources.__getitem__, block[2]), np.int64, len(block[2]))[block[3][cut]])
+            counts.append(block[4][cut])
+            docs.append(block[5][cut])
+        if not names:
+            return None
+        ids: dict = defaultdict(itertools.count().__next__)
+        code = np.fromiter(map(ids.__getitem__, names), np.int64, len(names))
+        code = np.repeat(code, np.concatenate(lengths))
+        source, count = np.concatenate(sources), np.concatenate(counts)
+        order = np.argsort(code)
+        total = np.add.reduceat(np.concatenate(docs)[order], np.searchsorted(code[order], np.arange(len(ids))))
+        kept = total >= self.least
+        here = kept[code]
+        key = code[here] * len(self.sources) + source[here]
+        order = np.argsort(key)
+        key = key[order]
+        starts = np.flatnonzero(np.diff(key, prepend=-1))
+        if not len(starts):
+            return None
+        sums = np.add.reduceat(count[here][order], starts)
+        owner, source = np.divmod(key[starts], len(self.sources))
+        offsets = np.searchsorted(owner, np.append(np.flatnonzero(kept), len(kept)))
+        postings = pa.StructArray.from_arrays([pa.array(list(self.sources)).take(pa.array(source)), pa.array(sums)], ["source", "count"])
+        words = [w.decode() for w, k in zip(ids, kept.tolist()) if k]
+        return pa.StructArray.from_arrays([pa.array(words), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), postings)], ["term", "postings"])
 
-        for batch in slices(batches, 16):
-            for own, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                entries = pickle.loads(block)
-                yield from until(entries[0][0] if own == shard else None)
-                shard, n = own, n + 1
-                heapq.heappush(heap, (entries[0][0], n, entries, 0))
-        yield from until(None)
 
+def _merger(least: int):
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, key, counts, docs = [], None, {}, 0
-        schema = pa.schema(
-            [
-                ("lang", pa.string()),
-                ("term", pa.string()),
-                ("postings", pa.list_(pa.struct([("source", pa.string()), ("count", pa.int64())]))),
-            ]
-        )
+        now, state = None, Merge(least)
+
+        def out(found):
+            lang = pa.array([now[1]] * len(found))
+            return pa.RecordBatch.from_arrays([lang, found.field(0), found.field(1)], names=["lang", "term", "postings"])
 
-        def out():
-            return pa.RecordBatch.from_pylist(rows, schema=schema)
-
-        def kept():
-            postings = [{"source": s, "count": c} for s, c in sorted(counts.items())]
-            return {"lang": key[0].decode(), "term": key[1].decode(), "postings": postings}
-
-        for at, postings in merged(batches):
-            if at != key:
-                if docs >= least:
-                    rows.append(kept())
-                    if len(rows) >= 1024:
-                        yield out()
-                        rows = []
-                key, counts, docs = at, {}, 0
-            for source, n, d in postings:
-                counts[source] = counts.get(source, 0) + n
-                docs += d
-        if docs >= least:
-            rows.append(kept())
-        if rows:
-            yield out()
+        for batch in slices(batches, 16):
+            for shard, lang, block in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                entries, found = pickle.loads(block), None
+                if (shard, lang) != now:
+                    found = state.until(None)
+                elif state.held >= WINDOW:
+                    found = state.until(entries[0][0])
+                if found is not None:
+                    yield out(found)
+                if (shard, lang) != now:
+                    now, state = (shard, lang), Merge(least)
+                state.push(entries)
+        found = state.until(None)
+        if found is not None:
+            yield out(found)
 
     return merge
 
@@ -175,7 +222,7 @@ def index(docs: DataFrame, least: int = LEAST) -> DataFrame:
     shards = shuffle_parts(docs.sparkSession)
     runs = docs.select("lang", "source", F.col("text").cast("binary")).mapInArrow(_indexer(shards), BLOCKS)
     dealt = runs.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "lang", "term")
-    return dealt.select("shard", "block").mapInArrow(_merger(least), FREQUENCIES)
+    return dealt.select("shard", "lang", "block").mapInArrow(_merger(least), FREQUENCIES)
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
@@ -210,7 +257,7 @@ def _corrections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, lists = batch.column(0).to_pylist(), batch.column(1)
         values = lists.flatten()
         sources = values.field(0).to_pylist()
-        p, base = values.field(1).to_numpy(), values.field(2).to_numpy()
+        p, base = values.field(1).to_numpy(False), values.field(2).to_numpy(False)
         ends = np.cumsum(lists.value_lengths().to_numpy())
         lengths = np.diff(ends, prepend=0)
         lang_of = np.repeat(np.arange(len(langs)), lengths)

@@ -279,7 +279,7 @@ def test_divergence_edge(spark, edge, empty):
 
 def test_runs_spill_and_merge(monkeypatch):
     # many runs, blocks of few entries, and texts read in small pieces
-    for name, value in (("POSTINGS", 40), ("BLOCK", 3), ("PIECE", 5)):
+    for name, value in (("POSTINGS", 40), ("BLOCK", 3), ("PIECE", 5), ("WINDOW", 20)):
         monkeypatch.setattr(divergence, name, value)
     random_ = random.Random(2)
     docs = [(random_.choice("xy"), random_.choice("st"), " ".join(random_.choice("abcdéfgh") * random_.randint(1, 3) for _ in range(30))) for _ in range(60)]
@@ -288,7 +288,7 @@ def test_runs_spill_and_merge(monkeypatch):
     assert len(blocks) > 100
     got, counts, held = {}, defaultdict(Counter), defaultdict(Counter)
     blocks.sort(key=lambda r: (r["shard"], r["lang"].encode(), r["term"].encode()))
-    dealt = pa.RecordBatch.from_pydict({"shard": [r["shard"] for r in blocks], "block": [r["block"] for r in blocks]})
+    dealt = pa.RecordBatch.from_pydict({"shard": [r["shard"] for r in blocks], "lang": [r["lang"] for r in blocks], "block": [r["block"] for r in blocks]})
     for b in divergence._merger(5)(iter([dealt])):
         for r in b.to_pylist():
             assert (r["lang"], r["term"]) not in got
@@ -305,7 +305,8 @@ def test_corrections_in_small_steps(monkeypatch):
     random_ = random.Random(4)
     base = {s: random_.randint(1, 50) for s in "abcdef"}
     lists = [[{"source": s, "p": random_.randint(50, 10**9), "base": base[s]} for s in random_.sample("abcdef", random_.randint(2, 6))] for _ in range(50)]
-    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 50, "_list": lists})
+    kind = pa.list_(pa.struct([("source", pa.string()), ("p", pa.int64()), ("base", pa.int64())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 50), pa.array(lists, kind)], names=["lang", "_list"])
     got = Counter()
     for b in divergence._corrections(iter([batch])):
         for r in b.to_pylist():
