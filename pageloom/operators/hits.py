@@ -3,6 +3,7 @@
 A request is a hit while it comes less than ``ttl`` after the last fetch of its
 URL; a miss fetches and starts a new period.  Whether a request is a miss depends
 on the previous miss, so this is a fold over each URL's requests in time order.
+A request without a time is never a hit, and its fetch starts no period.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +19,9 @@ from pyspark.sql import functions as F
 from pageloom.operators.scan import HOT_ROWS, ordered_chunks, split_hot
 from pageloom.session import checkpoint
 
+# stands for no time while rows are folded; before all times
+NO_TIME = -(1 << 63)
+
 
 def fold_hits(times: np.ndarray, last: float | None, ttl: int) -> tuple[np.ndarray, float | None]:
     """Hits for ascending ``times`` given the last fetch; also the new last fetch.
@@ -61,27 +65,35 @@ def request_hits(
 
 
 def _fold(requests: DataFrame, ttl: int, key: str, at: str, tie: str) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    n_columns = len(requests.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, last = None, None
         for batch in batches:
-            hits = np.empty(len(batch), dtype=bool)
-            keys = batch[key].to_numpy()
-            times = batch[at].to_numpy()
+            if batch.num_rows == 0:
+                continue
+            hits = np.zeros(batch.num_rows, dtype=bool)
+            keys = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
+            times = batch.column(n_columns).to_numpy(zero_copy_only=False)
             edges = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-            bounds = [0, *edges.tolist(), len(batch)] if len(batch) else []
+            bounds = [0, *edges.tolist(), batch.num_rows]
             for start, stop in zip(bounds, bounds[1:]):
                 if keys[start] != current:
                     current, last = keys[start], None
-                hits[start:stop], last = fold_hits(times[start:stop], last, ttl)
-            yield batch.assign(hit=hits)
+                timed = start + int(np.searchsorted(times[start:stop], NO_TIME, side="right"))
+                hits[timed:stop], last = fold_hits(times[timed:stop], last, ttl)
+            columns = [batch.column(i) for i in range(n_columns)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(hits)], names=[*batch.schema.names[:n_columns], "hit"])
 
+    # Columns go through as Arrow arrays, so whole numbers stay exact beside nulls.
+    timed = requests.withColumn("_time", F.coalesce(F.col(at).cast("bigint"), F.lit(NO_TIME)))
     # By a hash of the key, not the key: a plain repartition is dropped where the plan
     # below is already partitioned by the key, and the adaptive planner may then read
     # that shuffle locally, since a Python operator does not ask for a distribution.
-    own_shuffle = requests.repartition(F.xxhash64(key))
-    sorted_rows = own_shuffle.sortWithinPartitions(key, at, tie)
+    own_shuffle = timed.repartition(F.xxhash64(key))
+    sorted_rows = own_shuffle.sortWithinPartitions(key, "_time", tie)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema)
-    return sorted_rows.mapInPandas(run, f"{fields}, hit boolean")
+    return sorted_rows.mapInArrow(run, f"{fields}, hit boolean")
 
 
 def _next_at_or_after(points: DataFrame, ttl: int, chunks: int | None) -> DataFrame:
@@ -108,7 +120,7 @@ def _next_at_or_after(points: DataFrame, ttl: int, chunks: int | None) -> DataFr
 def _pointers(
     requests: DataFrame, ttl: int, key: str, at: str, tie: str, chunks: int | None
 ) -> DataFrame:
-    points = requests.groupBy(F.col(key).alias("k"), F.col(at).cast("bigint").alias("t")).agg(
+    points = requests.where(F.col(at).isNotNull()).groupBy(F.col(key).alias("k"), F.col(at).cast("bigint").alias("t")).agg(
         F.min(tie).alias("first_tie")
     )
     points = checkpoint(points)
@@ -124,4 +136,4 @@ def _pointers(
         F.col("k").alias(key), F.col("t").alias(at), F.col("first_tie").alias(tie), F.lit(False).alias("_hit")
     )
     marked = requests.join(fetches, [key, at, tie], "left")
-    return marked.withColumn("hit", F.coalesce("_hit", F.lit(True))).drop("_hit").select(*requests.columns, "hit")
+    return marked.withColumn("hit", F.coalesce("_hit", F.col(at).isNotNull())).drop("_hit").select(*requests.columns, "hit")

@@ -395,31 +395,76 @@ def request_hits_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("event_id", "user_id", "hit")
 
 
-def _hits_of(spark: SparkSession, sf_dir: str, batches: int) -> DataFrame:
-    """Hits of the events as a stream of so many files in order of time."""
-    events = table(spark, sf_dir, "events")
-    requests = events.select(F.col("user_id").cast("string").alias("url"), F.col("event_id").alias("request_id"), "ts")
+def _hits_of(spark: SparkSession, requests: DataFrame, batches: int, **options) -> DataFrame:
+    """Hits of ``requests`` (url, request_id, ts, part) as a stream of ``batches`` parts.
+
+    Every part is written by all its tasks into files of the same number, so that a
+    trigger takes just one part.
+    """
     source, out = scratch_path(spark, "requests"), scratch_path(spark, "hits")
-    cuts = events.select(F.percentile_approx(F.unix_micros("ts"), [k / batches for k in range(1, batches)]).alias("c")).first()["c"]
-    edges = [None, *(cuts or []), None]
-    at = F.unix_micros("ts")
-    for low, high in zip(edges, edges[1:]):
-        part = requests.where((F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high))
-        part.coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    start_hits(stream, 3_600_000, out, out + "-log", availableNow=True).awaitTermination()
+    files = spark.sparkContext.defaultParallelism
+    columns = ["url", "request_id", "ts"]
+    for part in range(batches):
+        rows = requests.where(F.col("part") == part).select(*columns)
+        # a file for each task, empty ones too: the range of a generated id deals them out evenly
+        numbered = spark.range(0, files, 1, files).select(F.col("id").cast("int").alias("_to"))
+        dealt = rows.withColumn("_to", F.pmod(F.xxhash64("request_id"), F.lit(files)).cast("int"))
+        dealt = dealt.unionByName(numbered, allowMissingColumns=True).repartitionById(files, F.col("_to"))
+        dealt.select(*columns, F.col("request_id").isNull().alias("filler")).write.mode("append").parquet(source)
+    schema = "url string, request_id bigint, ts timestamp, filler boolean"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
+    real = stream.where("not filler").drop("filler")
+    start_hits(real, 3_600_000, out, out + "-log", availableNow=True, **options).awaitTermination()
     return spark.read.parquet(out + "/hits").select(
         F.col("request_id").alias("event_id"), F.col("url").cast("bigint").alias("user_id"), "hit"
     )
 
 
+def _event_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    return events.select(F.col("user_id").cast("string").alias("url"), F.col("event_id").alias("request_id"), "ts")
+
+
 @query(HITS_SQL)
 def stream_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cache hits of a request stream in one batch."""
-    return _hits_of(spark, sf_dir, 1)
+    return _hits_of(spark, _event_requests(spark, sf_dir).withColumn("part", F.lit(0)), 1)
 
 
 @query(HITS_SQL)
 def stream_hits_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same hits over four batches, with the state between them in a table."""
-    return _hits_of(spark, sf_dir, 4)
+    """The same hits over four batches in order of time, with the state between them in tables."""
+    requests = _event_requests(spark, sf_dir)
+    at = F.unix_micros("ts")
+    cuts = requests.select(F.percentile_approx(at, [0.25, 0.5, 0.75]).alias("c")).first()["c"] or []
+    part = sum((F.coalesce(at > F.lit(c), F.lit(False)).cast("int") for c in cuts), F.lit(0))
+    return _hits_of(spark, requests.withColumn("part", part), 4, merge_every=3)
+
+
+# requests by id, not time, into eight batches; every 31st has no time
+LATE_SQL = """
+    with recursive log as (
+      select event_id, user_id, case when event_id % 31 <> 0 then epoch_us(ts) // 1000 end as t, event_id * 7 // 13 % 8 as part from events),
+    turns as (select *, row_number() over (partition by user_id order by part, t nulls first, event_id) as rn from log),
+    fold as (
+      select user_id, rn, event_id, part, t, false as hit, cast(null as bigint) as old, t as last_fetch from turns where rn = 1
+      union all
+      select user_id, rn, event_id, part, t, coalesce(t < known + 3600000 or t - last < 3600000, false),
+             known, case when t is null or coalesce(t < known + 3600000 or t - last < 3600000, false) then last else t end
+      from (select l.user_id, l.rn, l.event_id, l.part, l.t, f.last_fetch as last,
+                   case when l.part = f.part then f.old else f.last_fetch end as known
+            from fold f join turns l on l.user_id = f.user_id and l.rn = f.rn + 1))
+    select event_id, user_id, hit from fold
+"""
+
+
+@query(LATE_SQL)
+def stream_hits_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits over eight batches whose times overlap, some requests without a time, with two merges of the state.
+
+    Within a batch requests go by time; a batch is judged by the fetches of those before it.
+    """
+    requests = _event_requests(spark, sf_dir)
+    timed = requests.withColumn("ts", F.when(F.col("request_id") % 31 != 0, F.col("ts")))
+    part = F.floor(F.col("request_id") * 7 / 13).cast("bigint") % 8
+    return _hits_of(spark, timed.withColumn("part", part), 8, merge_every=3, buckets=4, keep_ms=1 << 50)

@@ -102,3 +102,35 @@ def test_stream_hits_equal_batch(spark, tmp_path, hot_rows):
     numeric = table.select("request_id", "url", F.unix_millis("ts").alias("ts"))
     expected = {r.request_id: r.hit for r in request_hits(numeric, 5000).collect()}
     assert {r.request_id: r.hit for r in spark.read.parquet(out + "/hits").collect()} == expected | {99: True}
+
+
+def test_hits_without_a_time(spark):
+    rows = [("a", 1, None), ("a", 2, 100), ("a", 3, 150), ("a", None, None), (None, 5, 7), (None, 6, 9), ("b", 7, None), ("c", (1 << 53) + 1, (1 << 53) + 1)]
+    requests = spark.createDataFrame(rows, "url string, request_id bigint, ts bigint")
+    expected = {1: False, 2: False, 3: True, None: False, 5: False, 6: True, 7: False, (1 << 53) + 1: False}
+    for hot in (1000, 1):
+        keyed = requests if hot == 1000 else requests.where("url is not null")
+        got = request_hits(keyed, 100, hot_rows=hot).collect()
+        assert {r.request_id: r.hit for r in got} == {r.request_id: expected[r.request_id] for r in keyed.collect()}
+        # whole numbers stay exact beside nulls
+        assert sorted((r.request_id, r.ts) for r in got if r.url == "c") == [((1 << 53) + 1, (1 << 53) + 1)]
+
+
+def test_stream_hits_state_is_written_by_change(spark, tmp_path):
+    source, out = tmp_path / "in", tmp_path / "out"
+    rows = [(part * 1000 + i, f"u{i}" if part == 0 else f"u{i * 7 % 900}", 1_700_000_000_000 + part * 10_000) for part in range(7) for i in range(900 if part == 0 else 5)]
+    table = spark.createDataFrame(rows, "request_id bigint, url string, ms bigint")
+    for part in range(7):
+        own = table.where(f"request_id between {part * 1000} and {part * 1000 + 999}")
+        own.select("request_id", "url", F.timestamp_millis("ms").alias("ts")).coalesce(1).write.mode("append").parquet(str(source))
+    stream = jobs.stream_pages(spark, str(source), "request_id bigint, url string, ts timestamp", 1)
+    jobs.start_hits(stream, 5000, str(out), str(tmp_path / "ck"), merge_every=3, buckets=2, availableNow=True).awaitTermination()
+    size = lambda folder: sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+    deltas = [spark.read.parquet(str(out / "state" / "delta" / str(n))).count() for n in range(7)]
+    assert deltas == [900, 5, 5, 5, 5, 5, 5]
+    assert all(size(out / "state" / "delta" / str(n)) * 3 < size(out / "state" / "delta" / "0") for n in range(1, 7))
+    assert sorted(p.name for p in (out / "state" / "base").iterdir()) == ["2", "5"]
+    assert spark.read.parquet(str(out / "state" / "base" / "5")).count() == 900
+    numeric = table.select("request_id", "url", F.col("ms").alias("ts"))
+    expected = {r.request_id: r.hit for r in request_hits(numeric, 5000).collect()}
+    assert {r.request_id: r.hit for r in spark.read.parquet(str(out / "hits")).collect()} == expected
