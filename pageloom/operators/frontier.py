@@ -64,9 +64,7 @@ def next_page(pagination: Pagination | None, columns: list[str]) -> Column:
     return nowhere
 
 
-def walk(
-    starts: DataFrame, edges: DataFrame, max_pages: int, checkpoint_every: int = 10
-) -> DataFrame:
+def walk(starts: DataFrame, edges: DataFrame, max_pages: int, rounds_in_plan: int = 3) -> DataFrame:
     """Follow next links from every ``_source`` for at most ``max_pages`` pages.
 
     ``edges`` has the known pages: ``url``, ``next_url``, ``stop``; of several rows of one
@@ -75,40 +73,42 @@ def walk(
     in ``edges`` is listed with the reason on it.  Revisits count again, as the cap
     alone bounds a cycle.
 
-    Only URLs move: every hop is one equi-join.  The path travels inside the row,
-    so earlier hops are not recomputed, and finished walks get a key of their own
-    instead of all meeting at null.
+    Pointers double: after round k every URL knows the page 2**k links on, and every
+    walk its first 2**k pages, so a walk takes log2(max_pages) equi-joins of URLs.
+    Positions that lie beyond a walk's end, or the cap, are never made.  Up to
+    ``rounds_in_plan`` rounds stay in one plan; longer walks are written between rounds.
     """
     single = edges.groupBy("url").agg(F.max(F.struct("next_url", "stop")).alias("_edge"))
     links = single.select(
         F.col("url").alias("_url"), F.col("_edge.next_url").alias("_next"), F.col("_edge.stop").alias("_why")
     )
-    state = starts.select("_source").distinct().select(
-        "_source",
-        F.col("_source").alias("_at"),
-        F.array("_source").alias("_path"),
-        F.when(F.col("_source").isNull(), F.lit(BAD_URL)).alias("_stop"),
+    rounds = max(max_pages - 1, 0).bit_length()
+    jump = links.where(F.col("_next").isNotNull()).select("_url", "_next")
+    seen = starts.select("_source").distinct().select(
+        "_source", F.lit(0).alias("_page_no"), F.col("_source").alias("url")
     )
-    for hop in range(1, max_pages + 1):
-        last = hop == max_pages
-        key = F.coalesce("_at", F.concat(F.lit("\x00"), "_source"))
-        active = F.col("_at").isNotNull()
-        known = F.col("_url").isNotNull()
-        goes_on = F.lit(False) if last else F.col("_next").isNotNull()
-        reason = (
-            F.when(~known, F.lit(MISSING_PAGE)).when(F.lit(last), F.lit(MAX_PAGES)).otherwise(F.col("_why"))
-        )
-        state = state.join(links, key == F.col("_url"), "left").select(
-            "_source",
-            F.when(active & goes_on, F.col("_next")).alias("_at"),
-            F.when(active & goes_on, F.concat("_path", F.array("_next"))).otherwise(F.col("_path")).alias("_path"),
-            F.when(active & ~goes_on, reason).otherwise(F.col("_stop")).alias("_stop"),
+    for k in range(rounds):
+        step = 1 << k
+        if k and rounds > rounds_in_plan:
+            seen, jump = checkpoint(seen), checkpoint(jump)
+        from_here = seen.where(F.col("_page_no") + step < max_pages)
+        ahead = from_here.join(jump, F.col("url") == F.col("_url")).select(
+            "_source", (F.col("_page_no") + step).alias("_page_no"), F.col("_next").alias("url")
         )
-        if hop % checkpoint_every == 0 and not last:
-            state = checkpoint(state)
-            if state.where(F.col("_at").isNotNull()).isEmpty():
-                break
-    return state.select("_source", F.posexplode("_path").alias("_page_no", "url"), "_stop")
+        seen = seen.unionByName(ahead)
+        if k + 1 < rounds:
+            onward = jump.select(F.col("_url").alias("_next"), F.col("_next").alias("_far"))
+            jump = jump.join(onward, "_next").select("_url", F.col("_far").alias("_next"))
+    paths = seen.groupBy("_source").agg(F.sort_array(F.collect_list(F.struct("_page_no", "url"))).alias("_path"))
+    ends = paths.withColumn("_end", F.element_at("_path", -1)["url"])
+    reason = (
+        F.when(F.col("_source").isNull(), F.lit(BAD_URL))
+        .when(F.col("_url").isNull(), F.lit(MISSING_PAGE))
+        .when(F.size("_path") == max_pages, F.lit(MAX_PAGES))
+        .otherwise(F.col("_why"))
+    )
+    ended = ends.join(links, F.col("_end") == F.col("_url"), "left").select("_source", "_path", reason.alias("_stop"))
+    return ended.select("_source", "_stop", F.inline("_path")).select("_source", "_page_no", "url", "_stop")
 
 
 def query_pages(

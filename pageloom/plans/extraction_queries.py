@@ -305,6 +305,40 @@ def walk_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+LONG_SQL = """
+    with recursive edges as (select page_id, lead(url) over (order by page_id) as next_url, url from pages),
+    walk as (
+      select url as source, 0 as page_no, url from pages where page_id % 3 = 0
+      union all
+      select source, page_no + 1, case when page_id % 50 = 49 then back else next_url end
+      from walk join (select *, max(case when page_id % 50 = 17 then url end) over (partition by page_id // 50) as back from edges) using (url)
+      where case when page_id % 50 = 49 then back else next_url end is not null and page_no < 63)
+    select source, page_no::bigint as page_no, url,
+           case when max(page_no) over (partition by source) = 63 then 'max_pages' else 'no_next' end as stop
+    from walk
+"""
+
+
+@query(LONG_SQL)
+def walk_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walks of up to 64 pages that run into cycles: each 50th page leads back by 32."""
+    known = table(spark, sf_dir, "pages").select("page_id", "url")
+    following = known.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("next_url"))
+    back = known.where("page_id % 50 = 17").select((F.col("page_id") + 32).alias("page_id"), F.col("url").alias("back"))
+    edges = known.join(following, "page_id", "left").join(back, "page_id", "left").select(
+        "url",
+        F.when(F.col("page_id") % 50 == 49, F.col("back")).otherwise(F.col("next_url")).alias("next_url"),
+        F.lit(frontier.NO_NEXT).alias("stop"),
+    )
+    starts = known.where("page_id % 3 = 0").select(F.col("url").alias("_source"))
+    visits = frontier.walk(starts, edges, 64)
+    return longs(
+        visits.select(
+            F.col("_source").alias("source"), F.col("_page_no").alias("page_no"), "url", F.col("_stop").alias("stop")
+        )
+    )
+
+
 @query(
     """
     select p_partkey, n as page_no, case when n = 0 then u else regexp_replace(u, 'page=[0-9]*', 'page=' || (3 + 2 * n)) end as url

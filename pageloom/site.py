@@ -32,15 +32,15 @@ class Site:
     """Resources of one site as DataFrames over a shared pages table.
 
     ``pages`` has ``url``, ``html`` and, when known, ``final_url``, ``from_cache`` and
-    ``fetched_at``.  With ``fetched_at`` a URL may have several captures, of which the
-    newest counts; without it there is one row per URL.  Filter it to the site's own pages first; that
-    filter reaches the scan.
+    ``fetched_at``.  With ``fetched_at`` only the newest capture of a URL counts; without it,
+    runs take one of a URL's rows, and ``over_pages`` takes every row.  Filter it to the
+    site's own pages first; that filter reaches the scan.
     """
 
     def __init__(self, spec: SiteSpec, pages: DataFrame, hooks: Hooks | None = None) -> None:
         self.spec = spec
         self.hooks = hooks or Hooks()
-        self.pages = newest_captures(pages)
+        self.pages = newest_captures(pages) if "fetched_at" in pages.columns else pages
         self._stored: DataFrame | None = None
 
     @classmethod
@@ -188,19 +188,23 @@ class Site:
 
 
 def newest_captures(pages: DataFrame) -> DataFrame:
-    """The newest capture of each URL, where the table says when they were made.
+    """One capture of each URL: the newest where the table says when they were made.
 
-    Which ones go is settled on URL, time and a digest; pages move only where the list
-    of those that go is too long to be broadcast, and not at all in a stream.
+    Captures are told apart by URL, time (none is before all) and a digest of the page, which
+    settles equal times; equal ones are one capture.  Which URLs have several rows is settled on
+    those narrow values; only such rows are moved.  A stream is left as it is.
     """
-    if "fetched_at" not in pages.columns or pages.isStreaming:
+    if pages.isStreaming:
         return pages
-    order = [F.coalesce(F.unix_micros("fetched_at"), F.lit(-(1 << 62))).alias("_at"), F.xxhash64("html").alias("_digest")]
-    narrow = pages.select("url", *order)
-    best = narrow.groupBy("url").agg(F.max(F.struct("_at", "_digest")).alias("_best"), F.count("*").alias("_n")).where("_n > 1")
+    at = F.coalesce(F.unix_micros("fetched_at"), F.lit(-(1 << 62))) if "fetched_at" in pages.columns else F.lit(0)
+    order = F.struct(at.alias("_at"), F.xxhash64("html").alias("_digest"))
+    narrow = pages.select("url", order.alias("_own"))
+    best = narrow.groupBy("url").agg(F.max("_own").alias("_best"), F.count("*").alias("_n")).where("_n > 1")
     best = best.select(F.col("url").alias("_url"), "_best")
-    kept = pages.withColumn("_own", F.struct(*order)).join(best, F.col("url") == F.col("_url"), "left")
-    return kept.where(F.col("_best").isNull() | (F.col("_own") == F.col("_best"))).select(*pages.columns)
+    same = F.col("url").eqNullSafe(F.col("_url"))
+    single = pages.join(best, same, "left_anti")
+    repeated = pages.withColumn("_own", order).join(best, same).where(F.col("_own") == F.col("_best"))
+    return single.unionByName(repeated.select(*pages.columns).dropDuplicates(["url"]))
 
 
 def run_meta(name: str, visits: DataFrame, pages: DataFrame) -> DataFrame:

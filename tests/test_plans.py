@@ -1,5 +1,7 @@
 """Plans are the ones a large cluster needs."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,16 +70,33 @@ def test_checkpoints_go_to_the_named_folder(spark, tmp_path):
             context.setCheckpointDir(before)
 
 
-def test_long_walk_cuts_its_lineage(spark):
+def test_long_walks(spark):
     edges = spark.range(200).select(
         F.concat(F.lit("p"), F.col("id")).alias("url"),
         F.when(F.col("id") < 33, F.concat(F.lit("p"), F.col("id") + 1)).alias("next_url"),
         F.lit("no_next").alias("stop"),
     )
     starts = spark.createDataFrame([("p0",), ("p20",), ("p199",), ("none",)], "_source string")
-    visits = frontier.walk(starts, edges, 60, checkpoint_every=5)
+    visits = frontier.walk(starts, edges, 60)
     got = {r._source: (r.n, r.s) for r in visits.groupBy("_source").agg(F.count("*").alias("n"), F.max("_stop").alias("s")).collect()}
     assert got == {"p0": (34, "no_next"), "p20": (14, "no_next"), "p199": (1, "no_next"), "none": (1, "missing_page")}
     cycle = spark.createDataFrame([("a", "b", None), ("b", "a", None)], "url string, next_url string, stop string")
     rows = frontier.walk(cycle.select(F.lit("a").alias("_source")), cycle, 5).orderBy("_page_no").collect()
     assert [r.url for r in rows] == ["a", "b", "a", "b", "a"] and rows[0]._stop == "max_pages"
+
+
+def test_walks_double_their_pointers(spark):
+    edges = spark.createDataFrame([(f"p{i}", f"p{i + 1}", None) for i in range(200)], "url string, next_url string, stop string")
+    starts = spark.createDataFrame([("p0",), ("p190",), (None,)], "_source string")
+    # seven rounds for 64 pages or more, one plan: a join each for paths and pointers
+    plan = frontier.walk(starts, edges, 64, rounds_in_plan=99)._jdf.queryExecution().analyzed().toString()
+    assert max(map(int, re.findall(r"_page_no#\d+ \+ (\d+)\) AS", plan))) == 32
+    for cap in (1, 2, 3, 63, 64, 65):
+        got = {}
+        for r in frontier.walk(starts, edges, cap).collect():
+            got.setdefault(r._source, []).append((r._page_no, r.url, r._stop))
+        assert sorted(got["p0"]) == [(i, f"p{i}", "max_pages") for i in range(cap)]
+        end = min(cap, 11)
+        stop = "max_pages" if cap <= 10 else "missing_page"
+        assert sorted(got["p190"]) == [(i, f"p{190 + i}", stop) for i in range(end)]
+        assert got[None] == [(0, None, "bad_url")]
