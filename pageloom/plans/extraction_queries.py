@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pageloom.hooks import Hooks, PostContext, dedupe_by, hook_transform, keep_first, rating_word, sort_by_number
@@ -82,11 +82,17 @@ def sql_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+TITLE_SQL = collapsed(decoded("regexp_extract(html, '<title>([^<]*)</title>', 1)"))
+
+
 @query(
-    f"with {NAV_SQL} select label, count(*) as n, count(distinct page_id) as n_pages from nav group by label"
+    f"""with {NAV_SQL}, heads as (select url, {TITLE_SQL} as title from pages)
+    select label, count(*) as n, count(distinct page_id) as n_pages, count(distinct title) as n_titles,
+           max(title) as last_title, sum(row_no * length(title))::bigint as weight
+    from nav join heads using (url) group by label"""
 )
 def resource_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two resources of one site as SQL views over one parse."""
+    """Two resources of one site as SQL views over one stored parse, joined."""
     spec = parse_spec(
         """
         name: sample
@@ -101,10 +107,12 @@ def resource_views(spark: SparkSession, sf_dir: str) -> DataFrame:
         """
     )
     site = Site(spec, pages(spark, sf_dir))
-    for name in site.names:
-        site.over_pages(name).createOrReplaceTempView("sample_" + name.replace("-", "_"))
+    site.store()
+    links, heads = site.create_views("sample_", each_page=True)
     return spark.sql(
-        "select label, count(*) as n, count(distinct url) as n_pages from sample_nav_links group by label"
+        f"""select label, count(*) as n, count(distinct url) as n_pages, count(distinct title) as n_titles,
+                   max(title) as last_title, sum(links._row_no * length(title)) as weight
+            from {links} links join {heads} heads using (url) group by label"""
     )
 
 
@@ -233,7 +241,7 @@ def warnings_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     select 'r' as resource, 'u' || user_id as source, count(page_id) as pages,
            coalesce(bool_or(page_id % 3 = 0), false) as from_cache, max(page_id * 1000) as fetched_ms,
            'max_pages' as stop_reason
-    from events left join pages on page_id = event_id % 100
+    from events left join pages on page_id = event_id % (select 2 * count(*) from pages)
     group by user_id
     """
 )
@@ -244,9 +252,11 @@ def run_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("page_id") % 3 == 0).alias("from_cache"),
         F.timestamp_millis(F.col("page_id") * 1000).alias("fetched_at"),
     )
+    # every page is visited, and as many that are missing
+    n_pages = known.count()
     visits = table(spark, sf_dir, "events").select(
         F.concat(F.lit("u"), F.col("user_id")).alias("_source"),
-        (F.col("event_id") % 100).cast("string").alias("url"),
+        (F.col("event_id") % (2 * n_pages)).cast("string").alias("url"),
         F.lit("max_pages").alias("_stop"),
     )
     meta = run_meta("r", visits, known)
@@ -423,9 +433,22 @@ def _numbered(df: DataFrame) -> DataFrame:
     )
 
 
-@query(f"select page_no, row_no, p_name, price from {CATALOGUE_SQL} order by coalesce(price, 0), page_no, row_no")
+@query(
+    f"""select page_no, row_no, p_name, price, row_number() over (order by coalesce(price, 0), page_no, row_no) - 1 as place
+    from {CATALOGUE_SQL}"""
+)
 def hook_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _numbered(sort_by_number("price")(_catalogue(spark, sf_dir), CONTEXT))
+    """Rows in the hook's order, with their place in it as written: file by file, row by row."""
+    path = scratch_path(spark, "sorted")
+    _numbered(sort_by_number("price")(_catalogue(spark, sf_dir), CONTEXT)).write.parquet(path)
+    file, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+    placed = spark.read.parquet(path).select("*", file.alias("_file"), row.alias("_row"))
+    sizes = placed.groupBy("_file").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
+    return placed.join(starts, "_file").select(
+        "page_no", "row_no", "p_name", "price", (F.col("_from") + F.col("_row")).alias("place")
+    )
 
 
 @query(f"select page_no, row_no, p_name, price from {CATALOGUE_SQL} order by page_no, row_no limit 25")
@@ -455,7 +478,7 @@ def _leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.select(F.concat(F.lit("https://example.com/list?n="), F.col("page_id")).alias("url"), "html")
 
 
-def _leaf_site(spark: SparkSession, sf_dir: str, hooks: Hooks | None = None, **extra) -> Site:
+def _leaf_site(spark: SparkSession, sf_dir: str, hooks: Hooks | None = None, leaves: DataFrame | None = None, **extra) -> Site:
     resource = {
         "name": "nav",
         "fetch": {"path": "/list?n={n}", "pagination": {"type": "query", "param": "n", "maxPages": 3}},
@@ -463,7 +486,7 @@ def _leaf_site(spark: SparkSession, sf_dir: str, hooks: Hooks | None = None, **e
         **extra,
     }
     spec = spec_from_dict({"name": "sample", "baseUrl": "https://example.com", "resources": [resource]})
-    return Site(spec, _leaves(spark, sf_dir), hooks)
+    return Site(spec, _leaves(spark, sf_dir) if leaves is None else leaves, hooks)
 
 
 def _leaf_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -502,6 +525,47 @@ def sink_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(joined.join(counted("warnings", "n_warnings"), "source", "left").fillna(0, ["n_rows", "n_warnings"]))
 
 
+CAPTURES_SQL = f"""with {LEAVES_SQL}, rows as (
+      select source, count(*) as k, count(distinct label) as n_labels, max(page_no * 100 + row_no)::bigint as last
+      from visited join nav using (page_id) group by source)
+    select source, pages, case when pages < 3 then 'missing_page' else 'max_pages' end as stop_reason,
+           {{at}} as fetched_ms, coalesce(k, 0)::bigint as n_rows, coalesce(n_labels, 0)::bigint as n_labels, last
+    from walked left join rows using (source)"""
+
+
+def _run_figures(site: Site, runs: DataFrame) -> DataFrame:
+    result = site.resource("nav", runs)
+    counted = result.data.groupBy(F.col("_source").alias("source")).agg(
+        F.count("*").alias("n_rows"),
+        F.countDistinct("label").alias("n_labels"),
+        F.max(F.col("_page_no") * 100 + F.col("_row_no")).alias("last"),
+    )
+    meta = result.meta.select("source", "pages", "stop_reason", F.unix_millis("fetched_at").alias("fetched_ms"))
+    return longs(meta.join(counted, "source", "left").fillna(0, ["n_rows", "n_labels"]))
+
+
+@query(CAPTURES_SQL.format(at="cast(null as bigint)"))
+def captures_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs over pages that are all there three times, without times."""
+    leaves = _leaves(spark, sf_dir)
+    site = _leaf_site(spark, sf_dir, leaves=leaves.unionByName(leaves).unionByName(leaves))
+    return _run_figures(site, _leaf_runs(spark, sf_dir))
+
+
+@query(CAPTURES_SQL.format(at="case when pages > 0 then (n + pages - 1) * 1000 end"))
+def captures_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs over pages with equal captures of the newest time, older ones, and ones without a time."""
+    leaves = _leaves(spark, sf_dir)
+    number = F.substring_index("url", "=", -1).cast("bigint")
+    at = lambda ms: F.timestamp_millis(ms)
+    now = leaves.withColumn("fetched_at", at(number * 1000))
+    blank = leaves.withColumn("html", F.lit("<nav><li><a href='/old'>old</a></li></nav>"))
+    old = blank.withColumn("fetched_at", at(number * 1000 - 1))
+    unknown = blank.withColumn("fetched_at", F.lit(None).cast("timestamp"))
+    site = _leaf_site(spark, sf_dir, leaves=now.unionByName(old).unionByName(now).unionByName(unknown))
+    return _run_figures(site, _leaf_runs(spark, sf_dir))
+
+
 @query(
     f"""with {LEAVES_SQL}, rows as (select source, page_no, row_no, label, href from visited join nav using (page_id)),
     firsts as (select label, source, page_no, row_no from rows qualify row_number() over (partition by label order by source, page_no, row_no) = 1),
