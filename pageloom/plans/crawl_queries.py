@@ -18,7 +18,7 @@ from pageloom.plans.crawl import crawl_plan as plan
 from pageloom.plans.registry import query
 from pageloom.plans.tables import longs, table
 from pageloom.session import scratch_path
-from pageloom.sources.cache import read_snapshots
+from pageloom.sources.store import SnapshotStore
 from pageloom.spec import Politeness
 from pageloom.streaming.jobs import start_hits, start_snapshots, stream_pages
 
@@ -197,10 +197,46 @@ def stream_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).write.mode("append").parquet(source)
     copies = stream_pages(spark, source, "url string, final_url string, body string, stored_at timestamp", 1)
     start_snapshots(copies, path, path + "-log", availableNow=True).awaitTermination()
-    stored = read_snapshots(spark, path)
+    stored = SnapshotStore(spark, path).read()
     return stored.select("url", F.md5("body").alias("body"), F.unix_seconds("stored_at").alias("age"))
 
 
+# four captures of every page at times that differ, the one or other without a time, dealt over six batches
+CAPTURED_MS = f"{NOW_MS} - (page_id * 7 + c * 13) % 50 * 1000"
+
+
+@query(
+    f"""
+    with copies as (
+      select url, page_id, md5(html || '<!-- ' || c || ' -->') as body,
+             case when (page_id + c) % 9 <> 0 then {CAPTURED_MS} end as stored_ms from pages cross join range(4) t(c))
+    select url, 'https://final.example/' || page_id as final_url, body, stored_ms, page_id % 5 = 0 as asked
+    from copies qualify row_number() over (partition by url order by stored_ms desc nulls last) = 1
+    """
+)
+def snapshot_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures that arrive out of order in six batches, two merges between; some URLs read by themselves."""
+    captures = table(spark, sf_dir, "pages").withColumn("c", F.explode(F.array(*map(F.lit, range(4)))))
+    at = F.timestamp_millis(F.expr(CAPTURED_MS))
+    copies = captures.select(
+        "url",
+        F.concat(F.lit("https://final.example/"), F.col("page_id")).alias("final_url"),
+        F.concat("html", F.lit("<!-- "), F.col("c"), F.lit(" -->")).alias("body"),
+        F.when((F.col("page_id") + F.col("c")) % 9 != 0, at).alias("stored_at"),
+        ((F.col("page_id") + F.col("c") * F.col("c")) % 6).alias("part"),
+    )
+    store = SnapshotStore(spark, scratch_path(spark, "store"), merge_every=2, buckets=4)
+    for part in range(6):
+        store.append(copies.where(F.col("part") == part).drop("part"))
+    asked = table(spark, sf_dir, "pages").where("page_id % 5 = 0").select("url")
+    parts = [
+        store.read(wanted=asked).withColumn("asked", F.lit(True)),
+        store.read().join(asked, "url", "left_anti").withColumn("asked", F.lit(False)),
+    ]
+    both = parts[0].unionByName(parts[1])
+    return both.select("url", "final_url", F.md5("body").alias("body"), F.unix_millis("stored_at").alias("stored_ms"), "asked")
+
+
 # ---- robots -----------------------------------------------------------------------
 
 

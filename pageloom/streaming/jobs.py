@@ -9,12 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pageloom.operators import snapshots as sn
 from pageloom.operators.hits import request_hits
 from pageloom.operators.scan import HOT_ROWS
 from pageloom.session import checkpoint
 from pageloom.site import Site
-from pageloom.sources.cache import write_snapshots
+from pageloom.sources.store import SnapshotStore
 
 STATE_DDL = "url string, last_fetch bigint"
 
@@ -38,11 +37,13 @@ def start_extraction(
     return writer.option("checkpointLocation", checkpoint_path).trigger(**trigger).start(path)
 
 
-def start_snapshots(copies: DataFrame, path: str, checkpoint_path: str, **trigger: Any) -> StreamingQuery:
-    """Keep a snapshot table up to date: newest copy per URL within each batch, then append."""
+def start_snapshots(
+    copies: DataFrame, path: str, checkpoint_path: str, merge_every: int = 8, **trigger: Any
+) -> StreamingQuery:
+    """Keep a :class:`SnapshotStore` up to date: each batch is a generation, merged as the store says."""
 
-    def absorb(batch: DataFrame, _: int) -> None:
-        write_snapshots(sn.latest(batch), path)
+    def absorb(batch: DataFrame, number: int) -> None:
+        SnapshotStore(batch.sparkSession, path, merge_every).append(batch, number)
 
     writer = copies.writeStream.foreachBatch(absorb).option("checkpointLocation", checkpoint_path)
     return writer.trigger(**trigger).start()

@@ -9,6 +9,7 @@ from pageloom import Site, parse_spec
 from pageloom.operators.hits import request_hits
 from pageloom.sources import cache, pages
 from pageloom.sources.sinks import write_result
+from pageloom.sources.store import SnapshotStore
 from pageloom.streaming import jobs
 
 
@@ -82,7 +83,54 @@ def test_stream_snapshots(spark, tmp_path):
     make([("a", "a2", 2), ("b", "b2", 2)]).write.mode("append").parquet(str(source))
     stream = jobs.stream_pages(spark, str(source), ddl, 1)
     jobs.start_snapshots(stream, out, str(tmp_path / "ck"), availableNow=True).awaitTermination()
-    assert {r.url: r.body for r in cache.read_snapshots(spark, out).collect()} == {"a": "a3", "b": "b2"}
+    assert {r.url: r.body for r in SnapshotStore(spark, out).read().collect()} == {"a": "a3", "b": "b2"}
+
+
+def test_snapshot_store(spark, tmp_path):
+    path = str(tmp_path / "s")
+    store = SnapshotStore(spark, path, merge_every=3, buckets=2)
+
+    def put(rows, generation=None):
+        frame = spark.createDataFrame(rows, "url string, body string, s bigint")
+        copies = frame.select("url", F.lit(None).cast("string").alias("final_url"), "body", F.timestamp_seconds("s").alias("stored_at"))
+        store.append(copies.coalesce(1), generation)
+
+    def state(**options):
+        return {r.url: (r.body, r.stored_at and int(r.stored_at.timestamp())) for r in store.read(**options).collect()}
+
+    assert state() == {}
+    put([(f"u{i}", f"first {i}", 10) for i in range(20)] + [(None, "no url", 1)])
+    put([("u1", "older", 5), ("u2", "newer", 11), ("u3", None, None), ("v", "v", None)])
+    expected = {f"u{i}": (f"first {i}", 10) for i in range(20)} | {"u2": ("newer", 11), "v": ("v", None), None: ("no url", 1)}
+    assert state() == expected
+    # the third generation merges; most of the first file no longer counts and what does moves
+    put([(f"u{i}", f"third {i}", 12) for i in range(4, 20)])
+    expected |= {f"u{i}": (f"third {i}", 12) for i in range(4, 20)}
+    assert state() == expected and store._last() == (2, 2)
+    folders = {r.folder for r in store.index().select("folder").distinct().collect()}
+    assert folders == {"1", "2", "2-merged"} and store.index().count() == 22
+    put([], None)
+    put([("u1", "fifth", 13), ("u1", "fifth", 13), ("w", "w", 1)])
+    expected |= {"u1": ("fifth", 13), "w": ("w", 1)}
+    assert state() == expected
+    # a generation that is repeated replaces itself
+    put([("u1", "fifth again", 13), ("w", "w", 1)], 4)
+    expected["u1"] = ("fifth again", 13)
+    assert state() == expected
+    asked = spark.createDataFrame([("u1",), ("v",), ("none",), ("u1",)], "url string")
+    assert state(wanted=asked) == {"u1": ("fifth again", 13), "v": ("v", None)}
+    assert {r.url: r.stored_at for r in store.read(["url", "stored_at"], asked).collect()}.keys() == {"u1", "v"}
+
+    # no body is near what decides, and files without a copy that counts are not read
+    plan = store.winners(store.index())._jdf.queryExecution().executedPlan().toString()
+    assert "body" not in plan and "final_url" not in plan
+    read = store.read(wanted=asked)
+    names = {f.rsplit("/", 1)[-1] for f in read.inputFiles()}
+    counted = store.winners(store.index(asked)).select("file").distinct().collect()
+    assert {n for n in names if n in {r.file for r in store.index().select("file").collect()}} == {r.file for r in counted}
+    # bodies meet the index on (file, row) only, and no aggregate
+    lines = read._jdf.queryExecution().executedPlan().toString().split("\n")
+    assert not any("body" in line for line in lines if "Aggregate" in line or "hashpartitioning(url" in line)
 
 
 @pytest.mark.parametrize("hot_rows", [1000, 4])
