@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pageloom.functions import text
 from pageloom.functions.cols import fields, join_span, let
 from pageloom.hooks import Hooks
-from pageloom.operators.selectors import attributes_used, compile_selector, members_used, select_ids
+from pageloom.operators.selectors import attributes_used, members_used, page_predicate, select_ids, with_passes
 from pageloom.operators.shred import shred
 from pageloom.spec import Field, Resource, SpecError
 
@@ -33,17 +33,23 @@ class TreeNeeds:
     markup: bool
 
 
+def selectors_of(resource: Resource) -> list[str]:
+    """All selectors a resource applies to a page."""
+    found = [resource.row_selector, *[f.selector for f in resource.fields]]
+    if resource.pagination and resource.pagination.type == "link":
+        found.append(resource.pagination.selector)
+    return [s for s in found if s]
+
+
 def tree_needs(resources: Iterable[Resource]) -> TreeNeeds:
     attrs: set[str] = set()
     members = {"last"}
     markup = False
     for resource in resources:
-        selectors = [resource.row_selector, *[f.selector for f in resource.fields]]
         if resource.pagination and resource.pagination.type == "link":
-            selectors.append(resource.pagination.selector)
             attrs.add("href")
             members.add("attrs")
-        for selector in filter(None, selectors):
+        for selector in selectors_of(resource):
             attrs |= attributes_used(selector)
             members |= members_used(selector)
         for f in resource.fields:
@@ -60,8 +66,10 @@ def tree_needs(resources: Iterable[Resource]) -> TreeNeeds:
 
 def trees_for(pages: DataFrame, resources: Iterable[Resource], keep: Iterable[str]) -> DataFrame:
     """Page trees with just what the resources read."""
+    resources = list(resources)
     needs = tree_needs(resources)
-    return shred(pages, keep, needs.markup, needs.attrs, needs.members)
+    trees = shred(pages, keep, needs.markup, needs.attrs, needs.members)
+    return with_passes(trees, [s for r in resources for s in selectors_of(r)])
 
 
 # ---- types -------------------------------------------------------------------
@@ -111,7 +119,7 @@ def _read_field(f: Field, row: Column | None) -> Column:
         own = F.get(nodes, F.lit(0)) if row is None else row
         value = read_node(f, own)
         return F.array(value) if f.many else value
-    ids = select_ids(compile_selector(f.selector), row)
+    ids = select_ids(page_predicate(f.selector), row)
     if f.many:
         return F.transform(ids, lambda i: read_node(f, F.get(nodes, i)))
     return let(
@@ -130,7 +138,7 @@ def raw_rows(resource: Resource) -> Column:
     if not resource.is_list:
         return F.array(read(None))
     nodes = F.col("nodes")
-    rows = select_ids(compile_selector(resource.row_selector))
+    rows = select_ids(page_predicate(resource.row_selector))
     return F.transform(rows, lambda i: let(F.get(nodes, i), read))
 
 

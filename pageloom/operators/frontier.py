@@ -9,7 +9,7 @@ from pageloom.functions import urls
 from pageloom.functions.cols import fields, let
 from pageloom.functions.text import number_text
 from pageloom.operators.extract import base_url
-from pageloom.operators.selectors import compile_selector, select_ids
+from pageloom.operators.selectors import page_predicate, select_ids
 from pageloom.session import checkpoint
 from pageloom.spec import Pagination
 
@@ -45,7 +45,7 @@ def next_page(pagination: Pagination | None, columns: list[str]) -> Column:
         return fields(url=_query_step(here, pagination), stop=F.lit(None).cast("string"))
     if pagination.type == "link" and pagination.selector:
         nodes = F.col("nodes")
-        first = F.get(select_ids(compile_selector(pagination.selector)), F.lit(0))
+        first = F.get(select_ids(page_predicate(pagination.selector)), F.lit(0))
         href = let(
             first,
             lambda i: F.coalesce(

@@ -1,21 +1,25 @@
 """CSS selectors as predicates on a page-tree node.
 
 A selector becomes SQL text over a node expression and the page's ``nodes`` array.
-Ancestors are tested by walking ``parent`` links from the node, so a test costs its
-depth and needs neither a join nor a list of candidate ancestors.  Names in a
-selector may match elements outside the row it is applied to, as in CSS.
+Simple ones test ancestors by walking ``parent`` links from the node, which costs its
+depth.  Those that would walk again and again (later siblings, nested descendants) are
+decided for all nodes of a page at once: one pass in document order carries, for every
+open level, which parts of the selector matched there, above it and among earlier
+siblings, and leaves one bit per node.  Names in a selector may match elements outside
+the row it is applied to, as in CSS.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+import zlib
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.functions.cols import indexes, sql_text
+from pageloom.functions.cols import indexes, sql_fields, sql_let, sql_text
 
 # SQL of a node -> SQL of a boolean
 Predicate = Callable[[str], str]
@@ -131,7 +135,8 @@ def attributes_used(selector: str) -> set[str]:
 
 def members_used(selector: str) -> set[str]:
     """Parts of a node the compiled selector reads."""
-    return set(re.findall(r"\.(parent|last|depth|idx|prev|kids|tag|classes|attrs)\b", compile_selector(selector)("n")))
+    text = _pass_sql(selector) if needs_pass(selector) else compile_selector(selector)("n")
+    return set(re.findall(r"\.(parent|last|depth|idx|prev|kids|tag|classes|attrs)\b", text))
 
 
 def _test(test: tuple, n: str) -> str:
@@ -203,6 +208,88 @@ def compile_selector(selector: str) -> Predicate:
     return lambda n: "(" + " or ".join(_complex(steps, n) for steps in groups) + ")"
 
 
+# ---- one pass over a page -------------------------------------------------------
+
+# parts of a selector are bits of one number
+MOST_PARTS = 60
+
+
+def needs_pass(selector: str) -> bool:
+    """Would the walking predicate visit nodes over and over?"""
+    groups = parse_selector(selector)
+    walks = [[step.relation for step in steps[1:]] for steps in groups]
+    slow = any("~" in relations or relations.count(" ") > 1 for relations in walks)
+    return slow and sum(map(len, groups)) <= MOST_PARTS
+
+
+def _pass_name(selector: str) -> str:
+    return f"_pass_{zlib.crc32(selector.encode()):08x}"
+
+
+def _pass_sql(selector: str) -> str:
+    """An array of longs with a bit for every node id: does it match?
+
+    Three arrays by depth hold bits of selector parts: ``own`` what the last node there
+    matched, ``up`` that or any ancestor of it, ``sib`` that or any earlier sibling.  A node
+    reads the levels of its parent and its previous sibling, and cuts off what is deeper.
+    """
+    bits, ends, at = [], 0, 0
+    for steps in parse_selector(selector):
+        for i, step in enumerate(steps):
+            tests = [f"coalesce({_test(t, '_n')}, false)" for t in step.tests]
+            if i:
+                side = {">": "above", " ": "over", "+": "left", "~": "before"}[step.relation]
+                tests.append(f"(_s.{side} & {1 << (at - 1)}L) != 0")
+            bits.append(f"if({' and '.join(tests)}, {1 << at}L, 0L)")
+            at += 1
+        ends |= 1 << (at - 1)
+    none = "cast(array() as array<bigint>)"
+    start = sql_fields(own="array(0L)", up="array(0L)", sib="array(0L)", word="0L", words=none)
+
+    def level(name: str, depth: str) -> str:
+        return f"coalesce(get(_a.{name}, {depth}), 0L)"
+
+    seen = sql_fields(
+        above=level("own", "_n.depth - 1"),
+        over=level("up", "_n.depth - 1"),
+        left=f"if(_n.prev >= 0, {level('own', '_n.depth')}, 0L)",
+        before=f"if(_n.prev >= 0, {level('sib', '_n.depth')}, 0L)",
+    )
+
+    def put(name: str, value: str) -> str:
+        return f"concat(slice(_a.{name}, 1, _n.depth), array({value}))"
+
+    word = f"_a.word | if((_m & {ends}L) != 0, shiftleft(1L, _n.id % 64), 0L)"
+    onward = sql_fields(
+        own=put("own", "_m"),
+        up=put("up", "_s.over | _m"),
+        sib=put("sib", "_s.before | _m"),
+        word="if(_n.id % 64 = 63, 0L, _w)",
+        words="if(_n.id % 64 = 63, concat(_a.words, array(_w)), _a.words)",
+    )
+    step = sql_let("_s", seen, sql_let("_m", " | ".join(bits), sql_let("_w", word, onward)))
+    merge = f"(_a, _n) -> if(_n.id = 0, _a, {step})"
+    return f"aggregate(nodes, {start}, {merge}, _a -> concat(_a.words, array(_a.word)))"
+
+
+def with_passes(trees: DataFrame, selectors: Iterable[str | None]) -> DataFrame:
+    """``trees`` with the passes that :func:`page_predicate` reads, each made once per page."""
+    passes = {_pass_name(s): _pass_sql(s) for s in selectors if s and needs_pass(s)}
+    if not passes:
+        return trees
+    # a generator, as a plain column would be copied into every lambda that reads it
+    made = F.struct(*[F.expr(sql).alias(name) for name, sql in passes.items()])
+    return trees.select("*", F.inline(F.array(made)))
+
+
+def page_predicate(selector: str) -> Predicate:
+    """The predicate for ``selector`` on trees that went through :func:`with_passes`."""
+    if not needs_pass(selector):
+        return compile_selector(selector)
+    name = _pass_name(selector)
+    return lambda n: f"(shiftright(get({name}, cast({n}.id div 64 as int)), {n}.id % 64) & 1L) = 1L"
+
+
 def _span(within: Column | None) -> Column:
     """Ids to visit: the page, or the strict subtree of one node."""
     if within is None:

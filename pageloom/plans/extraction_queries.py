@@ -141,7 +141,7 @@ def many_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""
     select page_id, {NAV_LIST}[1] as first_label, {NAV_LIST}[-1] as last_label, {NAV_LIST}[2] as second_label,
            len({NAV_LIST}) - 1 as n_adjacent, len({NAV_LIST}) - 1 as n_following,
-           (len({NAV_LIST}) - 2) as n_inner, 'utf-8' as charset,
+           (len({NAV_LIST}) - 2) as n_inner, len({NAV_LIST}) as n_nested, len({NAV_LIST}) - 2 as n_mixed, 'utf-8' as charset,
            {collapsed(decoded("regexp_extract(html, '<title>([^<]*)</title>', 1)"))} as head_title,
            {collapsed(decoded("regexp_extract(html, '<div class=\"ad\">([^<]*)</div>', 1)"))} as ad,
            len(list_filter(regexp_extract_all(html, '<li><a href="([^"]*)">', 1),
@@ -161,6 +161,8 @@ def selector_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
             "n_adjacent": count("li + li"),
             "n_following": count("nav li ~ li"),
             "n_inner": count("nav li:not(:first-child):not(:last-child)"),
+            "n_nested": count("html body nav li a"),
+            "n_mixed": count("h6 ~ p i, body > nav li:first-child + li ~ li > a"),
             "charset": {"selector": "meta[charset]", "attr": "charset"},
             "head_title": "h6, head > title, .none",
             "ad": '[class*="a"]',
