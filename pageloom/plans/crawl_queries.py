@@ -18,6 +18,7 @@ from pageloom.plans.crawl import crawl_plan as plan
 from pageloom.plans.registry import query
 from pageloom.plans.tables import longs, table
 from pageloom.session import scratch_path
+from pageloom.sources.cache import read_cache_folder, write_cache_folder
 from pageloom.sources.store import SnapshotStore
 from pageloom.spec import Politeness
 from pageloom.streaming.jobs import start_hits, start_snapshots, stream_pages
@@ -362,6 +363,28 @@ def asked_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wanted.withColumn("url", F.when((F.col("request_id") % 89 == 0) | (F.col("request_id") % 97 == 0), odd).otherwise(F.col("url")))
 
 
+@query(
+    f"""
+    select url, url || '?final' as final_url, md5(html) as body, {NOW_MS} - page_id * 977 as stored_ms
+    from pages where page_id % 4 <> 1 and page_id % 10 <> 3
+    """
+)
+def cache_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cache files written from the pages and read by name: some missing, some broken, some of other URLs."""
+    known = table(spark, sf_dir, "pages")
+    entry = F.to_json(
+        F.struct(
+            F.concat("url", F.lit("?final")).alias("finalUrl"), F.col("html").alias("body"), (F.lit(NOW_MS) - F.col("page_id") * 977).alias("storedAt")
+        )
+    )
+    broken = F.when(F.col("page_id") % 10 == 3, F.substring(entry, 1, 200)).otherwise(entry)
+    stored = known.where("page_id % 4 <> 1").select(F.col("url"), broken.alias("entry"))
+    stored = stored.unionByName(stored.select(F.concat(F.lit("other "), "url").alias("url"), "entry"))
+    folder = write_cache_folder(stored, scratch_path(spark, "cache"))
+    found = read_cache_folder(spark, folder, known.select("url"))
+    return found.select("url", "final_url", F.md5("body").alias("body"), F.unix_millis("stored_at").alias("stored_ms"))
+
+
 @query(PLAN_SQL)
 def crawl_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan(
@@ -404,6 +427,29 @@ def attempt_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(at.resolve_attempts(log, max_retries=2, keys=["event_id"]))
 
 
+@query(
+    f"""
+    with {ROBOTS_SQL}, {ADMIT_SQL},
+    log as (select page_id, attempt, {ATTEMPT_SQL.replace("event_id", "page_id")} as status from pages cross join range(3) t(attempt)),
+    final as (select page_id, min(attempt) as attempt from log where status < 500 group by page_id),
+    told as (select page_id, status from (select page_id, coalesce(final.attempt, 2) as attempt from pages left join final using (page_id)) join log using (page_id, attempt))
+    select page_id, case when not (d < 0 or a >= d) then 403 when status = 200 then 200 else 502 end::bigint as http_status
+    from told join admitted using (page_id)
+    """
+)
+def answer_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a caller is told of every page: 403 where robots forbid it, else by its attempts."""
+    rules = rb.rulesets(rb.parse_robots(robots_table(spark, sf_dir)), "loombot")
+    verdicts = rb.admit(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    statuses = F.array(*[F.lit(s).cast("int") for s in (503, 200, 404, 502, None, 301, 500)])
+    log = verdicts.where("allowed").select("page_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("attempt"))
+    status = F.get(statuses, ((F.col("page_id") * 5 + F.col("attempt") * 3) % 7).cast("int"))
+    tried = at.resolve_attempts(log.select("page_id", "attempt", status.alias("status"), F.lit("timeout").alias("error")), 2, ["page_id"])
+    outcome = F.coalesce("outcome", F.lit(at.ROBOTS))
+    answers = verdicts.join(tried.select("page_id", "outcome"), "page_id", "left")
+    return longs(answers.select("page_id", at.http_status(outcome).alias("http_status")))
+
+
 HITS_SQL = """
     with recursive log as (
       select event_id, user_id, (epoch_us(ts) // 1000) as t, row_number() over (partition by user_id order by ts, event_id) as rn from events),

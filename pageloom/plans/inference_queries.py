@@ -113,3 +113,97 @@ def draft_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
         part("$.resources[0].list.selector").alias("row_selector"),
         part("$.resources[0].list.fields.title.selector").alias("title_selector"),
     )
+
+
+# ---- pages of another build ----------------------------------------------------------
+# The pages' own titles and menus as shop pages: cards of varying parts, four kinds of pager, some without
+# a list.  One text for both engines, but for how a replacement names a group.
+
+
+def listing_sql(group: str) -> str:
+    card = (
+        "'<div class=\"card x\">' || case when page_id % 2 = 1 then '<h3>%2</h3>' else '' end || '<a href=\"%1\">about %2</a>'"
+        " || case when page_id % 5 <> 0 then '<img src=\"%1.png\">' else '' end"
+        " || case when page_id % 3 = 0 then '<span class=\"old-price\">5.20</span>' else '' end || '</div>'"
+    ).replace("%1", group + "1").replace("%2", group + "2")
+    everywhere = ", 'g'" if group != "$" else ""
+    menu = "regexp_extract(html, '<ul>(.*?)</ul>', 1)"
+    cards = f"""regexp_replace({menu}, '<li><a href="([^"]*)">([^<]*)</a></li>', {card}{everywhere})"""
+    title = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
+    return f"""(
+      '<html><head>' || case page_id % 4 when 0 then '<meta name="description" content="' || {title} || '">'
+          when 1 then '<meta name="description" content="">' when 2 then '<meta content="x" name="keywords">' else '' end
+      || '<title>' || {title} || '</title></head><body><h1>' || {title} || '</h1>'
+      || case when page_id % 7 = 0 then '<p>nothing here</p>' else '<div class="grid">' || {cards} || '</div>' end
+      || case page_id % 5 when 0 then '<a href="/2" rel="next">2</a>' when 1 then '<div class="1x Pager end"><a href="/2"> Next page</a></div>'
+          when 2 then '<div><a href="/0" class="first">start</a><a class="Go MORE" href="/2">on</a></div>'
+          when 3 then '<a href="/2"><b>older</b></a>' else '<a href="/2">the next one</a>' end
+      || '</body></html>')"""
+
+
+def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).selectExpr("page_id", "url", "final_url", f"{listing_sql('$')} as html")
+
+
+LISTED_SQL = """
+listed as (select page_id, url, len(regexp_extract_all(regexp_extract(html, '<ul>(.*?)</ul>', 1), '<li>')) >= 3 and page_id % 7 <> 0 as is_list,
+    regexp_extract(html, '<title>([^<]*)</title>', 1) as title from pages),
+told as (select *, case when page_id % 2 = 1 then 'h1,h2,h3,h4,h5,h6' else 'a' end as heading,
+    case page_id % 5 when 0 then 'a[rel="next"]' when 1 then '.Pager a' when 2 then 'a.go' end as next from listed)
+"""
+
+
+@query(
+    f"""with {LISTED_SQL}
+    select page_id, case when is_list then 'div.card.x' end as selector,
+           case when is_list then 'title:' || heading || ':-,url:a:href' || case when page_id % 3 = 0 then ',price:[class*="price"]:-' else '' end
+                  || case when page_id % 5 <> 0 then ',image:img:src' else '' end
+                else 'title:h1,h2,title:-' || case when page_id % 4 = 0 and title <> '' then ',description:meta[name="description"]:content' else '' end
+           end as fields
+    from told"""
+)
+def listing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of cards with and without heading, price and image, and of pages without a list."""
+    found = infer.inferred_fields(infer.infer_trees(listings(spark, sf_dir), ["page_id"]), ["page_id"])
+    described = F.transform(
+        "fields",
+        lambda f: F.concat_ws(":", f.field, F.coalesce(f.selector, F.lit("-")), F.coalesce(f.attr, F.lit("-"))),
+    )
+    return found.select("page_id", "selector", F.array_join(described, ",").alias("fields"))
+
+
+@query(f"with {LISTED_SQL} select page_id, next as selector from told")
+def listing_pagination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Next links named by rel, by their parent's class, by their own class, or not at all."""
+    return infer.inferred_pagination(infer.infer_trees(listings(spark, sf_dir), ["page_id"]), ["page_id"])
+
+
+@query(
+    f"""with {LISTED_SQL}
+    select page_id, case when is_list then 'items' else 'page' end as resource,
+           case when is_list then 'div.card.x' end as row_selector, case when is_list then next end as next_selector,
+           case when is_list and next is not null then 'link' end as next_type,
+           case when is_list then heading end as title_selector, case when is_list then '["url"]' end as url_transform,
+           case when is_list and page_id % 3 = 0 then '["float"]' end as price_transform,
+           case when is_list and page_id % 5 <> 0 then 'src' end as image_attr,
+           case when not is_list then 'h1,h2,title' end as page_title,
+           case when not is_list and page_id % 4 = 0 and title <> '' then 'content' end as description_attr
+    from told"""
+)
+def listing_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts of the drafts of those pages."""
+    drafts = infer.infer_drafts(listings(spark, sf_dir), ["page_id"])
+    part = lambda path: F.get_json_object("draft", f"$.resources[0].{path}")
+    return drafts.select(
+        "page_id",
+        part("name").alias("resource"),
+        part("list.selector").alias("row_selector"),
+        part("fetch.pagination.selector").alias("next_selector"),
+        part("fetch.pagination.type").alias("next_type"),
+        part("list.fields.title.selector").alias("title_selector"),
+        part("list.fields.url.transform").alias("url_transform"),
+        part("list.fields.price.transform").alias("price_transform"),
+        part("list.fields.image.attr").alias("image_attr"),
+        part("item.fields.title.selector").alias("page_title"),
+        part("item.fields.description.attr").alias("description_attr"),
+    )

@@ -16,18 +16,24 @@ SNAPSHOT_DDL = "url string, final_url string, body string, stored_at timestamp"
 
 
 def read_cache_folder(spark: SparkSession, path: str, known_urls: DataFrame) -> DataFrame:
-    """Snapshots from one JSON file per URL, named after the URL's hash.
+    """Snapshots from one JSON file per URL, named after the URL's hash, in ``path`` or folders below.
 
     The files do not hold their URL, so it comes from ``known_urls`` by joining on
-    the file name.  Files that cannot be read as an entry count as absent.
+    the file name.  Names are matched on the folder's listing first, and only files of
+    known URLs are opened.  Files that cannot be read as an entry count as absent.
     """
-    files = spark.read.schema(CACHE_DDL).json(path).select(
-        "*", F.col("_metadata.file_name").alias("_file")
-    )
-    entries = files.where(F.col("body").isNotNull())
-    named = known_urls.select("url").distinct().withColumn(
+    named = known_urls.select("url").where("url is not null").distinct().withColumn(
         "_file", F.concat(cache_key(F.col("url")), F.lit(".json"))
     )
+    # no column of content is asked for, so this is the listing alone
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    listed = listed.withColumn("_file", F.element_at(F.split("path", "/"), -1))
+    matched = [r.path for r in listed.join(named, "_file", "left_semi").select("path").toLocalIterator()]
+    if matched:
+        files = spark.read.schema(CACHE_DDL).json(matched).select("*", F.col("_metadata.file_name").alias("_file"))
+    else:
+        files = spark.createDataFrame([], f"{CACHE_DDL}, _file string")
+    entries = files.where(F.col("body").isNotNull())
     return named.join(entries, "_file").select(
         "url",
         F.coalesce("finalUrl", "url").alias("final_url"),
@@ -36,6 +42,28 @@ def read_cache_folder(spark: SparkSession, path: str, known_urls: DataFrame) ->
     )
 
 
+def write_cache_folder(entries: DataFrame, path: str) -> str:
+    """Write ``url, entry`` as one file per URL, each named after its URL's hash; returns ``path``.
+
+    Tasks write the files, a folder per entry, and only the names change afterwards.
+    """
+    spark = entries.sparkSession
+    keyed = entries.select(F.concat(cache_key(F.col("url")), F.lit(".json")).alias("_file"), F.col("entry").alias("value"))
+    keyed.write.partitionBy("_file").text(path)
+    context = spark.sparkContext
+    hadoop = context._jvm.org.apache.hadoop.fs
+    root, entries_folder = hadoop.Path(path), hadoop.Path(path, "entries")
+    fs = root.getFileSystem(context._jsc.hadoopConfiguration())
+    fs.mkdirs(entries_folder)
+    for folder in fs.listStatus(root):
+        name = folder.getPath().getName()
+        if not name.startswith("_file="):
+            continue
+        for part in fs.listStatus(folder.getPath()):
+            fs.rename(part.getPath(), hadoop.Path(entries_folder, name.removeprefix("_file=")))
+    return f"{path}/entries"
+
+
 def write_snapshots(snapshots: DataFrame, path: str) -> None:
     """Append copies to a snapshot table.
 

@@ -29,6 +29,17 @@ def test_cache_folder(spark, tmp_path):
     assert row.stored_at.timestamp() == 1700000000
 
 
+def test_cache_folder_opens_known_files_only(spark, tmp_path):
+    entry = lambda body: json.dumps({"body": body, "storedAt": 5})
+    rows = spark.createDataFrame([("a", entry("1")), ("b", entry("2")), ("c", "{}")], "url string, entry string")
+    folder = cache.write_cache_folder(rows, str(tmp_path / "f"))
+    found = cache.read_cache_folder(spark, folder, spark.createDataFrame([("a",), ("c",), ("d",), (None,), ("a",)], "url string"))
+    assert [(r.url, r.final_url, r.body) for r in found.collect()] == [("a", "a", "1")]
+    opened = {f.rsplit("/", 1)[-1] for f in found.inputFiles()}
+    assert opened == {hashlib.sha256(u.encode()).hexdigest() + ".json" for u in "ac"}
+    assert cache.read_cache_folder(spark, folder, spark.createDataFrame([("x",)], "url string")).count() == 0
+
+
 def test_snapshot_table(spark, tmp_path):
     path = str(tmp_path / "snap")
     rows = spark.createDataFrame([("a", "old", 1), ("b", "b", 5)], "url string, body string, s bigint")
