@@ -22,7 +22,7 @@ from pageloom.llm import (
     toxicity,
     warc,
 )
-from pageloom.llm.common import crc_mod, table
+from pageloom.llm.common import crc_mod, stored, table
 from pageloom.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -160,9 +160,13 @@ def op1_legacy_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.arc_records(warc.arc_archives(table(spark, sf_dir, "pages")))
     path = scratch_path(spark, "warc")
     warc.convert(records, path)
-    rows = warc.read_archives(spark, path).drop("payload")
-    responses = rows.where("record_type <> 'revisit'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to")).distinct()
-    return rows.join(responses, "refers_to_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    # read back once; only revisits look for the page they refer to
+    rows = stored(warc.read_archives(spark, path).drop("payload", "uri"), "archived")
+    own = rows.where("refers_to_id is null")
+    responses = own.select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to")).distinct()
+    repeats = rows.where("refers_to_id is not null").join(responses, "refers_to_id", "left")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return own.withColumn("refers_to", F.lit(None).cast("bigint")).select(*columns).unionByName(repeats.select(*columns))
 
 
 @query()

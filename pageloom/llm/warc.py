@@ -214,9 +214,14 @@ def warc_bytes(row: dict) -> bytes:
 
 
 def convert(records: DataFrame, path: str) -> None:
-    """Write ARC records as gzipped WARC files below ``path``, one file per task."""
+    """Write ARC records as gzipped WARC files below ``path``, one file per task.
+
+    Which payloads repeat is settled on a written copy of the narrow columns, so records are made
+    twice: once for that, once to be written.
+    """
     spark: SparkSession = records.sparkSession
-    repeats = stored(revisits(records), "revisits")
+    narrow = records.select("record_id", "payload_digest", "payload_bytes", "page_id", "warc_date", "uri")
+    repeats = stored(revisits(stored(narrow, "payloads")), "revisits")
     if repeats.count() <= SENT:
         repeats = F.broadcast(repeats)
     columns = [*records.columns, "refers_to", "refers_uri", "refers_date"]

@@ -124,48 +124,6 @@ def test_block_max_wand_is_exact():
         assert [i for i, _ in index.retrieve(query)] == np.flatnonzero(score >= 0.4 - 1e-9).tolist()
 
 
-def test_katz_brute_force(spark, monkeypatch):
-    # few hot pairs and small buckets, so that every path is taken
-    monkeypatch.setattr(katz, "BUCKET_PAIRS", 5000)
-    rows = [tuple(r) for r in queries.op10_katz_scores(spark, SF).select("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect()]
-    docs = {r.doc_id: words(r.text) + [None] for r in table(spark, SF, "documents").collect()}
-    train = [d for d in docs if zlib.crc32(str(d).encode()) % 10]
-    one, two = Counter(), Counter()
-    for d in train:
-        one.update(docs[d])
-        two.update(zip(["<s>"] + docs[d][:-1], docs[d]))
-    total, kinds = sum(one.values()), Counter(one.values())
-    low = katz.discounts([0.0] + [float(kinds[r]) for r in range(1, 7)], 1)
-    mass = sum(c * (low[c] if c <= 5 else 1) for c in one.values()) / total
-    p = {w: (low[c] if c <= 5 else 1) * c / total for w, c in one.items()}
-    known = {w for w, c in one.items() if c > 1} | {"<s>", None}
-    two = {k: c for k, c in two.items() if k[0] in known and k[1] in known}
-    kinds = Counter(two.values())
-    high = katz.discounts([0.0] + [float(kinds[r]) for r in range(1, 7)], 2)
-    after = defaultdict(dict)
-    for (h, w), c in two.items():
-        if c > 1:
-            after[h][w] = (high[c] if c <= 5 else 1) * c
-    times = dict(one) | {"<s>": len(train)}
-    back = {}
-    for h, seen in after.items():
-        held = sum(seen.values()) / times[h]
-        shrink = min(1, (1 - 0.5 / (times[h] + 1)) / held)
-        back[h] = (1 - held * shrink) / (1 - sum(p[w] for w in seen))
-        after[h] = {w: x * shrink / times[h] for w, x in seen.items()}
-        # every conditional distribution sums to one
-        assert abs(sum(after[h].values()) + back[h] * (sum(p[w] for w in p if w not in seen) + 1 - mass) - 1) < 1e-9
-    assert len(rows) == len(docs)
-    for d, n, n_known, n_train, base, score in rows:
-        own = docs[d]
-        log = 0.0
-        for h, w in zip(["<s>"] + own[:-1], own):
-            log += math.log10(after[h][w] if w in after.get(h, {}) else back.get(h, 1) * p.get(w, 1 - mass))
-        assert (n, n_known, n_train) == (len(own), sum(w in one for w in own), total)
-        assert abs(base - sum(math.log10((one.get(w, 0) + 0.1) / (total + 0.1 * (len(one) + 1))) for w in own)) < 1e-6 * abs(base)
-        assert abs(score - log) < 1e-6 * abs(log)
-
-
 def katz_scores(texts, train):
     """log10 score of each text's words and end: every word and pair of the training texts counts."""
     docs = [words(t) + [None] for t in texts]
@@ -187,6 +145,8 @@ def katz_scores(texts, train):
         shrink = min(1, (1 - 0.5 / (times[h] + 1)) / held)
         back[h] = (1 - held * shrink) / (1 - sum(p[w] for w in seen))
         after[h] = {w: x * shrink for w, x in seen.items()}
+        # every conditional distribution sums to one
+        assert abs(sum(after[h].values()) + back[h] * (sum(p[w] for w in p if w not in seen) + 1 - mass) - 1) < 1e-9
     return [sum(math.log10(after[h][w] if w in after.get(h, {}) else back.get(h, 1) * p.get(w, 1 - mass)) for h, w in zip(["<s>"] + d[:-1], d)) for d in docs]
 
 
@@ -197,20 +157,17 @@ def test_katz_all_counts(spark, monkeypatch):
     docs = table(spark, SF, "documents").collect()
     train = [bool(zlib.crc32(str(d.doc_id).encode()) % 10) for d in docs]
     expected = dict(zip((d.doc_id for d in docs), katz_scores([d.text for d in docs], train)))
-    found = {r.doc_id: r.score for r in queries.op10_katz_scores(spark, SF).collect()}
-    assert found.keys() == expected.keys()
+    rows = queries.op10_katz_scores(spark, SF).collect()
+    found = {r.doc_id: r.score for r in rows}
+    assert found.keys() == expected.keys() and len(rows) == len(docs)
     for d, log in expected.items():
         assert abs(found[d] - log) < 1e-6 * abs(log)
-
-
-def test_katz_no_vocabulary(spark, monkeypatch):
-    """No word is left out for its rank: a small limit, where there is one, changes no score."""
-    rng = random.Random(5)
-    rows = [(i, " ".join(f"w{rng.randrange(12)} v{rng.randrange(60)}" for _ in range(30))) for i in range(80)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    whole = {r.doc_id: r.score for r in katz.score(docs, katz.fit(docs)).collect()}
-    monkeypatch.setattr(katz, "VOCABULARY", 20, raising=False)
-    assert {r.doc_id: r.score for r in katz.score(docs, katz.fit(docs)).collect()} == pytest.approx(whole)
+    one = Counter(w for d, used in zip(docs, train) if used for w in [*words(d.text), None])
+    own, total = {d.doc_id: [*words(d.text), None] for d in docs}, sum(one.values())
+    for r in rows:
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own[r.doc_id]), sum(w in one for w in own[r.doc_id]), total)
+        base = sum(math.log10((one.get(w, 0) + 0.1) / (total + 0.1 * (len(one) + 1))) for w in own[r.doc_id])
+        assert abs(r.base_score - base) < 1e-6 * abs(base)
 
 
 def test_katz_edges(edge, empty):
