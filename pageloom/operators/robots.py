@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pageloom.functions import urls
-from pageloom.functions.cols import fields
+from pageloom.functions.cols import fields, sql_call, sql_fields, sql_let
 from pageloom.functions.text import trim
 
 AGENT, ALLOW, DISALLOW, DELAY = "user-agent", "allow", "disallow", "crawl-delay"
@@ -126,24 +129,89 @@ def compile_rule(pattern: Column) -> Column:
     return F.when(pattern != "", fields(prefix=prefix, regex=wild, size=F.length(pattern)))
 
 
-def rule_score(rule: Column, path: Column) -> Column:
-    """Length of the pattern when it matches the start of ``path``, else -1.
-
-    The literal start decides nearly always, so few patterns get as far as a regex.
+# One entry per literal start of a rule, in byte order.  up: the longest other start this one begins with;
+# depth: how many there are, with itself; allow, disallow: the longest plain rules among them;
+# wild: the nearest of them with patterns, hops: how many have some, wild_up: the next one after this.
+INDEX_DDL = (
+    "array<struct<prefix:string,up:int,depth:int,allow:int,disallow:int,wild:int,hops:int,wild_up:int,"
+    "rules:array<struct<regex:string,size:int,allow:boolean>>>>"
+)
+
+
+def rule_index(allow: list[dict], disallow: list[dict]) -> list[dict]:
+    """The sorted index of one origin's compiled rules."""
+    starts: dict[str, dict] = {}
+    for rules, kind in ((allow, "allow"), (disallow, "disallow")):
+        for rule in rules:
+            entry = starts.setdefault(rule["prefix"], {"prefix": rule["prefix"], "allow": -1, "disallow": -1, "rules": []})
+            if rule["regex"] is None:
+                entry[kind] = max(entry[kind], rule["size"])
+            else:
+                entry["rules"].append({"regex": rule["regex"], "size": rule["size"], "allow": kind == "allow"})
+    index, open_ = [starts[p] for p in sorted(starts)], []
+    for i, entry in enumerate(index):
+        while open_ and not entry["prefix"].startswith(index[open_[-1]]["prefix"]):
+            open_.pop()
+        above = index[open_[-1]] if open_ else {"allow": -1, "disallow": -1, "wild": -1, "hops": 0}
+        own = bool(entry["rules"])
+        entry |= {
+            "up": open_[-1] if open_ else -1,
+            "depth": len(open_) + 1,
+            "allow": max(entry["allow"], above["allow"]),
+            "disallow": max(entry["disallow"], above["disallow"]),
+            "wild": i if own else above["wild"],
+            "hops": above["hops"] + own,
+            "wild_up": above["wild"],
+        }
+        open_.append(i)
+    return index
+
+
+def indexed(rulesets: DataFrame) -> DataFrame:
+    """``origin, crawl_delay, index``: the rules of every origin, sorted for :func:`is_allowed`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            indexes = [rule_index(a or [], d or []) for a, d in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            rule = pa.struct([("regex", pa.string()), ("size", pa.int32()), ("allow", pa.bool_())])
+            numbers = ("up", "depth", "allow", "disallow", "wild", "hops", "wild_up")
+            entry = pa.struct([("prefix", pa.string()), *[(n, pa.int32()) for n in numbers], ("rules", pa.list_(rule))])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(indexes, pa.list_(entry))], names=["origin", "crawl_delay", "index"]
+            )
+
+    narrow = rulesets.select("origin", "crawl_delay", "allow", "disallow")
+    return narrow.mapInArrow(run, f"origin string, crawl_delay double, index {INDEX_DDL}")
+
+
+def is_allowed(index: Column, path: Column) -> Column:
+    """Longest match decides, ties go to allow, no rules means allowed.
+
+    The last start that is not after the path is found by binary search.  Every rule's start
+    that the path begins with is one of those it begins with itself, so a short way up from
+    it gives the longest plain rules; only patterns on that way are tried.
     """
-    matched = path.startswith(rule.prefix) & (rule.regex.isNull() | F.rlike(path, rule.regex))
-    return F.when(matched, rule["size"]).otherwise(F.lit(-1))
-
-
-def _best(rules: Column, path: Column) -> Column:
-    scores = F.transform(rules, lambda rule: rule_score(rule, path))
-    return F.coalesce(F.array_max(scores), F.lit(-1))
-
-
-def is_allowed(allow: Column, disallow: Column, path: Column) -> Column:
-    """Longest match decides, ties go to allow, no rules means allowed."""
-    blocked = _best(disallow, path)
-    return F.coalesce((blocked < 0) | (_best(allow, path) >= blocked), F.lit(True))
+    entry = "get(_a.index, {})".format
+    between = sql_fields(lo="0", hi="size(_a.index)")
+    middle = entry("(_s.lo + _s.hi) div 2")
+    halved = f"if({middle}.prefix <= _a.path, {sql_fields(lo='int((_s.lo + _s.hi) div 2) + 1', hi='_s.hi')}, {sql_fields(lo='_s.lo', hi='int((_s.lo + _s.hi) div 2)')})"
+    steps = "sequence(1, int(ceil(log2(size(_a.index) + 1))) + 1)"
+    last = f"aggregate({steps}, {between}, (_s, _i) -> if(_s.lo < _s.hi, {halved}, _s), _s -> _s.lo - 1)"
+    climbed = f"aggregate(sequence(1, {entry('_p')}.depth), _p, (_q, _i) -> if(_q < 0 or startswith(_a.path, {entry('_q')}.prefix), _q, {entry('_q')}.up))"
+
+    def best(allow: str, so_far: str) -> str:
+        matching = f"filter({entry('_w.at')}.rules, _r -> {allow} _r.allow and rlike(_a.path, _r.regex))"
+        return f"greatest({so_far}, coalesce(array_max(transform({matching}, _r -> _r.size)), -1))"
+
+    start = sql_fields(at=f"{entry('_e')}.wild", allow=f"{entry('_e')}.allow", disallow=f"{entry('_e')}.disallow")
+    onward = sql_fields(at=f"{entry('_w.at')}.wild_up", allow=best("", "_w.allow"), disallow=best("not", "_w.disallow"))
+    verdict = "_w -> _w.disallow < 0 or _w.allow >= _w.disallow"
+    hops = f"if({entry('_e')}.hops > 0, sequence(1, {entry('_e')}.hops), cast(array() as array<int>))"
+    judged = f"if(_e < 0, true, aggregate({hops}, {start}, (_w, _i) -> {onward}, {verdict}))"
+    found = sql_let("_p", last, sql_let("_e", f"if(_p < 0, -1, {climbed})", judged))
+    return F.coalesce(sql_call(f"if(size(_a.index) > 0, {found}, true)", index=index, path=path), F.lit(True))
 
 
 def admit(wanted: DataFrame, rulesets: DataFrame) -> DataFrame:
@@ -157,10 +225,10 @@ def admit(wanted: DataFrame, rulesets: DataFrame) -> DataFrame:
     """
     located = wanted.withColumn("_href", urls.normal(F.col("url"))).withColumn("origin", urls.origin(F.col("_href")))
     parts = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rules = rulesets.select("origin", "allow", "disallow", "crawl_delay").repartition(parts, F.xxhash64("origin"))
-    judged = is_allowed(F.col("allow"), F.col("disallow"), urls.path_query(F.col("_href")))
+    rules = indexed(rulesets).repartition(parts, F.xxhash64("origin"))
+    judged = is_allowed(F.col("index"), urls.path_query(F.col("_href")))
     return (
         located.join(rules, "origin", "left")
         .withColumn("allowed", F.col("origin").isNotNull() & judged)
-        .drop("allow", "disallow", "_href")
+        .drop("index", "_href")
     )

@@ -64,13 +64,13 @@ def crawl_plan(
     # ids may be null or repeated, so rows have a number; equal times go in order of id, copies first
     ordinal = F.lpad(F.hex(F.col("request_id").cast("bigint").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
     tie = F.concat(F.coalesce(ordinal, F.lit("")), F.lit("-"), F.lpad(F.hex("_row"), 16, "0"))
-    log = allowed.select("url", "_row", tie.alias("_tie"), "arrive_ms").unionByName(
-        copies.select("url", F.lit(None).cast("bigint").alias("_row"), F.lit("").alias("_tie"), "arrive_ms")
-    )
-    marked = request_hits(log, ttl, at="arrive_ms", tie="_tie", hot_rows=hot_rows).where("_row is not null")
-    fetched = allowed.join(marked.select("_row", "hit"), "_row").withColumn(
-        "action", F.when(F.col("hit"), F.lit(CACHED)).otherwise(F.lit(SEND))
+    # everything a request needs later goes through the fold with it
+    columns = [*wanted.columns, "origin", "interval_ms"]
+    log = allowed.select(*columns, tie.alias("_tie"), F.lit(False).alias("_copy")).unionByName(
+        copies.select("url", "arrive_ms", F.lit("").alias("_tie"), F.lit(True).alias("_copy")), allowMissingColumns=True
     )
+    marked = request_hits(log, ttl, at="arrive_ms", tie="_tie", hot_rows=hot_rows).where("not _copy")
+    fetched = marked.withColumn("action", F.when(F.col("hit"), F.lit(CACHED)).otherwise(F.lit(SEND)))
     served = F.coalesce(F.col("arrive_ms") - F.col("_stored") < ttl, F.lit(False))
     barred = known.where("not _allowed").withColumn(
         "action",
