@@ -196,7 +196,67 @@ def op11_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-@query()
+def _edit(state: str, letter: str, price: str, role: str | None = None, text: str = "''") -> str:
+    """SQL of a way on from a state of the role pattern: its cost, audit and output so far."""
+    line = f"{state}.o" if role is None else f"{state}.o || {chr(39)*2 if state == 's0' else 'chr(10)'} || {role} || ':' || {text}"
+    return f"{{'c': {state}.c + {price}, 'a': {state}.a || '{letter}', 'o': {line}}}"
+
+
+def _repair_sql() -> str:
+    """All edits of all rows over the states start, after s, after u, after a; each keeps its least (cost, audit)."""
+    never, before_u = "1000000000", ("s0", "s1", "s3")
+    kept = lambda initial: f"case when not must_go and left(role, 1) = '{initial}' then cut * 5 else {never} end"
+    reroled = f"case when not must_go then 1 + cut * 5 else {never} end"
+    gone = lambda state: _edit(state, "D", "2")
+    ways = {
+        "s0": [gone("s0")],
+        "s1": [gone("s1"), _edit("s0", "K", kept("s"), "role", "text")],
+        "s2": [gone("s2")]
+        + [_edit(s, "K", kept("u"), "role", "text") for s in before_u]
+        + [_edit(s, "R", reroled, "'user'", "text") for s in before_u],
+        "s3": [gone("s3"), _edit("s2", "K", kept("a"), "role", "text"), _edit("s2", "R", reroled, "'assistant'", "text")],
+    }
+    least = lambda found: f"list_sort([{', '.join(found)}])[1]"
+    put_u = least(["s2"] + [_edit(s, "I", "5", "'user'") for s in before_u])
+    put_a = least(["s3", _edit("s2", "I", "5", "'assistant'")])
+    start = {"s0": f"{{'c': 0, 'a': '', 'o': ''}}", **{s: f"{{'c': {never}, 'a': '', 'o': ''}}" for s in ("s1", "s2", "s3")}}
+    return f"""
+    with recursive bits as (select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end) order by i) as t from range(0, 256) as r(i)),
+    marked as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+        xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode(
+            coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '))), '..'), lambda p: ('0x' || p)::bigint)),
+          lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::bigint) % 20 as fault from conversations, bits),
+    convs as (select conv_id, row_number() over () as conv from (select distinct conv_id from conversations)),
+    damaged as (select conv, turn, case when fault = 4 then 'user' else role end as role,
+        case when fault = 1 then '' when fault = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+      from marked join convs on convs.conv_id is not distinct from marked.conv_id
+      join (values (0), (1)) as v(k) on k = 0 or fault = 3 where fault <> 0),
+    numbered as (select *, row_number() over (partition by conv order by turn nulls first, role, text) as rn from damaged),
+    ordered as (select *, row_number() over (partition by conv, role, text order by rn) > 1 as twin,
+        not regexp_matches(text, '[^\\x20\\x09-\\x0D]') as blank from numbered),
+    judged as (select *, blank or twin as must_go,
+        (not blank and not twin and not regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z'))::int as cut,
+        lag(left(role, 1)) over (partition by conv order by rn) || left(role, 1) as step from ordered),
+    opened as (select conv, 0::bigint as rn, {", ".join(f"{sql} as {s}" for s, sql in start.items())} from convs),
+    walk as (
+      select conv, rn, s0, s1, s2, {put_a} as s3 from (select * replace ({put_u} as s2) from opened)
+      union all
+      select conv, rn, s0, s1, s2, {put_a} as s3 from (select * replace ({put_u} as s2) from (
+        select walk.conv, judged.rn, {", ".join(f"{least(found)} as {s}" for s, found in ways.items())}
+        from walk join judged on judged.conv = walk.conv and judged.rn = walk.rn + 1))),
+    ended as (select conv, {least(["s0", "s3"])} as best from walk qualify row_number() over (partition by conv order by rn desc) = 1),
+    counted as (select conv, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps,
+        count(*) filter (blank)::bigint as blank, count(*) filter (twin and not blank)::bigint as duplicate,
+        sum(cut)::bigint as truncated, count(*) filter (step is not null and step not in ('su', 'ua', 'au'))::bigint as illegal
+      from judged group by conv)
+    select conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+      coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, best.c::bigint as cost, best.a as audit,
+      sha256(best.o) as repaired_sha256
+    from convs join ended using (conv) left join counted using (conv)"""
+
+
+@query(_repair_sql())
 def op12_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults and cheapest repair of every damaged conversation."""
     return repair.repair(repair.damage(table(spark, sf_dir, "conversations")), F.col("gone"))
