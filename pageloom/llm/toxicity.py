@@ -12,8 +12,9 @@
    a labelled row is its label, with ``LABEL_WEIGHT``); it alone scores texts.
 
 Bounds: ``max_labelled`` labels (expected number, chosen by a hash of the id), at most
-``max_entries`` entries, ``max_fit`` texts for the regression.  Vote combinations are counted over all
-texts and there are at most 3 ** (number of voters) of them.
+``max_entries`` entries, ``max_fit`` kinds of texts with hits for the regression (expected number; texts
+with equal votes, label and hits are one kind, however often they occur, and the more often, the surer it
+is drawn).  Vote combinations are counted over all texts and there are at most 3 ** (number of voters).
 
 Cases: null or empty text - no hits, the score of a clean text; no labels - fixed list and default
 accuracies; equal scores of entries - by name; repeated rows - scored alike; empty table - empty result;
@@ -30,8 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pageloom.llm.common import free_name, share, text_bytes
+from pageloom.llm.common import forget, free_name, share, slices, stored, text_bytes
 
 # fixed values: plain insults every lexicon starts from
 SEEDS = "clown disgusting dumbass filthy idiot imbecile loser moron pathetic scum scumbag stupid trash vermin worthless"
@@ -41,7 +43,9 @@ MAX_FIT = 20_000
 MAX_ENTRIES = 600
 GROUPS = 6
 LABEL_WEIGHT = 4.0
-REMEMBERED = 400_000
+REMEMBERED = 100_000
+# rows that are turned into Python values at a time, and whose evidence is summed in a task
+SLICE, COUNTED = 256, 8192
 # all ASCII but letters parts words; letters in lower case, other bytes as they are
 _TABLE = bytes(i + 32 if 65 <= i < 91 else i if 97 <= i < 123 or i >= 128 else 32 for i in range(256))
 
@@ -58,7 +62,7 @@ def _entries(word: bytes) -> list[bytes]:
 def _usage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     toxic, clean = Counter(), Counter()
     for batch in batches:
-        for body, flag in zip(batch.column("body").to_pylist(), batch.column("toxic").to_pylist()):
+        for body, flag in ((b.as_py(), t.as_py()) for b, t in zip(batch.column("body"), batch.column("toxic"))):
             (toxic if flag else clean).update({e for w in set(words_of(body)) for e in _entries(w)})
             if len(toxic) + len(clean) > 1_000_000:
                 yield _usage_rows(toxic, clean)
@@ -257,53 +261,43 @@ def fit(
     lexicon = find_lexicon(joined, text, max_entries)
     shared = share(docs.sparkSession, lexicon)
 
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = shared()
-        of, counts = lexicon.hits(), Counter()
-        for batch in batches:
-            for body, toxic in zip(batch.column("body").to_pylist(), batch.column("toxic").to_pylist()):
-                counts[(lexicon.votes(*of(body)), toxic)] += 1
-        keys = list(counts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([counts[k] for k in keys], pa.int64())],
-            names=["votes", "toxic", "n"],
-        )
-
-    bodies = joined.select("doc_id", text_bytes(text).alias("body"), "toxic")
+        of = lexicon.hits()
+        for batch in slices(batches, COUNTED):
+            counts: Counter = Counter()
+            for piece in slices([batch], SLICE):
+                for body, toxic in zip(piece.column("body").to_pylist(), piece.column("toxic").to_pylist()):
+                    hits = of(body)
+                    found = sorted(Counter(hits[0]).items())
+                    counts[lexicon.votes(*hits), toxic, tuple(i for i, _ in found), tuple(n for _, n in found)] += 1
+            columns = [list(c) for c in zip(*counts)] + [list(counts.values())]
+            kinds = [pa.string(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["votes", "toxic", "at", "n", "rows"])
+
+    # equal votes, labels and hits are one row with their number, so copies of a text cost nothing
+    bodies = joined.select(text_bytes(text).alias("body"), "toxic")
+    evidence = bodies.mapInArrow(seen, "votes string, toxic boolean, at array<int>, n array<int>, rows long")
+    evidence = stored(evidence.groupBy("votes", "toxic", "at", "n").agg(F.sum("rows").alias("rows")), "evidence")
+    forget(shared)
     patterns: dict[str, list[float]] = {}
-    for r in bodies.select("body", "toxic").mapInArrow(vote, "votes string, toxic boolean, n long").groupBy("votes", "toxic").sum("n").collect():
+    for r in evidence.groupBy("votes", "toxic").agg(F.sum("rows").alias("rows")).collect():
         entry = patterns.setdefault(r["votes"], [0.0, 0.0, 0.0])
-        entry[0] += r["sum(n)"]
+        entry[0] += r["rows"]
         if r["toxic"] is not None:
-            entry[1 if r["toxic"] else 2] += r["sum(n)"]
+            entry[1 if r["toxic"] else 2] += r["rows"]
     k = len(lexicon.entries)
     if not patterns:
         return Scorer(lexicon, np.r_[np.full(k, 2.0), 0.0, -3.0])
     posterior = fit_label_model({p: tuple(v) for p, v in patterns.items()})
 
-    # texts for the regression: of those with hits and those without, as many each at most
-    n_hit = sum(v[0] for p, v in patterns.items() if "+" in p)
-    n_rest = sum(v[0] for v in patterns.values()) - n_hit
-    shares = [min(1.0, max_fit / 2 / max(1.0, x)) for x in (n_rest, n_hit)]
-
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = shared()
-        of = lexicon.hits()
-        for batch in batches:
-            rows = []
-            for body, toxic, u in zip(*(batch.column(c).to_pylist() for c in ("body", "toxic", "u"))):
-                places, n_words, shouted = of(body)
-                votes = lexicon.votes(places, n_words, shouted)
-                hit = "+" in votes
-                if u < shares[hit]:
-                    found = Counter(places)
-                    rows.append((votes, toxic, list(found.keys()), list(found.values()), 1 / shares[hit]))
-            columns = list(zip(*rows)) or [[], [], [], [], []]
-            kinds = [pa.string(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["votes", "toxic", "at", "n", "w"])
-
-    u = F.pmod(F.xxhash64("body", F.lit(17)), F.lit(1 << 20)) / float(1 << 20)
-    got = bodies.select("body", "toxic", u.alias("u")).mapInArrow(sampled, "votes string, toxic boolean, at array<int>, n array<int>, w double").collect()
+    # evidence for the regression: without hits there are no more kinds than patterns; of the others each
+    # is drawn with a chance that grows with its rows, and weighs as many as it stands for
+    n_hit = evidence.where("size(at) > 0").agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).first()["n"]
+    chance = F.when(F.size("at") == 0, 1.0).otherwise(F.least(F.lit(1.0), F.col("rows") * (max_fit / max(1.0, n_hit))))
+    u = F.pmod(F.xxhash64("votes", "toxic", "at", "n", F.lit(17)), F.lit(1 << 20)) / float(1 << 20)
+    drawn = evidence.select("votes", "toxic", "at", "n", (F.col("rows") / chance).alias("w"), chance.alias("chance"), u.alias("u"))
+    got = drawn.where("u < chance").orderBy("votes", "toxic", "at", "n").collect()
     x = np.zeros((len(got), k + 2), np.float32)
     x[:, -1] = 1
     for i, r in enumerate(got):
@@ -317,14 +311,15 @@ def fit(
 
 
 def _scored(docs: DataFrame, scorer: Scorer, text: str, columns: list[str], least: float | None, schema) -> DataFrame:
-    shared, body = share(docs.sparkSession, scorer), free_name(columns, "_body")
+    shared = share(docs.sparkSession, scorer)
+    # a text that is carried is read from its own column
+    carried = text in columns and docs.schema[text].dataType == T.StringType()
+    body = text if carried else free_name(columns, "_body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared().function()
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            scores = np.array([of(x) for x in batch.column(body).to_pylist()])
+        for batch in slices(batches, SLICE):
+            scores = np.array([of((x or "").encode() if carried else x) for x in batch.column(body).to_pylist()])
             kept = pa.RecordBatch.from_arrays([batch.column(c) for c in columns], names=columns)
             if least is not None:
                 yield kept.filter(pa.array(scores < least))
@@ -334,7 +329,7 @@ def _scored(docs: DataFrame, scorer: Scorer, text: str, columns: list[str], leas
                     names=[*columns, "score", "predicted"],
                 )
 
-    return docs.select(*columns, text_bytes(text).alias(body)).mapInArrow(run, schema)
+    return docs.select(*columns, *[] if carried else [text_bytes(text).alias(body)]).mapInArrow(run, schema)
 
 
 def score(docs: DataFrame, scorer: Scorer, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
