@@ -96,3 +96,53 @@ def test_main_text_edges(spark, pages):
     rows = maintext.extract(pages, maintext.fit(pages)).collect()
     assert len(rows) == len(ROWS) and {r.text for r in rows if r.page_id in (3, 4)} == {""}
     assert maintext.extract(pages.where("false"), {}).count() == 0
+
+
+PROSE = "the quiet river ran past the old mill and on to the sea"
+WEIGHTS = {"p": 2.0, "li a": -2.0, "td": 1.0}
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        # an unclosed item, cell or paragraph of a region ends with the next one
+        (f"<ul><li class=ad>buy now<li>{PROSE}<li>{PROSE}</ul>", f"{PROSE} {PROSE}"),
+        (f"<table><tr><td class='sponsor'>buy now<td>{PROSE}<tr><td>{PROSE}</table>", f"{PROSE} {PROSE}"),
+        (f"<div><p class=advert>buy now<p>{PROSE}<p>{PROSE}</div>", f"{PROSE} {PROSE}"),
+        # and so it does with the end of its parent
+        (f"<div><ul><li class=promo>buy now</ul><p>{PROSE}</div><p>{PROSE}", f"{PROSE} {PROSE}"),
+        # names that only hold a word of another meaning
+        (f"<div id='post-related-work'><p>{PROSE}</div>", PROSE),
+        (f"<div class='search social widget'><p hidden>{PROSE}</div>", PROSE),
+        # a nested element of the region's name
+        (f"<div class=ad><div>buy</div>now</div><p>{PROSE}", PROSE),
+        # an article is no part of the region it stands in
+        (f"<div class=sidebar><p>short</p><article><p>{PROSE}</article></div>", PROSE),
+        # a long region inside an article doesn't part it
+        (f"<p>{PROSE}</p><div class=comments>{'first! ' * 3000}</div><p>{PROSE}</p>", f"{PROSE} {PROSE}"),
+        # more than 64 open blocks
+        ("<div>" * 100 + f"<p>{PROSE}<ul>" + "<li><div>x y" * 90 + "</div></ul>" + "</div>" * 100 + f"<p>{PROSE}", None),
+        # an inline element that ends inside a later block
+        (f"<p><b>{PROSE}<p>{PROSE}</b> {PROSE}", f"{PROSE} {PROSE} {PROSE}"),
+    ],
+)
+def test_main_text_nesting(page, text):
+    got = maintext.extract_text(page, WEIGHTS)
+    assert got == text if text is not None else got.startswith(PROSE) and got.endswith(PROSE)
+
+
+def test_main_text_is_chosen_by_the_scan(spark):
+    """Lists of links without any telling name are known by the weights of labelled pages alone."""
+    links = "".join(f"<li><a href=/{i}>see page number {i}</a></li>" for i in range(12))
+    labelled = [f"<body><nav><ul>{links}</ul></nav><article><h1>On mills</h1><p>{PROSE}</p></article></body>"] * 30
+    plain = f"<body><div><ul>{links}</ul></div><div><p>{PROSE}</p><p>{PROSE}</p></div><div><ul>{links}</ul></div></body>"
+    pages = spark.createDataFrame([(i, f"u{i}", h) for i, h in enumerate([*labelled, plain])], "page_id long, url string, html string")
+    weights = maintext.fit(pages)
+    assert weights["li a"] < -1 and weights["p"] > 1 and weights["@menu"] < 0
+    assert maintext.extract_text(plain, weights) == f"{PROSE} {PROSE}"
+
+    class Equal(dict):
+        def get(self, kind, other=None):
+            return 1.0
+
+    assert maintext.extract_text(plain, Equal()).startswith("see page number 0")
