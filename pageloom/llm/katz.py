@@ -6,10 +6,11 @@ Good-Turing's for counts up to ``TOP``; a(h) makes each P(. | h) sum to 1 exactl
 pair of the training texts counts, those seen once too.
 
 Texts are held as blocks: a sorted dictionary of word hashes and the places of the tokens in it.  Blocks ask
-by ranges of hashes and get packed answers in the order asked: training blocks the count of each of their
-pairs, which goes to one block that holds it, so that block adds it to its history; scored blocks the
-counts and backoff weights of their words and the counts of their pairs.  A block asks for a word or pair
-once, so no range has a hot key, and nothing that grows with the texts is broadcast.
+by ranges of hashes and get packed answers in the order asked: the training count of each of their words
+and pairs, with a mark in one of the blocks that hold a pair, which adds it to its history; then the
+backoff weights of their words.  A block asks for a word or pair once, so no range has a hot key, and
+nothing that grows with the texts is broadcast.  ``evaluate`` learns from some texts of a table and scores
+them all by the same questions; ``fit`` stores the tables of a model, by which ``score`` scores other texts.
 
 Cases: null or empty text - the end token alone; no training text - every word unseen; very long texts -
 whole; repeated rows - scored alike; null ids - carried; empty table - empty result; other columns -
@@ -127,8 +128,11 @@ def discounts(n: list[float], least: int) -> np.ndarray:
 # -- blocks ---------------------------------------------------------------------------------
 
 
-def _blocks(docs: DataFrame, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """block, rows (the ``keep`` columns), n_tokens, words (dictionary), times, first, tokens; stored."""
+def _blocks(docs: DataFrame, text: str, keep: tuple[str, ...] = (), learn=None) -> DataFrame:
+    """block, rows (the ``keep`` columns), n_tokens (to learn from), words (dictionary), times (that they are
+    learned from), lengths, learned (a mark for each text), tokens; stored.  Without ``learn`` all texts are.
+    """
+    learn = F.coalesce(F.lit(True) if learn is None else learn, F.lit(False)).alias("learn")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held, tokens, first in gathered(batches):
@@ -136,16 +140,20 @@ def _blocks(docs: DataFrame, text: str, keep: tuple[str, ...] = ()) -> DataFrame
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, kept.schema) as writer:
                 writer.write_table(kept)
-            words, at, times = np.unique(tokens, return_inverse=True, return_counts=True)
-            values = (sink.getvalue().to_pybytes(), len(tokens), pack_sorted(words), pack(times), pack(np.diff(first)), pack(at))
+            words, at = np.unique(tokens, return_inverse=True)
+            learned = np.concatenate([np.asarray(b.column("learn").cast(pa.int8())) for b in held])
+            counted = at[np.repeat(learned > 0, np.diff(first))]
+            times = np.bincount(counted, minlength=len(words))
+            packed = (pack_sorted(words), pack(times), pack(np.diff(first)), pack(learned), pack(at))
+            values = (sink.getvalue().to_pybytes(), len(counted), *packed)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([v], t) for v, t in zip(values, (pa.binary(), pa.int64(), *[pa.binary()] * 4))],
-                names=["rows", "n_tokens", "words", "times", "lengths", "tokens"],
+                [pa.array([v], t) for v, t in zip(values, (pa.binary(), pa.int64(), *[pa.binary()] * 5))],
+                names=["rows", "n_tokens", "words", "times", "lengths", "learned", "tokens"],
             )
 
     names = [F.col(c) for c in keep]
-    blocks = docs.select(*names, text_bytes(text).alias("body")).mapInArrow(
-        run, "rows binary, n_tokens long, words binary, times binary, lengths binary, tokens binary"
+    blocks = docs.select(*names, text_bytes(text).alias("body"), learn).mapInArrow(
+        run, "rows binary, n_tokens long, words binary, times binary, lengths binary, learned binary, tokens binary"
     )
     return stored(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
 
@@ -167,13 +175,13 @@ def _ask_words(blocks: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, words, times, lengths in zip(*(batch.column(c).to_pylist() for c in ("block", "words", "times", "lengths"))):
+            for block, words, times, learned in zip(*(batch.column(c).to_pylist() for c in ("block", "words", "times", "learned"))):
                 words, times = unpack_sorted(words), unpack(times)
                 place = int(np.searchsorted(words, START))
-                words, times = np.insert(words, place, START), np.insert(times, place, len(unpack(lengths)))
+                words, times = np.insert(words, place, START), np.insert(times, place, int(unpack(learned).sum()))
                 yield _asked(block, words, times, buckets)
 
-    return blocks.select("block", "words", "times", "lengths").mapInArrow(run, "ask_bucket int, block long, asked binary, times binary")
+    return blocks.select("block", "words", "times", "learned").mapInArrow(run, "ask_bucket int, block long, asked binary, times binary")
 
 
 def _ask_pairs(blocks: DataFrame, buckets: int) -> DataFrame:
@@ -181,11 +189,13 @@ def _ask_pairs(blocks: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, *packed in zip(*(batch.column(c).to_pylist() for c in ("block", "words", "lengths", "tokens"))):
+            for block, learned, *packed in zip(*(batch.column(c).to_pylist() for c in ("block", "learned", "words", "lengths", "tokens"))):
                 words, first, tokens = _opened(*packed)
-                yield _asked(block, *np.unique(_pairs(words, tokens, first)[1], return_counts=True), buckets)
+                pairs, at = np.unique(_pairs(words, tokens, first)[1], return_inverse=True)
+                times = np.bincount(at[np.repeat(unpack(learned) > 0, np.diff(first))], minlength=len(pairs))
+                yield _asked(block, pairs, times, buckets)
 
-    return blocks.select("block", "words", "lengths", "tokens").mapInArrow(run, "ask_bucket int, block long, asked binary, times binary")
+    return blocks.select("block", "learned", "words", "lengths", "tokens").mapInArrow(run, "ask_bucket int, block long, asked binary, times binary")
 
 
 def _asked(block: int, hashes: np.ndarray, times: np.ndarray, buckets: int) -> pa.RecordBatch:
@@ -196,11 +206,12 @@ def _asked(block: int, hashes: np.ndarray, times: np.ndarray, buckets: int) -> p
     )
 
 
-def _counted(asked: DataFrame, name: str, once: bool) -> tuple[DataFrame, DataFrame, list[int]]:
+def _counted(asked: DataFrame, name: str) -> tuple[DataFrame, DataFrame, list[int]]:
     """(bucket, hashes, counts), (block, bucket, counts in the order asked), counts of counts.
 
     The counts of counts have, at r up to TOP + 1, how many hashes have count r; then all hashes, all counts.
-    With ``once`` a hash's count goes to one block that asked, and 0 to the others.
+    Counts are answered doubled, with one more in one of the blocks that asked.  What was asked for but
+    never learned from is answered 0 and not kept.
     """
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
@@ -214,10 +225,9 @@ def _counted(asked: DataFrame, name: str, once: bool) -> tuple[DataFrame, DataFr
         heads = np.flatnonzero(new)
         hashes, counts = hashes[heads], np.add.reduceat(times, heads)
         answer = np.zeros(len(order), np.int64)
-        if once:
-            answer[order[heads]] = counts
-        else:
-            answer[order] = counts[np.cumsum(new) - 1]
+        answer[order] = 2 * counts[np.cumsum(new) - 1]
+        answer[order[heads]] += counts > 0
+        hashes, counts = hashes[counts > 0], counts[counts > 0]
         real = counts[hashes != START]
         sizes = [int((real == r).sum()) for r in range(TOP + 2)] + [len(real), int(real.sum())]
         blocks = table["block"].to_pylist()
@@ -271,63 +281,121 @@ class Trained:
     pair_buckets: int
 
 
+HELD = ("block", "rows", "words", "lengths", "tokens")
+
+
+def _in_row(answers: pa.Table, kind: int, column: str) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *map(unpack, _in_order(answers, kind, column))])
+
+
 def _in_order(answers: pa.Table, kind: int, column: str) -> list[bytes]:
     """A block's packed answers of one kind, by bucket and so in the order of hashes."""
     rows = zip(*(answers[c].to_pylist() for c in ("kind", "bucket", column)))
     return [x for _, x in sorted((b, x) for k, b, x in rows if k == kind)]
 
 
-def fit(docs: DataFrame, text: str = "text") -> Trained:
-    """The model of all texts of ``docs``."""
-    blocks = _blocks(docs, text)
+def _answers(of: DataFrame, kind: int) -> DataFrame:
+    """Packed answers with their kind and the columns that other kinds have."""
+    none = F.lit(None).cast("binary")
+    more = [F.col(c) if c in of.columns else none.alias(c) for c in ("counts", "back", "shrink")]
+    return of.select("block", "bucket", *more, F.lit(kind).alias("kind"))
+
+
+@dataclass(frozen=True)
+class Learned:
+    """A model and how its tables come from blocks and their answers."""
+
+    model: Model
+    blocks: DataFrame
+    words: DataFrame  # bucket, hashes, counts
+    pairs: DataFrame  # bucket, hashes, counts
+    word_answers: DataFrame
+    pair_answers: DataFrame
+    buckets: int
+
+    def sums(self) -> DataFrame:
+        """block, of_bucket, histories, a, b: per history that a block asked for, the discounted count and
+        the lower-order mass of those seen pairs that are marked there."""
+        model, buckets = self.model, self.buckets
+
+        def run(key: tuple, block: pa.Table, answers: pa.Table) -> pa.Table:
+            hashes, first, own = _opened(*(block[c][0].as_py() for c in ("words", "lengths", "tokens")))
+            place = np.searchsorted(hashes, START)
+            count = np.delete(_in_row(answers, 0, "counts"), place) >> 1
+            history, code = _pairs(hashes, own, first)
+            at = np.unique(code, return_index=True)[1]
+            seen = _in_row(answers, 1, "counts")
+            at, seen = at[seen & 1 > 0], seen[seen & 1 > 0] >> 1
+            h, w = history[at], own[at]
+            a = np.bincount(h, model.discounted(seen), len(hashes) + 1)
+            b = np.bincount(h, 10.0 ** model.word_log(count[w]), len(hashes) + 1)
+            hashes, a, b = np.insert(hashes, place, START), np.insert(a[:-1], place, a[-1]), np.insert(b[:-1], place, b[-1])
+            rows = [(n, pack_sorted(hashes[i:j]), pack_floats(a[i:j]), pack_floats(b[i:j])) for n, i, j in by_bucket(hashes, buckets)]
+            names = (("of_bucket", pa.int32()), ("histories", pa.binary()), ("a", pa.binary()), ("b", pa.binary()))
+            own_block = {"block": pa.array([key[0].as_py()] * len(rows), pa.int64())}
+            return pa.table(own_block | {n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(names)})
+
+        answers = _answers(self.word_answers, 0).unionByName(_answers(self.pair_answers, 1)).select("block", "bucket", "kind", "counts")
+        held = self.blocks.select(*HELD).groupBy("block").cogroup(answers.groupBy("block"))
+        return held.applyInArrow(run, "block long, of_bucket int, histories binary, a binary, b binary")
+
+    def weights(self, answer: bool) -> DataFrame:
+        """bucket, hashes, counts, back (log10 a(h)), shrink (log10 of what pairs of h shrink by); with
+        ``answer`` block, bucket, back and shrink in the order asked instead."""
+
+        def run(key: tuple, table: pa.Table, parts: pa.Table) -> pa.Table:
+            hashes, count = (unpack_sorted(table["hashes"][0].as_py()), unpack(table["counts"][0].as_py())) if table.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            a, b, places = np.zeros(len(hashes)), np.zeros(len(hashes)), []
+            for h, x, y in zip(*(parts[c].to_pylist() for c in ("histories", "a", "b"))) if parts.num_rows else ():
+                own = unpack_sorted(h)
+                at = np.searchsorted(hashes, own)
+                known = np.append(hashes, np.uint64(0))[at] == own if len(hashes) else np.zeros(len(own), bool)
+                known &= at < len(hashes)
+                a[at[known]] += unpack_floats(x)[known]
+                b[at[known]] += unpack_floats(y)[known]
+                places.append(np.where(known, at, len(hashes)).astype(np.int32))
+            share_of = a / np.maximum(count, 1)
+            # some mass stays for unseen words even where no seen pair is discounted
+            shrink = np.minimum(1.0, (1 - 0.5 / (count + 1)) / np.where(share_of > 0, share_of, 1e-9))
+            back, shrink = np.log10((1 - share_of * shrink) / (1 - b)), np.log10(shrink)
+            if not answer:
+                return pa.table({"bucket": table["bucket"], "hashes": table["hashes"], "counts": table["counts"], "back": pa.array([pack_floats(back)], pa.binary()), "shrink": pa.array([pack_floats(shrink)], pa.binary())})
+            back, shrink = np.append(back, 0.0), np.append(shrink, 0.0)
+            own_bucket = pa.array([key[0].as_py()] * parts.num_rows, pa.int32())
+            packed = {n: pa.array([pack_floats(v[at]) for at in places], pa.binary()) for n, v in (("back", back), ("shrink", shrink))}
+            return pa.table({"block": parts["block"], "bucket": own_bucket} | packed)
+
+        schema = "block long, bucket int, back binary, shrink binary" if answer else "bucket int, hashes binary, counts binary, back binary, shrink binary"
+        return self.words.groupBy("bucket").cogroup(self.sums().groupBy("of_bucket")).applyInArrow(run, schema)
+
+
+def _learn(blocks: DataFrame) -> Learned:
     tokens = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()["n"]
     buckets = max(1, -(-tokens // BUCKET_PAIRS))
-    words, word_answers, sizes = _counted(_ask_words(blocks, buckets), "words", once=False)
+    words, word_answers, sizes = _counted(_ask_words(blocks, buckets), "words")
     distinct, total = sizes[TOP + 2 :]
     word_discount = discounts([0.0] + [float(x) for x in sizes[1 : TOP + 2]], 1)
     mass = (total - sum(r * sizes[r] * (1 - word_discount[r]) for r in range(1, TOP + 1))) / max(1, total)
     scale = min(1.0, (1 - 0.5 / (total + 1)) / mass) if mass else 1.0
     unseen = float(np.log10(1 - mass * scale))
-    pairs, pair_answers, sizes = _counted(_ask_pairs(blocks, buckets), "pairs", once=True)
+    pairs, pair_answers, sizes = _counted(_ask_pairs(blocks, buckets), "pairs")
     pair_discount = discounts([0.0] + [float(x) for x in sizes[1 : TOP + 2]], 1)
     model = Model(pair_discount, word_discount, scale, unseen, total, distinct)
+    return Learned(model, blocks, words, pairs, word_answers, pair_answers, buckets)
 
-    def sums(key: tuple, block: pa.Table, answers: pa.Table) -> pa.Table:
-        """Per history: discounted count and lower-order mass of the seen pairs that this block answers for."""
-        hashes, first, own = _opened(*(block[c][0].as_py() for c in ("words", "lengths", "tokens")))
-        count = np.concatenate([unpack(x) for x in _in_order(answers, 0, "counts")])
-        count = np.delete(count, np.searchsorted(hashes, START))
-        history, code = _pairs(hashes, own, first)
-        at = np.unique(code, return_index=True)[1]
-        seen = np.concatenate([unpack(x) for x in _in_order(answers, 1, "counts")])
-        at, seen = at[seen > 0], seen[seen > 0]
-        h, w = history[at], own[at]
-        a = np.bincount(h, model.discounted(seen), len(hashes) + 1)
-        b = np.bincount(h, 10.0 ** model.word_log(count[w]), len(hashes) + 1)
-        place = np.searchsorted(hashes, START)
-        hashes, a, b = np.insert(hashes, place, START), np.insert(a[:-1], place, a[-1]), np.insert(b[:-1], place, b[-1])
-        some = a > 0
-        hashes, a, b = hashes[some], a[some], b[some]
-        rows = [(n, pack_sorted(hashes[i:j]), pack_floats(a[i:j]), pack_floats(b[i:j])) for n, i, j in by_bucket(hashes, buckets)]
-        return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate((("of_bucket", pa.int32()), ("histories", pa.binary()), ("a", pa.binary()), ("b", pa.binary())))})
-
-    def weights(key: tuple, table: pa.Table, parts: pa.Table) -> pa.Table:
-        hashes, count = unpack_sorted(table["hashes"][0].as_py()), unpack(table["counts"][0].as_py())
-        a, b = np.zeros(len(hashes)), np.zeros(len(hashes))
-        for h, x, y in zip(*(parts[c].to_pylist() for c in ("histories", "a", "b"))) if parts.num_rows else ():
-            at = np.searchsorted(hashes, unpack_sorted(h))
-            a[at] += unpack_floats(x)
-            b[at] += unpack_floats(y)
-        share_of = a / count
-        # some mass stays for unseen words even where no seen pair is discounted
-        shrink = np.minimum(1.0, (1 - 0.5 / (count + 1)) / np.where(share_of > 0, share_of, 1e-9))
-        back = np.log10((1 - share_of * shrink) / (1 - b))
-        return pa.table({"bucket": table["bucket"], "hashes": table["hashes"], "counts": table["counts"], "back": pa.array([pack_floats(back)], pa.binary()), "shrink": pa.array([pack_floats(np.log10(shrink))], pa.binary())})
-
-    answers = word_answers.withColumn("kind", F.lit(0)).unionByName(pair_answers.withColumn("kind", F.lit(1)))
-    parts = blocks.select("block", "words", "lengths", "tokens").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(sums, "of_bucket int, histories binary, a binary, b binary")
-    weighted = words.groupBy("bucket").cogroup(parts.groupBy("of_bucket")).applyInArrow(weights, "bucket int, hashes binary, counts binary, back binary, shrink binary")
-    return Trained(model, stored(weighted, "weights"), pairs, buckets, buckets)
+
+def fit(docs: DataFrame, text: str = "text") -> Trained:
+    """The model of all texts of ``docs``, in stored tables."""
+    learned = _learn(_blocks(docs, text))
+    return Trained(learned.model, stored(learned.weights(False), "weights"), learned.pairs, learned.buckets, learned.buckets)
+
+
+def evaluate(docs: DataFrame, learn, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """The scores of all texts of ``docs`` by the model of those that satisfy ``learn`` (a condition)."""
+    learned = _learn(_blocks(docs, text, (key, *carry), learn))
+    counts = _answers(learned.word_answers, 0).unionByName(_answers(learned.pair_answers, 1))
+    answers = counts.unionByName(_answers(learned.weights(True), 2))
+    return _settled(docs, learned.model, learned.blocks, answers, (key, *carry), doubled=True)
 
 
 # -- scoring --------------------------------------------------------------------------------
@@ -336,7 +404,6 @@ def fit(docs: DataFrame, text: str = "text") -> Trained:
 def score(docs: DataFrame, trained: Trained, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """n_tokens, n_known, train_tokens, base_score and score of every text."""
     model, keep = trained.model, (key, *carry)
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     blocks = _blocks(docs, text, keep)
 
     def answer(columns: tuple[str, ...]):
@@ -367,15 +434,22 @@ def score(docs: DataFrame, trained: Trained, key: str = "doc_id", text: str = "t
     of_pairs = trained.pairs.groupBy("bucket").cogroup(_ask_pairs(blocks, trained.pair_buckets).drop("times").groupBy("ask_bucket"))
     of_pairs = of_pairs.applyInArrow(answer(("counts",)), "block long, bucket int, counts binary")
 
+    return _settled(docs, model, blocks, _answers(of_words, 0).unionByName(_answers(of_pairs, 1)), keep, doubled=False)
+
+
+def _settled(docs: DataFrame, model: Model, blocks: DataFrame, answers: DataFrame, keep: tuple[str, ...], doubled: bool) -> DataFrame:
+    """Scores of the texts in ``blocks`` from the answers to them: counts of words (kind 0, with the backoff
+    weights, unless these come as kind 2) and counts of pairs (kind 1), which may be ``doubled``."""
+    weights = 2 if doubled else 0
+
     def settle(key: tuple, block: pa.Table, answers: pa.Table) -> pa.Table:
         rows = pa.ipc.open_stream(block["rows"][0].as_py()).read_all()
         hashes, first, own = _opened(*(block[c][0].as_py() for c in ("words", "lengths", "tokens")))
         place = np.searchsorted(hashes, START)
         # the start goes last, where histories look for it
         turn = np.r_[np.delete(np.arange(len(hashes) + 1), place), place]
-        count = np.concatenate([unpack(x) for x in _in_order(answers, 0, "counts")])[turn]
-        back, shrink = (np.concatenate([unpack_floats(x) for x in _in_order(answers, 0, c)])[turn] for c in ("back", "shrink"))
-        pair = np.concatenate([unpack(x) for x in _in_order(answers, 1, "counts")])
+        count, pair = _in_row(answers, 0, "counts")[turn] >> doubled, _in_row(answers, 1, "counts") >> doubled
+        back, shrink = (np.concatenate([unpack_floats(x) for x in _in_order(answers, weights, c)])[turn] for c in ("back", "shrink"))
         history, code = _pairs(hashes, own, first)
         pair = pair[np.unique(code, return_inverse=True)[1]]
         value = back[history] + model.word_log(count)[own]
@@ -387,7 +461,6 @@ def score(docs: DataFrame, trained: Trained, key: str = "doc_id", text: str = "t
         out = {c: rows[c] for c in keep} | {"n_tokens": pa.array(np.diff(first)), "n_known": pa.array(np.add.reduceat(known, begin))}
         return pa.table(out | {"train_tokens": pa.array(np.full(len(begin), model.total, np.int64)), "base_score": pa.array(np.add.reduceat(base, begin)), "score": pa.array(np.add.reduceat(value, begin))})
 
-    none = F.lit(None).cast("binary")
-    answers = of_words.withColumn("kind", F.lit(0)).unionByName(of_pairs.select("block", "bucket", "counts", none.alias("back"), none.alias("shrink"), F.lit(1).alias("kind")))
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     schema = f"{fields}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.select("block", "rows", "words", "lengths", "tokens").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(settle, schema)
+    return blocks.select(*HELD).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(settle, schema)

@@ -186,8 +186,7 @@ def op8_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Katz and add-a-tenth scores of every document, learned from those outside the held-out tenth."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod("doc_id", 10) == 0).alias("held_out"))
-    trained = katz.fit(docs.where(~F.col("held_out")))
-    return katz.score(docs, trained, carry=("held_out",))
+    return katz.evaluate(docs, ~F.col("held_out"), carry=("held_out",))
 
 
 @query()

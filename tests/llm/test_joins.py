@@ -177,6 +177,10 @@ def test_katz_edges(edge, empty):
     assert {(r.n_tokens, r.n_known) for r in rows if r.doc_id in (1, 2, 3)} == {(1, 1)}
     assert len({r.score for r in rows if r.doc_id == 5}) == 1
     assert katz.score(empty, trained).count() == 0
+    both = {(r.doc_id, r.n_known, round(r.score, 6)) for r in katz.evaluate(edge, F.lit(True)).collect()}
+    assert both == {(r.doc_id, r.n_known, round(r.score, 6)) for r in rows}
+    assert katz.evaluate(empty, F.lit(True)).count() == 0
+    assert all(r.n_known == 0 and r.train_tokens == 0 for r in katz.evaluate(edge, F.lit(None).cast("boolean")).collect())
     untrained = katz.fit(empty)
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in katz.score(edge, untrained).collect())
 
