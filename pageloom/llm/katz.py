@@ -30,9 +30,13 @@ from pyspark.sql import functions as F
 from pageloom.llm.common import ODD, ByteWords, mixed, steps, stored, text_bytes
 
 TOP = 5
+# discounts are kept to 16 binary places, so sums of discounted counts are exact whole units
+UNITS = 1 << 16
 # tokens of one block's worth of texts, and words or pairs of one bucket
 BLOCK_TOKENS, BUCKET_PAIRS = 600_000, 4_000_000
 MOST_TEXTS = 60_000
+# a pair is told apart by the upper 56 bits of its hash
+PAIR_BITS = np.uint64((1 << 64) - (1 << 8))
 START, END = np.uint64(0x57A2757A2757A275), np.uint64(0x0E0D0E0D0E0D0E0D)
 
 
@@ -121,16 +125,20 @@ def discounts(n: list[float], least: int) -> np.ndarray:
     for r in range(1, TOP + 1):
         if not 0 < d[r] < 1:
             d[r] = (r - 0.5) / r
+    d = np.maximum(np.round(d * UNITS), 1) / UNITS
     d[:least] = 0.0
     return d
 
 
+PACKED = ("words", "lengths", "often", "tokens")
+HELD = ("block", "rows", *PACKED)
+
 # -- blocks ---------------------------------------------------------------------------------
 
 
 def _blocks(docs: DataFrame, text: str, keep: tuple[str, ...] = (), learn=None) -> DataFrame:
     """block, rows (the ``keep`` columns), n_tokens (to learn from), words (dictionary), times (that they are
-    learned from), lengths, learned (a mark for each text), tokens; stored.  Without ``learn`` all texts are.
+    learned from), lengths, learned (a mark for each text), often (uses of each word), tokens; stored.  Without ``learn`` all texts are.
     """
     learn = F.coalesce(F.lit(True) if learn is None else learn, F.lit(False)).alias("learn")
 
@@ -140,20 +148,23 @@ def _blocks(docs: DataFrame, text: str, keep: tuple[str, ...] = (), learn=None)
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, kept.schema) as writer:
                 writer.write_table(kept)
-            words, at = np.unique(tokens, return_inverse=True)
+            words, at, often = np.unique(tokens, return_inverse=True, return_counts=True)
             learned = np.concatenate([np.asarray(b.column("learn").cast(pa.int8())) for b in held])
             counted = at[np.repeat(learned > 0, np.diff(first))]
             times = np.bincount(counted, minlength=len(words))
-            packed = (pack_sorted(words), pack(times), pack(np.diff(first)), pack(learned), pack(at))
+            # frequent words get small numbers, which pack best
+            number = np.empty_like(at, shape=len(words))
+            number[_by_use(often)] = np.arange(len(words))
+            packed = (pack_sorted(words), pack(times), pack(np.diff(first)), pack(learned), pack(often), pack(number[at]))
             values = (sink.getvalue().to_pybytes(), len(counted), *packed)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([v], t) for v, t in zip(values, (pa.binary(), pa.int64(), *[pa.binary()] * 5))],
-                names=["rows", "n_tokens", "words", "times", "lengths", "learned", "tokens"],
+                [pa.array([v], t) for v, t in zip(values, (pa.binary(), pa.int64(), *[pa.binary()] * 6))],
+                names=["rows", "n_tokens", "words", "times", "lengths", "learned", "often", "tokens"],
             )
 
     names = [F.col(c) for c in keep]
     blocks = docs.select(*names, text_bytes(text).alias("body"), learn).mapInArrow(
-        run, "rows binary, n_tokens long, words binary, times binary, lengths binary, learned binary, tokens binary"
+        run, "rows binary, n_tokens long, words binary, times binary, lengths binary, learned binary, often binary, tokens binary"
     )
     return stored(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
 
@@ -163,11 +174,17 @@ def _pairs(words: np.ndarray, tokens: np.ndarray, first: np.ndarray) -> tuple[np
     history = np.empty_like(tokens)
     history[1:] = tokens[:-1]
     history[first[:-1]] = len(words)
-    return history, mixed(np.r_[words, START][history] * np.uint64(ODD) + words[tokens])
+    return history, mixed(np.r_[words, START][history] * np.uint64(ODD) + words[tokens]) & PAIR_BITS
+
 
+def _by_use(often: np.ndarray) -> np.ndarray:
+    """Places of words from the most used on."""
+    return np.argsort(-often, kind="stable")
 
-def _opened(words: bytes, lengths: bytes, tokens: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return unpack_sorted(words), np.r_[0, np.cumsum(unpack(lengths))], unpack(tokens)
+
+def _opened(words: bytes, lengths: bytes, often: bytes, tokens: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(dictionary, first token of each text and the end, place of each token in the dictionary)."""
+    return unpack_sorted(words), np.r_[0, np.cumsum(unpack(lengths))], _by_use(unpack(often))[unpack(tokens)]
 
 
 def _ask_words(blocks: DataFrame, buckets: int) -> DataFrame:
@@ -189,13 +206,13 @@ def _ask_pairs(blocks: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, learned, *packed in zip(*(batch.column(c).to_pylist() for c in ("block", "learned", "words", "lengths", "tokens"))):
+            for block, learned, *packed in zip(*(batch.column(c).to_pylist() for c in ("block", "learned", *PACKED))):
                 words, first, tokens = _opened(*packed)
                 pairs, at = np.unique(_pairs(words, tokens, first)[1], return_inverse=True)
                 times = np.bincount(at[np.repeat(unpack(learned) > 0, np.diff(first))], minlength=len(pairs))
                 yield _asked(block, pairs, times, buckets)
 
-    return blocks.select("block", "learned", "words", "lengths", "tokens").mapInArrow(run, "ask_bucket int, block long, asked binary, times binary")
+    return blocks.select("block", "learned", *PACKED).mapInArrow(run, "ask_bucket int, block long, asked binary, times binary")
 
 
 def _asked(block: int, hashes: np.ndarray, times: np.ndarray, buckets: int) -> pa.RecordBatch:
@@ -206,12 +223,13 @@ def _asked(block: int, hashes: np.ndarray, times: np.ndarray, buckets: int) -> p
     )
 
 
-def _counted(asked: DataFrame, name: str) -> tuple[DataFrame, DataFrame, list[int]]:
+def _counted(asked: DataFrame, name: str, tell_places: bool) -> tuple[DataFrame, DataFrame, list[int]]:
     """(bucket, hashes, counts), (block, bucket, counts in the order asked), counts of counts.
 
     The counts of counts have, at r up to TOP + 1, how many hashes have count r; then all hashes, all counts.
     Counts are answered doubled, with one more in one of the blocks that asked.  What was asked for but
-    never learned from is answered 0 and not kept.
+    never learned from is answered 0 and not kept.  With ``tell_places`` answers also have the places of
+    the hashes among those kept.
     """
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
@@ -227,20 +245,24 @@ def _counted(asked: DataFrame, name: str) -> tuple[DataFrame, DataFrame, list[in
         answer = np.zeros(len(order), np.int64)
         answer[order] = 2 * counts[np.cumsum(new) - 1]
         answer[order[heads]] += counts > 0
+        at = np.zeros(len(order), np.int64)
+        if tell_places:
+            at[order] = np.maximum(np.cumsum(counts > 0) - 1, 0)[np.cumsum(new) - 1]
         hashes, counts = hashes[counts > 0], counts[counts > 0]
         real = counts[hashes != START]
         sizes = [int((real == r).sum()) for r in range(TOP + 2)] + [len(real), int(real.sum())]
         blocks = table["block"].to_pylist()
-        rows = [(None, pack_sorted(hashes), pack(counts), sizes)] + [(b, None, pack(x), None) for b, x in zip(blocks, np.split(answer, cuts))]
-        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-        return pa.table({"bucket": pa.array([key[0].as_py()] * len(rows), pa.int32())} | {n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(zip(("block", "hashes", "counts", "sizes"), kinds))})
+        places = [pack_sorted(x.astype(np.uint64)) if tell_places else None for x in np.split(at, cuts)]
+        rows = [(None, pack_sorted(hashes), pack(counts), sizes, None)] + [(b, None, pack(x), None, y) for b, x, y in zip(blocks, np.split(answer, cuts), places)]
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary())
+        return pa.table({"bucket": pa.array([key[0].as_py()] * len(rows), pa.int32())} | {n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(zip(("block", "hashes", "counts", "sizes", "places"), kinds))})
 
-    both = stored(asked.groupBy("ask_bucket").applyInArrow(add, "bucket int, block long, hashes binary, counts binary, sizes array<bigint>"), name)
+    both = stored(asked.groupBy("ask_bucket").applyInArrow(add, "bucket int, block long, hashes binary, counts binary, sizes array<bigint>, places binary"), name)
     found = both.where("sizes is not null").select(F.posexplode("sizes").alias("r", "k")).groupBy("r").agg(F.sum("k").alias("k")).collect()
     sizes = {r["r"]: r["k"] for r in found}
     return (
         both.where("block is null").select("bucket", "hashes", "counts"),
-        both.where("block is not null").select("block", "bucket", "counts"),
+        both.where("block is not null").select("block", "bucket", "counts", "places"),
         [sizes.get(r, 0) for r in range(TOP + 4)],
     )
 
@@ -267,6 +289,14 @@ class Model:
     def base_log(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 0.1) / (self.total + 0.1 * (self.distinct + 1)))
 
+    def low_units(self, count: np.ndarray) -> np.ndarray:
+        """Discounted counts of words in units; P(w) is their share of ``units_of_one``."""
+        return count * np.where(count <= TOP, self.word_discount[np.minimum(count, TOP)], 1.0) * UNITS
+
+    @property
+    def units_of_one(self) -> float:
+        return max(1, self.total) * UNITS / self.word_scale
+
     def discounted(self, count: np.ndarray) -> np.ndarray:
         """Discounted counts of pairs."""
         return count * np.where(count <= TOP, self.pair_discount[np.minimum(count, TOP)], 1.0)
@@ -281,9 +311,6 @@ class Trained:
     pair_buckets: int
 
 
-HELD = ("block", "rows", "words", "lengths", "tokens")
-
-
 def _in_row(answers: pa.Table, kind: int, column: str) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.int64), *map(unpack, _in_order(answers, kind, column))])
 
@@ -297,7 +324,7 @@ def _in_order(answers: pa.Table, kind: int, column: str) -> list[bytes]:
 def _answers(of: DataFrame, kind: int) -> DataFrame:
     """Packed answers with their kind and the columns that other kinds have."""
     none = F.lit(None).cast("binary")
-    more = [F.col(c) if c in of.columns else none.alias(c) for c in ("counts", "back", "shrink")]
+    more = [F.col(c) if c in of.columns else none.alias(c) for c in ("counts", "places", "back", "shrink")]
     return of.select("block", "bucket", *more, F.lit(kind).alias("kind"))
 
 
@@ -314,56 +341,65 @@ class Learned:
     buckets: int
 
     def sums(self) -> DataFrame:
-        """block, of_bucket, histories, a, b: per history that a block asked for, the discounted count and
-        the lower-order mass of those seen pairs that are marked there."""
-        model, buckets = self.model, self.buckets
+        """block, of_bucket, places, a, b, unmet: per learned history of a block (by its place in its bucket), in
+        units, the discounted count and the lower-order mass of those seen pairs that are marked there, and
+        whether it stands before an unseen word."""
+        model = self.model
 
         def run(key: tuple, block: pa.Table, answers: pa.Table) -> pa.Table:
-            hashes, first, own = _opened(*(block[c][0].as_py() for c in ("words", "lengths", "tokens")))
+            hashes, first, own = _opened(*(block[c][0].as_py() for c in PACKED))
             place = np.searchsorted(hashes, START)
-            count = np.delete(_in_row(answers, 0, "counts"), place) >> 1
+            asked = _in_row(answers, 0, "counts") >> 1
+            count = np.delete(asked, place)
             history, code = _pairs(hashes, own, first)
             at = np.unique(code, return_index=True)[1]
             seen = _in_row(answers, 1, "counts")
+            # the start goes where its hash stands
+            turn = np.insert(np.arange(len(hashes)), place, len(hashes))
+            unmet = np.bincount(history[at[seen == 0]], minlength=len(turn))[turn] > 0
             at, seen = at[seen & 1 > 0], seen[seen & 1 > 0] >> 1
             h, w = history[at], own[at]
-            a = np.bincount(h, model.discounted(seen), len(hashes) + 1)
-            b = np.bincount(h, 10.0 ** model.word_log(count[w]), len(hashes) + 1)
-            hashes, a, b = np.insert(hashes, place, START), np.insert(a[:-1], place, a[-1]), np.insert(b[:-1], place, b[-1])
-            rows = [(n, pack_sorted(hashes[i:j]), pack_floats(a[i:j]), pack_floats(b[i:j])) for n, i, j in by_bucket(hashes, buckets)]
-            names = (("of_bucket", pa.int32()), ("histories", pa.binary()), ("a", pa.binary()), ("b", pa.binary()))
+            a = np.bincount(h, model.discounted(seen) * UNITS, len(turn))[turn].astype(np.int64)
+            b = np.bincount(h, model.low_units(count[w]), len(turn))[turn].astype(np.int64)
+            rows, i = [], 0
+            for bucket, places in sorted((n, x) for k, n, x in zip(*(answers[c].to_pylist() for c in ("kind", "bucket", "places"))) if k == 0):
+                places = unpack_sorted(places)
+                part, i = slice(i, i + len(places)), i + len(places)
+                known = asked[part] > 0
+                rows.append((bucket, pack_sorted(places[known]), *(pack(x[part][known]) for x in (a, b, unmet))))
+            names = (("of_bucket", pa.int32()), ("places", pa.binary()), ("a", pa.binary()), ("b", pa.binary()), ("unmet", pa.binary()))
             own_block = {"block": pa.array([key[0].as_py()] * len(rows), pa.int64())}
             return pa.table(own_block | {n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(names)})
 
-        answers = _answers(self.word_answers, 0).unionByName(_answers(self.pair_answers, 1)).select("block", "bucket", "kind", "counts")
+        answers = _answers(self.word_answers, 0).unionByName(_answers(self.pair_answers, 1)).select("block", "bucket", "kind", "counts", "places")
         held = self.blocks.select(*HELD).groupBy("block").cogroup(answers.groupBy("block"))
-        return held.applyInArrow(run, "block long, of_bucket int, histories binary, a binary, b binary")
+        return held.applyInArrow(run, "block long, of_bucket int, places binary, a binary, b binary, unmet binary")
 
     def weights(self, answer: bool) -> DataFrame:
         """bucket, hashes, counts, back (log10 a(h)), shrink (log10 of what pairs of h shrink by); with
-        ``answer`` block, bucket, back and shrink in the order asked instead."""
+        ``answer`` block, bucket, back (0 where no unseen word follows) and shrink in the order of ``sums``."""
+        model = self.model
 
         def run(key: tuple, table: pa.Table, parts: pa.Table) -> pa.Table:
-            hashes, count = (unpack_sorted(table["hashes"][0].as_py()), unpack(table["counts"][0].as_py())) if table.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            a, b, places = np.zeros(len(hashes)), np.zeros(len(hashes)), []
-            for h, x, y in zip(*(parts[c].to_pylist() for c in ("histories", "a", "b"))) if parts.num_rows else ():
-                own = unpack_sorted(h)
-                at = np.searchsorted(hashes, own)
-                known = np.append(hashes, np.uint64(0))[at] == own if len(hashes) else np.zeros(len(own), bool)
-                known &= at < len(hashes)
-                a[at[known]] += unpack_floats(x)[known]
-                b[at[known]] += unpack_floats(y)[known]
-                places.append(np.where(known, at, len(hashes)).astype(np.int32))
-            share_of = a / np.maximum(count, 1)
+            count = unpack(table["counts"][0].as_py())
+            a, b, asked = np.zeros(len(count), np.int64), np.zeros(len(count), np.int64), []
+            for places, x, y, unmet in zip(*(parts[c].to_pylist() for c in ("places", "a", "b", "unmet"))) if parts.num_rows else ():
+                at = unpack_sorted(places).astype(np.int64)
+                a[at] += unpack(x)
+                b[at] += unpack(y)
+                asked.append((at, unpack(unmet) > 0))
+            share_of = a / UNITS / count
             # some mass stays for unseen words even where no seen pair is discounted
             shrink = np.minimum(1.0, (1 - 0.5 / (count + 1)) / np.where(share_of > 0, share_of, 1e-9))
-            back, shrink = np.log10((1 - share_of * shrink) / (1 - b)), np.log10(shrink)
+            back, shrink = np.log10((1 - share_of * shrink) / (1 - b / model.units_of_one)), np.log10(shrink)
             if not answer:
                 return pa.table({"bucket": table["bucket"], "hashes": table["hashes"], "counts": table["counts"], "back": pa.array([pack_floats(back)], pa.binary()), "shrink": pa.array([pack_floats(shrink)], pa.binary())})
-            back, shrink = np.append(back, 0.0), np.append(shrink, 0.0)
-            own_bucket = pa.array([key[0].as_py()] * parts.num_rows, pa.int32())
-            packed = {n: pa.array([pack_floats(v[at]) for at in places], pa.binary()) for n, v in (("back", back), ("shrink", shrink))}
-            return pa.table({"block": parts["block"], "bucket": own_bucket} | packed)
+            packed = {
+                "back": pa.array([pack_floats(np.where(unmet, back[at], 0.0)) for at, unmet in asked], pa.binary()),
+                "shrink": pa.array([pack_floats(shrink[at]) for at, _ in asked], pa.binary()),
+            }
+            own_bucket = pa.array([key[0].as_py()] * len(asked), pa.int32())
+            return pa.table({"block": parts["block"] if asked else pa.array([], pa.int64()), "bucket": own_bucket} | packed)
 
         schema = "block long, bucket int, back binary, shrink binary" if answer else "bucket int, hashes binary, counts binary, back binary, shrink binary"
         return self.words.groupBy("bucket").cogroup(self.sums().groupBy("of_bucket")).applyInArrow(run, schema)
@@ -372,13 +408,13 @@ class Learned:
 def _learn(blocks: DataFrame) -> Learned:
     tokens = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()["n"]
     buckets = max(1, -(-tokens // BUCKET_PAIRS))
-    words, word_answers, sizes = _counted(_ask_words(blocks, buckets), "words")
+    words, word_answers, sizes = _counted(_ask_words(blocks, buckets), "words", True)
     distinct, total = sizes[TOP + 2 :]
     word_discount = discounts([0.0] + [float(x) for x in sizes[1 : TOP + 2]], 1)
     mass = (total - sum(r * sizes[r] * (1 - word_discount[r]) for r in range(1, TOP + 1))) / max(1, total)
     scale = min(1.0, (1 - 0.5 / (total + 1)) / mass) if mass else 1.0
     unseen = float(np.log10(1 - mass * scale))
-    pairs, pair_answers, sizes = _counted(_ask_pairs(blocks, buckets), "pairs")
+    pairs, pair_answers, sizes = _counted(_ask_pairs(blocks, buckets), "pairs", False)
     pair_discount = discounts([0.0] + [float(x) for x in sizes[1 : TOP + 2]], 1)
     model = Model(pair_discount, word_discount, scale, unseen, total, distinct)
     return Learned(model, blocks, words, pairs, word_answers, pair_answers, buckets)
@@ -444,12 +480,18 @@ def _settled(docs: DataFrame, model: Model, blocks: DataFrame, answers: DataFram
 
     def settle(key: tuple, block: pa.Table, answers: pa.Table) -> pa.Table:
         rows = pa.ipc.open_stream(block["rows"][0].as_py()).read_all()
-        hashes, first, own = _opened(*(block[c][0].as_py() for c in ("words", "lengths", "tokens")))
+        hashes, first, own = _opened(*(block[c][0].as_py() for c in PACKED))
         place = np.searchsorted(hashes, START)
         # the start goes last, where histories look for it
         turn = np.r_[np.delete(np.arange(len(hashes) + 1), place), place]
-        count, pair = _in_row(answers, 0, "counts")[turn] >> doubled, _in_row(answers, 1, "counts") >> doubled
-        back, shrink = (np.concatenate([unpack_floats(x) for x in _in_order(answers, weights, c)])[turn] for c in ("back", "shrink"))
+        count, pair = _in_row(answers, 0, "counts") >> doubled, _in_row(answers, 1, "counts") >> doubled
+        back, shrink = (np.concatenate([unpack_floats(x) for x in _in_order(answers, weights, c)]) for c in ("back", "shrink"))
+        if doubled:
+            # these are of learned words alone; the others' are 0
+            filled = np.zeros((2, len(count)))
+            filled[:, count > 0] = back, shrink
+            back, shrink = filled
+        count, back, shrink = count[turn], back[turn], shrink[turn]
         history, code = _pairs(hashes, own, first)
         pair = pair[np.unique(code, return_inverse=True)[1]]
         value = back[history] + model.word_log(count)[own]
