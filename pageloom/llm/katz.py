@@ -233,27 +233,31 @@ def _counted(asked: DataFrame, name: str, tell_places: bool) -> tuple[DataFrame,
     """
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
-        parts = [unpack_sorted(x) for x in table["asked"].to_pylist()]
-        hashes, times = np.concatenate(parts), np.concatenate([unpack(x) for x in table["times"].to_pylist()])
-        cuts = np.cumsum([len(x) for x in parts])[:-1]
-        del parts
-        order = np.argsort(hashes, kind="stable")
-        hashes, times = hashes[order], times[order]
+        # a bucket is the largest thing in a task: places are 32 bits, answers are made block by block
+        blocks, asked = table["block"].to_pylist(), table["asked"]
+        hashes = np.concatenate([unpack_sorted(x.as_py()) for x in asked])
+        times = np.concatenate([unpack(x.as_py()).astype(np.int32) for x in table["times"]])
+        cuts = np.cumsum([0] + [int.from_bytes(x.as_py()[1:5], "little") for x in asked])
+        order = np.argsort(hashes, kind="stable").astype(np.int32)
+        hashes = hashes[order]
         new = np.r_[True, hashes[1:] != hashes[:-1]]
         heads = np.flatnonzero(new)
-        hashes, counts = hashes[heads], np.add.reduceat(times, heads)
-        answer = np.zeros(len(order), np.int64)
-        answer[order] = 2 * counts[np.cumsum(new) - 1]
-        answer[order[heads]] += counts > 0
-        at = np.zeros(len(order), np.int64)
-        if tell_places:
-            at[order] = np.maximum(np.cumsum(counts > 0) - 1, 0)[np.cumsum(new) - 1]
-        hashes, counts = hashes[counts > 0], counts[counts > 0]
-        real = counts[hashes != START]
+        hashes, counts = hashes[heads], np.add.reduceat(times[order], heads, dtype=np.int64)
+        del times
+        kind = np.empty(len(order), np.int32)
+        kind[order] = np.cumsum(new, dtype=np.int32) - 1
+        marked = np.zeros(len(order), bool)
+        marked[order[heads]] = counts > 0
+        del order, new, heads
+        kept_at = np.maximum(np.cumsum(counts > 0) - 1, 0).astype(np.uint64)
+        own, known = hashes[counts > 0], counts[counts > 0]
+        del hashes
+        real = known[own != START]
         sizes = [int((real == r).sum()) for r in range(TOP + 2)] + [len(real), int(real.sum())]
-        blocks = table["block"].to_pylist()
-        places = [pack_sorted(x.astype(np.uint64)) if tell_places else None for x in np.split(at, cuts)]
-        rows = [(None, pack_sorted(hashes), pack(counts), sizes, None)] + [(b, None, pack(x), None, y) for b, x, y in zip(blocks, np.split(answer, cuts), places)]
+        rows = [(None, pack_sorted(own), pack(known), sizes, None)]
+        for block, a, z in zip(blocks, cuts[:-1], cuts[1:]):
+            at = kind[a:z]
+            rows.append((block, None, pack(2 * counts[at] + marked[a:z]), None, pack_sorted(kept_at[at]) if tell_places else None))
         kinds = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary())
         return pa.table({"bucket": pa.array([key[0].as_py()] * len(rows), pa.int32())} | {n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(zip(("block", "hashes", "counts", "sizes", "places"), kinds))})
 
