@@ -11,10 +11,10 @@ what is joined: two link when ``100 * |A and B| >= 80 * |A or B|``.
 3. Classes with the same minimum under one of ``KEYS`` orders form a group, dealt by a hash to parts of
    about ``PART`` members.  The members of a part are compared in one task, but not once they are linked.
    Other orders deal them to other parts, so that a large group of near copies becomes one.
-4. Groups of linked classes, in parts again, give the matrix: a row (shingle, group) for each prefix
-   shingle of a group's union.  Counting a query's rows bounds its overlap with every member; only groups
-   that reach what the sizes demand are opened, only where group and query are not linked yet, and
-   compared first with the whole union, then member by member.
+4. Groups of linked classes give the matrix: a row (shingle, group) for each prefix shingle of a group's
+   union.  Counting a query's rows bounds its overlap with every member; groups that reach what the sizes
+   demand are bounded again by the unions of their parts, and what is left is opened, only where group and
+   query are not linked yet, and compared first with the whole union, then member by member.
 5. Links join to components by alternating star contraction.
 
 The frequent shingles that go last in the order are counted over all texts; which of them are listed
@@ -90,6 +90,14 @@ def _demanded(n: Column, m: Column) -> Column:
     return F.ceil((n + m) * PERCENT / (100 + PERCENT) - 1e-6) - F.greatest(_rest(n), _rest(m)) - 1
 
 
+def _reached() -> Column:
+    """Whether the ``c`` prefix shingles that a set of size n shares with a union suffice for a link with
+    a set of size lo to hi."""
+    n = F.col("n")
+    lo, hi = F.greatest("lo", F.ceil(n * PERCENT / 100)), F.least("hi", F.floor(n * 100 / PERCENT))
+    return (lo <= hi) & (F.col("c") >= F.least(_demanded(n, lo), _demanded(n, hi)))
+
+
 def _minima(own: np.ndarray) -> list[int]:
     """The smallest member under each of the orders."""
     return [int(mixed(own ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)).min().view(np.int64)) for k in range(KEYS)]
@@ -253,19 +261,19 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _within(key: tuple, members: pa.Table) -> pa.Table:
-    """(cls, label) of the members of one part that are linked to a smaller one."""
-    cls = members["cls"].to_pylist()
+    """(a, b) labels of the members of one part that are linked to those of a smaller label."""
+    label = members["label"].to_pylist()
     sets = [np.frombuffer(x, np.uint64) for x in members["members"].to_pylist()]
-    order = sorted(range(len(cls)), key=lambda i: (len(sets[i]), cls[i]))
+    order = sorted(range(len(label)), key=lambda i: (len(sets[i]), label[i]))
     joined = _Union()
     for x, i in enumerate(order):
         for j in reversed(order[:x]):
             if 100 * len(sets[j]) < PERCENT * len(sets[i]):
                 break
-            if joined.top(cls[i]) != joined.top(cls[j]) and linked(_common(sets[i], sets[j]), len(sets[i]), len(sets[j])):
-                joined.join(cls[i], cls[j])
-    pairs = [(c, joined.top(c)) for c in cls if joined.top(c) != c]
-    return pa.table({"cls": pa.array([p[0] for p in pairs], pa.int64()), "label": pa.array([p[1] for p in pairs], pa.int64())})
+            if joined.top(label[i]) != joined.top(label[j]) and linked(_common(sets[i], sets[j]), len(sets[i]), len(sets[j])):
+                joined.join(label[i], label[j])
+    pairs = [(c, joined.top(c)) for c in set(label) if joined.top(c) != c]
+    return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
 
 def _opened(key: tuple, members: pa.Table, queries: pa.Table) -> pa.Table:
@@ -313,18 +321,21 @@ def _settle_groups(classes: DataFrame, sets: DataFrame) -> DataFrame:
     """(cls, label) after the links inside parts of groups of equal minima, for classes that have one.
 
     Every order deals the members of a group to other parts, so that what is linked in a large group
-    comes together although each member meets few others.
+    comes together although each member meets few others.  After an order members take the smallest label
+    they met, and sets move only to parts that hold more than one label.
     """
-    found = []
+    now, edges = classes.select("cls", "minima", F.col("cls").alias("label")), None
     for k in range(KEYS):
-        own = classes.select("cls", F.col("minima")[k].alias("key"))
-        sizes = own.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        parts = own.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("cls", F.lit(k)), F.ceil(F.col("n") / PART)))
-        found.append(stored(parts.join(sets, "cls").groupBy("key", "part").applyInArrow(_within, "cls long, label long"), "linked"))
-    edges = found[0]
-    for more in found[1:]:
-        edges = edges.unionByName(more)
-    return contract(edges.select(F.col("cls").alias("a"), F.col("label").alias("b"))).select(F.col("node").alias("cls"), F.col("root").alias("label"))
+        own = now.select("cls", "label", F.col("minima")[k].alias("key"))
+        sizes = own.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
+        parts = own.join(sizes.select("key", "n"), "key").withColumn("part", F.pmod(F.xxhash64("cls", F.lit(k)), F.ceil(F.col("n") / PART)))
+        differ = parts.groupBy("key", "part").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key", "part")
+        open_parts = stored(parts.select("cls", "label", "key", "part").join(differ, ["key", "part"]), "parts")
+        found = stored(open_parts.join(sets, "cls").groupBy("key", "part").applyInArrow(_within, "a long, b long"), "linked")
+        least = found.groupBy(F.col("a").alias("label")).agg(F.min("b").alias("b"))
+        now = stored(now.join(least, "label", "left").select("cls", "minima", F.coalesce("b", "label").alias("label")), "labels")
+        edges = found if edges is None else edges.unionByName(found)
+    return contract(edges).select(F.col("node").alias("cls"), F.col("root").alias("label"))
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
@@ -367,13 +378,18 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     rows = shared.select("token", "cls").join(labels, "cls")
     differ = rows.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("token")
     asked = stored(rows.join(differ, "token", "left_semi"), "asked")
-    matrix = asked.select("token", F.col("gid").alias("open"), F.col("label").alias("other")).distinct()
+    matrix = asked.select("token", F.col("label").alias("other")).distinct()
+    spans = labels.groupBy(F.col("label").alias("other")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.countDistinct("gid").alias("parts"), F.min("gid").alias("only"))
+    counted = asked.join(matrix, "token").where("label <> other").groupBy("cls", "n", "label", "other").agg(F.count("*").alias("c"))
+    met = stored(counted.join(spans, "other").where(_reached()).select("cls", "n", "label", "other", "parts", "only"), "met")
+
+    # labels that qualify and have several parts are counted again by part
+    inside = asked.select("token", F.col("label").alias("other"), F.col("gid").alias("open")).distinct()
     spans = labels.groupBy(F.col("gid").alias("open")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    counted = asked.join(matrix, "token").where("label <> other").groupBy("cls", "n", "label", "open").agg(F.count("*").alias("c"))
-    n = F.col("n")
-    lo, hi = F.greatest("lo", F.ceil(n * PERCENT / 100)), F.least("hi", F.floor(n * 100 / PERCENT))
-    reached = (lo <= hi) & (F.col("c") >= F.least(_demanded(n, lo), _demanded(n, hi)))
-    pairs = stored(counted.join(spans, "open").where(reached).select("cls", "label", F.col("open").alias("gid")), "pairs")
+    several = met.where("parts > 1").select("cls", "n", "label", "other").join(asked.select("cls", "token"), "cls")
+    counted = several.join(inside, ["other", "token"]).groupBy("cls", "n", "label", "open").agg(F.count("*").alias("c"))
+    opened = counted.join(spans, "open").where(_reached()).select("cls", "label", F.col("open").alias("gid"))
+    pairs = stored(opened.unionByName(met.where("parts = 1").select("cls", "label", F.col("only").alias("gid"))), "pairs")
 
     # groups to open, with the sets of their members and of those that ask
     turns = pairs.groupBy("gid").agg(F.ceil(F.count("*") / QUERIES).alias("turns"))
