@@ -12,10 +12,13 @@ what is joined: two link when ``100 * |A and B| >= 80 * |A or B|``.
    about ``PART`` members.  The members of a part are compared in one task, but not once they are linked.
    Other orders deal them to other parts, so that a large group of near copies becomes one.
 4. Groups of linked classes give the matrix: a row (shingle, group) for each prefix shingle of a group's
-   union.  Counting a query's rows bounds its overlap with every member; groups that reach what the sizes
+   union.  With each class's prefix in one order, shingles of few groups first, the first shingle two linked
+   sets share has at least as many behind it, in either, as their sizes demand.  So a shingle brings query
+   and group together only for the sizes this leaves; of shingles of many groups, only rows of such sizes meet.
+5. Counting a query's rows of a group bounds its overlap with every member; groups that reach what the sizes
    demand are bounded again by the unions of their parts, and what is left is opened, only where group and
    query are not linked yet, and compared first with the whole union, then member by member.
-5. Links join to components by alternating star contraction.
+6. Links join to components by alternating star contraction.
 
 The frequent shingles that go last in the order are counted over all texts; which of them are listed
 changes the work, never the result.
@@ -28,6 +31,7 @@ rows and equal ids - each row is returned; empty table - empty result; other col
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +52,9 @@ FREQUENT = 1 << 16
 LISTED = 2_000_000
 # queries that one task compares with an opened group
 QUERIES = 256
+# shingles of more groups than this meet by ranges of sizes, each so many times the one before
+FEW = 16
+RANGE = 1.05
 
 
 # -- sets -----------------------------------------------------------------------------------
@@ -195,43 +202,33 @@ def _full_sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     """(cls, members) for the classes of ``wanted`` (cls, sig); members is packed and sorted."""
     names = None
     if wanted.count() <= LISTED:
-        names = np.sort(wanted.select(F.xxhash64("sig").alias("h")).toArrow()["h"].to_numpy())
+        names = np.sort(wanted.select(_short_hash("sig").alias("h")).toArrow()["h"].to_numpy())
     shared = share(docs.sparkSession, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, seen = ByteWords(), set()
+        find, seen, names = ByteWords(), set(), shared()
         for batch in batches:
             for _, _, data, offsets in steps(batch.column("body")):
                 rows = []
                 for own in shingle_sets(find, data, offsets):
                     if len(own) and (name := sign(own)) not in seen:
                         seen.add(name)
-                        rows.append((name, own.tobytes()))
+                        if names is None or _listed(names, name):
+                            rows.append((name, own.tobytes()))
                 if len(seen) > 1_000_000:
                     seen.clear()
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["sig", "members"])
 
     made = docs.select(text_bytes(text).alias("body")).mapInArrow(run, "sig binary, members binary")
-    if names is not None:
-        made = made.where(_in_list(made, shared))
     return made.join(wanted, "sig").dropDuplicates(["cls"]).select("cls", "members")
 
 
-def _in_list(df: DataFrame, shared):
-    """Whether a signature's hash is in the shared sorted list."""
-
-    @F.pandas_udf("boolean")
-    def there(h):
-        import pandas as pd
-
-        names = shared()
-        if not len(names):
-            return pd.Series(np.zeros(len(h), bool))
-        place = np.minimum(np.searchsorted(names, h.to_numpy()), len(names) - 1)
-        return pd.Series(names[place] == h.to_numpy())
-
-    return there(F.xxhash64("sig"))
+def _listed(names: np.ndarray, sig: bytes) -> bool:
+    """Whether a signature's first eight bytes are in the sorted list."""
+    own = int.from_bytes(sig[:8], "big", signed=True)
+    at = int(np.searchsorted(names, own))
+    return at < len(names) and int(names[at]) == own
 
 
 # -- comparing inside tasks -----------------------------------------------------------------
@@ -355,6 +352,35 @@ def _candidates(rows: DataFrame) -> DataFrame:
     return rows
 
 
+def _range(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / math.log(RANGE)).cast("int")
+
+
+def _near(asked: DataFrame) -> DataFrame:
+    """(cls, n, label, other): classes and the other labels that may hold a set of equal or larger size linked
+    to theirs, of (token, cls, n, label, often, behind).
+
+    ``behind`` counts a class's rows from this one on, in an order common to all classes.  The first shingle
+    of two linked sets of sizes n <= m has at least ``share * (n + m) - rest * m`` of them, in either set.
+    """
+    n, behind, share, rest = F.col("n"), F.col("behind"), PERCENT / (100 + PERCENT), 1 - PREFIX / 100
+    few = F.col("often") <= FEW
+
+    def ranges(a: str, b: str) -> Column:
+        return F.explode(F.when(few, F.array(F.lit(-1))).otherwise(F.sequence(_range(F.col(a)), _range(F.col(b)))))
+
+    own = F.when(few, F.lit(-1)).otherwise(_range(n))
+    least = F.greatest(n, F.ceil((share * n - behind) / (rest - share) - 1e-6)).alias("least")
+    asks = asked.select("token", "cls", "n", "label", "often", least, F.floor(n * 100 / PERCENT).alias("most")).where("least <= most")
+    asks = asks.select("token", "cls", "n", "label", "least", own.alias("n_range"), ranges("least", "most").alias("m_range"))
+    below = F.least(n, F.floor((behind + (rest - share) * n) / share + 1e-6)).alias("below")
+    held = asked.select("token", F.col("label").alias("other"), "n", "often", F.ceil(n * PERCENT / 100).alias("above"), below).where("above <= below")
+    held = held.select("token", "other", F.col("n").alias("m"), "below", own.alias("m_range"), ranges("above", "below").alias("n_range"))
+    held = held.groupBy("token", "n_range", "m_range", "other").agg(F.max("m").alias("m"), F.max("below").alias("below"))
+    met = asks.join(held, ["token", "n_range", "m_range"]).where("label <> other and least <= m and n <= below")
+    return met.select("cls", "n", "label", "other").distinct()
+
+
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) of every row."""
     signed = stored(_signed(docs, key, text), "signed")
@@ -376,11 +402,13 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     # the matrix, for shingles of more than one label
     rows = shared.select("token", "cls").join(labels, "cls")
-    differ = rows.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("token")
-    asked = stored(rows.join(differ, "token", "left_semi"), "asked")
+    often = rows.groupBy("token").agg(F.countDistinct("label").alias("often")).where("often > 1")
+    behind = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("often"), F.desc("token")))
+    asked = stored(rows.join(often, "token").withColumn("behind", behind), "asked")
     matrix = asked.select("token", F.col("label").alias("other")).distinct()
     spans = labels.groupBy(F.col("label").alias("other")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.countDistinct("gid").alias("parts"), F.min("gid").alias("only"))
-    counted = asked.join(matrix, "token").where("label <> other").groupBy("cls", "n", "label", "other").agg(F.count("*").alias("c"))
+    near = stored(_near(asked), "near").join(asked.select("cls", "token"), "cls")
+    counted = near.join(matrix, ["other", "token"]).groupBy("cls", "n", "label", "other").agg(F.count("*").alias("c"))
     met = stored(counted.join(spans, "other").where(_reached()).select("cls", "n", "label", "other", "parts", "only"), "met")
 
     # labels that qualify and have several parts are counted again by part

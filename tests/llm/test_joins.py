@@ -77,6 +77,30 @@ def test_components_edges(spark, edge, empty):
     assert groupjoin.components(empty).count() == 0
 
 
+def test_matrix_rows_of_a_shared_passage(spark, monkeypatch):
+    """Texts with a long common part that don't link hardly meet, and those that do are found."""
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(70)]
+    own = lambda i, n: [f"w{i}x{rng.randrange(10**6)}" for _ in range(n)]
+    rows = [(i, " ".join(passage + own(i, 19 + i % 2))) for i in range(150)]
+    tail = own(999, 120)
+    rows += [(200 + i, " ".join(tail[: 120 - 4 * i])) for i in range(12)]
+    seen, kept = {}, groupjoin.stored
+
+    def store(df, name):
+        seen[name] = kept(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(groupjoin, "stored", store)
+    monkeypatch.setattr(groupjoin, "KEYS", 1)
+    monkeypatch.setattr(groupjoin, "_candidates", lambda rows: rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(tuple(r) for r in groupjoin.components(docs).collect()) == brute_components(rows)
+    asked = seen["asked"].select("token", "cls", "label")
+    met = asked.join(asked.select("token", F.col("label").alias("other")).distinct(), "token").where("label <> other")
+    assert met.count() > 50_000 and seen["near"].count() < 1000
+
+
 def test_keep_one(spark, near, edge):
     kept = [r.doc_id for r in groupjoin.keep_one(near).collect()]
     assert sorted(kept) == sorted({c for _, _, c in brute_components([tuple(r) for r in near.collect()])})
