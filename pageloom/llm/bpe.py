@@ -14,7 +14,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,9 @@ from pageloom.llm.common import free_name, slices, text_bytes
 
 # pieces of text that a task remembers with their ids
 REMEMBERED = 150_000
+# characters from which a part is not remembered, and of texts whose new parts are encoded in one call
+LONG = 64
+STEP_CHARS = 500_000
 # rows that are turned into Python values at a time
 SLICE = 256
 _MADE: dict = {}
@@ -81,34 +85,75 @@ class Codec:
         self.pieces = SentencePieceProcessor(model_proto=model)
         self.whole = {token: i for i, token in enumerate(tokens)}
         self.find = regex.compile(pattern).findall
-        self.letters = dict(enumerate(byte_letters()))
+        self.points = np.array([ord(c) for c in byte_letters()], "<u4")
         # a space before a non-space always begins a pre-token
         self.cut = regex.compile(r" (?=\S)").split
         self.loose = regex.compile(r" (?:\s|$)").search
         self.bare, self.spaced = _Remembered(self, ""), _Remembered(self, " ")
 
     def ids_of(self, text: str) -> bytes:
-        out = []
-        for piece in self.find(text):
-            raw = piece.encode()
-            at = self.whole.get(raw)
+        pieces = self.find(text)
+        made = self._made(pieces)
+        return b"".join(map(made.__getitem__, pieces))
+
+    def _made(self, pieces: Iterable[str]) -> dict[str, bytes]:
+        """Ids of pre-tokens, all that are no tokens themselves encoded in one call."""
+        made, rest = {}, []
+        for piece in pieces:
+            at = self.whole.get(raw := piece.encode())
             if at is not None:
-                out.append(at)
+                made[piece] = at.to_bytes(4, "little")
             else:
-                mapped = raw.decode("latin-1").translate(self.letters)
-                out.extend(i - 1 for i in self.pieces.encode(mapped))
-        return np.array(out, "<u4").tobytes()
+                rest.append((piece, raw))
+        if rest:
+            ends = np.cumsum([0, *(len(raw) for _, raw in rest)]).tolist()
+            data = np.frombuffer(b"".join([raw for _, raw in rest]), np.uint8)
+            mapped = self.points[data].tobytes().decode("utf-32-le")
+            ids = self.pieces.encode([mapped[a:b] for a, b in zip(ends, ends[1:])], num_threads=1)
+            ends = (4 * np.cumsum([0, *map(len, ids)])).tolist()
+            packed = (np.fromiter(chain.from_iterable(ids), "<u4", ends[-1] // 4) - np.uint32(1)).astype("<u4").tobytes()
+            made.update((piece, packed[a:b]) for (piece, _), a, b in zip(rest, ends, ends[1:]))
+        return made
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The packed ids of each text."""
+        out, at = [], 0
+        while at < len(texts):
+            cut, chars = [], 0
+            while at < len(texts) and (not cut or chars < STEP_CHARS):
+                cut.append(self._parts(texts[at]))
+                chars, at = chars + len(texts[at]), at + 1
+            self._learn(cut)
+            for parts in cut:
+                head = self.bare[parts[0]] if parts[0] else b""
+                out.append(head + b"".join(map(self.spaced.__getitem__, parts[1:])))
+        return out
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        parts = text.split(" ") if self.loose(text) is None else self.cut(text)
+        return self.encode_all([text])[0]
+
+    def _parts(self, text: str) -> list[str]:
+        return text.split(" ") if self.loose(text) is None else self.cut(text)
+
+    def _learn(self, cut: list[list[str]]) -> None:
+        """Remember the ids of the parts behind a space that are new."""
         if len(self.spaced) > REMEMBERED:
             self.spaced.clear()
             self.bare.clear()
-        head = self.bare[parts[0]] if parts[0] else b""
-        return head + b"".join(map(self.spaced.__getitem__, parts[1:]))
-
+        new = set().union(*(parts[1:] for parts in cut)) - self.spaced.keys()
+        new = [part for part in new if len(part) < LONG]
+        if not new:
+            return
+        # cut before spaces, as the texts are, they are one text for the pattern
+        pieces = self.find(" " + " ".join(new))
+        ends, bounds = np.cumsum([*map(len, pieces)]), np.cumsum([1 + len(part) for part in new])
+        last = np.minimum(np.searchsorted(ends, bounds), len(ends) - 1)
+        if (ends[last] != bounds).any():
+            return  # a pattern that leaves characters out: each part alone
+        made = self._made(set(pieces))
+        ids = [*map(made.__getitem__, pieces)]
+        to, packed = np.cumsum([*map(len, ids)])[last].tolist(), b"".join(ids)
+        self.spaced.update((part, packed[a:b]) for part, a, b in zip(new, [0, *to], to))
 
 
 class _Remembered(dict):
@@ -119,7 +164,7 @@ class _Remembered(dict):
 
     def __missing__(self, part: str) -> bytes:
         found = self.codec.ids_of(self.prefix + part)
-        if len(part) < 64:
+        if len(part) < LONG:
             self[part] = found
         return found
 
@@ -151,7 +196,7 @@ class ByteBPE:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codec = _codec(shared)
             for batch in slices(batches, SLICE):
-                packed = [codec.encode(x.decode()) for x in batch.column(body).to_pylist()]
+                packed = codec.encode_all([x.decode() for x in batch.column(body).to_pylist()])
                 ends = np.cumsum([0, *map(len, packed)]) // 4
                 ids = pa.ListArray.from_arrays(
                     pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(packed), np.int32))

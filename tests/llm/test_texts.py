@@ -88,6 +88,17 @@ def test_bpe_equals_tiktoken(coders, text):
     assert bpe.joined(tokens, ids) == text.encode()
 
 
+def test_bpe_encodes_new_parts_together(coders):
+    tokens, codec, reference = coders
+    codec = bpe.Codec(bpe.serialise(tokens), tokens, P.PATTERN)
+    calls, encode = [], codec.pieces.encode
+    codec.pieces = type("Counted", (), {"encode": lambda self, x, **how: calls.append(1) or encode(x, **how)})()
+    words = ["qzx%dvé" % i for i in range(300)] + ["a\n ", "x" * 100, "\t", "12345678"]
+    texts = [" ".join(words[i:] + words[:i]) for i in range(0, 300, 7)] + ["", " ", "  a  b ", "a\n b"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode_all(texts)] == [reference.encode_ordinary(t) for t in texts]
+    assert len(calls) < 200
+
+
 def test_bpe_query(spark, edge, empty, coders):
     codec = bpe.ByteBPE(spark, PATH, P.PATTERN)
     encoded = codec.encode(edge)
