@@ -1,8 +1,10 @@
+import inspect
 import random
 
+import pyarrow as pa
 import pytest
 
-from pageloom.operators.shred import DEPTH, KIDS, NUMBERS, PageTree, node_table, shred
+from pageloom.operators.shred import DEPTH, KIDS, NUMBERS, PageTree, _shredder, node_table, shred
 
 
 def tree(html):
@@ -121,3 +123,11 @@ def test_frame_shape(spark):
     assert [(n.id, n.parent, n.tag, n.text) for n in nodes] == [(4, 3, "p", "ac"), (5, 4, "b", "c")]
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_trees_are_handed_over_in_small_parts():
+    page = "<ul>" + "<li><a href='/x'>label</a></li>" * 1000 + "</ul>"
+    batch = pa.RecordBatch.from_pydict({"k": list(range(200)), "html": [page] * 200})
+    default = inspect.signature(shred).parameters["chunk_chars"].default
+    parts = [b.num_rows for b in _shredder(["k"], False, None, ["id", "tag"], default)(iter([batch]))]
+    assert sum(parts) == 200 and max(parts) * len(page) <= 1_000_000
