@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -29,6 +29,8 @@ REMEMBERED = 150_000
 # characters from which a part is not remembered, and of texts whose new parts are encoded in one call
 LONG = 64
 STEP_CHARS = 500_000
+# what parts pre-tokens that are merged in one text, and how many are
+BREAK, TOGETHER = "\ud800", 32
 # rows that are turned into Python values at a time
 SLICE = 256
 _MADE: dict = {}
@@ -75,6 +77,17 @@ def serialise(tokens: list[bytes]) -> bytes:
     return model.SerializeToString()
 
 
+def whole_words(tokens: list[bytes]) -> dict[str, int]:
+    """Ranks of the tokens that are texts: no other token can be a whole pre-token."""
+    found = {}
+    for i, token in enumerate(tokens):
+        try:
+            found[token.decode()] = i
+        except UnicodeDecodeError:
+            pass
+    return found
+
+
 class Codec:
     """Texts to packed ids (little-endian unsigned 32 bits) and back, in one task."""
 
@@ -83,7 +96,7 @@ class Codec:
         from sentencepiece import SentencePieceProcessor
 
         self.pieces = SentencePieceProcessor(model_proto=model)
-        self.whole = {token: i for i, token in enumerate(tokens)}
+        self.whole = whole_words(tokens)
         self.find = regex.compile(pattern).findall
         self.points = np.array([ord(c) for c in byte_letters()], "<u4")
         # a space before a non-space always begins a pre-token
@@ -92,28 +105,43 @@ class Codec:
         self.bare, self.spaced = _Remembered(self, ""), _Remembered(self, " ")
 
     def ids_of(self, text: str) -> bytes:
-        pieces = self.find(text)
-        made = self._made(pieces)
-        return b"".join(map(made.__getitem__, pieces))
-
-    def _made(self, pieces: Iterable[str]) -> dict[str, bytes]:
-        """Ids of pre-tokens, all that are no tokens themselves encoded in one call."""
-        made, rest = {}, []
-        for piece in pieces:
-            at = self.whole.get(raw := piece.encode())
-            if at is not None:
-                made[piece] = at.to_bytes(4, "little")
-            else:
-                rest.append((piece, raw))
-        if rest:
-            ends = np.cumsum([0, *(len(raw) for _, raw in rest)]).tolist()
-            data = np.frombuffer(b"".join([raw for _, raw in rest]), np.uint8)
-            mapped = self.points[data].tobytes().decode("utf-32-le")
-            ids = self.pieces.encode([mapped[a:b] for a, b in zip(ends, ends[1:])], num_threads=1)
-            ends = (4 * np.cumsum([0, *map(len, ids)])).tolist()
-            packed = (np.fromiter(chain.from_iterable(ids), "<u4", ends[-1] // 4) - np.uint32(1)).astype("<u4").tobytes()
-            made.update((piece, packed[a:b]) for (piece, _), a, b in zip(rest, ends, ends[1:]))
-        return made
+        return self._ids(self.find(text))[0].tobytes()
+
+    def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a run of pre-tokens, and the end of each; those that are no tokens are encoded together."""
+        kinds, whole = set(pieces), self.whole
+        own, rest = [p for p in kinds if p in whole], [p for p in kinds if p not in whole]
+        ids, sizes = self._merged(rest)
+        ids = np.concatenate([np.fromiter(map(whole.__getitem__, own), "<u4", len(own)), ids])
+        sizes = np.concatenate([np.ones(len(own), np.int64), sizes])
+        number = dict(zip(chain(own, rest), range(len(kinds))))
+        at = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
+        starts, sizes = (np.cumsum(sizes) - sizes)[at], sizes[at]
+        ends = np.cumsum(sizes)
+        return ids[np.repeat(starts - ends + sizes, sizes) + np.arange(sizes.sum())], ends
+
+    def _merged(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens by merging, and how many each has.
+
+        Between two of them stands a character without a piece, which no merge crosses and whose id is 0.
+        """
+        if not pieces:
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        # a lone surrogate is in no text, its first two bytes in no other character
+        data = np.frombuffer(BREAK.join([*pieces, ""]).encode("utf-8", "surrogatepass"), np.uint8)
+        breaks = np.flatnonzero((data[:-1] == 0xED) & (data[1:] == 0xA0))
+        letters, inside = self.points[data], np.ones(len(data), bool)
+        letters[breaks] = ord(" ")
+        inside[breaks + 1] = inside[breaks + 2] = False
+        text = letters[inside].tobytes().decode("utf-32-le")
+        ends = breaks - 2 * np.arange(len(breaks)) + 1
+        cuts = [0, *ends[TOGETHER - 1 : -1 : TOGETHER].tolist(), len(text)]
+        ids = list(chain.from_iterable(self.pieces.encode([text[a:b] for a, b in zip(cuts, cuts[1:])], num_threads=1)))
+        ids = np.array(ids, "<u4")
+        ends = np.flatnonzero(ids == 0)
+        if len(ends) != len(pieces):
+            raise ValueError("a byte has no token")
+        return ids[ids != 0] - np.uint32(1), np.diff(ends, prepend=-1) - 1
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text."""
@@ -146,14 +174,13 @@ class Codec:
             return
         # cut before spaces, as the texts are, they are one text for the pattern
         pieces = self.find(" " + " ".join(new))
-        ends, bounds = np.cumsum([*map(len, pieces)]), np.cumsum([1 + len(part) for part in new])
+        ends, bounds = np.cumsum([*map(len, pieces)]), np.cumsum([*map(len, new)]) + np.arange(1, len(new) + 1)
         last = np.minimum(np.searchsorted(ends, bounds), len(ends) - 1)
         if (ends[last] != bounds).any():
             return  # a pattern that leaves characters out: each part alone
-        made = self._made(set(pieces))
-        ids = [*map(made.__getitem__, pieces)]
-        to, packed = np.cumsum([*map(len, ids)])[last].tolist(), b"".join(ids)
-        self.spaced.update((part, packed[a:b]) for part, a, b in zip(new, [0, *to], to))
+        ids, to = self._ids(pieces)
+        to, packed = (4 * to[last]).tolist(), ids.tobytes()
+        self.spaced.update(zip(new, [packed[a:b] for a, b in zip([0, *to], to)]))
 
 
 class _Remembered(dict):

@@ -99,6 +99,17 @@ def test_bpe_encodes_new_parts_together(coders):
     assert len(calls) < 200
 
 
+def test_bpe_merges_many_pre_tokens_in_one_text(coders):
+    tokens, codec, reference = coders
+    codec = bpe.Codec(bpe.serialise(tokens), tokens, P.PATTERN)
+    given, encode = [], codec.pieces.encode
+    codec.pieces = type("Counted", (), {"encode": lambda self, x, **how: given.extend(x) or encode(x, **how)})()
+    words = [f"qzx{i}vé\x00\U0001f600" for i in range(500)] + ["\ud7ff\ue000\uffff", "\t\x1c", "í \xa0í"]
+    texts = [" ".join(words), "í" + "z" * 200 + "\xa0", ""]
+    assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode_all(texts)] == [reference.encode_ordinary(t) for t in texts]
+    assert len(given) < 100
+
+
 def test_bpe_query(spark, edge, empty, coders):
     codec = bpe.ByteBPE(spark, PATH, P.PATTERN)
     encoded = codec.encode(edge)
