@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import ByteWords, free_name, share, steps, text_bytes
+from pageloom.llm.common import SHORT_STEP, ByteWords, free_name, share, steps, text_bytes
 
 SEGMENT = 64
 BLOCK = 8
@@ -247,9 +247,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
         shared = share(spark, index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index, find = shared(), ByteWords(letters_only=True)
+            index, find = shared(), ByteWords(letters_only=True, step=SHORT_STEP)
             for batch in batches:
-                for at, to, data, offsets in steps(batch.column("_body")):
+                for at, to, data, offsets in steps(batch.column("_body"), SHORT_STEP):
                     rows = list(leaks_of(index, find, data, offsets))
                     if rows:
                         i, item, score, first, q, a = (np.array(c) for c in zip(*rows))
@@ -269,12 +269,12 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", least:
         shared = share(docs.sparkSession, index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index, find = shared(), ByteWords(letters_only=True)
+            index, find = shared(), ByteWords(letters_only=True, step=SHORT_STEP)
             for batch in batches:
                 if batch.num_rows == 0:
                     continue
                 clean = np.ones(batch.num_rows, bool)
-                for at, _, data, offsets in steps(batch.column(body)):
+                for at, _, data, offsets in steps(batch.column(body), SHORT_STEP):
                     for row in leaks_of(index, find, data, offsets):
                         clean[at + row[0]] = False
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns], names=columns).filter(pa.array(clean))

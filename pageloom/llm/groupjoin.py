@@ -15,7 +15,7 @@ what is joined: two link when ``100 * |A and B| >= 80 * |A or B|``.
    union.  With each class's prefix in one order, shingles of few groups first, the first shingle two linked
    sets share has at least as many behind it, in either, as their sizes demand.  So a shingle brings query
    and group together only for the sizes this leaves; of shingles of many groups, only rows of such sizes meet.
-5. Counting a query's rows of a group bounds its overlap with every member; groups that reach what the sizes
+5. What is left has to differ in few parity bits of its sets, too.  Counting a query's rows of a group bounds its overlap with every member; groups that reach what the sizes
    demand are bounded again by the unions of their parts, and what is left is opened, only where group and
    query are not linked yet, and compared first with the whole union, then member by member.
 6. Links join to components by alternating star contraction.
@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import ByteWords, free_name, mixed, share, steps, stored, text_bytes
+from pageloom.llm.common import SHORT_STEP, ByteWords, free_name, mixed, share, steps, stored, text_bytes
 
 SHINGLE = 5
 PERCENT = 80
@@ -55,6 +55,8 @@ QUERIES = 256
 # shingles of more groups than this meet by ranges of sizes, each so many times the one before
 FEW = 16
 RANGE = 1.05
+# 64-bit words of a set's parity bits
+WORDS = 32
 
 
 # -- sets -----------------------------------------------------------------------------------
@@ -114,6 +116,18 @@ def sign(own: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(own.tobytes())
 
 
+def parity(own: np.ndarray) -> np.ndarray:
+    """Bits that say for each remainder whether an odd number of members has it: sets differ by as many
+    members at least as their bits do."""
+    odd = np.bincount((own % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
+def _apart(a: str, b: str) -> Column:
+    """The number of parity bits in which two columns of them differ."""
+    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1, WORDS)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
+
+
 def linked(common: int, a: int, b: int) -> bool:
     return 100 * common >= PERCENT * (a + b - common)
 
@@ -122,9 +136,9 @@ def _frequent(docs: DataFrame, text: str) -> np.ndarray:
     """Shingles that most often occur in several texts close to each other, most frequent ones only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = ByteWords()
+        find = ByteWords(step=SHORT_STEP)
         for batch in batches:
-            for _, _, data, offsets in steps(batch.column("body")):
+            for _, _, data, offsets in steps(batch.column("body"), SHORT_STEP):
                 own = {sign(s): s for s in shingle_sets(find, data, offsets) if len(s)}
                 if own:
                     token, n = np.unique(np.concatenate(list(own.values())), return_counts=True)
@@ -141,9 +155,9 @@ def _signed(docs: DataFrame, key: str, text: str) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, seen = ByteWords(), set()
+        find, seen = ByteWords(step=SHORT_STEP), set()
         for batch in batches:
-            for at, to, data, offsets in steps(batch.column("_body")):
+            for at, to, data, offsets in steps(batch.column("_body"), SHORT_STEP):
                 n, sig, keys = [], [], []
                 for own in shingle_sets(find, data, offsets):
                     n.append(len(own))
@@ -163,34 +177,68 @@ def _signed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, text: str, frequent: np.ndarray) -> DataFrame:
-    """(token, h): prefix shingles, h a hash of the set's signature; equal sets once per task."""
+    """(token, h, common): prefix shingles, h a hash of the set's signature; equal sets once per task.
+
+    Those of ``frequent`` are common: they are known to be in several sets.
+    """
     shared = share(docs.sparkSession, frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, frequent, seen = ByteWords(), shared(), set()
+        find, frequent, seen = ByteWords(step=SHORT_STEP), shared(), set()
         for batch in batches:
-            for _, _, data, offsets in steps(batch.column("body")):
-                held, names = [], []
+            for _, _, data, offsets in steps(batch.column("body"), SHORT_STEP):
+                held, names, known = [], [], []
                 for own in shingle_sets(find, data, offsets):
                     if not len(own) or (name := sign(own)) in seen:
                         continue
                     seen.add(name)
                     size = prefix_size(len(own))
-                    prefix = own[:size]
+                    prefix, rare = own[:size], size
                     if len(frequent):
                         common = frequent[np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)] == own
                         prefix = own[~common][:size]
-                        if len(prefix) < size:
+                        if (rare := len(prefix)) < size:
                             prefix = np.concatenate([prefix, own[common][: size - len(prefix)]])
                     held.append(prefix)
+                    known.append(np.arange(len(prefix)) >= rare)
                     names.append(int.from_bytes(name[:8], "big", signed=True))
                 if len(seen) > 1_000_000:
                     seen.clear()
                 if held:
                     h = np.repeat(np.array(names, np.int64), [len(x) for x in held])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64)), pa.array(h)], names=["token", "h"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64)), pa.array(h), pa.array(np.concatenate(known))], names=["token", "h", "common"])
+
+    return docs.select(text_bytes(text).alias("body")).mapInArrow(run, "token long, h long, common boolean")
+
+
+def _several(rows: DataFrame) -> DataFrame:
+    """Distinct (token, h) of tokens with several h, and those that are common anyway, of (token, h, common).
+
+    Rows meet by token; common tokens, which may be in very many sets, are dealt by their sets too.
+    """
 
-    return docs.select(text_bytes(text).alias("body")).mapInArrow(run, "token long, h long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the last row waits for the next one
+        token, h, stays = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        for batch in batches:
+            token = np.concatenate([token, batch.column("token").to_numpy()])
+            h = np.concatenate([h, batch.column("h").to_numpy()])
+            stays = np.concatenate([stays, batch.column("common").to_numpy(zero_copy_only=False)])
+            if not len(token):
+                continue
+            equal = token[1:] == token[:-1]
+            fresh = np.concatenate([[True], ~equal | (h[1:] != h[:-1])])
+            token, h, stays = token[fresh], h[fresh], stays[fresh]
+            equal = token[1:] == token[:-1]
+            stays[1:] |= equal
+            stays[:-1] |= equal
+            kept = np.flatnonzero(stays[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(token[kept]), pa.array(h[kept])], names=["token", "h"])
+            token, h, stays = token[-1:], h[-1:], stays[-1:]
+        yield pa.RecordBatch.from_arrays([pa.array(token[stays]), pa.array(h[stays])], names=["token", "h"])
+
+    place = F.when(F.col("common"), F.xxhash64("token", "h")).otherwise(F.col("token"))
+    return rows.repartition(place).sortWithinPartitions("token", "h").mapInArrow(run, "token long, h long")
 
 
 def _short_hash(sig: str) -> Column:
@@ -199,29 +247,32 @@ def _short_hash(sig: str) -> Column:
 
 
 def _full_sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """(cls, members) for the classes of ``wanted`` (cls, sig); members is packed and sorted."""
+    """(cls, members, bits) for the classes of ``wanted`` (cls, sig); members is packed and sorted."""
     names = None
     if wanted.count() <= LISTED:
         names = np.sort(wanted.select(_short_hash("sig").alias("h")).toArrow()["h"].to_numpy())
     shared = share(docs.sparkSession, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, seen, names = ByteWords(), set(), shared()
+        find, seen, names = ByteWords(step=SHORT_STEP), set(), shared()
         for batch in batches:
-            for _, _, data, offsets in steps(batch.column("body")):
+            for _, _, data, offsets in steps(batch.column("body"), SHORT_STEP):
                 rows = []
                 for own in shingle_sets(find, data, offsets):
                     if len(own) and (name := sign(own)) not in seen:
                         seen.add(name)
                         if names is None or _listed(names, name):
-                            rows.append((name, own.tobytes()))
+                            rows.append((name, own.tobytes(), parity(own)))
                 if len(seen) > 1_000_000:
                     seen.clear()
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["sig", "members"])
+                    sig, members, bits = zip(*rows)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(sig, pa.binary()), pa.array(members, pa.binary()), pa.array(bits, pa.list_(pa.int64()))], names=["sig", "members", "bits"]
+                    )
 
-    made = docs.select(text_bytes(text).alias("body")).mapInArrow(run, "sig binary, members binary")
-    return made.join(wanted, "sig").dropDuplicates(["cls"]).select("cls", "members")
+    made = docs.select(text_bytes(text).alias("body")).mapInArrow(run, "sig binary, members binary, bits array<bigint>")
+    return made.join(wanted, "sig").dropDuplicates(["cls"]).select("cls", "members", "bits")
 
 
 def _listed(names: np.ndarray, sig: bytes) -> bool:
@@ -328,7 +379,7 @@ def _settle_groups(classes: DataFrame, sets: DataFrame) -> DataFrame:
         parts = own.join(sizes.select("key", "n"), "key").withColumn("part", F.pmod(F.xxhash64("cls", F.lit(k)), F.ceil(F.col("n") / PART)))
         differ = parts.groupBy("key", "part").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key", "part")
         open_parts = stored(parts.select("cls", "label", "key", "part").join(differ, ["key", "part"]), "parts")
-        found = stored(open_parts.join(sets, "cls").groupBy("key", "part").applyInArrow(_within, "a long, b long"), "linked")
+        found = stored(open_parts.join(sets.select("cls", "members"), "cls").groupBy("key", "part").applyInArrow(_within, "a long, b long"), "linked")
         least = found.groupBy(F.col("a").alias("label")).agg(F.min("b").alias("b"))
         now = stored(now.join(least, "label", "left").select("cls", "minima", F.coalesce("b", "label").alias("label")), "labels")
         edges = found if edges is None else edges.unionByName(found)
@@ -381,6 +432,24 @@ def _near(asked: DataFrame) -> DataFrame:
     return met.select("cls", "n", "label", "other").distinct()
 
 
+def _alike(near: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``near`` (cls, n, label, other) whose parity bits allow a link, with the span of the other label.
+
+    Linked sets of sizes n and m differ by at most a ninth of n + m members, so by no more bits.  A label's
+    members differ by at most ``radius`` bits from its first class, which is named like the label.
+    """
+    bits = sets.select("cls", "bits")
+    first = bits.select(F.col("cls").alias("other"), F.col("bits").alias("other_bits"))
+    inside = labels.where("cls <> label").select("cls", F.col("label").alias("other")).join(bits, "cls").join(first, "other")
+    wide = inside.groupBy("other").agg(F.max(_apart("bits", "other_bits")).alias("radius"))
+    spans = labels.groupBy(F.col("label").alias("other")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.countDistinct("gid").alias("parts"), F.min("gid").alias("only"))
+    wide = spans.join(wide, "other", "left").fillna(0, ["radius"])
+    n = F.col("n")
+    most = F.floor((n + F.least("hi", F.floor(n * 100 / PERCENT))) * (100 - PERCENT) / (100 + PERCENT) + 1e-6)
+    met = near.join(wide, "other").join(bits, "cls").join(first, "other")
+    return met.where(_apart("bits", "other_bits") <= most + F.col("radius")).select("cls", "n", "label", "other", "lo", "hi", "parts", "only")
+
+
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) of every row."""
     signed = stored(_signed(docs, key, text), "signed")
@@ -388,10 +457,9 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     classes = stored(grouped.select(F.monotonically_increasing_id().alias("cls"), "sig", "id", "n", "minima"), "classes")
 
     # prefix shingles of more than one class, then of classes that may have a link at all
-    rows = _prefixes(docs, text, _frequent(docs, text))
-    several = rows.groupBy("token").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("token")
+    rows = _several(_prefixes(docs, text, _frequent(docs, text)))
     named = classes.select(_short_hash("sig").alias("h"), "cls", "n")
-    shared = _candidates(stored(rows.join(several, "token").join(named, "h").select("token", "cls", "n").distinct(), "rows"))
+    shared = _candidates(stored(rows.join(named, "h").select("token", "cls", "n"), "rows"))
 
     likely = stored(classes.join(shared.select("cls").distinct(), "cls", "left_semi"), "likely")
     sets = stored(_full_sets(docs, text, likely.select("cls", "sig")), "sets")
@@ -406,10 +474,10 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     behind = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("often"), F.desc("token")))
     asked = stored(rows.join(often, "token").withColumn("behind", behind), "asked")
     matrix = asked.select("token", F.col("label").alias("other")).distinct()
-    spans = labels.groupBy(F.col("label").alias("other")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.countDistinct("gid").alias("parts"), F.min("gid").alias("only"))
-    near = stored(_near(asked), "near").join(asked.select("cls", "token"), "cls")
-    counted = near.join(matrix, ["other", "token"]).groupBy("cls", "n", "label", "other").agg(F.count("*").alias("c"))
-    met = stored(counted.join(spans, "other").where(_reached()).select("cls", "n", "label", "other", "parts", "only"), "met")
+    alike = stored(_alike(stored(_near(asked), "near"), labels, sets), "alike")
+    counted = alike.select("cls", "other").join(asked.select("cls", "token"), "cls").join(matrix, ["other", "token"])
+    met = alike.join(counted.groupBy("cls", "other").agg(F.count("*").alias("c")), ["cls", "other"]).where(_reached())
+    met = stored(met.select("cls", "n", "label", "other", "parts", "only"), "met")
 
     # labels that qualify and have several parts are counted again by part
     inside = asked.select("token", F.col("label").alias("other"), F.col("gid").alias("open")).distinct()
@@ -421,11 +489,12 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     # groups to open, with the sets of their members and of those that ask
     turns = pairs.groupBy("gid").agg(F.ceil(F.count("*") / QUERIES).alias("turns"))
-    ask = pairs.join(turns, "gid").join(sets, "cls").select(
+    members = sets.select("cls", "members")
+    ask = pairs.join(turns, "gid").join(members, "cls").select(
         F.col("gid").alias("q_gid"), F.pmod(F.xxhash64("cls"), F.col("turns")).alias("q_turn"), F.col("label").alias("q_label"), F.col("members").alias("query")
     )
     turn = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("turns") - 1)).alias("turn")
-    answer = labels.join(turns, "gid").select("gid", "cls", "label", turn).join(sets, "cls")
+    answer = labels.join(turns, "gid").select("gid", "cls", "label", turn).join(members, "cls")
     links = answer.groupBy("gid", "turn").cogroup(ask.groupBy("q_gid", "q_turn")).applyInArrow(_opened, "a long, b long")
     roots = contract(links)
 

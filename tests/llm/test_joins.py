@@ -101,6 +101,44 @@ def test_matrix_rows_of_a_shared_passage(spark, monkeypatch):
     assert met.count() > 50_000 and seen["near"].count() < 1000
 
 
+def test_parity_bits_part_what_shares_much(spark, monkeypatch):
+    """Texts that share most of their shingles without a link are told apart before their shingles meet."""
+    rng = random.Random(4)
+    rows = [(i, " ".join([f"p{i // 6}x{k}" for k in range(150)] + [f"w{i}x{k}" for k in range(40)])) for i in range(180)]
+    rows += [(200 + i, " ".join([f"t{i // 3}x{k}" for k in range(90)] + [f"e{i}x{rng.randrange(99)}" for _ in range(8)])) for i in range(30)]
+    sets = [np.sort(np.array([hash(x) % 2**64 for x in shingles(t)], np.uint64)) for _, t in rows]
+    for a, b in zip(sets, sets[1:]):
+        bits = groupjoin.parity(a).view(np.uint64) ^ groupjoin.parity(b).view(np.uint64)
+        assert np.bitwise_count(bits).sum() <= len(np.setxor1d(a, b))
+    seen, kept = {}, groupjoin.stored
+
+    def store(df, name):
+        seen[name] = kept(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(groupjoin, "stored", store)
+    monkeypatch.setattr(groupjoin, "KEYS", 1)
+    monkeypatch.setattr(groupjoin, "_candidates", lambda rows: rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(tuple(r) for r in groupjoin.components(docs).collect()) == brute_components(rows)
+    assert seen["near"].count() > 300 and seen["alike"].count() < 100
+
+
+def test_shingles_of_several_sets(spark):
+    rng = random.Random(6)
+    rows = [(rng.randrange(-700, 700) if i % 9 else 5000, rng.randrange(40), False) for i in range(3000)]
+    rows += [(9000, i % 400, True) for i in range(900)] + [(9001, 7, True)]
+    names = defaultdict(set)
+    for token, h, _ in rows:
+        names[token].add(h)
+    want = {(t, h) for t, h, common in rows if common or len(names[t]) > 1}
+    for parts in (1, 7):
+        given = spark.createDataFrame(rows, "token long, h long, common boolean").repartition(parts)
+        got = [tuple(r) for r in groupjoin._several(given).collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert groupjoin._several(given.where("false")).count() == 0
+
+
 def test_keep_one(spark, near, edge):
     kept = [r.doc_id for r in groupjoin.keep_one(near).collect()]
     assert sorted(kept) == sorted({c for _, _, c in brute_components([tuple(r) for r in near.collect()])})
