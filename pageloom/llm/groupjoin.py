@@ -490,11 +490,13 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     # groups to open, with the sets of their members and of those that ask
     turns = pairs.groupBy("gid").agg(F.ceil(F.count("*") / QUERIES).alias("turns"))
     members = sets.select("cls", "members")
-    ask = pairs.join(turns, "gid").join(members, "cls").select(
-        F.col("gid").alias("q_gid"), F.pmod(F.xxhash64("cls"), F.col("turns")).alias("q_turn"), F.col("label").alias("q_label"), F.col("members").alias("query")
+    # stored, their size is known, and where it is small the sets stay in place
+    ask = pairs.join(turns, "gid").select(
+        "cls", F.col("gid").alias("q_gid"), F.pmod(F.xxhash64("cls"), F.col("turns")).alias("q_turn"), F.col("label").alias("q_label")
     )
+    ask = stored(ask, "ask").join(members.withColumnRenamed("members", "query"), "cls")
     turn = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("turns") - 1)).alias("turn")
-    answer = labels.join(turns, "gid").select("gid", "cls", "label", turn).join(members, "cls")
+    answer = stored(labels.join(turns, "gid").select("gid", "cls", "label", turn), "answer").join(members, "cls")
     links = answer.groupBy("gid", "turn").cogroup(ask.groupBy("q_gid", "q_turn")).applyInArrow(_opened, "a long, b long")
     roots = contract(links)
 
