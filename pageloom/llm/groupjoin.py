@@ -10,7 +10,8 @@ what is joined: two link when ``100 * |A and B| >= 80 * |A or B|``.
    again until hardly any class goes.
 3. Classes with the same minimum under one of ``KEYS`` orders form a group, dealt by a hash to parts of
    about ``PART`` members.  The members of a part are compared in one task, but not once they are linked.
-   Other orders deal them to other parts, so that a large group of near copies becomes one.
+   Other orders deal them to other parts, so that a large group of near copies becomes one, until an order
+   links hardly any.
 4. Groups of linked classes give the matrix: a row (shingle, group) for each prefix shingle of a group's
    union.  With each class's prefix in one order, shingles of few groups first, the first shingle two linked
    sets share has at least as many behind it, in either, as their sizes demand.  So a shingle brings query
@@ -47,6 +48,8 @@ PERCENT = 80
 PREFIX = 30
 KEYS = 5
 PART = 128
+# an order that links at most one class in so many is the last one tried
+SETTLED = 100
 FREQUENT = 1 << 16
 # classes whose sets are wanted: as many are sent to the tasks as a list, beyond that they are joined
 LISTED = 2_000_000
@@ -346,7 +349,7 @@ def _opened(key: tuple, members: pa.Table, queries: pa.Table) -> pa.Table:
 def contract(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable from each node of ``edges`` (a, b)."""
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    while True:
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # large star: larger neighbours move to the smallest
@@ -355,11 +358,15 @@ def contract(edges: DataFrame) -> DataFrame:
         # small star: a node and its smaller neighbours move to the smallest of them
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         again = large.join(small, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
-        after = stored(again.where("a <> b").distinct(), "edges")
-        same = after.join(now, ["a", "b"], "left_anti").isEmpty() and now.join(after, ["a", "b"], "left_anti").isEmpty()
-        now = after
-        if same:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        now = stored(again.where("a <> b").distinct(), "edges")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node of the distinct ``edges`` (a, b) with a > b has one smaller neighbour, which has none."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").count() == 0
 
 
 # -- the join -------------------------------------------------------------------------------
@@ -370,8 +377,10 @@ def _settle_groups(classes: DataFrame, sets: DataFrame) -> DataFrame:
 
     Every order deals the members of a group to other parts, so that what is linked in a large group
     comes together although each member meets few others.  After an order members take the smallest label
-    they met, and sets move only to parts that hold more than one label.
+    they met, and sets move only to parts that hold more than one label.  After an order with few links the
+    rest is left to the matrix, which finds every link.
     """
+    few = classes.count() // SETTLED
     now, edges = classes.select("cls", "minima", F.col("cls").alias("label")), None
     for k in range(KEYS):
         own = now.select("cls", "label", F.col("minima")[k].alias("key"))
@@ -380,9 +389,11 @@ def _settle_groups(classes: DataFrame, sets: DataFrame) -> DataFrame:
         differ = parts.groupBy("key", "part").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key", "part")
         open_parts = stored(parts.select("cls", "label", "key", "part").join(differ, ["key", "part"]), "parts")
         found = stored(open_parts.join(sets.select("cls", "members"), "cls").groupBy("key", "part").applyInArrow(_within, "a long, b long"), "linked")
+        edges = found if edges is None else edges.unionByName(found)
+        if k + 1 == KEYS or found.count() <= few:
+            break
         least = found.groupBy(F.col("a").alias("label")).agg(F.min("b").alias("b"))
         now = stored(now.join(least, "label", "left").select("cls", "minima", F.coalesce("b", "label").alias("label")), "labels")
-        edges = found if edges is None else edges.unionByName(found)
     return contract(edges).select(F.col("node").alias("cls"), F.col("root").alias("label"))
 
 
@@ -442,12 +453,12 @@ def _alike(near: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     first = bits.select(F.col("cls").alias("other"), F.col("bits").alias("other_bits"))
     inside = labels.where("cls <> label").select("cls", F.col("label").alias("other")).join(bits, "cls").join(first, "other")
     wide = inside.groupBy("other").agg(F.max(_apart("bits", "other_bits")).alias("radius"))
-    spans = labels.groupBy(F.col("label").alias("other")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.countDistinct("gid").alias("parts"), F.min("gid").alias("only"))
+    spans = labels.groupBy(F.col("label").alias("other")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), (F.min("gid") < F.max("gid")).alias("several"), F.min("gid").alias("only"))
     wide = spans.join(wide, "other", "left").fillna(0, ["radius"])
     n = F.col("n")
     most = F.floor((n + F.least("hi", F.floor(n * 100 / PERCENT))) * (100 - PERCENT) / (100 + PERCENT) + 1e-6)
     met = near.join(wide, "other").join(bits, "cls").join(first, "other")
-    return met.where(_apart("bits", "other_bits") <= most + F.col("radius")).select("cls", "n", "label", "other", "lo", "hi", "parts", "only")
+    return met.where(_apart("bits", "other_bits") <= most + F.col("radius")).select("cls", "n", "label", "other", "lo", "hi", "several", "only")
 
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -477,15 +488,15 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     alike = stored(_alike(stored(_near(asked), "near"), labels, sets), "alike")
     counted = alike.select("cls", "other").join(asked.select("cls", "token"), "cls").join(matrix, ["other", "token"])
     met = alike.join(counted.groupBy("cls", "other").agg(F.count("*").alias("c")), ["cls", "other"]).where(_reached())
-    met = stored(met.select("cls", "n", "label", "other", "parts", "only"), "met")
+    met = stored(met.select("cls", "n", "label", "other", "several", "only"), "met")
 
     # labels that qualify and have several parts are counted again by part
     inside = asked.select("token", F.col("label").alias("other"), F.col("gid").alias("open")).distinct()
     spans = labels.groupBy(F.col("gid").alias("open")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    several = met.where("parts > 1").select("cls", "n", "label", "other").join(asked.select("cls", "token"), "cls")
+    several = met.where("several").select("cls", "n", "label", "other").join(asked.select("cls", "token"), "cls")
     counted = several.join(inside, ["other", "token"]).groupBy("cls", "n", "label", "open").agg(F.count("*").alias("c"))
     opened = counted.join(spans, "open").where(_reached()).select("cls", "label", F.col("open").alias("gid"))
-    pairs = stored(opened.unionByName(met.where("parts = 1").select("cls", "label", F.col("only").alias("gid"))), "pairs")
+    pairs = stored(opened.unionByName(met.where("not several").select("cls", "label", F.col("only").alias("gid"))), "pairs")
 
     # groups to open, with the sets of their members and of those that ask
     turns = pairs.groupBy("gid").agg(F.ceil(F.count("*") / QUERIES).alias("turns"))

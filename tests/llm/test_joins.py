@@ -124,6 +124,33 @@ def test_parity_bits_part_what_shares_much(spark, monkeypatch):
     assert seen["near"].count() > 300 and seen["alike"].count() < 100
 
 
+def test_links_that_are_stars_are_not_contracted(spark, monkeypatch):
+    made, kept = [], groupjoin.stored
+    monkeypatch.setattr(groupjoin, "stored", lambda df, name: made.append(name) or kept(df, name))
+    stars = [(i, i % 7) for i in range(7, 60)] + [(3, 3)]
+    got = groupjoin.contract(spark.createDataFrame([*stars, (8, 1)], "a long, b long"))
+    assert made == ["edges"]
+    assert sorted(map(tuple, got.collect())) == [(i, i % 7) for i in range(7, 60)]
+    for other in ([(8, 1), (8, 2)], [(9, 5), (5, 2)], [(i, i + 1) for i in range(30)]):
+        up = {}
+        for a, b in other:
+            x, y = (up.get(k, k) for k in (a, b))
+            up.update({k: min(x, y) for k in {a, b, *(k for k, v in up.items() if v in (x, y))}})
+        got = groupjoin.contract(spark.createDataFrame(other, "a long, b long"))
+        assert sorted(map(tuple, got.collect())) == sorted((k, v) for k, v in up.items() if k != v)
+    assert groupjoin.contract(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_orders_end_once_few_are_linked(spark, near, monkeypatch):
+    made, kept = [], groupjoin.stored
+    monkeypatch.setattr(groupjoin, "stored", lambda df, name: made.append(name) or kept(df, name))
+    rows = [tuple(r) for r in near.collect()]
+    # an order that links no more than all classes: the first is the last one
+    monkeypatch.setattr(groupjoin, "SETTLED", 1)
+    assert Counter(tuple(r) for r in groupjoin.components(near).collect()) == brute_components(rows)
+    assert made.count("linked") == 1
+
+
 def test_shingles_of_several_sets(spark):
     rng = random.Random(6)
     rows = [(rng.randrange(-700, 700) if i % 9 else 5000, rng.randrange(40), False) for i in range(3000)]
