@@ -13,7 +13,7 @@ from pageloom.plans.registry import query
 from pageloom.plans.tables import collapsed, decoded, longs, pages, table
 from pageloom.session import scratch_path
 from pageloom.site import Site, run_meta
-from pageloom.sources.pages import read_html_files, spread
+from pageloom.sources.pages import read_html_files, spread, write_html_files
 from pageloom.sources.sinks import write_result
 from pageloom.spec import Resource, parse_spec, spec_from_dict
 from pageloom.streaming.jobs import start_extraction, stream_pages
@@ -584,10 +584,9 @@ def run_post_process(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {NAV_SQL} select label, href, count(*) as n from nav group by label, href")
 def saved_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages saved as one file each, read and extracted."""
-    path = scratch_path(spark, "html")
-    pages(spark, sf_dir).select("html").write.option("maxRecordsPerFile", 1).text(path)
+    folders = write_html_files(pages(spark, sf_dir), scratch_path(spark, "html"))
     resource = one_resource({"label": "a", "href": {"selector": "a", "attr": "href"}}, "nav li")
-    rows = extract(trees_for(read_html_files(spark, path), [resource], ["url", "final_url"]), resource, ["url"])
+    rows = extract(trees_for(read_html_files(spark, folders), [resource], ["url", "final_url"]), resource, ["url"])
     return rows.groupBy("label", "href").agg(F.count("*").alias("n"))
 
 

@@ -65,6 +65,26 @@ def test_html_files_and_sink(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out" / "meta")).first().pages == 2
 
 
+def test_pages_as_files(spark, tmp_path):
+    """Each row is one file, written by the tasks or by Spark, and few tasks read many small files."""
+    texts = [f"<p>{i % 50} ü</p>" for i in range(200)] + [None, "", "a\r\nb"]
+    rows = spark.createDataFrame([(t,) for t in texts], "html string").repartition(3)
+    for path in (f"file://{tmp_path}/by-tasks", str(tmp_path / "by-spark")):
+        folders = pages.write_html_files(rows, path)
+        assert len(folders) == (3 if path.startswith("file:") else 1)
+        spark.conf.set("spark.sql.files.openCostInBytes", "128m")
+        try:
+            found = pages.read_html_files(spark, folders)
+            assert found.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+            got = found.collect()
+        finally:
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert sorted(r.html for r in got) == sorted((t or "") + "\n" for t in texts)
+        assert len({r.url for r in got}) == len(texts)
+    none = pages.write_html_files(rows.where("false"), f"file://{tmp_path}/none")
+    assert pages.read_html_files(spark, none).where("trim(html) <> ''").count() == 0
+
+
 def test_read_pages_spreads_small_files(spark, tmp_path):
     page_rows(spark).coalesce(1).write.parquet(str(tmp_path / "p"))
     read = pages.read_pages(spark, str(tmp_path / "p"))
