@@ -35,9 +35,12 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, their number, and digests of the ids and of what they decode to."""
+    """Token ids of every text, their number, and digests of the ids and of what they decode to.
+
+    The ids are stored before they are decoded, so that a task never keeps two Python processes.
+    """
     codec = byte_bpe(spark)
-    encoded = codec.encode(docs.select("doc_id", "lang", "source", "text"))
+    encoded = stored(codec.encode(docs.select("doc_id", "lang", "source", "text")), "ids")
     return codec.digests(encoded, keep_ids=True)
 
 

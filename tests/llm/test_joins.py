@@ -306,3 +306,15 @@ def test_pipeline(spark):
     assert all(d in left for d, t in labels.items() if t == 0)
     assert sum(labels[d] for d in left if d in labels) < 0.5 * sum(labels.values())
     assert docs.count() == len(clean)
+
+
+def test_tokens_are_stored_before_they_are_decoded(spark, edge):
+    """A task with both steps would keep two Python processes at a time."""
+    import corpus_pipeline as pipeline
+
+    found = pipeline.tokenise(spark, edge, SF)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    whole = queries.byte_bpe(spark)
+    wanted = whole.digests(whole.encode(edge.select("doc_id", "lang", "source", "text")), keep_ids=True)
+    assert found.columns == wanted.columns
+    assert Counter(map(str, found.collect())) == Counter(map(str, wanted.collect()))
