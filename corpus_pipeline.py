@@ -30,17 +30,21 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
-    return decontam.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+    """Documents without a benchmark item.
+
+    They are stored here, so that the job runs with few texts at a time in a Python process.
+    """
+    return stored(decontam.drop_leaks(docs, table(spark, sf_dir, "benchmark")), "unleaked", short=True)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, their number, and digests of the ids and of what they decode to.
 
-    The ids are stored before they are decoded, so that a task never keeps two Python processes.
+    The ids are stored before they are decoded, so that a task never keeps two Python processes; these
+    get few texts at a time.
     """
     codec = byte_bpe(spark)
-    encoded = stored(codec.encode(docs.select("doc_id", "lang", "source", "text")), "ids")
+    encoded = stored(codec.encode(docs.select("doc_id", "lang", "source", "text")), "ids", short=True)
     return codec.digests(encoded, keep_ids=True)
 
 

@@ -318,3 +318,42 @@ def test_tokens_are_stored_before_they_are_decoded(spark, edge):
     wanted = whole.digests(whole.encode(edge.select("doc_id", "lang", "source", "text")), keep_ids=True)
     assert found.columns == wanted.columns
     assert Counter(map(str, found.collect())) == Counter(map(str, wanted.collect()))
+
+
+def test_python_gets_few_texts_at_a_time(spark, monkeypatch, tmp_path):
+    """Encoding, decoding and decontamination keep to short batches, and the session's setting comes back."""
+    import corpus_pipeline as pipeline
+    from pageloom.llm import bpe, common
+
+    docs = spark.range(0, 3000, 1, 1).select(
+        F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("text"), "id").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source")
+    )
+    before = spark.conf.get(common.ARROW_ROWS, None)
+    note = str(tmp_path / "rows")
+
+    def told(batches, note=note):
+        for batch in batches:
+            with open(note, "a") as lines:
+                lines.write(f"{batch.num_rows}\n")
+            yield batch
+
+    def longest():
+        with open(note) as lines:
+            return max(map(int, lines))
+
+    def seen(frame):
+        return frame.mapInArrow(told, frame.schema)
+
+    try:
+        spark.conf.set(common.ARROW_ROWS, "10000")
+        encode = bpe.ByteBPE.encode
+        monkeypatch.setattr(bpe.ByteBPE, "encode", lambda self, frame: seen(encode(self, seen(frame))))
+        encoded = pipeline.tokenise(spark, docs, SF)
+        assert 0 < longest() <= common.SHORT and spark.conf.get(common.ARROW_ROWS) == "10000"
+        assert seen(encoded).count() == 3000 and longest() <= common.SHORT
+        drop = decontam.drop_leaks
+        monkeypatch.setattr(decontam, "drop_leaks", lambda frame, *a: drop(seen(frame), *a))
+        assert pipeline.drop_leaks(spark, docs, SF).count() == 3000 and longest() <= common.SHORT
+        assert spark.conf.get(common.ARROW_ROWS) == "10000" and seen(docs).count() == 3000 and longest() == 3000
+    finally:
+        spark.conf.unset(common.ARROW_ROWS) if before is None else spark.conf.set(common.ARROW_ROWS, before)
