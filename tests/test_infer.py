@@ -1,8 +1,13 @@
 import json
 import math
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from compare import difference
 from fixtures import GUIDE, GUIDE_1, GUIDE_MENU
 from pageloom import Site, parse_spec
 from pageloom.operators import infer
@@ -68,6 +73,21 @@ def test_group_rules(spark):
     assert [(g.signature, g.n) for g in groups(spark, odd)] == [("q.fine", 3)]
 
 
+@pytest.mark.parametrize("name", ["best_group"])
+def test_queries_take_parents_of_any_size(spark, tmp_path, name):
+    """601 paragraphs or 2,000 menu entries are groups like any other, as in the queries' SQL."""
+    page = lambda entries, parts: (
+        "<body><nav><ul>" + "".join(f"<li><a href=/{i}>to {i}</a></li>" for i in range(entries)) + "</ul></nav>"
+        "<article><h1>t</h1>" + "".join(f"<p>part {i}" for i in range(parts)) + "</article></body>"
+    )
+    sizes = [(4, 601), (2000, 5), (600, 3), (601, 601)]
+    rows = [{"page_id": i, "url": f"https://a.example/{i}", "html": page(*n)} for i, n in enumerate(sizes)]
+    pq.write_table(pa.Table.from_pylist(rows), tmp_path / "pages.parquet")
+    found = entry.queries()[name](spark, str(tmp_path))
+    assert {(r.page_id, r.n) for r in found.collect()} >= {(0, 601), (1, 2000), (3, 601)}
+    assert difference(found, entry.oracle_sql()[name], str(tmp_path)) is None
+
+
 def paging(spark, html):
     pages = spark.createDataFrame([("u", html)], "url string, html string")
     return infer.inferred_pagination(infer.infer_trees(pages), ["url"]).first().selector
