@@ -73,7 +73,7 @@ def test_group_rules(spark):
     assert [(g.signature, g.n) for g in groups(spark, odd)] == [("q.fine", 3)]
 
 
-@pytest.mark.parametrize("name", ["best_group"])
+@pytest.mark.parametrize("name", ["best_group", "sibling_groups"])
 def test_queries_take_parents_of_any_size(spark, tmp_path, name):
     """601 paragraphs or 2,000 menu entries are groups like any other, as in the queries' SQL."""
     page = lambda entries, parts: (
